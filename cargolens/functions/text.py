@@ -10,17 +10,40 @@ from .. import rules
 
 # Unicode white space spelled out: Java's \s is ASCII only.
 WS = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
+ODD_WS = r"[\t\n\x0b\f\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WS_CHARS = " \t\n\x0b\f\r" + "".join(map(chr, [
+    *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+# Everything that ends a line, apart from the plain newline.
+ODD_BREAK = r"\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate an expression once and use it several times.
+
+    Inside a lambda Catalyst shares no common subexpressions, so a value that is read
+    twice would be computed twice. A one-element transform binds it to a variable.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space from both ends."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.trim(c, F.lit(WS_CHARS))
+
+
+def one_blank(c: Column) -> Column:
+    """Each white-space run becomes one blank; single plain blanks are left alone."""
+    return F.regexp_replace(c, rf" *{ODD_WS}{WS}*| {{2,}}{WS}*", " ")
 
 
 def squeeze(c: Column) -> Column:
     """NRM1: each white-space run becomes one blank, ends trimmed."""
-    return F.trim(F.regexp_replace(c, rf"{WS}+", " "))
+    return F.trim(one_blank(c))
+
+
+def split_lines(c: Column) -> Column:
+    """Physical lines. The split itself is on one character, which needs no regex."""
+    return F.split(F.regexp_replace(c, ODD_BREAK, "\n"), "\n")
 
 
 def drop_spaces(c: Column) -> Column:
@@ -28,7 +51,7 @@ def drop_spaces(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    return F.get(F.filter(F.array(c), lambda x: x != ""), 0)
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -60,15 +83,15 @@ def is_placeholder(c: Column) -> Column:
 
 
 def value_or_null(c: Column) -> Column:
-    return F.when(~is_placeholder(c), blank_to_null(c))
+    """A squeezed value, null when it is blank or a placeholder."""
+    return F.get(F.filter(F.array(c), lambda x: (x != "") & ~x.rlike(rules.PLACEHOLDER)), 0)
 
 
 def clean_name(c: Column) -> Column:
     """NRM3: printed company name: label remnants, address and wide gaps removed."""
     v = F.regexp_replace(strip(c), rules.TRAILING_LABELS, "")
     v = F.regexp_replace(v, r"(?s)[ \t\xa0]{3,}.*", "")
-    v = cut_address(F.regexp_replace(v, rf"{WS}+", " "))
-    return F.upper(squeeze(v))
+    return F.upper(F.trim(F.regexp_replace(one_blank(v), rules.ADDRESS_CUT, "")))
 
 
 def clean_port(c: Column) -> Column:
@@ -76,11 +99,15 @@ def clean_port(c: Column) -> Column:
     return F.upper(squeeze(v))
 
 
-def norm_name(c: Column) -> Column:
-    """NRM2: comparable company name; legal-form words dropped when enough is left."""
-    base = squeeze(F.regexp_replace(F.upper(cut_address(c)), r"[^A-Z0-9 ]+", " "))
-    bare = squeeze(F.regexp_replace(base, rules.LEGAL_SUFFIXES, " "))
-    return F.when(F.length(bare) >= 4, bare).otherwise(base)
+def norm_name(c: Column, cut: bool = True) -> Column:
+    """NRM2: comparable company name; legal-form words dropped when enough is left.
+
+    ``cut=False`` skips the address cut for values :func:`clean_name` has cut already.
+    """
+    head = F.upper(cut_address(c) if cut else c)
+    return let(F.trim(F.regexp_replace(head, r"[^A-Z0-9]+", " ")), lambda b: let(
+        squeeze(F.regexp_replace(b, rules.LEGAL_SUFFIXES, " ")),
+        lambda bare: F.when(F.length(bare) >= 4, bare).otherwise(b)))
 
 
 def port_code(c: Column) -> Column:
@@ -91,54 +118,67 @@ def port_name(c: Column) -> Column:
     return norm_name(F.regexp_replace(strip(F.upper(c)), r"\([A-Z]{5}\)", " "))
 
 
+def port_parts(c: Column) -> Column:
+    """NRM4: struct of comparable name, five-letter code, and both as one value."""
+    parts = F.struct(port_name(c).alias("name"), port_code(c).alias("code"))
+    return F.when(c.isNotNull(), let(parts, lambda p: F.struct(
+        p["name"].alias("name"), p["code"].alias("code"), F.trim(F.concat_ws(" ", p["name"], p["code"])).alias("value"))))
+
+
 def norm_port(c: Column) -> Column:
-    """NRM4: port name with its five-letter code kept as a suffix."""
-    return F.when(c.isNotNull(), F.trim(F.concat_ws(" ", port_name(c), port_code(c))))
+    return port_parts(c)["value"]
 
 
 # ---------------------------------------------------------- counts and weights
 def container_count(c: Column) -> Column:
     """NRM5: number of containers; a container number is not a count."""
-    compact = F.regexp_replace(drop_spaces(c), ",", "")
-    parts = F.filter(F.transform(F.split(c, rules.CONTAINER_JOIN), strip), lambda p: p != "")
-    specs = F.transform(parts, lambda p: F.regexp_extract(drop_spaces(p), rules.CONTAINER_SPEC, 1))
-    compound = (F.size(specs) >= 2) & F.forall(specs, lambda s: s != "")
-    total = F.aggregate(specs, F.lit(0).cast("bigint"), lambda a, s: a + s.try_cast("bigint"))
-    return (
-        F.when(F.upper(compact).rlike(r"^[A-Z]{4}\d{7}$"), F.lit(None).cast("bigint"))
-        .when(c.rlike(rules.CONTAINER_JOIN) & compound, total)
-        .otherwise(F.regexp_extract(compact, r"(\d+)", 1).try_cast("bigint"))
-    )
+    def plain(v):
+        return F.regexp_extract(F.regexp_replace(drop_spaces(v), ",", ""), r"(\d+)", 1).try_cast("bigint")
+
+    def compound(v):
+        parts = F.filter(F.split(v, rules.CONTAINER_JOIN), lambda p: strip(p) != "")
+        specs = F.transform(parts, lambda p: F.regexp_extract(drop_spaces(p), rules.CONTAINER_SPEC, 1).try_cast("bigint"))
+        total = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+        return let(specs, lambda x: F.when((F.size(x) >= 2) & F.forall(x, lambda n: n.isNotNull()), total(x)))
+
+    number = r"^[A-Z]{4}\d{7}$"
+    return let(c, lambda v: F.when(
+        ~F.upper(F.regexp_replace(drop_spaces(v), ",", "")).rlike(number),
+        F.coalesce(F.when(v.rlike(rules.CONTAINER_JOIN), compound(v)), plain(v))))
 
 
 def _scaled(number: Column, unit_text: Column) -> Column:
-    return F.when(unit_text.rlike(rules.METRIC_TON), number * 1000.0).otherwise(number)
+    return number * F.when(unit_text.rlike(rules.METRIC_TON), 1000.0).otherwise(1.0)
 
 
 def weight_kg(c: Column) -> Column:
     """NRM6: leading number with its unit, in kilograms; else the first weight found."""
     lead = r"(?s)^\s*([\d][\d.,\s\xa0]*)(.*)$"
-    digits = F.regexp_replace(drop_spaces(F.regexp_extract(c, lead, 1)), r"[.,]+$", "")
-    first = F.regexp_replace(digits, ",", "").try_cast("double")
-    compact = drop_spaces(c)
     anywhere = rules.WEIGHT_ANYWHERE + r"(.*)$"
-    second = F.regexp_replace(F.regexp_extract(compact, anywhere, 1), ",", "").try_cast("double")
-    return F.coalesce(
-        _scaled(first, F.regexp_extract(c, lead, 2)),
-        _scaled(second, F.regexp_extract(compact, anywhere, 2)),
-    )
+
+    def first(v):
+        digits = F.regexp_replace(drop_spaces(F.regexp_extract(v, lead, 1)), r"[.,]+$", "")
+        return _scaled(F.regexp_replace(digits, ",", "").try_cast("double"), F.regexp_extract(v, lead, 2))
+
+    def second(v):
+        return let(drop_spaces(v), lambda x: _scaled(
+            F.regexp_replace(F.regexp_extract(x, anywhere, 1), ",", "").try_cast("double"), F.regexp_extract(x, anywhere, 2)))
+
+    return let(c, lambda v: F.coalesce(first(v), second(v)))
 
 
 # ----------------------------------------------------------------------- dates
-def _calendar(y: Column, m: Column, d: Column) -> Column:
-    text = F.concat(F.lpad(y, 4, "0"), F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0"))
-    return F.try_to_date(F.when((y != "") & (d != ""), text), "yyyy-MM-dd")
+def _calendar(parts: Column, y: int, m: int, d: int) -> Column:
+    """ISO text of a date from split parts; month as number or English name."""
+    table = F.array(*[F.lit(x) for x in rules.MONTHS + rules.MONTH_NAMES])
 
+    def month(word):
+        named = let(F.array_position(table, word), lambda p: F.when(p > 0, ((p - 1) % 12 + 1).cast("string")))
+        return F.when(word.rlike("^[A-Z]"), named).otherwise(word)
 
-def _month(word: Column) -> Column:
-    table = F.array(*[F.lit(m) for m in rules.MONTHS + rules.MONTH_NAMES])
-    pos = F.array_position(table, word).cast("int")
-    return F.when(pos > 0, ((pos - 1) % 12 + 1).cast("string"))
+    return let(parts, lambda p: F.when(F.size(p) == 3, F.try_to_date(F.concat_ws(
+        "-", F.lpad(F.get(p, y), 4, "0"), F.coalesce(F.lpad(month(F.get(p, m)), 2, "0"), F.lit("x")), F.lpad(F.get(p, d), 2, "0")),
+        "yyyy-MM-dd")))
 
 
 def iso_date(c: Column) -> Column:
@@ -146,70 +186,78 @@ def iso_date(c: Column) -> Column:
     raw = F.upper(strip(c))
     raw = F.regexp_replace(raw, r"\([^)]*\)", " ")
     raw = F.regexp_replace(raw, r"\b\d{1,2}:\d{2}(:\d{2})?\b", " ")
-    numeric = F.regexp_replace(raw, r"[^A-Z0-9 ./-]", " ")
-    words = squeeze(F.regexp_replace(raw, r"[^A-Z0-9 ]", " "))
 
-    def part(text: Column, pattern: str, i: int) -> Column:
-        return F.regexp_extract(text, pattern, i)
+    def found(r):
+        numeric = lambda: F.regexp_replace(r, r"[^A-Z0-9 ./-]", " ")
+        words = lambda: squeeze(F.regexp_replace(r, r"[^A-Z0-9 ]", " "))
 
-    ymd = r"\b(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})\b"
-    dmy_words = r"\b(\d{1,2})\s+([A-Z]+)\s+(\d{4})\b"
-    mdy_words = r"\b([A-Z]+)\s+(\d{1,2}),?\s+(\d{4})\b"
-    dmy = r"\b(\d{1,2})[/.](\d{1,2})[/.](\d{4})\b"
-    found = F.coalesce(
-        _calendar(part(numeric, ymd, 1), part(numeric, ymd, 2), part(numeric, ymd, 3)),
-        _calendar(part(words, dmy_words, 3), _month(part(words, dmy_words, 2)), part(words, dmy_words, 1)),
-        _calendar(part(words, mdy_words, 3), _month(part(words, mdy_words, 1)), part(words, mdy_words, 2)),
-        _calendar(part(numeric, dmy, 3), part(numeric, dmy, 2), part(numeric, dmy, 1)),
-    )
-    return F.date_format(found, "yyyy-MM-dd")
+        def at(text, pattern, cut, y, m, d):
+            return _calendar(F.split(F.regexp_extract(text, pattern, 0), cut), y, m, d)
+
+        return F.coalesce(
+            at(numeric(), r"\b\d{4}[-/.]\d{1,2}[-/.]\d{1,2}\b", r"[-/.]", 0, 1, 2),
+            at(words(), r"\b\d{1,2}\s+[A-Z]+\s+\d{4}\b", r"\s+", 2, 1, 0),
+            at(words(), r"\b[A-Z]+\s+\d{1,2},?\s+\d{4}\b", r",?\s+", 2, 0, 1),
+            at(numeric(), r"\b\d{1,2}[/.]\d{1,2}[/.]\d{4}\b", r"[/.]", 2, 1, 0),
+        )
+
+    return F.date_format(let(raw, found), "yyyy-MM-dd")
 
 
 def naive_utc(c: Column) -> Column:
     """NRM8: ISO timestamp text to a zone-less UTC timestamp, unparseable to null."""
-    shaped = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), c)
-    zone = F.regexp_extract(shaped, r"(?:[Zz]|[+-]\d{2}:?\d{2})$", 0)
-    local = F.regexp_replace(shaped, r"(?:[Zz]|[+-]\d{2}:?\d{2})$", "")
-    local = F.when(F.length(shaped) <= 10, shaped).otherwise(local)
-    zone = F.when(F.length(shaped) <= 10, F.lit("")).otherwise(F.upper(zone))
-    sign = F.when(F.startswith(zone, F.lit("-")), 1).otherwise(-1)
-    hh = F.regexp_extract(zone, r"(\d{2}):?\d{2}", 1).try_cast("int")
-    mm = F.regexp_extract(zone, r"\d{2}:?(\d{2})", 1).try_cast("int")
-    shift = F.coalesce(sign * (hh * 60 + mm), F.lit(0))
-    return local.try_cast("timestamp_ntz") + F.make_dt_interval(mins=shift)
+    zone = r"(?:[Zz]|[+-]\d{2}:?\d{2})$"
+
+    def shift(z):
+        sign = F.when(F.startswith(z, F.lit("-")), 1).otherwise(-1)
+        part = lambda p: F.regexp_extract(z, p, 1).try_cast("int")
+        return F.coalesce(sign * (part(r"(\d{2}):?\d{2}") * 60 + part(r"\d{2}:?(\d{2})")), F.lit(0))
+
+    def moved(v):
+        local = F.regexp_replace(v, zone, "").try_cast("timestamp_ntz")
+        return local + F.make_dt_interval(mins=let(F.regexp_extract(v, zone, 0), shift))
+
+    def read(v):
+        # Without a clock time the trailing "-dd" is a day, not a zone.
+        return F.when(F.length(v) <= 10, v.try_cast("timestamp_ntz")).otherwise(moved(v))
+
+    return let(F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), c), read)
 
 
 def received_time(header: Column, epoch_ms: Column) -> Column:
     """NRM9: the Date header (RFC 2822), else the server's epoch milliseconds."""
+    day = r"^(\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{2}:\d{2}(?::\d{2})?) ?([+-]\d{4}|[A-Z]{1,4})?$"
     body = F.regexp_replace(header, r"^[A-Za-z]{3},\s*", "")
     body = squeeze(F.regexp_replace(body, r"\([^)]*\)", ""))
-    day = r"^(\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{2}:\d{2}(?::\d{2})?) ?([+-]\d{4}|[A-Z]{1,4})?$"
-    month = _month(F.upper(F.regexp_extract(body, day, 2)))
-    clock = F.regexp_extract(body, day, 4)
-    clock = F.when(F.length(clock) == 5, F.concat(clock, F.lit(":00"))).otherwise(clock)
-    zone = F.regexp_extract(body, day, 5)
-    zone = F.when(zone.rlike(r"^[+-]\d{4}$"), F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2))).otherwise("Z")
-    iso = F.concat(F.regexp_extract(body, day, 3), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"),
-                   F.lpad(F.regexp_extract(body, day, 1), 2, "0"), F.lit("T"), clock, zone)
+    table = F.array(*[F.lit(m) for m in rules.MONTHS])
+
+    def iso(b):
+        g = lambda i: F.regexp_extract(b, day, i)
+        month = F.array_position(table, F.upper(g(2))).cast("string")
+        clock = F.rpad(g(4), 8, ":00")
+        zone = F.when(g(5).rlike(r"^[+-]\d{4}$"), g(5)).otherwise(F.lit("Z"))
+        return F.concat(g(3), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(g(1), 2, "0"), F.lit("T"), clock, zone)
+
     server = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(
         secs=(epoch_ms / F.lit(1000)).cast("decimal(18,6)"))
-    return F.coalesce(naive_utc(iso), server)
+    return F.coalesce(naive_utc(let(body, iso)), server)
 
 
 def edi_date(value: Column, fmt: Column) -> Column:
     """NRM10: an EDI date by its format code; unknown codes keep the text."""
-    digits = F.regexp_replace(value, r"\D", "")
     f = F.trim(fmt)
-    cut = lambda a, n: F.substring(digits, a, n)
-    long_form = F.concat_ws("-", cut(1, 4), cut(5, 2), cut(7, 2))
-    yy = cut(1, 2).try_cast("int")
-    century = F.when(yy >= 70, 1900).otherwise(2000)
-    short_form = F.concat_ws("-", (century + yy).cast("string"), cut(3, 2), cut(5, 2))
-    return (
-        F.when(f.isin("102", "203", "204", "718") & (F.length(digits) >= 8), long_form)
-        .when((f == "101") & (F.length(digits) >= 6), short_form)
-        .otherwise(strip(value))
-    )
+
+    def shaped(digits):
+        cut = lambda a, n: F.substring(digits, a, n)
+        yy = cut(1, 2).try_cast("int")
+        century = F.when(yy >= 70, 1900).otherwise(2000)
+        return (
+            F.when(f.isin("102", "203", "204", "718") & (F.length(digits) >= 8), F.concat_ws("-", cut(1, 4), cut(5, 2), cut(7, 2)))
+            .when((f == "101") & (F.length(digits) >= 6), F.concat_ws("-", (century + yy).cast("string"), cut(3, 2), cut(5, 2)))
+            .otherwise(strip(value))
+        )
+
+    return let(F.regexp_replace(value, r"\D", ""), shaped)
 
 
 def unit_factor(unit: Column) -> Column:
@@ -221,10 +269,14 @@ def unit_factor(unit: Column) -> Column:
 def place(parts: Column) -> Column:
     """NRM12: ``NAME (CODE)`` from location components in any order."""
     kept = F.filter(F.transform(parts, strip), lambda p: (p != "") & ~p.rlike(r"^-?[\d.,]+$"))
-    code = F.upper(F.get(F.filter(kept, lambda p: F.upper(p).rlike("^[A-Z]{5}$")), 0))
-    name = F.get(F.filter(kept, lambda p: ~F.upper(p).rlike("^[A-Z]{5}$")), 0)
-    both = F.concat(name, F.lit(" ("), code, F.lit(")"))
-    return F.coalesce(both, name, code, F.lit(""))
+    is_code = lambda p: F.upper(p).rlike("^[A-Z]{5}$")
+
+    def name_and_code(k):
+        code = F.upper(F.get(F.filter(k, is_code), 0))
+        name = F.get(F.filter(k, lambda p: ~is_code(p)), 0)
+        return F.coalesce(F.concat(name, F.lit(" ("), code, F.lit(")")), name, code, F.lit(""))
+
+    return let(kept, name_and_code)
 
 
 # ------------------------------------------------------------ addresses, labels
@@ -235,8 +287,7 @@ def mail_address(c: Column) -> Column:
 
 
 def mail_domain(c: Column) -> Column:
-    a = mail_address(c)
-    return F.when(F.contains(a, F.lit("@")), F.substring_index(a, "@", -1))
+    return let(mail_address(c), lambda a: F.when(F.contains(a, F.lit("@")), F.substring_index(a, "@", -1)))
 
 
 def bare_message_id(c: Column) -> Column:
@@ -274,9 +325,12 @@ def original_sender(c: Column) -> Column:
 
 def unreadable(c: Column) -> Column:
     """EXT2: under 85 % printable characters in the first 2,000."""
-    sample = F.substring(c, 1, 2000)
-    odd = F.regexp_count(sample, F.lit(r"[\p{C}\p{Z}&&[^ \n\r\t]]"))
-    return (F.length(c) > 0) & ((F.length(sample) - odd) / F.length(sample) < 0.85)
+    def mostly_odd(sample):
+        odd = F.regexp_count(sample, F.lit(r"[\p{C}\p{Z}&&[^ \n\r\t]]"))
+        # Plain ASCII text never gets as far as the counting.
+        return sample.rlike(r"[^\x20-\x7e\n\r\t]") & (odd > F.length(sample) * 0.15)
+
+    return let(F.substring(c, 1, 2000), mostly_odd)
 
 
 # ---------------------------------------------------------- document identifiers
@@ -300,13 +354,13 @@ def vessel(c: Column) -> Column:
     """EXT17: labelled vessel name."""
     name = F.regexp_extract(c, rules.VESSEL, 1)
     name = F.regexp_replace(F.regexp_replace(name, rules.VESSEL_TAIL, ""), _ENDS, "")
-    return F.when((F.length(name) >= 3) & ~name.rlike(r"^\d+$"), name)
+    return F.get(F.filter(F.array(name), lambda n: (F.length(n) >= 3) & ~n.rlike(r"^\d+$")), 0)
 
 
 def voyage(c: Column) -> Column:
     """EXT17: labelled voyage number; needs a digit."""
     v = F.regexp_replace(F.regexp_extract(c, rules.VOYAGE, 1), _ENDS, "")
-    return F.when(v.rlike(r"\d"), v)
+    return F.get(F.filter(F.array(v), lambda x: x.rlike(r"\d")), 0)
 
 
 def ocr_digits(c: Column) -> Column:

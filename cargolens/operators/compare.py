@@ -21,10 +21,11 @@ def match_of(field: str, si: Column, bl: Column) -> Column:
     if field == "gross_weight_kg":
         rule = F.when(F.abs(a - b) < 0.001, MATCH).otherwise(DIFF)
     elif field in rules.PORT_FIELDS:
-        one_code = si[field + "_code"].isNotNull() != bl[field + "_code"].isNotNull()
+        one_code = a["code"].isNotNull() != b["code"].isNotNull()
+        va, vb = a["value"], b["value"]
         rule = (
-            F.when((a == b) | (one_code & (si[field + "_name"] == bl[field + "_name"])), MATCH)
-            .when(fuzzy_close(a, b), POSSIBLE).otherwise(DIFF)
+            F.when((va == vb) | (one_code & (a["name"] == b["name"])), MATCH)
+            .when(fuzzy_close(va, vb), POSSIBLE).otherwise(DIFF)
         )
     elif field in rules.NAME_FIELDS:
         rule = F.when(a == b, MATCH).when(fuzzy_close(a, b), POSSIBLE).otherwise(DIFF)
@@ -77,14 +78,14 @@ def read_documents(docs: DataFrame) -> DataFrame:
     """Per document (path, text, source?): fields, normalised form and reading flags."""
     if "source" not in docs.columns:
         docs = docs.withColumn("source", F.lit("txt"))
-    df = X.with_fields(docs)
+    df = X.with_fields(docs.withColumn("unreadable", T.unreadable(F.coalesce("text", F.lit("")))))
+    df = df.withColumn("norm", X.normalised(F.col("fields"))).withColumn("missing", X.missing_fields(F.col("fields")))
+    empty = (F.size("missing") == 7) & F.col("fields.etd").isNull() & F.col("fields.eta").isNull()
     return (
-        df.withColumn("norm", X.normalised(F.col("fields")))
-        .withColumn("declared", D.declared_type(F.col("text")))
-        .withColumn("missing", X.missing_fields(F.col("fields")))
-        .withColumn("readable", ~F.coalesce(T.unreadable(F.col("text")), F.lit(True)))
-        .withColumn("nothing", ~F.col("readable") | ((X.field_yield(F.col("fields")) == 0)
-                    & F.col("fields.etd").isNull() & F.col("fields.eta").isNull() & (T.strip(F.col("text")) == "")))
+        df.withColumn("declared", D.declared_type(F.col("text")))
+        .withColumn("readable", ~F.col("unreadable"))
+        .withColumn("nothing", F.col("unreadable") | F.col("text").isNull() | (empty & (T.strip(F.col("text")) == "")))
+        .drop("unreadable")
     )
 
 

@@ -63,7 +63,7 @@ def with_pair(mails: DataFrame, attachments: str = "attachments") -> DataFrame:
 
 def declared_type(text: Column) -> Column:
     """DOC5: what a document calls itself in its first four non-blank lines."""
-    lines = F.slice(F.filter(F.transform(F.split(text, T.LINE_BREAK), T.strip), lambda l: l != ""), 1, rules.HEADING_LINES)
+    lines = F.slice(F.filter(T.split_lines(text), lambda l: T.strip(l) != ""), 1, rules.HEADING_LINES)
 
     def title(l):
         out = F.when(l.rlike("(?i)" + rules.DOC_TITLES[0][0]), rules.DOC_TITLES[0][1])
@@ -71,7 +71,8 @@ def declared_type(text: Column) -> Column:
             out = out.when(l.rlike("(?i)" + pattern), kind)
         return out
 
-    return F.get(F.filter(F.transform(lines, title), lambda t: t.isNotNull()), 0)
+    any_title = "(?i)" + "|".join(pattern for pattern, _ in rules.DOC_TITLES)
+    return T.let(F.get(F.filter(lines, lambda l: l.rlike(any_title)), 0), title)
 
 
 def wrong_type(declared: Column, slot: str) -> Column:

@@ -25,7 +25,7 @@ FIELDS_TYPE = (
 
 def lines_of(text: Column) -> Column:
     """EXT1: physical lines with wide blank runs shortened to two."""
-    return F.transform(F.split(text, T.LINE_BREAK), lambda l: F.regexp_replace(l, r"[ \t]{2,}", "  "))
+    return T.split_lines(F.regexp_replace(text, r"[ \t]{2,}", "  "))
 
 
 def _starts(line: Column, pattern: str) -> Column:
@@ -75,37 +75,41 @@ def split_long_line(line: Column) -> Column:
 
 def segments(text: Column) -> Column:
     """Lines, with label-bearing long lines split."""
-    return _split_long(lines_of(text))
-
-
-def _split_long(lines: Column) -> Column:
     def one(l):
         return F.when((F.length(l) >= rules.MEGA_LINE_MIN) & l.rlike(ANY_LABEL),
                       split_long_line(l)).otherwise(F.array(l))
 
-    return F.when(F.exists(lines, lambda l: F.length(l) >= rules.MEGA_LINE_MIN),
-                  F.flatten(F.transform(lines, one))).otherwise(lines)
+    return T.let(lines_of(text), lambda lines: F.when(
+        F.exists(lines, lambda l: F.length(l) >= rules.MEGA_LINE_MIN),
+        F.flatten(F.transform(lines, one))).otherwise(lines))
 
 
 def label_of(line: Column) -> Column:
-    """EXT4: ordinal of the field whose label starts first; null without a label."""
-    found = F.array(*[
-        F.struct(F.regexp_instr(line, F.lit("(?i)" + ALTERNATION[f])).alias("at"), F.lit(ORD[f]).alias("ord"))
-        for f in rules.ALL_FIELDS
-    ])
-    return F.array_min(F.filter(found, lambda x: x["at"] > 0))["ord"]
+    """EXT4: ordinal of the field whose label starts first; null without a label.
+
+    Alternation is leftmost-first, so one pass over the line finds the earliest
+    label, ties going to the field listed first. The short matched text then
+    tells which field it was.
+    """
+    def which(label):
+        out = F.when(label.rlike(f"(?i)^(?:{ALTERNATION[rules.ALL_FIELDS[0]]})"), 0)
+        for f in rules.ALL_FIELDS[1:]:
+            out = out.when(label.rlike(f"(?i)^(?:{ALTERNATION[f]})"), ORD[f])
+        return F.when(label != "", out)
+
+    return T.let(F.regexp_extract(line, ANY_LABEL, 0), which)
 
 
 def inline_value(line: Column) -> Column:
     """EXT5: text after the label: table cell, else after a colon, else after a dash."""
     cell = rf"(?s)^(.*?)(?:{T.WS}*\||\t+)(.*)$"
-    head = T.strip(F.regexp_extract(line, cell, 1))
-    tail = T.strip(F.regexp_extract(line, cell, 2))
-    colon = r"(?s)^[^:：]{0,120}?[:：](.*)$"
     dash = rf"(?s)^[^:：]{{0,120}}?[\-–]{T.WS}+(.*)$"
+    in_cell = (F.contains(line, F.lit("|")) | F.contains(line, F.lit("\t"))) & (T.strip(F.regexp_extract(line, cell, 1)) != "")
+    # The separator is kept in the match to tell an empty value from no colon at all.
+    after = F.regexp_extract(line, r"(?s)^[^:：]{0,120}([:：].*)$", 1)
     return F.coalesce(
-        F.when(line.rlike(r"[|\t]") & (head != ""), T.blank_to_null(tail)),
-        F.when(line.rlike(colon), T.strip(F.regexp_extract(line, colon, 1))),
+        F.when(in_cell, T.blank_to_null(T.strip(F.regexp_extract(line, cell, 2)))),
+        T.let(after, lambda a: F.when(a != "", T.strip(F.substring(a, 2, 1 << 30)))),
         T.strip(F.regexp_extract(line, dash, 1)),
     )
 
@@ -121,40 +125,44 @@ def typed_value(ordinal: Column, value: Column) -> Column:
     )
 
 
-def with_fields(docs: DataFrame, text: str = "text", out: str = "fields") -> DataFrame:
-    """EXT1-EXT9: add the fields struct (values as printed, cleaned).
+def fields_of(text: Column) -> Column:
+    """EXT1-EXT9 as one expression: the fields struct of a readable text (else nulls).
 
-    The steps are separate projections on purpose: each array is built once and
-    read once or more, instead of being expanded into every later expression.
+    Each step is a transform over the array the step before built, so every value is
+    computed once per line.
     """
-    segs, lab, got = "_segs", "_lab", "_got"
-    readable = F.when(~T.unreadable(F.col(text)), F.col(text))
-    df = docs.withColumn(segs, _split_long(lines_of(readable)))
-
-    def label_row(s, i):
-        nxt = F.get(F.filter(F.slice(F.col(segs), i + 2, 3), lambda x: T.strip(x) != ""), 0)
-        m = T.squeeze(s)
-        return F.when(m.rlike(ANY_LABEL), F.struct(
-            label_of(m).alias("ord"), inline_value(s).alias("val"), nxt.alias("nxt")))
-
-    df = df.withColumn(lab, F.filter(F.transform(F.col(segs), label_row), lambda x: x.isNotNull()))
-
-    def value_row(x):
-        nxt = T.strip(x["nxt"])
-        below = F.when((x["ord"] < 5) & ~(nxt.rlike(LABEL_LINE) & T.squeeze(nxt).rlike(ANY_LABEL)), nxt)
-        src = F.coalesce(T.blank_to_null(x["val"]), below)
-        return F.struct(x["ord"].alias("ord"), src.alias("src"))
-
-    df = df.withColumn(lab, F.transform(F.col(lab), value_row))
-    df = df.withColumn(got, F.filter(F.transform(F.col(lab), lambda x: F.struct(
-        x["ord"].alias("ord"), typed_value(x["ord"], x["src"]).alias("v"))), lambda x: x["v"].isNotNull()))
-
-    def pick(f):
-        v = F.get(F.filter(F.col(got), lambda x: x["ord"] == ORD[f]), 0)["v"]
+    def labelled(segs):
+        def row(s, i):
+            nxt = F.get(F.filter(F.slice(segs, i + 2, 3), lambda x: T.strip(x) != ""), 0)
+            return F.struct(s.alias("line"), label_of(T.squeeze(s)).alias("ord"), nxt.alias("nxt"))
+
+        return F.filter(F.transform(segs, row), lambda x: x["ord"].isNotNull())
+
+    def below(x):
+        return T.let(T.strip(x["nxt"]), lambda n: F.when(
+            (x["ord"] < 5) & ~(n.rlike(LABEL_LINE) & T.squeeze(n).rlike(ANY_LABEL)), n))
+
+    def sourced(x):
+        return F.struct(x["ord"].alias("ord"), F.coalesce(T.blank_to_null(inline_value(x["line"])), below(x)).alias("src"))
+
+    def valued(x):
+        return F.struct(x["ord"].alias("ord"), typed_value(x["ord"], x["src"]).alias("v"))
+
+    def pick(got, f):
+        v = F.get(F.filter(got, lambda x: x["ord"] == ORD[f]), 0)["v"]
         kind = {"container_count": "bigint", "gross_weight_kg": "double"}.get(f)
         return (v.try_cast(kind) if kind else v).alias(f)
 
-    return df.withColumn(out, F.struct(*[pick(f) for f in rules.ALL_FIELDS])).drop(segs, lab, got)
+    rows = T.let(segments(text), labelled)
+    got = F.filter(F.transform(F.transform(rows, sourced), valued), lambda x: x["v"].isNotNull())
+    return T.let(got, lambda g: F.struct(*[pick(g, f) for f in rules.ALL_FIELDS]))
+
+
+def with_fields(docs: DataFrame, text: str = "text", out: str = "fields") -> DataFrame:
+    """Add the fields struct (values as printed, cleaned) to a frame of documents."""
+    df = docs if "unreadable" in docs.columns else docs.withColumn("unreadable", T.unreadable(F.col(text)))
+    df = df.withColumn(out, fields_of(F.when(~F.col("unreadable"), F.col(text))))
+    return df if "unreadable" in docs.columns else df.drop("unreadable")
 
 
 def missing_fields(fields: Column) -> Column:
@@ -171,10 +179,8 @@ def field_yield(fields: Column) -> Column:
 def normalised(fields: Column) -> Column:
     """The comparable form of each field, computed once per document."""
     return F.struct(
-        *[T.norm_name(fields[f]).alias(f) for f in rules.NAME_FIELDS],
-        *[T.norm_port(fields[f]).alias(f) for f in rules.PORT_FIELDS],
-        *[T.port_name(fields[f]).alias(f + "_name") for f in rules.PORT_FIELDS],
-        *[T.port_code(fields[f]).alias(f + "_code") for f in rules.PORT_FIELDS],
+        *[T.norm_name(fields[f], cut=False).alias(f) for f in rules.NAME_FIELDS],
+        *[T.port_parts(fields[f]).alias(f) for f in rules.PORT_FIELDS],
         *[fields[f].alias(f) for f in ("container_count", "gross_weight_kg", "etd", "eta")],
     )
 
