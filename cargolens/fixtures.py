@@ -129,5 +129,68 @@ SELECT 'K' || CAST(n_nationkey AS STRING) || '-' || CAST(s_suppkey AS STRING) AS
     WHEN 0 THEN n_name || ', ORIGIN (' || translate(lpad(CAST(n_nationkey AS STRING),5,'0'),'0123456789','ABCDEFGHIJ') || ')'
     WHEN 1 THEN 'POL: ' || lower(n_name) || ' port' WHEN 2 THEN '(' || 'KLMNO' || ') ' || n_name ELSE n_name || '  /  ' || n_name END AS raw
 FROM supplier JOIN nation ON n_nationkey = s_nationkey
+""",
+
+    # Attachment names in the spellings senders use.
+    "fx_files": """
+SELECT p_partkey AS id, CASE CAST(p_partkey % 16 AS INT)
+  WHEN 0 THEN 'in/Shipping_Instruction_PO' || CAST(p_partkey AS STRING) || '.pdf' WHEN 1 THEN 'Draft_BL_v2.xlsx' WHEN 2 THEN 'SI_and_BL.pdf'
+  WHEN 3 THEN 'invoice_' || CAST(p_partkey AS STRING) || '.pdf' WHEN 4 THEN 'x_SI_BL.txt' WHEN 5 THEN 'SHP-001_SI.frombody.txt'
+  WHEN 6 THEN 'si.exe' WHEN 7 THEN 'SILVER LINING.pdf' WHEN 8 THEN 'inv-7.csv' WHEN 9 THEN 'BillOfLading copy.docx'
+  WHEN 10 THEN 'commercial inv.doc' WHEN 11 THEN 'noext' WHEN 12 THEN p_name || '.pdf' WHEN 13 THEN 'MBL 77.TIFF'
+  WHEN 14 THEN '../../' || p_name || '..si.json' ELSE 'a/b\\' || p_brand || '_bl_.zip' END AS name FROM part
+""",
+    # Mails whose wording reaches every classification rule.
+    "fx_talk": """
+SELECT 'T' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS email_id,
+  CASE CAST((conv_id + turn) % 6 AS INT) WHEN 0 THEN 'Ann <ann@promo.example.org>' WHEN 1 THEN 'no-reply@accounts.google.com'
+    WHEN 2 THEN 'no-spam.doc@shipper.com' WHEN 3 THEN 'x@spam.example' WHEN 4 THEN 'ops@partner.com' ELSE 'desk' END AS sender,
+  CASE CAST((conv_id * 5 + turn) % 14 AS INT) WHEN 0 THEN 'Security Alert' WHEN 1 THEN 'Phishing attempt' WHEN 2 THEN 'free lottery: click here'
+    WHEN 3 THEN 'Submit SI please' WHEN 4 THEN 'Shipping Instruction for order' WHEN 5 THEN 'bl draft to check' WHEN 6 THEN 'Invoice and payment, demurrage'
+    WHEN 7 THEN 'Daily berthing report' WHEN 8 THEN 'hello' WHEN 9 THEN 'Draft B/L vs SI' WHEN 10 THEN 'kindly issue SI; payment outstanding'
+    WHEN 11 THEN 'discount' WHEN 12 THEN 'Re: FW: AW: docs - Discrepancy Notice #4' ELSE '' END AS subject,
+  CASE CAST((conv_id * 3 + turn) % 9 AS INT) WHEN 0 THEN 'Please send the draft BL today.' WHEN 1 THEN 'Kindly provide SI. Attachments are missing.'
+    WHEN 2 THEN 'please compare the SI and the draft BL' WHEN 3 THEN 'Unsubscribe here' WHEN 4 THEN 'From: Joe <joe@Client.com>' || chr(10) || 'shipping instruction below'
+    WHEN 5 THEN 'bill of lading text for ABC-123' WHEN 6 THEN 'see invoice charges' ELSE text END AS body,
+  CASE CAST((conv_id + 2 * turn) % 7 AS INT) WHEN 0 THEN 'a_SI.txt|b_BL.pdf' WHEN 1 THEN 'Draft_BL_v2.xlsx' WHEN 2 THEN 'SHP-1_SI.frombody.txt|SI_v1.pdf|bl.docx'
+    WHEN 3 THEN 'x_SI_BL.txt|si form.doc' WHEN 4 THEN 'photo.exe|invoice.pdf' WHEN 5 THEN 'GO-77_BL.txt' ELSE '' END AS attachments_csv
+FROM conversations
+""",
+    "fx_all_mails": """
+SELECT email_id, sender, subject, body, attachments_csv FROM fx_emails
+UNION ALL SELECT email_id, sender, subject, body, attachments_csv FROM fx_talk
+""",
+    # Stored reports, with failed and retired runs mixed in.
+    "fx_reports": """
+SELECT s.k AS report_id, g.email_id, 'REF:SHP-' || lpad(CAST(s.k AS STRING),6,'0') AS shipment_key, g.category,
+  CASE WHEN s.k % 37 = 0 THEN 'ERROR' WHEN s.k % 41 = 0 THEN 'DEAD_LETTER' ELSE g.status END AS status,
+  CASE WHEN s.k % 37 = 0 OR s.k % 41 = 0 THEN NULL ELSE g.review_reason END AS review_reason,
+  s.k % 37 <> 0 AND s.k % 41 <> 0 AND g.status = 'MISMATCH' AS has_defect,
+  CASE WHEN s.k % 37 = 0 OR s.k % 41 = 0 THEN NULL ELSE g.defect_field END AS defect_field,
+  CASE WHEN s.k % 29 = 0 THEN NULL ELSE 'rule-classifier' END AS classify_source,
+  s.k % 11 = 0 AS reviewed, CAST(s.k % 5 AS INT) AS attempts, s.received_at AS updated_at, s.f, s.boxes, s.kg, s.shipper, s.consignee
+FROM fx_ship s JOIN fx_gold g ON g.email_id = 'email_' || CAST(s.k AS STRING)
+""",
+    "fx_issues": """
+SELECT report_id, email_id, shipment_key, defect_field AS field_name,
+  CASE f WHEN 1 THEN CAST(boxes AS STRING) WHEN 2 THEN CAST(kg AS STRING) ELSE consignee END AS si_value,
+  CASE f WHEN 1 THEN CAST(boxes + 1 AS STRING) WHEN 2 THEN CAST(kg + 500 AS STRING) ELSE 'OTHER BUYER HOUSE' END AS bl_value,
+  CASE CAST(report_id % 6 AS INT) WHEN 0 THEN 'OPEN' WHEN 1 THEN 'APPROVED' WHEN 2 THEN 'REJECTED' WHEN 3 THEN 'SUPERSEDED' ELSE 'SUGGESTED' END AS status
+FROM fx_reports WHERE defect_field IS NOT NULL
+""",
+    # Registered document revisions with a value to normalise.
+    "fx_regs": """
+SELECT reg_id, shipment_key, doc_type, 'email_' || CAST(reg_id AS STRING) AS email_id,
+  'attachments/' || CAST(reg_id AS STRING) || '_' || doc_type || '.txt' AS filename, content, received_at, created_at,
+  CASE WHEN length(content) > 8 THEN substr(content, 7, 1) END AS boxes
+FROM fx_revisions
+""",
+    # Mails before ingestion.
+    "fx_staged": """
+SELECT e.k AS id, 'STG-' || e.email_id AS stage_id, e.email_id, CASE CAST(e.k % 4 AS INT) WHEN 0 THEN 'OPS' WHEN 1 THEN 'DOCS' WHEN 2 THEN 'BOOKING' ELSE 'FINANCE' END AS source_mailbox,
+  e.sender, e.subject, e.body, CASE WHEN e.k % 17 = 0 THEN 'BLOCKED' ELSE 'CLEAN' END AS security_status, g.category,
+  CASE WHEN e.k % 17 = 0 OR g.category = 'SPAM' THEN 'QUARANTINED' WHEN e.k % 3 = 0 THEN 'STAGED' WHEN e.k % 3 = 1 THEN 'APPROVED' ELSE 'AUTO_INGESTED' END AS status,
+  e.received_at AS created_at
+FROM fx_emails e JOIN fx_gold g ON g.email_id = e.email_id
 """,
 }

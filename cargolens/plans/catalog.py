@@ -1,7 +1,7 @@
 """All registered queries. Importing the modules below fills the registry."""
 from __future__ import annotations
 
-from . import extraction  # noqa: F401
+from . import extraction, lifecycle, mails  # noqa: F401
 from .registry import ORACLES, QUERIES, Tables, expand
 
 

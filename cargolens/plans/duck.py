@@ -127,3 +127,21 @@ def hits(subject, body, words):
 
 def in_list(e, words):
     return f"{e} IN (" + ",".join(q(w) for w in words) + ")"
+
+
+def sqlist(words):
+    return "[" + ",".join(q(w) for w in words) + "]"
+
+
+def si_bl(e):
+    stem, suffix = f"lower({ext(e, r'(?s)^(.+)[.][^.]*$')})", f"lower({ext(e, r'(?s)^.+[.]([^.]*)$')})"
+
+    def claim(tokens, phrases):
+        return (f"(list_has_any(string_split_regex({stem}, '[^a-z0-9]+'), {sqlist(tokens)}) OR "
+                + any_of(sub(stem, "[^a-z0-9]"), phrases) + ")")
+    si, bl = claim(rules.SI_TOKENS, rules.SI_PHRASES), claim(rules.BL_TOKENS, rules.BL_PHRASES)
+    return (f"CASE WHEN {in_list(suffix, rules.DOC_SUFFIXES)} THEN CASE WHEN {si} AND NOT {bl} THEN 'SI' WHEN {bl} AND NOT {si} THEN 'BL' END END")
+
+
+def atts(e="attachments_csv"):
+    return f"list_filter(string_split({e}, '|'), lambda a: a <> '')"
