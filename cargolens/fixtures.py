@@ -138,7 +138,7 @@ SELECT p_partkey AS id, CASE CAST(p_partkey % 16 AS INT)
   WHEN 3 THEN 'invoice_' || CAST(p_partkey AS STRING) || '.pdf' WHEN 4 THEN 'x_SI_BL.txt' WHEN 5 THEN 'SHP-001_SI.frombody.txt'
   WHEN 6 THEN 'si.exe' WHEN 7 THEN 'SILVER LINING.pdf' WHEN 8 THEN 'inv-7.csv' WHEN 9 THEN 'BillOfLading copy.docx'
   WHEN 10 THEN 'commercial inv.doc' WHEN 11 THEN 'noext' WHEN 12 THEN p_name || '.pdf' WHEN 13 THEN 'MBL 77.TIFF'
-  WHEN 14 THEN '../../' || p_name || '..si.json' ELSE 'a/b\\' || p_brand || '_bl_.zip' END AS name FROM part
+  WHEN 14 THEN '../../' || p_name || '..si.json' ELSE 'a/b' || chr(92) || p_brand || '_bl_.zip' END AS name FROM part
 """,
     # Mails whose wording reaches every classification rule.
     "fx_talk": """

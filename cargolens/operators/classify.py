@@ -23,82 +23,81 @@ def intent_hits(subject: Column, body: Column, hints: list[str]) -> Column:
     return total
 
 
-def with_flags(mails: DataFrame) -> DataFrame:
-    """All rule predicates as columns; every mail is scanned once."""
-    df = (
-        mails.withColumn("_subj", F.lower(F.coalesce("subject", F.lit(""))))
-        .withColumn("_body", F.lower(F.coalesce("body", F.lit(""))))
-        .withColumn("_att", F.transform(F.coalesce("attachments", F.array().cast("array<string>")), F.lower))
-        .withColumn("_dom", sender_domain(F.coalesce("sender", F.lit(""))))
-    )
-    subj, body, att, dom = F.col("_subj"), F.col("_body"), F.col("_att"), F.col("_dom")
-
-    def attached(kind):
-        k = kind.lower()
-        return F.exists(att, lambda a: T.contains_any(a, [f"_{k}.", f"_{k}_", f"{k}.frombody"])
-                        | F.coalesce(si_bl_of(a) == kind, F.lit(False)))
-
-    return (
-        df.withColumn("has_si", attached("SI")).withColumn("has_bl", attached("BL"))
-        .withColumn("subject_si", subj.rlike(rules.SUBJECT_IS_SI))
-        .withColumn("subject_bl", subj.rlike(rules.SUBJECT_IS_BL))
-        .withColumn("spam_word", subj.rlike(rules.SPAM_SUBJECT_WORD))
-        .withColumn("spam_domain", T.contains_any(dom, rules.SPAM_DOMAIN_HINTS) | dom.rlike(r"\bspam\b"))
-        .withColumn("spam_score", F.when(T.contains_any(subj, rules.SPAM_SUBJECT_HINTS), 2).otherwise(0)
-                    + F.when(T.contains_any(body, rules.SPAM_BODY_HINTS), 1).otherwise(0))
-        .withColumn("system_mail", T.contains_any(subj, rules.SYSTEM_SUBJECTS)
-                    | F.contains(F.lower(F.coalesce("sender", F.lit(""))), F.lit(rules.SYSTEM_SENDER)))
-        .withColumn("internal_mail", T.contains_any(subj, rules.INTERNAL_MARKERS)
-                    | T.contains_any(body, rules.INTERNAL_MARKERS))
-        .withColumn("bl_hits", intent_hits(subj, body, rules.BL_REQUEST_HINTS))
-        .withColumn("si_hits", intent_hits(subj, body, rules.SI_REQUEST_HINTS))
-        .withColumn("inv_hits", intent_hits(subj, body, rules.INVOICE_HINTS))
-        .drop("_subj", "_body", "_att", "_dom")
-    )
+def flags_of(sender: Column, subject: Column, body: Column, attachments: Column) -> Column:
+    """CLS1-CLS8: all rule predicates of one mail as a struct, each text lower-cased once."""
+    text = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    mail = F.struct(text(subject).alias("subj"), text(body).alias("body"), text(sender).alias("sender"),
+                    sender_domain(F.coalesce(sender, F.lit(""))).alias("dom"),
+                    F.transform(F.coalesce(attachments, F.array().cast("array<string>")), F.lower).alias("att"))
+
+    def flags(m):
+        subj, body, dom = m["subj"], m["body"], m["dom"]
+
+        def attached(kind):
+            k = kind.lower()
+            return F.exists(m["att"], lambda a: T.contains_any(a, [f"_{k}.", f"_{k}_", f"{k}.frombody"])
+                            | F.coalesce(si_bl_of(a) == kind, F.lit(False)))
+
+        return F.struct(
+            attached("SI").alias("has_si"), attached("BL").alias("has_bl"),
+            subj.rlike(rules.SUBJECT_IS_SI).alias("subject_si"), subj.rlike(rules.SUBJECT_IS_BL).alias("subject_bl"),
+            subj.rlike(rules.SPAM_SUBJECT_WORD).alias("spam_word"),
+            (T.contains_any(dom, rules.SPAM_DOMAIN_HINTS) | dom.rlike(r"\bspam\b")).alias("spam_domain"),
+            (F.when(T.contains_any(subj, rules.SPAM_SUBJECT_HINTS), 2).otherwise(0)
+             + F.when(T.contains_any(body, rules.SPAM_BODY_HINTS), 1).otherwise(0)).alias("spam_score"),
+            (T.contains_any(subj, rules.SYSTEM_SUBJECTS) | F.contains(m["sender"], F.lit(rules.SYSTEM_SENDER))).alias("system_mail"),
+            (T.contains_any(subj, rules.INTERNAL_MARKERS) | T.contains_any(body, rules.INTERNAL_MARKERS)).alias("internal_mail"),
+            intent_hits(subj, body, rules.BL_REQUEST_HINTS).alias("bl_hits"),
+            intent_hits(subj, body, rules.SI_REQUEST_HINTS).alias("si_hits"),
+            intent_hits(subj, body, rules.INVOICE_HINTS).alias("inv_hits"),
+        )
+
+    return T.let(mail, flags)
+
+
+def _mail_flags() -> Column:
+    return flags_of(*[F.col(c) for c in ("sender", "subject", "body", "attachments")])
 
 
-FLAGS = ["has_si", "has_bl", "subject_si", "subject_bl", "spam_word", "spam_domain", "spam_score",
-         "system_mail", "internal_mail", "bl_hits", "si_hits", "inv_hits"]
+def with_flags(mails: DataFrame) -> DataFrame:
+    """The rule predicates as columns; every mail is scanned once."""
+    return mails.withColumn("_f", _mail_flags()).select("*", "_f.*").drop("_f")
 
 
-def best_intent() -> Column:
+def best_intent(f: Column, top: Column) -> Column:
     """CLS9: largest hit count; ties go to SI_REQUEST, INVOICE_QUERY, BL_COMPARISON."""
-    top = F.greatest("si_hits", "inv_hits", "bl_hits")
-    return (F.when(top == 0, "GENERAL").when(F.col("si_hits") == top, "SI_REQUEST")
-            .when(F.col("inv_hits") == top, "INVOICE_QUERY").otherwise("BL_COMPARISON"))
+    return (F.when(f["si_hits"] == top, "SI_REQUEST").when(f["inv_hits"] == top, "INVOICE_QUERY").otherwise("BL_COMPARISON"))
 
 
-def classify(mails: DataFrame, keep_flags: bool = False) -> DataFrame:
-    """Add category, confidence, classify_reason and classify_source."""
-    df = with_flags(mails)
-    top = F.greatest("si_hits", "inv_hits", "bl_hits")
-    both = F.col("has_si") & F.col("has_bl")
-    one = F.col("has_si") | F.col("has_bl")
+def verdict_of(f: Column) -> Column:
+    """Ordered rules over the flags struct: category, confidence and reason."""
+    top = F.greatest(f["si_hits"], f["inv_hits"], f["bl_hits"])
+    both, one = f["has_si"] & f["has_bl"], f["has_si"] | f["has_bl"]
 
     def out(category, confidence, reason):
         lit = lambda v: v if isinstance(v, Column) else F.lit(v)
         return F.struct(lit(category).alias("category"), lit(confidence).cast("double").alias("confidence"),
                         lit(reason).alias("classify_reason"))
 
-    verdict = (
-        F.when(both & F.col("subject_si") & ~F.col("subject_bl"),
-               out("SI_REQUEST", 0.95, "explicit SI subject with linked documents"))
+    return (
+        F.when(both & f["subject_si"] & ~f["subject_bl"], out("SI_REQUEST", 0.95, "explicit SI subject with linked documents"))
         .when(both, out("BL_COMPARISON", 0.95, "SI + BL attachments present"))
-        .when(F.col("spam_word"), out("SPAM", 0.99, "explicit spam/malware subject marker"))
-        .when(F.col("spam_domain"), out("SPAM", 0.95, "spam marker / domain detected"))
-        .when(F.col("spam_score") >= 3, out("SPAM", 0.9, F.concat(F.lit("spam score "), F.col("spam_score").cast("string"))))
-        .when(F.col("system_mail"), out("GENERAL", 0.95, "system notification email"))
-        .when(one & (F.col("bl_hits") >= 1), out("BL_COMPARISON", 0.7, "one doc attached + BL wording"))
-        .when(F.col("internal_mail"), out("GENERAL", 0.7, "internal operational / notification email"))
-        .when(top > 0, out(best_intent(), F.least(F.lit(0.5) + F.lit(0.15) * top, F.lit(0.9)),
+        .when(f["spam_word"], out("SPAM", 0.99, "explicit spam/malware subject marker"))
+        .when(f["spam_domain"], out("SPAM", 0.95, "spam marker / domain detected"))
+        .when(f["spam_score"] >= 3, out("SPAM", 0.9, F.concat(F.lit("spam score "), f["spam_score"].cast("string"))))
+        .when(f["system_mail"], out("GENERAL", 0.95, "system notification email"))
+        .when(one & (f["bl_hits"] >= 1), out("BL_COMPARISON", 0.7, "one doc attached + BL wording"))
+        .when(f["internal_mail"], out("GENERAL", 0.7, "internal operational / notification email"))
+        .when(top > 0, out(best_intent(f, top), F.least(F.lit(0.5) + F.lit(0.15) * top, F.lit(0.9)),
                            F.concat(F.lit("keyword hits: "), top.cast("string"))))
         .otherwise(out("GENERAL", 0.6, "no strong signal → default"))
     )
-    df = df.withColumn("_c", verdict)
-    for f in ("category", "confidence", "classify_reason"):
-        df = df.withColumn(f, F.col("_c")[f])
-    df = df.withColumn("classify_source", F.lit("rule-classifier")).drop("_c")
-    return df if keep_flags else df.drop(*FLAGS)
+
+
+def classify(mails: DataFrame) -> DataFrame:
+    """Add category, confidence, classify_reason and classify_source."""
+    df = mails.withColumn("_c", T.let(_mail_flags(), verdict_of))
+    return df.select("*", "_c.*", F.lit("rule-classifier").alias("classify_source")).drop("_c")
 
 
 def with_source(reports: DataFrame) -> DataFrame:

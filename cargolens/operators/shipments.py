@@ -74,8 +74,9 @@ def filed_documents(verdicts: DataFrame) -> DataFrame:
     lone = ~pair & F.col("category").isin("BL_COMPARISON", "SI_REQUEST")
     rows = F.array(F.struct(F.lit("SI").alias("doc_type"), F.col("si_path").alias("path")),
                    F.struct(F.lit("BL").alias("doc_type"), F.col("bl_path").alias("path")))
-    return (verdicts.filter(pair | lone).withColumn("lone", ~pair)
-            .select("email_id", "lone", F.inline(F.filter(rows, lambda r: r["path"].isNotNull()))))
+    # An empty array explodes to no row, so no filter on the computed columns is needed.
+    keep = F.when(pair | lone, F.filter(rows, lambda r: r["path"].isNotNull()))
+    return verdicts.select("email_id", (~pair).alias("lone"), F.inline(keep))
 
 
 def attach_invoices(invoices: DataFrame, known: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def ext17(t):
     return texts(t).select("id", T.vessel(F.col("text")).alias("vessel"), T.voyage(F.col("text")).alias("voyage"))
 
 
-step("ox_ident", f"""SELECT d.k, d.path, d.doc_type, r.reference FROM fx_docs d LEFT JOIN ox_refs r ON r.id = d.path""")
+step("ox_ident", f"""SELECT d.k, d.path, d.email_id, d.doc_type, r.reference FROM fx_docs d LEFT JOIN ox_refs r ON r.id = d.path""")
 
 
 @query("ext18_merged_identifiers", "SELECT k, arg_min(reference, path) FILTER (WHERE reference IS NOT NULL) AS reference FROM (SELECT CAST(floor(k / 10) AS BIGINT) AS k, path, reference FROM ox_ident) x GROUP BY k")
@@ -73,14 +73,12 @@ def shp1(t):
 
 
 # Signature case: pairs whose mails state no reference. The fixture's booking line is left out by using the BL only.
-step("ox_sig", f"""
-SELECT p.k, p.email_id, p.reference, n.shipper, n.port_of_loading, n.port_of_discharge FROM ox_ident p JOIN ox_norm n ON n.email_id = p.email_id AND n.doc_type = p.doc_type
-""")
+step("ox_sig", """SELECT p.k, p.email_id, p.doc_type, p.reference, n.shipper, n.port_of_loading, n.port_of_discharge
+FROM ox_ident p JOIN ox_norm n ON n.email_id = p.email_id AND n.doc_type = p.doc_type""")
 
 
 @query("shp2_shipment_key", """SELECT email_id, doc_type, coalesce('REF:' || upper(reference), CASE WHEN shipper <> '' AND port_of_loading <> '' AND port_of_discharge <> ''
-    THEN 'SIG:' || left(sha256(concat_ws('|', shipper, port_of_loading, port_of_discharge)), 16) END, 'EMAIL:' || email_id) AS shipment_key
-  FROM (SELECT i.doc_type, s.* FROM ox_sig s JOIN ox_ident i ON i.email_id = s.email_id AND i.reference IS NOT DISTINCT FROM s.reference) x""")
+    THEN 'SIG:' || left(sha256(concat_ws('|', shipper, port_of_loading, port_of_discharge)), 16) END, 'EMAIL:' || email_id) AS shipment_key FROM ox_sig""")
 def shp2(t):
     d = K.read_documents(t.docs)
     n = F.col("norm")

@@ -176,14 +176,16 @@ def doc9(t):
 STORED = """SELECT 'store/' || CAST(k % 3 AS STRING) || '/SHP-' || lpad(CAST(k AS STRING),6,'0') || '_' || doc_type || '_' || CAST(k % 2 AS STRING) || '.txt' AS path FROM fx_docs"""
 
 
-@query("doc10_counterpart", rf"""
-WITH_STORED AS ({STORED}), WITH_REF AS (
-  SELECT m.email_id, coalesce(nullif(regexp_extract(m.subject || chr(10) || m.body, '\b[A-Z]{{2,6}}-\d{{2,6}}\b'), ''),
-    upper(nullif(regexp_extract(m.attachments_csv, '(?i)([A-Za-z0-9]+-[A-Za-z0-9]+)_(SI|BL)[._]', 1), ''))) AS ref,
-    CASE WHEN len(k.kinds) = 1 THEN CASE k.kinds[1] WHEN 'SI' THEN 'BL' ELSE 'SI' END END AS other
-  FROM fx_all_mails m JOIN ox_kinds k ON k.email_id = m.email_id)
-SELECT r.email_id, min(s.path) AS counterpart_path FROM WITH_REF r LEFT JOIN WITH_STORED s
-  ON upper(regexp_extract(s.path, '([^/]*)_(SI|BL)_', 1)) = r.ref AND regexp_extract(s.path, '_(SI|BL)_', 1) = r.other GROUP BY r.email_id""".replace("\nWITH_STORED", "WITH WITH_STORED", 1))
+step("ox_stored", STORED)
+step("ox_ref", r"""
+SELECT m.email_id, coalesce(nullif(regexp_extract(m.subject || chr(10) || m.body, '\b[A-Z]{2,6}-\d{2,6}\b'), ''),
+  upper(nullif(regexp_extract(m.attachments_csv, '(?i)([A-Za-z0-9]+-[A-Za-z0-9]+)_(SI|BL)[._]', 1), ''))) AS ref,
+  CASE WHEN len(k.kinds) = 1 THEN CASE k.kinds[1] WHEN 'SI' THEN 'BL' ELSE 'SI' END END AS other
+FROM fx_all_mails m JOIN ox_kinds k ON k.email_id = m.email_id""")
+
+
+@query("doc10_counterpart", """SELECT r.email_id, min(s.path) AS counterpart_path FROM ox_ref r LEFT JOIN ox_stored s
+  ON upper(regexp_extract(s.path, '([^/]*)_(SI|BL)_', 1)) = r.ref AND regexp_extract(s.path, '_(SI|BL)_', 1) = r.other GROUP BY r.email_id""")
 def doc10(t):
     return DT.with_counterpart(all_mails(t), t.sql(STORED)).select("email_id", "counterpart_path")
 
