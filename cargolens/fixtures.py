@@ -192,5 +192,30 @@ SELECT e.k AS id, 'STG-' || e.email_id AS stage_id, e.email_id, CASE CAST(e.k %
   CASE WHEN e.k % 17 = 0 OR g.category = 'SPAM' THEN 'QUARANTINED' WHEN e.k % 3 = 0 THEN 'STAGED' WHEN e.k % 3 = 1 THEN 'APPROVED' ELSE 'AUTO_INGESTED' END AS status,
   e.received_at AS created_at
 FROM fx_emails e JOIN fx_gold g ON g.email_id = e.email_id
+""",
+
+    # Attachment manifests: name, size and the first bytes in hex.
+    "fx_manifest": """
+SELECT p_partkey AS id, CASE CAST(p_partkey % 13 AS INT) WHEN 0 THEN 'a.pdf' WHEN 1 THEN 'b.docx' WHEN 2 THEN 'invoice.exe.pdf' WHEN 3 THEN 'run.BAT' WHEN 4 THEN 'c.txt'
+    WHEN 5 THEN 'd.zip' WHEN 6 THEN 'e.tar' WHEN 7 THEN 'f.heic' WHEN 8 THEN '' WHEN 9 THEN 'g.eml' WHEN 10 THEN 'h.rtf' WHEN 11 THEN 'i.com' ELSE 'j.xlsx' END AS filename,
+  CASE WHEN p_partkey % 31 = 0 THEN CAST(40000000 AS BIGINT) ELSE CAST(p_size AS BIGINT) * 1000 END AS size,
+  CASE CAST(p_partkey % 9 AS INT) WHEN 0 THEN '255044462D312E34' WHEN 1 THEN '504B030414000600' WHEN 2 THEN '4D5A900003' WHEN 3 THEN '7F454C4602' WHEN 4 THEN '0A255044462D31' WHEN 5 THEN '7B5C72746631'
+    WHEN 6 THEN '0000001866747970686569' WHEN 7 THEN '46726F6D3A20610A' ELSE 'CAFEBABE00' END AS head FROM part
+""",
+    "fx_members": """
+SELECT l_orderkey AS mail, l_linenumber AS pos, CASE WHEN l_linenumber = 3 THEN 'doc_1.pdf' WHEN l_linenumber = 5 THEN '../etc/x.pdf' WHEN l_linenumber = 6 THEN '__MACOSX/.f'
+  ELSE 'in/doc_' || CAST(l_linenumber AS STRING) || '.pdf' END AS name, CAST(l_quantity AS BIGINT) * 260000 AS size, l_returnflag <> 'R' AS safe FROM lineitem
+""",
+    "fx_enriched": """
+SELECT e.email_id, e.sender, e.subject, r.category, r.status, r.has_defect, coalesce(r.defect_field, '') AS defect_fields, r.reviewed, r.report_id, r.updated_at,
+  CASE CAST(e.k % 3 AS INT) WHEN 0 THEN 'OPS' WHEN 1 THEN 'DOCS' ELSE 'BOOKING' END AS source_mailbox,
+  CASE WHEN d.dispatch_id IS NOT NULL AND e.k % 3 = 0 THEN CASE d.delivery WHEN 'SENT' THEN 'sent' WHEN 'SENT_SMTP' THEN 'sent' WHEN 'FAILED' THEN 'failed' ELSE 'simulated' END
+    WHEN r.status IN ('MISMATCH', 'NEEDS_REVIEW') THEN 'awaiting' ELSE 'none' END AS reply_state, e.k % 3 = 0 AS has_dispatch, CASE WHEN e.k % 5 = 0 THEN 'auto' ELSE 'manual' END AS disposition
+FROM fx_emails e JOIN fx_reports r ON r.email_id = e.email_id JOIN fx_dispatches d ON d.dispatch_id = e.k
+""",
+    "fx_notices": """
+SELECT event_id, subject, 'Reporting-MTA: dns; hub' || chr(10) || CASE WHEN original_message_id IS NOT NULL THEN 'Original-Message-ID: <' || original_message_id || '>' || chr(10) ELSE '' END
+  || CASE WHEN event_id % 2 = 0 THEN 'Original-Recipient: rfc822; first@x.org' || chr(10) ELSE '' END || 'Final-Recipient: rfc822; <' || recipient || '>' || chr(10)
+  || 'Action: ' || upper(action) || chr(10) || 'Status: ' || status_code || chr(10) || 'Diagnostic-Code: smtp; 550 no: user' AS block FROM fx_bounces
 """,
 }

@@ -259,3 +259,38 @@ EDIFACT_PLACES = {"9": "Port of Loading", "11": "Port of Discharge", "7": "Port
 EDI_DATES = {"133": "ETD", "178": "ETA", "186": "ETA"}
 X12_PARTIES = {"SH": "Shipper", "CN": "Consignee", "NI": "Notify Party", "N1": "Notify Party"}
 X12_PORTS = {"1": "Port of Loading", "2": "Port of Discharge"}
+
+# ---- fixed values: attachment safety ------------------------------------------
+DANGEROUS_EXTENSIONS = [
+    "exe", "dll", "bat", "cmd", "vbs", "vbe", "js", "jse",
+    "wsf", "wsh", "ps1", "psm1", "scr", "pif", "hta", "cpl",
+    "jar", "com", "sh", "bash", "bin",
+]
+EXECUTABLE_LABELS = [e for e in DANGEROUS_EXTENSIONS if e not in ("com", "bin")]
+MAX_ATTACHMENT_BYTES = 30 * 1024 * 1024
+MAX_MEMBERS = 25
+MAX_MEMBER_BYTES = 10 * 1024 * 1024
+# (suffixes, leading bytes in hex, what the suffix claims)
+CONTAINER_HEADERS = [
+    (["zip"], ["504B0304", "504B0506", "504B0708"], "ZIP archive"),
+    (["odt", "ods", "odp", "ott", "ots", "otp"], ["504B0304"], "OpenDocument document"),
+    (["pages", "numbers", "key"], ["504B0304"], "iWork package"),
+    (["7z"], ["377ABCAF271C"], "7-Zip archive"),
+    (["rar"], ["526172211A07"], "RAR archive"),
+    (["gz", "tgz"], ["1F8B"], "gzip stream"),
+    (["msg"], ["D0CF11E0A1B11AE1"], "Outlook message"),
+    (["rtf"], ["7B5C727466"], "RTF document"),
+    (["dwg"], ["41433130"], "DWG drawing"),
+]
+BOUNCE_SUBJECTS = [
+    "delivery status notification", "undelivered mail returned", "returned mail",
+    "mail delivery failed", "delivery failure", "failure notice", "undeliverable", "bounced mail",
+]
+STAGE_REFERENCE = r"(?i)Ref\s*#\s*([A-Za-z0-9._:-]+)"
+REVIEW_LABELS = {
+    "missing_attachment": "Missing SI or BL attachment",
+    "wrong_doc_type": "Attached document is the wrong type",
+    "unreadable": "Attachment unreadable — needs OCR / vision / human",
+    "missing_value": "Field value missing on one side (undecidable)",
+}
+REVIEW_ORDER = ["missing_attachment", "wrong_doc_type", "unreadable", "missing_value", "unknown"]
