@@ -1,7 +1,7 @@
 """All registered queries. Importing the modules below fills the registry."""
 from __future__ import annotations
 
-from . import extraction, gateway, lifecycle, mails  # noqa: F401
+from . import extraction, gateway, lifecycle, mails, queues  # noqa: F401
 from .registry import ORACLES, QUERIES, Tables, expand
 
 
@@ -14,4 +14,4 @@ def queries():
 
 
 def oracle_sql():
-    return {n: expand(sql) for n, sql in ORACLES.items()}
+    return {n: expand(sql, recursive=True) for n, sql in ORACLES.items()}

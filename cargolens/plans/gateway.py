@@ -101,13 +101,18 @@ def gte7(t):
     return t.view("fx_members").select("mail", "pos", G.member_name(F.col("name")).alias("base"))
 
 
-# The fixture's mails never pass 25 members or 30 MB before the name rules bite, so a plain count is an oracle.
-@query("gte6_member_admission", """SELECT mail, count(DISTINCT base) AS taken FROM (SELECT mail, base, CASE WHEN safe AND size <= 10485760 THEN base END AS ok FROM ox_member) x WHERE ok IS NOT NULL GROUP BY mail""")
+step("ox_numbered", "SELECT *, row_number() OVER (PARTITION BY mail ORDER BY pos, name) AS n FROM ox_member")
+step("ox_fold", """SELECT DISTINCT mail, CAST(0 AS BIGINT) AS n, CAST(31457280 AS BIGINT) AS room, CAST([] AS VARCHAR[]) AS taken FROM fx_members
+  UNION ALL SELECT mail, n, CASE WHEN ok THEN room - size ELSE room END, CASE WHEN ok THEN list_append(taken, base) ELSE taken END FROM (
+    SELECT m.mail, m.n, f.room, f.taken, m.base, m.size, coalesce(m.base IS NOT NULL AND m.safe AND m.size <= 10485760 AND m.size <= f.room AND len(f.taken) < 25 AND NOT list_contains(f.taken, m.base), false) AS ok
+    FROM ox_fold f JOIN ox_numbered m ON m.mail = f.mail AND m.n = f.n + 1) x""")
+
+
+@query("gte6_member_admission", "SELECT mail, array_to_string(arg_max(taken, n), ',') AS taken FROM ox_fold GROUP BY mail")
 def gte6(t):
-    m = (t.view("fx_members").groupBy("mail").agg(F.array_sort(F.collect_list(F.struct("pos", "name", F.least("size", F.lit(4000000 + (1 << 33))).alias("size"), "safe"))).alias("members")))
-    # Seven lines per order at most, so the list is bounded; sizes are thirds to stay inside the total.
-    m = m.withColumn("members", F.transform("members", lambda x: F.struct(x["name"].alias("name"), F.when(x["size"] <= rules.MAX_MEMBER_BYTES, F.floor(x["size"] / 3)).otherwise(x["size"]).alias("size"), x["safe"].alias("safe"))))
-    return G.admit_members(m).select("mail", F.size("taken").cast("bigint").alias("taken")).filter("taken > 0")
+    # A manifest belongs to one mail; here an order's few lines stand for it.
+    m = t.view("fx_members").groupBy("mail").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "size", "safe"))).alias("members"))
+    return G.admit_members(m).select("mail", F.array_join("taken", ",").alias("taken"))
 
 
 step("ox_stage", "SELECT email_id, category, (s_ok OR c_ok OR sd_ok OR cd_ok) AS trusted, length(subject) % 5 = 0 AS unsafe FROM ox_trust")

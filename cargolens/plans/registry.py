@@ -32,14 +32,16 @@ def step(name: str, sql: str) -> None:
     STEPS[name] = sql
 
 
-def expand(sql: str, extra: dict[str, str] | None = None) -> str:
+def expand(sql: str, recursive: bool = False) -> str:
     """Prefix a statement with every named sub-query it refers to."""
-    known = {**VIEWS, **STEPS, **(extra or {})}
+    known = {**VIEWS, **STEPS}
     order: list[str] = []
+    busy: set[str] = set()
 
     def visit(text: str) -> None:
         for name in re.findall(r"\b(?:fx|ox)_\w+", text):
-            if name in known and name not in order:
+            if name in known and name not in order and name not in busy:
+                busy.add(name)
                 visit(known[name])
                 if name not in order:
                     order.append(name)
@@ -47,7 +49,7 @@ def expand(sql: str, extra: dict[str, str] | None = None) -> str:
     visit(sql)
     if not order:
         return sql.strip()
-    return "WITH " + ",\n".join(f"{n} AS ({known[n].strip()})" for n in order) + "\n" + sql.strip()
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS ({known[n].strip()})" for n in order) + "\n" + sql.strip()
 
 
 class Tables:
