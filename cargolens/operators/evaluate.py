@@ -121,10 +121,10 @@ def perturb(text: Column, key: Column, kind: str) -> Column:
     raise ValueError(kind)
 
 
-def perturbed(docs: DataFrame) -> DataFrame:
+def perturbed(docs: DataFrame, kinds: list[str] = PERTURBATIONS) -> DataFrame:
     """EVL10: the base text and its six variants as rows, from one scan."""
     variants = [F.struct(F.lit("base").alias("perturbation"), F.col("text").alias("text"))]
-    variants += [F.struct(F.lit(k).alias("perturbation"), perturb(F.col("text"), F.col("path"), k).alias("text")) for k in PERTURBATIONS]
+    variants += [F.struct(F.lit(k).alias("perturbation"), perturb(F.col("text"), F.col("path"), k).alias("text")) for k in kinds]
     return docs.select("email_id", "doc_type", "path", F.inline(F.array(*variants)))
 
 

@@ -1,7 +1,7 @@
 """All registered queries. Importing the modules below fills the registry."""
 from __future__ import annotations
 
-from . import extraction, gateway, lifecycle, mails, queues, running  # noqa: F401
+from . import extraction, gateway, inputs, lifecycle, mails, queues, running  # noqa: F401
 from .registry import ORACLES, QUERIES, Tables, expand
 
 

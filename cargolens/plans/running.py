@@ -252,12 +252,12 @@ def evl9(t):
 
 @query("evl10_deterministic_variants", "SELECT path, 'uppercase' AS perturbation, upper(text) AS text FROM fx_docs UNION ALL SELECT path, 'blank_lines', replace(text, chr(10), chr(10) || chr(10)) FROM fx_docs UNION ALL SELECT path, 'collapse_lines', replace(text, chr(10), ' ') FROM fx_docs UNION ALL SELECT path, 'base', text FROM fx_docs")
 def evl10(t):
-    return E.perturbed(t.docs).filter("perturbation IN ('base', 'uppercase', 'blank_lines', 'collapse_lines')").select("path", "perturbation", "text")
+    return E.perturbed(t.docs, ["uppercase", "blank_lines", "collapse_lines"]).select("path", "perturbation", "text")
 
 
 @query("evl10b_hashed_variants", None)
 def evl10b(t):
-    return E.perturbed(t.docs).filter("perturbation IN ('whitespace', 'nbsp', 'label_synonyms')").select("path", "perturbation", "text")
+    return E.perturbed(t.docs, ["whitespace", "nbsp", "label_synonyms"]).select("path", "perturbation", "text")
 
 
 def perturbed_results(t):
