@@ -102,7 +102,7 @@ def perturb(text: Column, key: Column, kind: str) -> Column:
             return F.when(draw(i, 2) < 15, F.concat(F.lit("\t"), body)).otherwise(body)
         return F.array_join(F.transform(lines, spaced), "\n")
     if kind == "nbsp":
-        return F.array_join(F.transform(lines, lambda l, i: F.when(draw(i, 3) < 30, F.translate(l, " ", " ")).otherwise(l)), "\n")
+        return F.array_join(F.transform(lines, lambda l, i: F.when(draw(i, 3) < 30, F.translate(l, " ", chr(0xA0))).otherwise(l)), "\n")
     if kind == "blank_lines":
         return F.array_join(lines, "\n\n")
     if kind == "uppercase":

@@ -30,8 +30,9 @@ def lines_of(text: Column) -> Column:
 
 def _starts(line: Column, pattern: str) -> Column:
     """Zero-based start of every match of a pattern in a line."""
-    whole = F.regexp_extract_all(line, F.lit(f"(?is)(.*?)(?:{pattern})"), F.lit(0))
-    lead = F.regexp_extract_all(line, F.lit(f"(?is)(.*?)(?:{pattern})"), F.lit(1))
+    once = rf"(?is)\G(.*?)(?:{pattern})"  # \G: each search starts where the last one ended, one pass in all
+    whole = F.regexp_extract_all(line, F.lit(once), F.lit(0))
+    lead = F.regexp_extract_all(line, F.lit(once), F.lit(1))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     step = lambda a, x: F.struct(
         (a["at"] + F.length(x["whole"])).alias("at"),
@@ -66,11 +67,12 @@ def split_long_line(line: Column) -> Column:
         return F.when(fresh, grown).otherwise(a)
 
     cuts = F.aggregate(F.array_sort(hits), zero, step, lambda a: a["cuts"])
+    def pieces(bounds):
+        return F.transform(bounds, lambda b, i: line.substr(b + 1, F.coalesce(F.get(bounds, i + 1), F.length(line)) - b))
+
     # A cut at zero keeps the preamble; the duplicate is dropped when a label is first.
-    bounds = F.array_distinct(F.concat(F.array(F.lit(0)), cuts))
-    pieces = F.transform(bounds, lambda b, i: line.substr(
-        b + 1, F.coalesce(F.get(bounds, i + 1), F.length(line)) - b))
-    return F.when(F.size(cuts) >= 2, pieces).otherwise(F.array(line))
+    return T.let(cuts, lambda c: F.when(F.size(c) >= 2, T.let(
+        F.array_distinct(F.concat(F.array(F.lit(0)), c)), pieces)).otherwise(F.array(line)))
 
 
 def segments(text: Column) -> Column:

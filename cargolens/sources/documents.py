@@ -87,7 +87,13 @@ def edi_syntax(name: Column, text: Column) -> Column:
 
 
 # Private-use marks stand for delimiters and released characters while splitting.
-_COMP, _ELEM, _TERM, _HELD = "", "", "", ""
+_COMP, _ELEM, _TERM = chr(0xE010), chr(0xE011), chr(0xE012)
+_HELD = "".join(map(chr, range(0xE000, 0xE004)))
+
+
+def _translate(c: Column, old: Column, new: Column) -> Column:
+    """``translate`` with column arguments."""
+    return F.call_function("translate", c, old, new)
 
 
 def edifact_segments(text: Column) -> Column:
@@ -102,8 +108,8 @@ def edifact_segments(text: Column) -> Column:
         for i in range(4):
             held = F.replace(held, F.concat(release, F.substring(m, i + 1, 1)), F.lit(_HELD[i]))
         held = F.replace(held, release, F.lit(""))
-        cut = F.translate(held, F.substring(m, 2, 3), F.lit(_COMP + _ELEM + _TERM))
-        part = lambda c: T.strip(F.translate(c, F.lit(_HELD), m))
+        cut = _translate(held, F.substring(m, 2, 3), F.lit(_COMP + _ELEM + _TERM))
+        part = lambda c: T.strip(_translate(c, F.lit(_HELD), m))
         segs = F.filter(F.split(cut, _TERM), lambda s: s != "")
         return F.transform(segs, lambda s: F.transform(F.split(s, _ELEM), lambda e: F.transform(F.split(e, _COMP), part)))
 
@@ -165,8 +171,8 @@ def x12_segments(text: Column) -> Column:
     term = T.let(term, lambda x: F.when(x == elem, "~").otherwise(x))
 
     def split(d):
-        body = F.when(F.contains(text, d["t"]), F.translate(flat, F.concat(d["t"], d["e"]), F.lit(_TERM + _ELEM)))
-        lines = F.translate(F.regexp_replace(text, r"[\r\n]+", _TERM), d["e"], F.lit(_ELEM))
+        body = F.when(F.contains(text, d["t"]), _translate(flat, F.concat(d["t"], d["e"]), F.lit(_TERM + _ELEM)))
+        lines = _translate(F.regexp_replace(text, r"[\r\n]+", _TERM), d["e"], F.lit(_ELEM))
         segs = F.transform(F.split(F.coalesce(body, lines), _TERM), lambda s: F.transform(F.split(s, _ELEM), T.strip))
         return F.filter(segs, lambda s: F.get(s, 0) != "")
 
