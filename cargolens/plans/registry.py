@@ -80,4 +80,6 @@ class Tables:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return self.view("fx_docs")
+        # The view is built from a few small files and would reach extraction as one task;
+        # texts from a real store arrive in many splits and need no such step.
+        return self.view("fx_docs").repartition(2 * self.spark.sparkContext.defaultParallelism, "path")
