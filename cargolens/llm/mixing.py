@@ -8,7 +8,7 @@ from .common import BLANKS, WORD_BREAK, cut, words
 WEIGHTS = (3, 1, 2)  # of the sources in code-point order, repeating
 SHARE = (3, 2)  # all targets together, as a fraction of all sizes
 EPOCHS = 2  # a target stops at so many times its source's size
-BUCKET_ROWS = 20_000  # rows of one key range, on average
+BUCKET_ROWS = 2_000  # rows of one key range, on average
 KEY_BITS = 60
 
 

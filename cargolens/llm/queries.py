@@ -1,12 +1,17 @@
 """Registered queries of this subpackage, each next to its oracle SQL where DuckDB can express it."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import bpe
+from .chat import format_chats, read_back
 from .common import table
 from .mixing import mix
 from .quality import RULES, STOP_WORDS, quality_rules
 from .secrets import digest, secret_scan
+from .topk import top_k
+from .wordpiece import token_counts
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +111,45 @@ x_mix AS (SELECT doc_id, source, size, source_size, target::DOUBLE AS target,
 @query("op8_source_mix", f"WITH {MIX_STEPS.format(documents='documents')} SELECT * FROM x_mix")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op2_top_k", """
+WITH v_all AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v_pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM v_all q JOIN v_all c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+v_rank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM v_pairs)
+SELECT query_id, rank, vec_id, score FROM v_rank WHERE rank <= 20""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+BYTE_BPE, BYTE_RANKS, WORD_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
+CONTROL_STRING_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query("op3_chat_format", r"""
+WITH c_all AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c_len AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(role || chr(10) || text)) AS i,
+    length(regexp_replace(regexp_replace(role || text, '(\\)', '\1\1', 'g'), '(<s>|</s>|\[INST\]|\[/INST\])', '\1+', 'g')) AS n FROM c_all)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (3 + sum(n + 6 + 7 + 4))::BIGINT AS formatted_chars
+FROM c_len GROUP BY conv_id""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.createDataFrame(CONTROL_STRING_TURNS, "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    path = public_tokenizers.path(BYTE_BPE)
+    return read_back(format_chats(turns, path), path, clustered=True)
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS))
+
+
+@query("op9_bpe")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), digests=True)
