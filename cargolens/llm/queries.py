@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import bpe
 from .chat import format_chats, read_back
 from .common import table
+from .jaccard import jaccard_join
 from .mixing import mix
 from .quality import RULES, STOP_WORDS, quality_rules
 from .secrets import digest, secret_scan
@@ -153,3 +154,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_bpe")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), digests=True)
+
+
+@query("op4_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
