@@ -1,11 +1,62 @@
-"""Documents to token ids in stages, each written as Parquet and read again."""
+"""Documents to token ids in five stages, each written as Parquet and read again."""
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from cargolens.llm import bpe
+from cargolens.llm.common import shared_folder
+from cargolens.llm.jaccard import one_of_each
+from cargolens.llm.mixing import mixed_documents
+from cargolens.llm.quality import keep_good
+from cargolens.llm.secrets import redacted
+
+WORD_BPE = "word_bpe_49k.json"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a rule rejects go."""
+    return keep_good(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return one_of_each(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret in a text is replaced by a mark; all documents stay."""
+    return redacted(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per epoch of each document that its source's budget takes."""
+    return mixed_documents(docs)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digest of each row's token ids and of the text they decode to."""
+    return bpe.encode(docs, public_tokenizers.path(WORD_BPE), digests=True)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
+    ("secret_scan", secret_scan),
+    ("source_mix", source_mix),
+    ("bpe_encoding", bpe_encoding),
+]
+
+#: Jaccard groups are iterative and the token ids need a merge queue; tests compare with brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
+        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+    return docs
