@@ -8,7 +8,9 @@ from . import bpe
 from .chat import format_chats, read_back
 from .common import table
 from .jaccard import jaccard_join
+from .licences import licence_scan
 from .mixing import mix
+from .pagetext import page_texts
 from .quality import RULES, STOP_WORDS, quality_rules
 from .secrets import digest, secret_scan
 from .topk import top_k
@@ -159,3 +161,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_jaccard_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query("op7_page_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op10_licence_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents"))
