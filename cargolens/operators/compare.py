@@ -98,30 +98,30 @@ def compare_pairs(si: DataFrame, bl: DataFrame, on: list[str]) -> DataFrame:
     return roll_up(joined)
 
 
-def _spread(path: Column, key: Column, wanted: Column) -> Column:
-    """Join key for an optional path: rows without one get a unique key that matches
-    nothing, so they spread over all tasks instead of meeting in the null bucket."""
-    return F.coalesce(F.when(wanted, path), F.concat(F.lit("\u0001"), key))
-
-
 def verdicts(mails: DataFrame, docs: DataFrame) -> DataFrame:
     """CMP12/CMP13: the complete verdict of every mail.
 
     ``mails(email_id, sender, subject, body, attachments)``, ``docs(path, text[, source])``.
-    Mails are projected to ids and paths before the joins, documents to fields, so
-    neither bodies nor texts are shuffled.
+    Mails are projected to ids and paths before the join, documents to fields, so neither
+    bodies nor texts are shuffled. A mail becomes a row per slot, so that each document is
+    read and joined once; an aggregate brings the slots together again.
     """
     m = D.with_pair(C.classify(mails)).withColumn("is_request", C.is_document_request(F.col("body")))
     compared = F.col("category") == "BL_COMPARISON"
     paired = compared & F.col("si_path").isNotNull() & F.col("bl_path").isNotNull()
     m = m.withColumn("_go", paired).drop("body", "subject", "attachments", "sender")
-    m = m.withColumn("_si", _spread(F.col("si_path"), F.col("email_id"), F.col("_go")))
-    m = m.withColumn("_bl", _spread(F.col("bl_path"), F.col("email_id"), F.col("_go")))
     read = read_documents(docs).select(
-        "path", F.struct("fields", "norm", "declared", "missing", "readable", "nothing", "source").alias("doc"))
-    m = m.join(read.select(F.col("path").alias("_si"), F.col("doc").alias("si_doc")), "_si", "left")
-    m = m.join(read.select(F.col("path").alias("_bl"), F.col("doc").alias("bl_doc")), "_bl", "left")
-    return decide(m).drop("_si", "_bl", "_go", "si_doc", "bl_doc")
+        "path", F.struct("fields", "norm", "declared", "missing", "readable", "nothing", "source").alias("_doc"))
+    slot = lambda name, path: F.struct(F.lit(name).alias("slot"), path.alias("path"))
+    # Mails without a pair get a path that matches nothing, so they spread over all tasks.
+    slots = F.when(F.col("_go"), F.array(slot("si", F.col("si_path")), slot("bl", F.col("bl_path")))).otherwise(
+        F.array(slot("none", F.concat(F.lit("\u0001"), F.col("email_id")))))
+    keys = ["email_id", "si_path", "bl_path"]
+    rest = [c for c in m.columns if c not in keys]
+    joined = m.withColumn("_slot", F.explode(slots)).join(read, F.col("_slot.path") == F.col("path"), "left")
+    of = lambda name: F.first(F.when(F.col("_slot.slot") == name, F.col("_doc")), ignorenulls=True).alias(name + "_doc")
+    m = joined.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest], of("si"), of("bl"))
+    return decide(m).drop("_go", "si_doc", "bl_doc")
 
 
 def decide(m: DataFrame) -> DataFrame:

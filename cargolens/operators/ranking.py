@@ -1,42 +1,28 @@
 """Numbering and latest-row operators that stay balanced when one key is hot."""
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; a local one only where none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cargolens-"))
-
-
-def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str = "rn") -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str, slices: list[Column]) -> DataFrame:
     """Exact ``row_number() over (partition by keys order by order)`` without one task per key.
 
-    Rows are range-partitioned on (keys, order), so a key that holds a third of all
-    rows is cut into many ordered slices. Each slice is numbered on its own, and the
-    rows of earlier slices are added as an offset. The offset table has at most one row
-    per key and slice. The range bounds are sampled, so the sliced rows are checkpointed:
-    both branches then see the same slices, also when an executor is lost.
+    ``slices`` are coarse, monotone functions of the order, such as the hour of its time:
+    rows of one slice are neighbours in the order, and the slices follow it. A key that
+    holds a third of all rows is numbered slice by slice; the rows of earlier slices are
+    added as an offset from a table with one row per key and slice. A slice depends on its
+    row alone, so a lost executor cannot change it and nothing needs to be written.
     """
-    checkpoint_dir(df.sparkSession)
-    names = [f"_o{i}" for i in range(len(order))]
-    sliced = df.select("*", *[o.alias(n) for o, n in zip(order, names)])
-    sliced = sliced.repartitionByRange(*keys, *names).withColumn("_slice", F.spark_partition_id()).checkpoint()
-    before = (
-        sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(
-            Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("_n")
-    )
-    local = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*names))
+    names, cuts = [f"_o{i}" for i in range(len(order))], [f"_s{i}" for i in range(len(slices))]
+    sliced = df.select("*", *[o.alias(n) for o, n in zip(order, names)], *[s.alias(n) for s, n in zip(slices, cuts)])
+    earlier = Window.partitionBy(*keys).orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
+    before = (sliced.groupBy(*keys, *cuts).agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
+    local = F.row_number().over(Window.partitionBy(*keys, *cuts).orderBy(*names))
     return (
-        sliced.withColumn("_local", local).join(before, [*keys, "_slice"])
+        sliced.withColumn("_local", local).join(before, [*keys, *cuts])
         .withColumn(out, (F.col("_local") + F.col("_before")).cast("bigint"))
-        .drop("_local", "_before", "_slice", *names)
+        .drop("_local", "_before", *cuts, *names)
     )
 
 

@@ -47,13 +47,19 @@ def chronology() -> list[Column]:
     return [F.coalesce("received_at", "created_at", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")), F.col("reg_id")]
 
 
+def slices() -> list[Column]:
+    """Slices of the chronology: the hour; undated rows, all at one time, by blocks of ids."""
+    undated = F.col("received_at").isNull() & F.col("created_at").isNull()
+    return [F.date_trunc("hour", chronology()[0]), F.when(undated, F.floor(F.col("reg_id") / 100_000)).otherwise(0)]
+
+
 def version_chain(active: DataFrame) -> DataFrame:
     """VER4-VER6, VER10: number, previous pointer and current flag of ACTIVE rows.
 
     Recomputed from chronology, so a late older document becomes history by itself.
     Previous and current come from equi-joins on the number, which is unique per document.
     """
-    chain = numbered(active, DOC, chronology(), "version_number")
+    chain = numbered(active, DOC, chronology(), "version_number", slices())
     prev = chain.select(*DOC, (F.col("version_number") + 1).alias("version_number"), F.col("reg_id").alias("previous_version_id"))
     last = chain.groupBy(*DOC).agg(F.max("version_number").alias("_last"))
     return (chain.join(prev, [*DOC, "version_number"], "left").join(last, DOC)

@@ -5,18 +5,17 @@ lost executor or driver leaves the same rows.
 """
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import versions as V
+from ..shared import shared_folder
 
 
 def work_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's shared checkpoint location."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cargolens-")
-    return f"{base.rstrip('/')}/job-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/job-{uuid.uuid4().hex}"
 
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
