@@ -23,7 +23,8 @@ SELECT k, 'email_' || CAST(k AS STRING) AS email_id, 'SI' AS doc_type,
   || 'Consignee (Non-Negotiable): ' || consignee || chr(10) || 'Notify: ' || consignee || chr(10)
   || 'Port of Loading (POL): ' || pol || ' (' || pol_code || ')' || chr(10) || 'POD: ' || pod || ' (' || pod_code || ')' || chr(10)
   || 'Total Containers: ' || CAST(boxes AS STRING) || ' x 40''HC' || chr(10) || 'Gross Wt (kgs): ' || CAST(kg AS STRING) || ' KG' || chr(10)
-  || 'Booking Ref: BKG' || lpad(CAST(k AS STRING),8,'0') AS text
+  || 'Booking Ref: BKG' || lpad(CAST(k AS STRING),8,'0')
+  || CASE WHEN f % 3 = 0 THEN chr(10) || 'ETD: 2026-03-' || lpad(CAST(1 + f % 28 AS STRING),2,'0') ELSE '' END || CASE WHEN f % 7 = 0 THEN chr(10) || 'ETA: 2026-04-15' ELSE '' END AS text
 FROM fx_ship WHERE f < 15 OR f > 30
 UNION ALL
 SELECT k, 'email_' || CAST(k AS STRING), 'BL', 'attachments/email_' || CAST(k AS STRING) || '_BL.txt',
@@ -35,7 +36,8 @@ SELECT k, 'email_' || CAST(k AS STRING), 'BL', 'attachments/email_' || CAST(k AS
   || CASE WHEN f = 14 THEN 'Load Port' || chr(10) || '  ' ELSE 'Load Port: ' END || pol || ' (' || pol_code || ')' || chr(10)
   || 'Discharge Port: ' || pod || CASE WHEN f = 4 THEN '' ELSE ' (' || pod_code || ')' END || chr(10)
   || 'No. of Containers: ' || CASE WHEN f = 1 THEN CAST(boxes + 1 AS STRING) || ' x 40HC' WHEN f = 12 AND boxes > 1 THEN '1x40HC + ' || CAST(boxes - 1 AS STRING) || 'x20GP' ELSE CAST(boxes AS STRING) || ' x 40HC' END || chr(10)
-  || 'Gross Weight: ' || CASE WHEN f = 2 THEN CAST(kg + 500 AS STRING) || ' KG' WHEN f = 7 THEN CAST(kg / 1000 AS STRING) || ' MT' ELSE CAST(kg AS STRING) || ' KGS' END END
+  || 'Gross Weight: ' || CASE WHEN f = 2 THEN CAST(kg + 500 AS STRING) || ' KG' WHEN f = 7 THEN CAST(kg / 1000 AS STRING) || ' MT' ELSE CAST(kg AS STRING) || ' KGS' END
+  || CASE WHEN f % 6 = 0 THEN chr(10) || 'ETD: ' || lpad(CAST(1 + f % 28 AS STRING),2,'0') || '/03/2026' WHEN f % 4 = 1 THEN chr(10) || 'ETD: 2026-03-30' ELSE '' END || CASE WHEN f % 14 = 0 THEN chr(10) || 'ETA: 2026-04-16' ELSE '' END END
 FROM fx_ship WHERE (f < 15 OR f > 30) AND f NOT IN (10, 11)
 """,
     "fx_emails": """
@@ -66,7 +68,7 @@ FROM fx_ship
     "fx_revisions": """
 SELECT event_id AS reg_id, 'REF:SHP-' || lpad(CAST(user_id AS STRING),4,'0') AS shipment_key,
   CASE event_type WHEN 'view' THEN 'SI' WHEN 'click' THEN 'BL' ELSE 'INVOICE' END AS doc_type,
-  props AS content, CASE WHEN event_id % 23 = 0 THEN NULL ELSE ts END AS received_at, ts AS created_at
+  props AS content, CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 7 = 0 THEN ts - INTERVAL '9' DAY ELSE ts END AS received_at, ts AS created_at
 FROM events WHERE event_type IN ('view','click','purchase')
 """,
     "fx_dispatches": """

@@ -324,13 +324,13 @@ def original_sender(c: Column) -> Column:
 
 
 def unreadable(c: Column) -> Column:
-    """EXT2: under 85 % printable characters in the first 2,000."""
+    """EXT2: under 85 % printable characters in the whole text."""
     def mostly_odd(sample):
         odd = F.regexp_count(sample, F.lit(r"[\p{C}\p{Z}&&[^ \n\r\t]]"))
         # Plain ASCII text never gets as far as the counting.
         return sample.rlike(r"[^\x20-\x7e\n\r\t]") & (odd > F.length(sample) * 0.15)
 
-    return let(F.substring(c, 1, 2000), mostly_odd)
+    return let(c, mostly_odd)
 
 
 # ---------------------------------------------------------- document identifiers

@@ -62,8 +62,8 @@ def with_pair(mails: DataFrame, attachments: str = "attachments") -> DataFrame:
 
 
 def declared_type(text: Column) -> Column:
-    """DOC5: what a document calls itself in its first four non-blank lines."""
-    lines = F.slice(F.filter(T.split_lines(text), lambda l: T.strip(l) != ""), 1, rules.HEADING_LINES)
+    """DOC5: what a document calls itself in its first title line that holds no field label."""
+    lines = T.split_lines(text)
 
     def title(l):
         out = F.when(l.rlike("(?i)" + rules.DOC_TITLES[0][0]), rules.DOC_TITLES[0][1])
@@ -71,8 +71,9 @@ def declared_type(text: Column) -> Column:
             out = out.when(l.rlike("(?i)" + pattern), kind)
         return out
 
+    any_label = "(?i)" + "|".join(p for ps in rules.LABELS.values() for p in ps)
     any_title = "(?i)" + "|".join(pattern for pattern, _ in rules.DOC_TITLES)
-    return T.let(F.get(F.filter(lines, lambda l: l.rlike(any_title)), 0), title)
+    return T.let(F.get(F.filter(lines, lambda l: l.rlike(any_title) & ~T.squeeze(l).rlike(any_label)), 0), title)
 
 
 def wrong_type(declared: Column, slot: str) -> Column:

@@ -92,10 +92,15 @@ LABEL_SYNONYMS = {
 }
 
 
+def _hash(*parts: Column) -> Column:
+    """A 32-bit number from an MD5 of the parts, which other engines can compute too."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def perturb(text: Column, key: Column, kind: str) -> Column:
     """EVL10: a change that keeps the meaning. Chance is replaced by a hash of key and line."""
     lines = T.split_lines(text)
-    draw = lambda i, n: F.pmod(F.xxhash64(key, i, F.lit(n)), F.lit(100))
+    draw = lambda i, n: _hash(key, i.cast("string"), F.lit(str(n))) % 100
     if kind == "whitespace":
         def spaced(l, i):
             body = F.when(draw(i, 1) < 70, F.regexp_replace(l, r"[ \t]+", " ")).otherwise(F.regexp_replace(l, r"[ \t]+", "  "))
@@ -114,7 +119,7 @@ def perturb(text: Column, key: Column, kind: str) -> Column:
         for canon, others in LABEL_SYNONYMS.items():
             for n, other in enumerate(others):
                 pattern = rf"(?is)^(.*?)\Q{other}\E(?=\s*[:：|])"
-                take = F.pmod(F.xxhash64(key, F.lit(other)), F.lit(2)) == 0
+                take = _hash(key, F.lit(other)) % 2 == 0
                 # One expression with a chosen pattern: the text so far appears once, not once per branch.
                 out = F.regexp_replace(out, F.when(take, pattern).otherwise(r"\b\B"), F.lit("$1" + canon))
         return out

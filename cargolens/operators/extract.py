@@ -15,7 +15,8 @@ from ..functions import text as T
 ORD = {f: i for i, f in enumerate(rules.ALL_FIELDS)}
 ALTERNATION = {f: "|".join(ps) for f, ps in rules.LABELS.items()}
 ANY_LABEL = "(?i)" + "|".join(ALTERNATION.values())
-LABEL_LINE = r"^[^:|]{0,45}[:|]"
+TWO_LABELS = rf"(?i)(?:{'|'.join(ALTERNATION.values())}).*?[:：|\t].*?(?:{'|'.join(ALTERNATION.values())})"
+LABEL_LINE = r"^[^:|]*[:|]"
 
 FIELDS_TYPE = (
     "struct<shipper:string,consignee:string,notify_party:string,port_of_loading:string,"
@@ -76,13 +77,12 @@ def split_long_line(line: Column) -> Column:
 
 
 def segments(text: Column) -> Column:
-    """Lines, with label-bearing long lines split."""
+    """Lines; one that holds two labels with a separator between them is split."""
     def one(l):
-        return F.when((F.length(l) >= rules.MEGA_LINE_MIN) & l.rlike(ANY_LABEL),
-                      split_long_line(l)).otherwise(F.array(l))
+        return F.when(l.rlike(TWO_LABELS), split_long_line(l)).otherwise(F.array(l))
 
     return T.let(lines_of(text), lambda lines: F.when(
-        F.exists(lines, lambda l: F.length(l) >= rules.MEGA_LINE_MIN),
+        F.exists(lines, lambda l: l.rlike(TWO_LABELS)),
         F.flatten(F.transform(lines, one))).otherwise(lines))
 
 
@@ -105,10 +105,10 @@ def label_of(line: Column) -> Column:
 def inline_value(line: Column) -> Column:
     """EXT5: text after the label: table cell, else after a colon, else after a dash."""
     cell = rf"(?s)^(.*?)(?:{T.WS}*\||\t+)(.*)$"
-    dash = rf"(?s)^[^:：]{{0,120}}?[\-–]{T.WS}+(.*)$"
+    dash = rf"(?s)^[^:：]*?[\-–]{T.WS}+(.*)$"
     in_cell = (F.contains(line, F.lit("|")) | F.contains(line, F.lit("\t"))) & (T.strip(F.regexp_extract(line, cell, 1)) != "")
     # The separator is kept in the match to tell an empty value from no colon at all.
-    after = F.regexp_extract(line, r"(?s)^[^:：]{0,120}([:：].*)$", 1)
+    after = F.regexp_extract(line, r"(?s)^[^:：]*([:：].*)$", 1)
     return F.coalesce(
         F.when(in_cell, T.blank_to_null(T.strip(F.regexp_extract(line, cell, 2)))),
         T.let(after, lambda a: F.when(a != "", T.strip(F.substring(a, 2, 1 << 30)))),
@@ -135,8 +135,7 @@ def fields_of(text: Column) -> Column:
     """
     def labelled(segs):
         def row(s, i):
-            nxt = F.get(F.filter(F.slice(segs, i + 2, 3), lambda x: T.strip(x) != ""), 0)
-            return F.struct(s.alias("line"), label_of(T.squeeze(s)).alias("ord"), nxt.alias("nxt"))
+            return F.struct(s.alias("line"), label_of(T.squeeze(s)).alias("ord"), F.get(segs, i + 1).alias("nxt"))
 
         return F.filter(F.transform(segs, row), lambda x: x["ord"].isNotNull())
 
@@ -155,7 +154,8 @@ def fields_of(text: Column) -> Column:
         kind = {"container_count": "bigint", "gross_weight_kg": "double"}.get(f)
         return (v.try_cast(kind) if kind else v).alias(f)
 
-    rows = T.let(segments(text), labelled)
+    # Blank lines carry nothing, so the value below a label is on the next line that is left.
+    rows = T.let(F.filter(segments(text), lambda s: T.strip(s) != ""), labelled)
     got = F.filter(F.transform(F.transform(rows, sourced), valued), lambda x: x["v"].isNotNull())
     return T.let(got, lambda g: F.struct(*[pick(g, f) for f in rules.ALL_FIELDS]))
 
@@ -191,16 +191,17 @@ def best_reading(candidates: DataFrame, keys: list[str], rung: str = "rung") ->
     """EXT10: of several texts of a document keep the richest, earliest rung on ties.
 
     A reader is only tried when the one before it found fewer than four fields, so
-    later rungs count only behind such a reading. ``max_by`` aggregates map-side.
+    later rungs count only behind such a reading.
     """
-    scored = with_fields(candidates).withColumn("yield", field_yield(F.col("fields")))
-    found = F.col("text").isNotNull() & (F.length("text") > 0)
-    first_good = F.min(F.when(found & (F.col("yield") >= 4), F.col(rung)))
-    stop = scored.groupBy(*keys).agg(first_good.alias("_stop"))
-    usable = scored.join(stop, keys).filter(found & (F.col("_stop").isNull() | (F.col(rung) <= F.col("_stop"))))
-    order = F.struct(F.col("yield"), (-F.col(rung)).alias("neg"))
-    return usable.groupBy(*keys).agg(
-        F.max_by("text", order).alias("text"), F.max_by(rung, order).alias(rung), F.max("yield").alias("yield"))
+    found = candidates.filter(F.col("text").isNotNull() & (F.length("text") > 0))
+    scored = with_fields(found).select(*keys, F.col(rung).alias("r"), field_yield(F.col("fields")).alias("y"))
+    # One entry per reader, of which there are a handful; the texts stay behind.
+    tried = scored.groupBy(*keys).agg(F.collect_list(F.struct("r", "y")).alias("tried"))
+    good = F.array_min(F.transform(F.filter("tried", lambda x: x["y"] >= 4), lambda x: x["r"]))
+    usable = F.filter("tried", lambda x: good.isNull() | (x["r"] <= good))
+    best = F.array_max(F.transform(usable, lambda x: F.struct(x["y"].alias("yield"), (-x["r"]).alias("neg"))))
+    won = tried.select(*keys, best.alias("b")).select(*keys, (-F.col("b.neg")).alias(rung), F.col("b.yield").alias("yield"))
+    return found.select(*keys, rung, "text").join(won, [*keys, rung]).select(*keys, "text", rung, "yield")
 
 
 def backfill(primary: Column, secondary: Column) -> Column:

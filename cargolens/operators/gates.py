@@ -25,11 +25,18 @@ def trust(mails: DataFrame, sources: DataFrame, domains: DataFrame) -> DataFrame
     """
     df = (mails.withColumn("_s", T.mail_address(F.coalesce("sender", F.lit("")))).withColumn("_c", T.mail_address(F.coalesce("client", F.lit(""))))
           .withColumn("_m", F.lower(T.strip(F.coalesce("mailbox", F.lit(""))))))
+    # Rows without a value get a key of their own that matches nothing, so they spread over all tasks.
+    own = F.concat(F.lit("\u0001"), F.xxhash64(*mails.columns).cast("string"))
+
+    def looked_up(df, value, names, column, flag):
+        listed = names.select(F.col(column).alias("_k"), F.lit(True).alias(flag))
+        return df.withColumn("_k", F.when(F.col(value) == "", own).otherwise(F.col(value))).join(listed, "_k", "left").drop("_k")
+
     for c in ("_s", "_c", "_m"):
-        df = df.join(sources.select(F.col("source").alias(c), F.lit(True).alias(c + "_ok")), c, "left")
+        df = looked_up(df, c, sources, "source", c + "_ok")
     for c in ("_s", "_c"):
         df = df.withColumn(c + "d", F.when(F.contains(F.col(c), F.lit("@")), F.substring_index(c, "@", -1)).otherwise(F.lit("")))
-        df = df.join(domains.select(F.col("domain").alias(c + "d"), F.lit(True).alias(c + "d_ok")), c + "d", "left")
+        df = looked_up(df, c + "d", domains, "domain", c + "d_ok")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     quoted = lambda a, b, c: F.concat(F.lit(a), b, F.lit(c))
     who = F.coalesce(F.nullif("_s", F.lit("")), F.nullif("_c", F.lit("")), F.lit("unknown"))
@@ -86,9 +93,9 @@ def file_safety(name: Column, size: Column, head: Column) -> Column:
     )
 
 
-def encoded_too_large(encoded: Column) -> Column:
+def encoded_too_large(encoded: Column, max_bytes: int) -> Column:
     """GTE5: decoded size from the encoded length alone."""
-    return F.floor(F.length(encoded) / 4) * 3 > rules.MAX_ATTACHMENT_BYTES
+    return F.floor(F.length(encoded) / 4) * 3 > max_bytes
 
 
 def member_name(name: Column) -> Column:
@@ -99,23 +106,26 @@ def member_name(name: Column) -> Column:
     return F.when(~bad, base)
 
 
-def admit_members(mails: DataFrame, members: str = "members") -> DataFrame:
-    """GTE6: which members of a mail's containers are taken, in order.
+def admit_members(mails: DataFrame, max_members: int, max_member_bytes: int, max_bytes: int, members: str = "members") -> DataFrame:
+    """GTE6: which members of a mail's containers are taken, in order, and why the others are not.
 
     ``members`` is the mail's own manifest ``ARRAY<STRUCT<name,size,safe>>``. A refused
     member spends nothing, so this is an ordered fold and not a running sum.
     """
-    zero = F.struct(F.lit(rules.MAX_MEMBERS).alias("n"), F.lit(rules.MAX_ATTACHMENT_BYTES).cast("bigint").alias("b"),
-                    F.array().cast("array<string>").alias("taken"))
+    zero = F.struct(F.lit(max_members).alias("n"), F.lit(max_bytes).cast("bigint").alias("b"), F.array().cast("array<string>").alias("taken"),
+                    F.array().cast("array<struct<name:string,reason:string>>").alias("refused"))
 
     def step(a, m):
         base = member_name(m["name"])
-        ok = (base.isNotNull() & (a["n"] > 0) & ~F.array_contains(a["taken"], base) & (m["size"] <= rules.MAX_MEMBER_BYTES)
-              & (m["size"] <= a["b"]) & m["safe"])
-        took = F.struct((a["n"] - 1).alias("n"), (a["b"] - m["size"]).alias("b"), F.concat(a["taken"], F.array(base)).alias("taken"))
-        return F.when(F.coalesce(ok, F.lit(False)), took).otherwise(a)
-
-    return mails.withColumn("taken", F.aggregate(members, zero, step, lambda a: a["taken"]))
+        yes = lambda c: F.coalesce(c, F.lit(False))
+        reason = (F.when(base.isNull(), "name").when(~yes(m["safe"]), "unsafe").when(~yes(m["size"] <= max_member_bytes), "size").when(F.array_contains(a["taken"], base), "repeated")
+                  .when(a["n"] <= 0, "number").when(~yes(m["size"] <= a["b"]), "total"))
+        took = F.struct((a["n"] - 1).alias("n"), (a["b"] - m["size"]).alias("b"), F.concat(a["taken"], F.array(base)).alias("taken"), a["refused"].alias("refused"))
+        left = F.struct(a["n"].alias("n"), a["b"].alias("b"), a["taken"].alias("taken"), F.concat(a["refused"], F.array(F.struct(m["name"].alias("name"), reason.alias("reason")))).alias("refused"))
+        return F.when(reason.isNull(), took).otherwise(left)
+
+    done = mails.withColumn("_admitted", F.aggregate(members, zero, step, lambda a: F.struct(a["taken"].alias("taken"), a["refused"].alias("refused"))))
+    return done.select("*", "_admitted.taken", "_admitted.refused").drop("_admitted")
 
 
 def staging(df: DataFrame) -> DataFrame:

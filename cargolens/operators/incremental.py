@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .ranking import latest
 
 
-def mail_fingerprint(subject: Column, body: Column, names: Column, contents: Column) -> Column:
-    """STR1: hash over subject, body and each attachment's name and content, NUL-separated."""
+def mail_fingerprint(subject: Column, body: Column, names: Column, hashes: Column) -> Column:
+    """STR1: hash over subject, body and each attachment's name and content hash, NUL-separated."""
     nul = "\u0000"
-    parts = F.flatten(F.zip_with(names, contents, lambda n, c: F.array(F.coalesce(n, F.lit("")), F.coalesce(c, F.lit("")))))
+    parts = F.flatten(F.zip_with(names, hashes, lambda n, c: F.array(F.coalesce(n, F.lit("")), F.coalesce(c, F.lit("")))))
     return F.sha2(F.array_join(F.concat(F.array(F.coalesce(subject, F.lit("")), F.coalesce(body, F.lit(""))), parts), nul), 256)
 
 
 def identity(email_id: Column, message_id: Column, fingerprint: Column) -> Column:
     """STR2: resolved mail id and cache key."""
     e, m = F.nullif(email_id, F.lit("")), F.nullif(message_id, F.lit(""))
-    made = F.concat(F.lit("MSG_"), F.upper(F.substring(fingerprint, 1, 12)))
+    made = F.concat(F.lit("MSG_"), F.upper(fingerprint))
     return F.struct(F.coalesce(e, m, made).alias("resolved_id"), F.coalesce(m, e, made).alias("cache_key"))
 
 
@@ -46,11 +46,10 @@ def reuse(probed: DataFrame, results: DataFrame, force: Column | None = None) ->
     return probed.join(r, "result_id", "left").withColumn("decision", F.when(go, "REUSE").otherwise("RUN")).drop("_h")
 
 
-def unseen(incoming: DataFrame, seen: DataFrame, recent: int = 200) -> DataFrame:
-    """STR5: messages whose id or subject is not among the recent ones of both kinds."""
-    last = seen.orderBy(F.col("received_at").desc(), F.col("message_key").desc()).limit(recent)
-    out = incoming.join(last.select("message_key").distinct(), "message_key", "left_anti")
-    subjects = last.select(F.lower(F.trim("subject")).alias("_s")).distinct()
+def unseen(incoming: DataFrame, seen: DataFrame) -> DataFrame:
+    """STR5: messages whose id and subject the ledger does not hold."""
+    out = incoming.join(seen.select("message_key").distinct(), "message_key", "left_anti")
+    subjects = seen.select(F.lower(F.trim("subject")).alias("_s")).distinct()
     return out.withColumn("_s", F.lower(F.trim("subject"))).join(subjects, "_s", "left_anti").drop("_s")
 
 

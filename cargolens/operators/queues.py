@@ -43,10 +43,10 @@ def reply_queue(rows: DataFrame, mailbox: str | None, queue: str | None, needle:
 
 
 def staging_list(staged: DataFrame, ingested: DataFrame) -> DataFrame:
-    """FLT4/SET1: staged and ingested mails as one list with an origin tag and a snippet."""
+    """FLT4/SET1: staged and ingested mails as one list with an origin tag and the body."""
     def shape(df, origin, status):
         return df.select(F.lit(origin).alias("origin"), "stage_id", "source_mailbox", "sender", "subject",
-                         F.substring(F.coalesce("body", F.lit("")), 1, 120).alias("snippet"), status.alias("status"), "created_at", "id")
+                         F.coalesce("body", F.lit("")).alias("body"), status.alias("status"), "created_at", "id")
 
     return shape(staged, "staged", F.col("status")).unionByName(shape(ingested, "ingested", F.lit("AUTO_INGESTED")))
 
@@ -60,18 +60,15 @@ def shipment_lookup(shipments: DataFrame, wanted: DataFrame) -> DataFrame:
     c = F.trim("code")
     cand = F.array(c, F.concat(F.lit("REF:"), F.upper(c)), F.upper(c), F.concat(F.lit("REF:"), c))
     exact = wanted.select("code", F.posexplode(cand).alias("prio", "shipment_key")).join(shipments.select("shipment_key"), "shipment_key")
-    tails = shipments.select("shipment_key", F.explode(suffixes(F.col("shipment_key"))).alias("tail"))
+    # One tail per length that a wanted code has; the lengths are one small row.
+    lengths = wanted.agg(F.collect_set(F.length(c)).alias("lengths"))
+    tails = shipments.crossJoin(F.broadcast(lengths)).select("shipment_key", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("shipment_key")).select(
+        "shipment_key", F.lower(F.right("shipment_key", F.col("n"))).alias("tail"))
     loose = wanted.select("code", F.lower(c).alias("tail")).join(tails, "tail").select("shipment_key", "code", F.lit(9).alias("prio"))
     best = exact.unionByName(loose).groupBy("code").agg(F.min(F.struct("prio", "shipment_key")).alias("b"))
     return wanted.join(best.select("code", F.col("b.shipment_key").alias("shipment_key")), "code", "left")
 
 
-def suffixes(key: Column) -> Column:
-    """Every lower-case suffix of a short key, so that a suffix match becomes an equi-join."""
-    k = F.lower(key)
-    return F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: k.substr(i, F.length(k)))
-
-
 def report_lookup(reports: DataFrame, wanted: DataFrame) -> DataFrame:
     """FLT7: a report by numeric id, else by mail id: two equi-joins with a priority."""
     r = reports.select("report_id", "email_id")
@@ -90,13 +87,13 @@ def safe_segment(value: Column, fallback: str) -> Column:
     """FLT9: untrusted text as one path segment."""
     base = F.regexp_extract(F.regexp_replace(value, r"/+$", ""), r"([^/]*)$", 1)
     clean = F.regexp_replace(F.regexp_replace(base, r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
-    return F.coalesce(T.blank_to_null(F.substring(clean, 1, 120)), F.lit(fallback))
+    return F.coalesce(T.blank_to_null(clean), F.lit(fallback))
 
 
-def shipment_search(shipments: DataFrame, needle: str, limit: int = 8) -> DataFrame:
-    """FLT11: first shipments whose key, reference or latest file names contain the text."""
+def shipment_search(shipments: DataFrame, needle: str) -> DataFrame:
+    """FLT11: shipments whose key, reference or latest file names contain the text."""
     cols = [F.col(c) for c in ("shipment_key", "reference_number", "si_filename", "bl_filename")]
-    return shipments.filter(found_in(needle, *cols)).orderBy("shipment_key").limit(limit)
+    return shipments.filter(found_in(needle, *cols)).orderBy("shipment_key")
 
 
 # -------------------------------------------------------------------- counters
@@ -125,10 +122,11 @@ def review_queue(reports: DataFrame) -> DataFrame:
     most of the queue. Sort by (bucket_rank, reason, email_id) to read it as piles.
     """
     q = reports.filter("status = 'NEEDS_REVIEW'").withColumn("reason", F.coalesce("review_reason", F.lit("unknown")))
-    sizes = q.groupBy("reason").agg(F.count(F.lit(1)).alias("bucket_size"))
+    # The few reasons and their sizes are one row; the mails stay where they are.
+    sizes = q.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("reason", "n"))).alias("_sizes"))
     labels = F.create_map(*[F.lit(x) for kv in rules.REVIEW_LABELS.items() for x in kv])
     pos = F.array_position(F.array(*[F.lit(r) for r in rules.REVIEW_ORDER]), F.col("reason"))
-    return (q.join(sizes, "reason").withColumn("bucket_rank", F.when(pos > 0, pos - 1).otherwise(99).cast("int"))
+    return (q.crossJoin(F.broadcast(sizes)).withColumn("bucket_size", F.element_at("_sizes", F.col("reason"))).drop("_sizes").withColumn("bucket_rank", F.when(pos > 0, pos - 1).otherwise(99).cast("int"))
             .withColumn("label", F.coalesce(F.try_element_at(labels, F.col("reason")), "reason")))
 
 

@@ -37,7 +37,7 @@ def shipment_key(mail_ref: Column, doc_ref: Column, shipper: Column, pol: Column
     """SHP2: mail reference, document reference, field signature, mail id."""
     filled = lambda c: c.isNotNull() & (c != "")
     parts = F.array_join(F.concat(F.array(shipper, pol, pod), marks), "|")
-    signed = F.when(filled(shipper) & filled(pol) & filled(pod), F.concat(F.lit("SIG:"), F.left(F.sha2(parts, 256), F.lit(16))))
+    signed = F.when(filled(shipper) & filled(pol) & filled(pod), F.concat(F.lit("SIG:"), F.sha2(parts, 256)))
     return F.coalesce(F.concat(F.lit("REF:"), F.upper(mail_ref)), F.concat(F.lit("REF:"), F.upper(doc_ref)),
                       signed, F.concat(F.lit("EMAIL:"), email_id))
 

@@ -35,13 +35,13 @@ step("ox_value", f"""
 SELECT l.email_id, l.doc_type, l.path, l.ln, l.ord,
   CASE WHEN {D.has('l.line', '[|]|' + chr(92) + 't')} AND {D.strip(D.ext('l.line', _cell, 1))} <> '' AND {D.strip(D.ext('l.line', _cell, 2))} <> ''
          THEN {D.strip(D.ext('l.line', _cell, 2))}
-       WHEN {D.has('l.line', '^[^:：]{0,120}[:：]')} THEN nullif({D.strip(D.ext('l.line', '(?s)^[^:：]{0,120}?[:：](.*)$'))}, '')
-       ELSE nullif({D.strip(D.ext('l.line', '(?s)^[^:：]{0,120}?[-–]' + chr(92) + 's+(.*)$'))}, '') END AS val,
-  (SELECT arg_min({D.strip('n.line')}, n.ln) FROM ox_label n WHERE n.path = l.path AND n.ln BETWEEN l.ln + 1 AND l.ln + 3 AND {D.strip('n.line')} <> '') AS nxt
+       WHEN {D.has('l.line', '^[^:：]*[:：]')} THEN nullif({D.strip(D.ext('l.line', '(?s)^[^:：]*?[:：](.*)$'))}, '')
+       ELSE nullif({D.strip(D.ext('l.line', '(?s)^[^:：]*?[-–]' + chr(92) + 's+(.*)$'))}, '') END AS val,
+  (SELECT arg_min({D.strip('n.line')}, n.ln) FROM ox_label n WHERE n.path = l.path AND n.ln > l.ln AND {D.strip('n.line')} <> '') AS nxt
 FROM ox_label l WHERE l.ord IS NOT NULL
 """)
 step("ox_source", f"""
-SELECT email_id, doc_type, path, ln, ord, coalesce(val, CASE WHEN ord < 5 AND NOT ({D.has('nxt', '^[^:|]{0,45}[:|]')} AND {_label_sql('nxt')} IS NOT NULL) THEN nxt END) AS src
+SELECT email_id, doc_type, path, ln, ord, coalesce(val, CASE WHEN ord < 5 AND NOT ({D.has('nxt', '^[^:|]*[:|]')} AND {_label_sql('nxt')} IS NOT NULL) THEN nxt END) AS src
 FROM ox_value
 """)
 step("ox_found", f"""

@@ -27,18 +27,20 @@ def gte1(t):
 
 _addr = lambda e: f"lower(trim(coalesce(nullif(regexp_extract({e}, '<([^>]+)>', 1), ''), {e})))"
 step("ox_trust", f"""SELECT email_id, body, subject, category, s IN (SELECT source FROM ox_sources) AS s_ok, c IN (SELECT source FROM ox_sources) AS c_ok,
-  contains(s, '@') AND split_part(s, '@', -1) IN (SELECT domain FROM ox_domains) AS sd_ok, contains(c, '@') AND split_part(c, '@', -1) IN (SELECT domain FROM ox_domains) AS cd_ok, s, c
-  FROM (SELECT m.email_id, body, subject, k.category, {_addr('sender')} AS s, coalesce(lower(nullif(regexp_extract(body, {D.q(rules.ORIGINAL_SENDER)}, 1), '')), '') AS c
+  contains(s, '@') AND split_part(s, '@', -1) IN (SELECT domain FROM ox_domains) AS sd_ok, contains(c, '@') AND split_part(c, '@', -1) IN (SELECT domain FROM ox_domains) AS cd_ok, s = '' AND length(email_id) % 2 = 0 AS m_ok, s, c
+  FROM (SELECT m.email_id, body, subject, k.category, CASE WHEN subject = '' THEN '' ELSE {_addr('sender')} END AS s, coalesce(lower(nullif(regexp_extract(body, {D.q(rules.ORIGINAL_SENDER)}, 1), '')), '') AS c
         FROM fx_all_mails m JOIN ox_class k ON k.email_id = m.email_id) x""")
 
 
 def trusted(t):
-    m = all_mails(t).withColumn("client", T.original_sender(F.col("body"))).withColumn("mailbox", F.lit("OPS"))
+    # Mails without a subject came through a channel and have no sender; every other mailbox is a trusted one.
+    m = all_mails(t).withColumn("client", T.original_sender(F.col("body"))).withColumn("mailbox", F.when(F.length("email_id") % 2 == 0, "ops").otherwise("sales"))
+    m = m.withColumn("sender", F.when(F.col("subject") == "", "").otherwise(F.col("sender")))
     return G.trust(m, G.trusted_sources(t.sql(SOURCES)), t.sql(DOMAINS))
 
 
-@query("gte2_source_trust", """SELECT email_id, s_ok OR c_ok OR sd_ok OR cd_ok AS trusted, CASE WHEN s_ok THEN 'Sender ''' || s || ''' is verified' WHEN c_ok THEN 'Original client ''' || c || ''' is verified'
-  WHEN sd_ok THEN 'Domain ''@' || split_part(s, '@', -1) || ''' is authorized' WHEN cd_ok THEN 'Domain ''@' || split_part(c, '@', -1) || ''' is authorized' ELSE 'Sender ''' || s || ''' is not registered' END AS trust_reason FROM ox_trust""")
+@query("gte2_source_trust", """SELECT email_id, s_ok OR c_ok OR sd_ok OR cd_ok OR m_ok AS trusted, CASE WHEN s_ok THEN 'Sender ''' || s || ''' is verified' WHEN c_ok THEN 'Original client ''' || c || ''' is verified'
+  WHEN sd_ok THEN 'Domain ''@' || split_part(s, '@', -1) || ''' is authorized' WHEN cd_ok THEN 'Domain ''@' || split_part(c, '@', -1) || ''' is authorized' WHEN m_ok THEN 'Internal channel ''ops'' is verified' ELSE 'Sender ''' || coalesce(nullif(s, ''), nullif(c, ''), 'unknown') || ''' is not registered' END AS trust_reason FROM ox_trust""")
 def gte2(t):
     return trusted(t).select("email_id", "trusted", "trust_reason")
 
@@ -88,9 +90,9 @@ def gte3(t):
     return t.view("fx_manifest").select("id", G.file_safety(F.col("filename"), F.col("size"), F.col("head")).alias("verdict"))
 
 
-@query("gte5_encoded_size", "SELECT doc_id, (length(text) // 4) * 3 > 31457280 AS too_large FROM documents")
+@query("gte5_encoded_size", "SELECT doc_id, (length(text) // 4) * 3 > 3000 AS too_large FROM documents")
 def gte5(t):
-    return t("documents").select("doc_id", G.encoded_too_large(F.col("text")).alias("too_large"))
+    return t("documents").select("doc_id", G.encoded_too_large(F.col("text"), 3000).alias("too_large"))
 
 
 step("ox_member", r"""SELECT *, CASE WHEN NOT (regexp_matches(name, '(^|/)\.\.(/|$)|^/|/$') OR starts_with(regexp_extract(name, '([^/]+)$', 1), '.')) THEN regexp_extract(name, '([^/]+)$', 1) END AS base FROM fx_members""")
@@ -108,14 +110,14 @@ step("ox_fold", """SELECT DISTINCT mail, CAST(0 AS BIGINT) AS n, CAST(31457280 A
     FROM ox_fold f JOIN ox_numbered m ON m.mail = f.mail AND m.n = f.n + 1) x""")
 
 
-@query("gte6_member_admission", "SELECT mail, array_to_string(arg_max(taken, n), ',') AS taken FROM ox_fold GROUP BY mail")
+@query("gte6_member_admission", "SELECT f.mail, array_to_string(arg_max(taken, n), ',') AS taken, any_value(m.c) - len(arg_max(taken, n)) AS refused FROM ox_fold f JOIN (SELECT mail, count(*) AS c FROM fx_members GROUP BY mail) m ON m.mail = f.mail GROUP BY f.mail")
 def gte6(t):
     # A manifest belongs to one mail; here an order's few lines stand for it.
     m = t.view("fx_members").groupBy("mail").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "size", "safe"))).alias("members"))
-    return G.admit_members(m).select("mail", F.array_join("taken", ",").alias("taken"))
+    return G.admit_members(m, rules.MAX_MEMBERS, rules.MAX_MEMBER_BYTES, rules.MAX_ATTACHMENT_BYTES).select("mail", F.array_join("taken", ",").alias("taken"), F.size("refused").cast("bigint").alias("refused"))
 
 
-step("ox_stage", "SELECT email_id, category, (s_ok OR c_ok OR sd_ok OR cd_ok) AS trusted, length(subject) % 5 = 0 AS unsafe FROM ox_trust")
+step("ox_stage", "SELECT email_id, category, (s_ok OR c_ok OR sd_ok OR cd_ok OR m_ok) AS trusted, length(subject) % 5 = 0 AS unsafe FROM ox_trust")
 
 
 @query("gte8_staging_decision", """SELECT email_id, CASE WHEN NOT trusted THEN 'UNTRUSTED_SOURCE' ELSE category END AS category, CASE WHEN NOT trusted OR unsafe THEN 'BLOCKED' ELSE 'CLEAN' END AS security_status,

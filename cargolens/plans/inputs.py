@@ -40,13 +40,16 @@ def src6(t):
     return M.lookup(w, t.mails.filter("k % 2 = 1"), t.mails).select("email_id", "subject", "found_in")
 
 
-JSON = """SELECT s_suppkey AS doc, '{"data": {"ShipperName": "' || s_name || '", "gross_weight": ' || CAST(s_suppkey * 1234 AS STRING) || ', "flag": true, "ports": ["A", "B"], "legs": [{"PortOfLoading": "P' || CAST(s_nationkey AS STRING) || '"}, {"PortOfLoading": "Q"}]}}' AS text FROM supplier"""
+# Nested ten deep, a list of thirty items, a value over two lines.
+JSON = """SELECT s_suppkey AS doc, '{"data": {"ShipperName": "' || s_name || '", "gross_weight": ' || CAST(s_suppkey * 1234 AS STRING) || ', "flag": true, "ports": [' || array_join(transform(sequence(1, 30), x -> '"P' || x || '"'), ', ')
+  || '], "legs": [{"PortOfLoading": "P' || CAST(s_nationkey AS STRING) || '"}, {"PortOfLoading": "Q"}], "Address": "Road 1\\\\nTown", "a1": {"b2": {"c3": {"d4": {"e5": {"f6": {"g7": {"DeepName": "x' || s_suppkey || '"}}}}}}}}}' AS text FROM supplier"""
 
 
 @query("src7_json_fields", """SELECT s_suppkey AS doc, 'Shipper Name' AS label, s_name AS value FROM supplier UNION ALL SELECT s_suppkey, 'gross weight', format('{:,}', s_suppkey * 1234) FROM supplier
-  UNION ALL SELECT s_suppkey, 'ports', 'A, B' FROM supplier UNION ALL SELECT s_suppkey, 'legs Port Of Loading', 'P' || s_nationkey FROM supplier UNION ALL SELECT s_suppkey, 'legs Port Of Loading', 'Q' FROM supplier""")
+  UNION ALL SELECT s_suppkey, 'ports', array_to_string(list_transform(range(1, 31), lambda x: 'P' || x), ', ') FROM supplier UNION ALL SELECT s_suppkey, 'legs Port Of Loading', 'P' || s_nationkey FROM supplier UNION ALL SELECT s_suppkey, 'legs Port Of Loading', 'Q' FROM supplier
+  UNION ALL SELECT s_suppkey, 'Address', unnest(['Road 1', 'Town']) FROM supplier UNION ALL SELECT s_suppkey, 'a1 b2 c3 d4 e5 f6 g7 Deep Name', 'x' || s_suppkey FROM supplier""")
 def src7(t):
-    return S.flatten_json(t.sql(JSON).select("doc", F.parse_json("text").alias("v")), levels=5)
+    return S.flatten_json(t.sql(JSON).select("doc", F.parse_json("text").alias("v")))
 
 
 @query("src8_json_lines", "SELECT user_id AS doc, count(*) AS records FROM events GROUP BY ALL")
@@ -61,9 +64,10 @@ def src9(t):
     return t("part").select(F.col("p_partkey").alias("doc"), S.csv_lines(raw).alias("text"))
 
 
-@query("src10_xml_lines", "SELECT p_partkey AS doc, 'Shipper | ' || p_name || chr(10) || 'Port Of Loading | ' || p_brand AS text FROM part")
+@query("src10_xml_lines", "SELECT p_partkey AS doc, 'Shipper | ' || p_name || chr(10) || 'Port Of Loading | ' || p_brand || chr(10) || 'Remark | mixed' || chr(10) || 'Inner | a & b' || chr(10) || 'Note | 1 < 2 & x' AS text FROM part")
 def src10(t):
-    raw = F.concat(F.lit("<doc a='1'>\n <n:Shipper>"), F.col("p_name"), F.lit("</n:Shipper><PortOfLoading x='y'> "), F.col("p_brand"), F.lit("\n</PortOfLoading><e></e></doc>"))
+    raw = F.concat(F.lit("<?xml version='1.0'?><!-- <Shipper>no</Shipper> --><doc a='1'>\n <n:Shipper>"), F.col("p_name"), F.lit("</n:Shipper><PortOfLoading x='y'> "), F.col("p_brand"),
+                   F.lit("\n</PortOfLoading><e></e><Remark>mixed<Inner>a &amp; b</Inner></Remark><Note><![CDATA[1 < 2 & x]]></Note></doc>"))
     return t("part").select(F.col("p_partkey").alias("doc"), S.xml_lines(raw).alias("text"))
 
 
@@ -97,9 +101,9 @@ def src14(t):
     return t("pages").select("page_id", M.html_to_text(F.col("html")).alias("text"))
 
 
-@query("src15_nested_documents", "SELECT email_id, 'fw_' || email_id || '.frombody.txt' AS path, left(trim('From: ' || sender || chr(10) || 'Subject: ' || subject || chr(10) || body, ' ' || chr(10)), 4000) AS text FROM fx_all_mails")
+@query("src15_nested_documents", "SELECT email_id, 'fw_' || email_id || '.frombody.txt' AS path, trim('From: ' || sender || chr(10) || 'Subject: ' || subject || chr(10) || repeat(body || chr(10), 40), ' ' || chr(10)) AS text FROM fx_all_mails")
 def src15(t):
-    return M.nested_documents(all_mails(t).withColumn("filename", F.concat(F.lit("in/fw_"), F.col("email_id"), F.lit(".EML"))))
+    return M.nested_documents(all_mails(t).withColumn("body", F.repeat(F.concat("body", F.lit("\n")), 40)).withColumn("filename", F.concat(F.lit("in/fw_"), F.col("email_id"), F.lit(".EML"))))
 
 
 step("ox_fwd", "SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS idx, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations")
@@ -171,15 +175,17 @@ def nrm13(t):
     return t.view("fx_measures").select("id", T.ocr_digits(F.col("raw")).alias("v"))
 
 
-@query("ext2_unreadable", r"SELECT doc_id, length(text) > 0 AND (length(left(text, 2000)) - length(regexp_replace(left(text, 2000), '[^ \n\r\t\P{C}]|[^ \P{Z}]', '', 'g'))) > length(left(text, 2000)) * 0.15 AS unreadable FROM documents")
+# Every third document gets a tail of wide blanks, which begins behind its first half.
+@query("ext2_unreadable", r"SELECT doc_id, length(t) > 0 AND (length(t) - length(regexp_replace(t, '[^ \n\r\t\P{C}]|[^ \P{Z}]', '', 'g'))) > length(t) * 0.15 AS unreadable FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || repeat(chr(8195), length(text)) ELSE text END AS t FROM documents) x")
 def ext2(t):
-    return t("documents").select("doc_id", T.unreadable(F.col("text")).alias("unreadable"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.repeat(F.lit("\u2003"), F.length("text")))).otherwise(F.col("text"))
+    return t("documents").select("doc_id", T.unreadable(text).alias("unreadable"))
 
 
 @query("ext6_next_line_values", "SELECT email_id, doc_type, ln, src FROM ox_source WHERE src IS NOT NULL")
 def ext6(t):
     rows = t.docs.select("email_id", "doc_type", F.posexplode(F.transform(X.lines_of(F.col("text")), lambda l: l)).alias("i", "line"), X.lines_of(F.col("text")).alias("ls"))
-    nxt = T.strip(F.get(F.filter(F.slice("ls", F.col("i") + 2, 3), lambda x: T.strip(x) != ""), 0))
+    nxt = T.strip(F.get(F.filter(F.slice("ls", F.col("i") + 2, F.size("ls")), lambda x: T.strip(x) != ""), 0))
     rows = rows.select("email_id", "doc_type", "i", X.label_of(T.squeeze(F.col("line"))).alias("ord"), T.blank_to_null(X.inline_value(F.col("line"))).alias("val"), nxt.alias("nxt"))
     below = F.when((F.col("ord") < 5) & ~(F.col("nxt").rlike(X.LABEL_LINE) & T.squeeze(F.col("nxt")).rlike(X.ANY_LABEL)), F.col("nxt"))
     return rows.filter("ord IS NOT NULL").select("email_id", "doc_type", (F.col("i") + 1).alias("ln"), F.coalesce("val", below).alias("src")).filter("src IS NOT NULL")
@@ -190,16 +196,16 @@ def ext9(t):
     return ext6(t).select("email_id", "doc_type", "ln", T.is_placeholder(F.col("src")).alias("placeholder"))
 
 
-@query("ext11_backfill", "SELECT s.email_id, coalesce(b.shipper, s.shipper) AS shipper, coalesce(b.gross_weight_kg, s.gross_weight_kg) AS gross_weight_kg FROM ox_fields s JOIN ox_fields b ON b.email_id = s.email_id AND b.doc_type = 'BL' WHERE s.doc_type = 'SI'")
+@query("ext11_backfill", "SELECT s.email_id, " + ", ".join(f"coalesce(b.{f}, s.{f}) AS {f}" for f in rules.ALL_FIELDS) + " FROM ox_fields s JOIN ox_fields b ON b.email_id = s.email_id AND b.doc_type = 'BL' WHERE s.doc_type = 'SI'")
 def ext11(t):
     p = pairs(t)
-    return p.select("email_id", X.backfill(F.col("bl"), F.col("si")).alias("m")).select("email_id", "m.shipper", "m.gross_weight_kg")
+    return p.select("email_id", X.backfill(F.col("bl"), F.col("si")).alias("m")).select("email_id", "m.*")
 
 
-@query("ext10_best_reading", "SELECT email_id, CAST(max(c) AS INT) AS field_count FROM (SELECT email_id, " + " + ".join(f"CAST({f} IS NOT NULL AS INT)" for f in rules.COMPARED_FIELDS) + " AS c FROM ox_fields f JOIN fx_docs d USING (email_id, doc_type) WHERE d.text <> '') x GROUP BY email_id")
+@query("ext10_best_reading", "SELECT email_id, CAST(max(c) AS INT) AS field_count FROM (SELECT d.email_id, " + " + ".join(f"CAST({f} IS NOT NULL AS INT)" for f in rules.COMPARED_FIELDS) + " AS c FROM ox_fields f JOIN fx_docs d ON d.path = f.path WHERE d.text <> '' AND NOT (d.doc_type = 'SI' AND d.k % 3 = 0)) x GROUP BY email_id")
 def ext10(t):
-    # Two readings per mail: the instruction's text and the draft's; here both are full or empty.
-    c = t.docs.select("email_id", F.when(F.col("doc_type") == "SI", 0).otherwise(1).alias("rung"), "text")
+    # Two readings per mail: the instruction's text, which every third mail lacks, and the draft's, with fewer fields in some.
+    c = t.docs.select("email_id", F.when(F.col("doc_type") == "SI", 0).otherwise(1).alias("rung"), F.when((F.col("doc_type") == "SI") & (F.col("k") % 3 == 0), "").otherwise(F.col("text")).alias("text"))
     return X.best_reading(c, ["email_id"]).select("email_id", F.col("yield").alias("field_count"))
 
 

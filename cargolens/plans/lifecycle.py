@@ -78,7 +78,7 @@ FROM ox_ident p JOIN ox_norm n ON n.email_id = p.email_id AND n.doc_type = p.doc
 
 
 @query("shp2_shipment_key", """SELECT email_id, doc_type, coalesce('REF:' || upper(reference), CASE WHEN shipper <> '' AND port_of_loading <> '' AND port_of_discharge <> ''
-    THEN 'SIG:' || left(sha256(concat_ws('|', shipper, port_of_loading, port_of_discharge)), 16) END, 'EMAIL:' || email_id) AS shipment_key FROM ox_sig""")
+    THEN 'SIG:' || sha256(concat_ws('|', shipper, port_of_loading, port_of_discharge)) END, 'EMAIL:' || email_id) AS shipment_key FROM ox_sig""")
 def shp2(t):
     d = K.read_documents(t.docs)
     n = F.col("norm")

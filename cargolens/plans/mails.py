@@ -112,7 +112,7 @@ _kind = "CASE p " + " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(r
 step("ox_declared", f"""
 SELECT d.path, d.email_id, d.doc_type, h.declared FROM fx_docs d LEFT JOIN (
   SELECT path, arg_min({_kind}, ln) AS declared FROM (SELECT path, ln, {_title} AS p FROM (
-    SELECT path, ln, {D.strip('line')} AS l, row_number() OVER (PARTITION BY path ORDER BY ln) AS r FROM ox_line WHERE {D.strip('line')} <> '') a WHERE r <= 4) b
+    SELECT path, ln, {D.strip('line')} AS l FROM ox_line WHERE NOT {D.has(D.squeeze('line'), X.ANY_LABEL)}) a) b
   WHERE p IS NOT NULL GROUP BY path) h ON h.path = d.path
 """)
 

@@ -36,8 +36,8 @@ def flt3(t):
     return Q.reply_queue(t.view("fx_enriched"), "DOCS", "reply", "Consignee").select("email_id")
 
 
-_ing = "SELECT 'ingested' AS origin, 'STG-' || email_id AS stage_id, 'OPS' AS source_mailbox, sender, subject, left(body, 120) AS snippet, 'AUTO_INGESTED' AS status, received_at AS created_at, k AS id FROM fx_emails"
-_stg = "SELECT 'staged' AS origin, stage_id, source_mailbox, sender, subject, left(body, 120) AS snippet, status, created_at, id FROM fx_staged"
+_ing = "SELECT 'ingested' AS origin, 'STG-' || email_id AS stage_id, 'OPS' AS source_mailbox, sender, subject, coalesce(body, '') AS body, 'AUTO_INGESTED' AS status, received_at AS created_at, k AS id FROM fx_emails"
+_stg = "SELECT 'staged' AS origin, stage_id, source_mailbox, sender, subject, coalesce(body, '') AS body, status, created_at, id FROM fx_staged"
 
 
 def staged_union(t):
@@ -46,9 +46,9 @@ def staged_union(t):
     return Q.staging_list(t.view("fx_staged"), ing)
 
 
-@query("flt4_staging_list", f"SELECT * FROM (SELECT * FROM ({_stg} UNION ALL {_ing}) x WHERE source_mailbox = 'OPS') y ORDER BY origin DESC, id DESC LIMIT 300")
+@query("flt4_staging_list", f"SELECT * FROM (SELECT * FROM ({_stg} UNION ALL {_ing}) x WHERE source_mailbox = 'OPS') y ORDER BY origin DESC, id DESC")
 def flt4(t):
-    return Q.page(staged_union(t).filter("source_mailbox = 'OPS'"), [F.col("origin").desc(), F.col("id").desc()], 0, 300)
+    return staged_union(t).filter("source_mailbox = 'OPS'").orderBy(F.col("origin").desc(), F.col("id").desc())
 
 
 @query("set1_tagged_union", f"SELECT origin, status, count(*) AS n FROM ({_stg} UNION ALL {_ing}) x GROUP BY ALL")
@@ -81,12 +81,12 @@ def flt8(t):
     return t.view("fx_all_mails").select("email_id", Q.origin_mailbox(F.col("email_id"), "BUNDLE", "OPS").alias("mailbox"))
 
 
-@query("flt9_safe_segment", "SELECT id, coalesce(nullif(left(regexp_replace(regexp_replace(regexp_extract(name, '([^/]*)$', 1), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 120), ''), 'file') AS segment FROM fx_files")
+@query("flt9_safe_segment", "SELECT id, coalesce(nullif(regexp_replace(regexp_replace(regexp_extract(name, '([^/]*)$', 1), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'file') AS segment FROM fx_files")
 def flt9(t):
     return t.view("fx_files").select("id", Q.safe_segment(F.col("name"), "file").alias("segment"))
 
 
-@query("flt11_shipment_search", "SELECT shipment_key FROM (SELECT shipment_key, min(filename) AS f FROM fx_regs GROUP BY ALL) x WHERE contains(lower(shipment_key || ' ' || f), 'shp-00') ORDER BY shipment_key LIMIT 8")
+@query("flt11_shipment_search", "SELECT shipment_key FROM (SELECT shipment_key, min(filename) AS f FROM fx_regs GROUP BY ALL) x WHERE contains(lower(shipment_key || ' ' || f), 'shp-00') ORDER BY shipment_key")
 def flt11(t):
     s = t.view("fx_regs").groupBy("shipment_key").agg(F.min("filename").alias("si_filename"))
     s = s.withColumn("reference_number", F.lit(None).cast("string")).withColumn("bl_filename", F.lit(None).cast("string"))

@@ -1,6 +1,8 @@
 """Incremental, streaming and evaluation queries."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -14,19 +16,19 @@ from .registry import query, step
 
 
 # ------------------------------------------------------------------- incremental
-@query("str1_mail_fingerprint", "SELECT m.email_id, sha256(concat_ws(chr(0), m.subject, m.body, d.parts)) AS fingerprint FROM fx_emails m LEFT JOIN (SELECT email_id, string_agg(path || chr(0) || text, chr(0) ORDER BY path) AS parts FROM fx_docs GROUP BY ALL) d ON d.email_id = m.email_id")
+@query("str1_mail_fingerprint", "SELECT m.email_id, sha256(concat_ws(chr(0), m.subject, m.body, d.parts)) AS fingerprint FROM fx_emails m LEFT JOIN (SELECT email_id, string_agg(path || chr(0) || sha256(text), chr(0) ORDER BY path) AS parts FROM fx_docs GROUP BY ALL) d ON d.email_id = m.email_id")
 def str1(t):
-    # A mail has at most two documents here; their list is bounded by the mail.
-    d = t.docs.groupBy("email_id").agg(F.array_sort(F.collect_list(F.struct("path", "text"))).alias("d"))
-    m = t.mails.join(d, "email_id", "left").withColumn("d", F.coalesce("d", F.expr("array()").cast("array<struct<path:string,text:string>>")))
-    return m.select("email_id", N.mail_fingerprint(F.col("subject"), F.col("body"), F.col("d.path"), F.col("d.text")).alias("fingerprint"))
+    # A mail has at most two documents here; their names and hashes are bounded by the mail.
+    d = t.docs.select("email_id", "path", F.sha2("text", 256).alias("hash")).groupBy("email_id").agg(F.array_sort(F.collect_list(F.struct("path", "hash"))).alias("d"))
+    m = t.mails.join(d, "email_id", "left").withColumn("d", F.coalesce("d", F.expr("array()").cast("array<struct<path:string,hash:string>>")))
+    return m.select("email_id", N.mail_fingerprint(F.col("subject"), F.col("body"), F.col("d.path"), F.col("d.hash")).alias("fingerprint"))
 
 
 REQ = """SELECT event_id AS req_id, CASE WHEN event_id % 3 = 0 THEN 'm' || CAST(user_id AS STRING) END AS message_id, CASE WHEN event_id % 4 = 0 THEN 'e' || CAST(event_id % 50 AS STRING) END AS email_id,
   't' || CAST(user_id % 20 AS STRING) AS thread_id, props AS content_hash FROM events"""
 RES = """SELECT event_id AS result_id, CASE WHEN event_id % 5 = 0 THEN 'm' || CAST(user_id + 1 AS STRING) END AS message_id, CASE WHEN event_id % 7 = 0 THEN 'e' || CAST(event_id % 60 AS STRING) END AS email_id,
   't' || CAST(user_id % 25 AS STRING) AS thread_id, props AS content_hash, CASE WHEN event_id % 2 = 0 THEN 'm' || CAST(user_id AS STRING) ELSE 'k' || CAST(event_id AS STRING) END AS cache_key FROM events WHERE event_type = 'view'"""
-step("ox_req", f"SELECT *, coalesce(email_id, message_id, 'MSG_' || upper(left(sha256(content_hash), 12))) AS resolved_id, coalesce(message_id, email_id, 'MSG_' || upper(left(sha256(content_hash), 12))) AS cache_key FROM ({REQ}) x")
+step("ox_req", f"SELECT *, coalesce(email_id, message_id, 'MSG_' || upper(sha256(content_hash))) AS resolved_id, coalesce(message_id, email_id, 'MSG_' || upper(sha256(content_hash))) AS cache_key FROM ({REQ}) x")
 step("ox_res", RES)
 
 
@@ -56,12 +58,12 @@ def str4(t):
     return N.reuse(N.probe(requests(t), res), res, F.col("req_id") % 9 == 0).select("req_id", "decision")
 
 
-@query("str5_unseen_messages", """SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id DESC LIMIT 200) s WHERE s.user_id = e.user_id OR s.props = e.props)""")
+@query("str5_unseen_messages", """SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'error' AND s.user_id // 3 = e.user_id) AND NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'error' AND lower(trim(s.props)) = lower(trim(e.props)))""")
 def str5(t):
     key = F.col("user_id").cast("string")
     e = t("events").withColumn("message_key", key).withColumn("subject", F.col("props"))
-    s = t("events").filter("event_type = 'view'").select(key.alias("message_key"), F.col("props").alias("subject"), F.col("ts").alias("received_at"), "event_id")
-    # The recent list orders by time; ids are unique, so ties cannot occur at the cut.
+    # The ledger holds the errors of every user, under another user's id.
+    s = t("events").filter("event_type = 'error'").select(F.expr("CAST(user_id DIV 3 AS STRING)").alias("message_key"), F.col("props").alias("subject"))
     return N.unseen(e, s).select("event_id")
 
 
@@ -97,13 +99,14 @@ def event_stream(t):
     return src
 
 
-@query("str5s_seen_once_stream", "SELECT count(DISTINCT user_id) AS n FROM events WHERE false UNION ALL SELECT count(DISTINCT event_id) FROM events")
+# Every event arrives twice.
+@query("str5s_seen_once_stream", "SELECT DISTINCT event_id FROM events")
 def str5s(t):
     out = J.work_dir(t.spark)
-    s = J.seen_once(event_stream(t).withColumn("at", F.col("ts").cast("timestamp")), "event_id", "at", "40 days").select("event_id")
+    twice = event_stream(t).withColumn("at", F.col("ts").cast("timestamp")).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    s = J.seen_once(twice, "event_id", "at", "40 days").select("event_id")
     J.run_to_end(s.writeStream.format("parquet").option("path", out + "/rows"), out + "/cp")
-    n = t.spark.read.parquet(out + "/rows").agg(F.count(F.lit(1)).alias("n"))
-    return n.unionByName(t("events").filter("false").agg(F.count_distinct("user_id").alias("n")))
+    return t.spark.read.parquet(out + "/rows")
 
 
 @query("str6_incremental_poll", "SELECT DISTINCT event_id FROM events")
@@ -131,12 +134,14 @@ def str8(t):
     boxes = F.when(F.length("props") > 8, F.substring("props", 7, 1))
     s = e.select(F.col("event_id").alias("reg_id"), F.concat(F.lit("REF:SHP-"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("shipment_key"), kind.alias("doc_type"),
                  V.content_hash(F.col("props")).alias("content_hash"), V.normalised_hash(F.create_map(F.lit("container_count"), boxes), F.col("props")).alias("normalized_hash"),
-                 F.when(F.col("event_id") % 23 != 0, F.col("ts")).alias("received_at"), F.col("ts").alias("created_at"))
+                 F.when(F.col("event_id") % 23 == 0, None).when(F.col("event_id") % 7 == 0, F.col("ts") - F.expr("INTERVAL '9' DAY")).otherwise(F.col("ts")).alias("received_at"), F.col("ts").alias("created_at"))
     J.revision_chain(s, out, out + "/cp")
     return J.current_chain(t.spark, out).select("reg_id", "version_number")
 
 
-@query("str13_delivery_stream", None)
+# Dispatches that got a notice; those without one come out when the watermark has passed them.
+@query("str13_delivery_stream", """SELECT d.event_id AS dispatch_id, min(e.event_id) AS first_notice, count(*) AS notices FROM events d JOIN events e ON e.user_id = d.user_id AND e.event_type = 'error' AND e.ts >= d.ts AND e.ts <= d.ts + INTERVAL 2 DAY
+  WHERE d.event_type = 'view' GROUP BY d.event_id""")
 def str13(t):
     out = J.work_dir(t.spark)
     at = F.col("ts").cast("timestamp")
@@ -144,7 +149,7 @@ def str13(t):
     e = event_stream(t).filter("event_type = 'error'").select(F.col("user_id").alias("message_id"), F.col("event_id").alias("notice_id"), at.alias("received_at"))
     j = J.delivery_join(d, e, "INTERVAL 2 DAYS").select("dispatch_id", "notice_id")
     J.run_to_end(j.writeStream.format("parquet").option("path", out + "/rows"), out + "/cp")
-    return t.spark.read.parquet(out + "/rows").groupBy("dispatch_id").agg(F.min("notice_id").alias("first_notice"), F.count("notice_id").alias("notices"))
+    return t.spark.read.parquet(out + "/rows").filter("notice_id IS NOT NULL").groupBy("dispatch_id").agg(F.min("notice_id").alias("first_notice"), F.count("notice_id").alias("notices"))
 
 
 # -------------------------------------------------------------------- evaluation
@@ -255,7 +260,24 @@ def evl10(t):
     return E.perturbed(t.docs, ["uppercase", "blank_lines", "collapse_lines"]).select("path", "perturbation", "text")
 
 
-@query("evl10b_hashed_variants", None)
+def _draw(n):
+    """The hash EVL10 uses instead of chance; list positions begin at 1 here."""
+    return f"(('0x' || substr(md5(path || ':' || (i - 1) || ':{n}'), 1, 8))::BIGINT % 100)"
+
+
+def _synonyms():
+    sql = "SELECT path, text AS t FROM fx_docs"
+    for canon, others in E.LABEL_SYNONYMS.items():
+        for other in others:
+            hit = f"('0x' || substr(md5(path || ':' || {D.q(other)}), 1, 8))::BIGINT % 2 = 0"
+            sql = f"SELECT path, CASE WHEN {hit} THEN regexp_replace(t, {D.q('(?is)^(.*?)' + re.escape(other) + '([' + chr(92) + 's]*[:：|])')}, {D.q(chr(92) + '1' + canon + chr(92) + '2')}) ELSE t END AS t FROM ({sql}) x"
+    return sql
+
+
+@query("evl10b_hashed_variants", f"""SELECT path, 'whitespace' AS perturbation, array_to_string(list_transform(l, lambda x, i: CASE WHEN {_draw(2)} < 15 THEN chr(9) ELSE '' END
+    || regexp_replace(x, '[ ' || chr(9) || ']+', CASE WHEN {_draw(1)} < 70 THEN ' ' ELSE '  ' END, 'g')), chr(10)) AS text FROM (SELECT path, string_split(text, chr(10)) AS l FROM fx_docs) a
+  UNION ALL SELECT path, 'nbsp', array_to_string(list_transform(l, lambda x, i: CASE WHEN {_draw(3)} < 30 THEN replace(x, ' ', chr(160)) ELSE x END), chr(10)) FROM (SELECT path, string_split(text, chr(10)) AS l FROM fx_docs) b
+  UNION ALL SELECT path, 'label_synonyms', t FROM ({_synonyms()}) c UNION ALL SELECT path, 'base', text FROM fx_docs""")
 def evl10b(t):
     return E.perturbed(t.docs, ["whitespace", "nbsp", "label_synonyms"]).select("path", "perturbation", "text")
 

@@ -58,7 +58,6 @@ LABELS = {
         r"eta\s*\(?", r"etd\s*/\s*eta",
     ],
 }
-MEGA_LINE_MIN = 120
 TRAILING_LABELS = (
     r"(?i)^(?:non[- ]negotiable|to the order of|notify(?:\s+party)?|port of loading"
     r"|load(?:ing)? port|pol|port of discharge|discharge port|pod"
@@ -151,8 +150,8 @@ ASKED_TO_COMPARE = (
     r"|verify\s+(?:the\s+)?b/?l\s+matches\s+the\s+si"
 )
 DOCUMENT_REQUEST = (
-    r"(?i)(?:please|pls|kindly)[^.]{0,60}?\b(?:assist\s+to\s+)?(?:send|provide|share|forward|issue)\b"
-    r"[^.]{0,60}?\b(?:draft\s+)?(?:b/?l|si|shipping instruction|bill of lading)\b"
+    r"(?i)(?:please|pls|kindly)[^.]*?\b(?:assist\s+to\s+)?(?:send|provide|share|forward|issue)\b"
+    r"[^.]*?\b(?:draft\s+)?(?:b/?l|si|shipping instruction|bill of lading)\b"
 )
 
 # ---- fixed values: document names and titles --------------------------------
@@ -171,7 +170,6 @@ SI_PHRASES = ["shippinginstruction", "siform"]
 BL_PHRASES = ["billoflading", "draftbl", "bldraft", "blcopy"]
 INVOICE_NAME = r"(?i)(invoice|inv[._-]?\d|commercial[._ -]?inv)"
 SYNTHETIC_MARK = ".frombody"
-HEADING_LINES = 4
 DOC_TITLES = [
     (r"SHIPPING\s+INSTRUCTION", "SI"),
     (r"BILL\s+OF\s+LADING\s+INSTRUCTION", "SI"),
@@ -201,7 +199,7 @@ REFERENCE_LABEL = (
     r"file|shipment\s+no)\s*"
     r"(?:no|number|#|num|id|ref)?\s*"
     r"[:.#\-–]*\s*"
-    r"([A-Z0-9][A-Z0-9]{1,19}(?:[-/_][A-Z0-9]{1,12}){0,2})"
+    r"([A-Z0-9][A-Z0-9]+(?:[-/_][A-Z0-9]+)*)"
 )
 NOT_A_REFERENCE = [
     "NO", "NUMBER", "REF", "REFERENCE", "TBA", "TBC", "TBD", "NA", "NIL", "NONE",
@@ -210,16 +208,16 @@ NOT_A_REFERENCE = [
 CONTAINER_NUMBER = r"\b([A-Z]{3}[UJZ]\d{7})\b"
 VESSEL = (
     r"(?i)\b(?:vessel(?:\s+name)?|ship\s+name|m\.?v\.?|m\.?s\.?c\.?)\s*[:.]?\s*"
-    r"([A-Z][A-Z0-9 .'&-]{2,40})"
+    r"([A-Z][A-Z0-9 .'&-]{2,})"
 )
 VESSEL_TAIL = r"(?i)\s+(?:v\.?|voy|voyage)\b.*$"
 VOYAGE = (
     r"(?i)\b(?:voyage|voy\.?|vessel\s+voyage|v\.)\s*"
-    r"(?:no|number|#)?\s*[:.]?\s*([A-Z0-9][A-Z0-9-]{1,11})\b"
+    r"(?:no|number|#)?\s*[:.]?\s*([A-Z0-9][A-Z0-9-]+)\b"
 )
 INVOICE_NUMBER = r"(?i)invoice\s*(?:no|number|#|num)\s*[:.#-]?\s*([A-Z0-9][A-Z0-9/_-]{2,})"
 INVOICE_TOTAL = (
-    r"(?i)(?:grand\s+total|total\s+amount|amount\s+due|total)\s*[^0-9]{0,16}"
+    r"(?i)(?:grand\s+total|total\s+amount|amount\s+due|total)\s*[^0-9\n]*"
     r"([0-9][0-9,]*(?:\.[0-9]{1,2})?)"
 )
 CURRENCY = r"\b(USD|EUR|MYR|GBP|SGD|CNY|AUD|JPY)\b"
@@ -240,8 +238,6 @@ JSON_IGNORED_SEGMENTS = [
     "data", "payload", "content", "contents", "body", "value", "values",
     "fields", "document", "doc", "root", "items", "records", "rows",
 ]
-JSON_MAX_DEPTH = 4
-JSON_MAX_LIST = 20
 EDI_SUFFIXES = [".edi", ".edifact", ".x12", ".edifile", ".ifcsum", ".iftmin"]
 EDIFACT_HEADS = ["UNA", "UNB", "UNG", "UNH"]
 UNIT_TO_KG = {

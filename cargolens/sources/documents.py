@@ -7,33 +7,47 @@ from .. import rules
 from ..functions import text as T
 
 
-def flatten_json(docs: DataFrame, levels: int = 8) -> DataFrame:
-    """SRC7: JSON documents as (path labels, value) rows.
+def json_depth(docs: DataFrame) -> int:
+    """Deepest nesting of any document: brackets of its text outside strings, counted."""
+    bare = F.regexp_replace(F.regexp_replace(F.to_json("v"), r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
-    Objects and lists are unfolded level by level with ``variant_explode``; each level is
-    a generator on the rows of the one before, so a document never leaves its task.
-    ``docs(doc, v VARIANT)``.
+    def step(a, c):
+        now = a["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    depth = F.aggregate(F.split(bare, ""), zero, step, lambda a: a["most"])
+    return docs.select(F.max(F.when(bare != "", depth).otherwise(0)).alias("d")).first().d or 0
+
+
+def flatten_json(docs: DataFrame) -> DataFrame:
+    """SRC7: JSON documents as (path labels, value) rows, to any depth.
+
+    Objects and lists are unfolded level by level with ``variant_explode_outer``; scalars and
+    lists of scalars pass a level unchanged, so the source is read once and a document never
+    leaves its task. A first aggregate finds how many levels there are. A value that spans
+    lines gives a row per line. ``docs(doc, v VARIANT)``.
     """
     spark = docs.sparkSession
     rows = docs.select("doc", "v", F.array().cast("array<string>").alias("path"))
-    out = None
-    for _ in range(levels):
-        kind = F.schema_of_variant("v")
-        is_list_of_scalars = F.startswith(kind, F.lit("ARRAY<")) & ~F.contains(kind, F.lit("OBJECT")) & ~F.startswith(kind, F.lit("ARRAY<ARRAY"))
-        nested = F.startswith(kind, F.lit("OBJECT")) | (F.startswith(kind, F.lit("ARRAY<")) & ~is_list_of_scalars)
-        rows = rows.withColumn("nested", nested).withColumn("kind", kind)
-        leaf = rows.filter("NOT nested").select("doc", _label("path"), _value(is_list_of_scalars).alias("value"))
-        out = leaf if out is None else out.unionByName(leaf)
-        rows.filter("nested").createOrReplaceTempView("_json_level")
-        rows = spark.sql("SELECT doc, path, k.key, k.value AS v FROM _json_level, LATERAL variant_explode(v) k")
+    for _ in range(json_depth(docs)):
+        rows = rows.withColumn("nested", _is_nested(F.schema_of_variant("v")))
+        inside = F.when(F.col("nested"), F.col("v"))
+        child = rows.withColumn("inside", inside).lateralJoin(spark.tvf.variant_explode_outer(F.col("inside").outer()))
         named = F.col("key").isNotNull() & ~F.lower(F.trim("key")).isin(rules.JSON_IGNORED_SEGMENTS)
-        rows = rows.select("doc", "v", F.when(named, F.concat("path", F.array(T.label_from_key(F.col("key"))))).otherwise(F.col("path")).alias("path"))
-    return out.filter("value <> '' AND label <> ''")
+        rows = child.filter("NOT nested OR value IS NOT NULL").select(
+            "doc", F.when(F.col("nested"), F.col("value")).otherwise(F.col("v")).alias("v"),
+            F.when(F.col("nested") & named, F.concat("path", F.array(T.label_from_key(F.col("key"))))).otherwise(F.col("path")).alias("path"))
+    kind = F.schema_of_variant("v")
+    rows = rows.withColumn("kind", kind).select("doc", F.array_join("path", " ").alias("label"), _value(F.startswith(kind, F.lit("ARRAY<"))).alias("value"))
+    lines = rows.select("doc", "label", F.explode(F.split("value", "\n")).alias("value")).withColumn("value", T.strip(F.col("value")))
+    return lines.filter("value <> '' AND label <> ''")
 
 
-def _label(path: str) -> Column:
-    depth = F.greatest(F.size(path) - rules.JSON_MAX_DEPTH + 1, F.lit(1))
-    return F.array_join(F.slice(path, depth, rules.JSON_MAX_DEPTH), " ").alias("label")
+def _is_nested(kind: Column) -> Column:
+    """Objects, and lists of anything but scalars."""
+    scalars = F.startswith(kind, F.lit("ARRAY<")) & ~F.contains(kind, F.lit("OBJECT")) & ~F.startswith(kind, F.lit("ARRAY<ARRAY")) & (kind != "ARRAY<VARIANT>")
+    return F.startswith(kind, F.lit("OBJECT")) | (F.startswith(kind, F.lit("ARRAY<")) & ~scalars)
 
 
 def scalar_text(raw: Column) -> Column:
@@ -46,8 +60,7 @@ def scalar_text(raw: Column) -> Column:
 
 
 def _value(is_list: Column) -> Column:
-    items = F.slice(F.try_variant_get("v", "$", "array<string>"), 1, rules.JSON_MAX_LIST)
-    joined = F.array_join(F.filter(F.transform(items, scalar_text), lambda x: x != ""), ", ")
+    joined = F.array_join(F.filter(F.transform(F.try_variant_get("v", "$", "array<string>"), scalar_text), lambda x: x != ""), ", ")
     one = F.try_variant_get("v", "$", "string")
     quoted = F.col("kind") == "STRING"
     return F.when(is_list, joined).when(quoted, T.strip(F.regexp_replace(one, r"[^\S\n]+", " "))).otherwise(scalar_text(one))
@@ -69,11 +82,31 @@ def csv_lines(text: Column) -> Column:
 
 
 def xml_lines(text: Column) -> Column:
-    """SRC10: ``Label | value`` for every element with text."""
-    tag = r"<(?:[\w.-]+:)?([A-Za-z_][\w.-]*)(?:\s[^>]*)?>([^<]*[^<\s][^<]*)<"
-    rows = F.zip_with(F.regexp_extract_all(text, F.lit(tag), F.lit(1)), F.regexp_extract_all(text, F.lit(tag), F.lit(2)),
-                      lambda k, v: F.concat(T.label_from_key(k), F.lit(" | "), T.squeeze(v)))
-    return F.array_join(rows, "\n")
+    """SRC10: ``Label | value`` for every element whose start tag is followed by text.
+
+    Comments, declarations and instructions are skipped, CDATA is text, and entities are
+    decoded once the tags are cut.
+    """
+    plain = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->|<\?.*?\?>|<!(?!\[CDATA\[)[^>]*>", ""), r"(?s)<!\[CDATA\[(.*?)\]\]>", _HELD_LT[0] + "$1" + _HELD_LT[1])
+    # Inside CDATA a tag opener is text: it is held while tags are cut.
+    held = F.array_join(F.transform(F.split(plain, _HELD_LT[0]), lambda p, i: F.when(i == 0, p).otherwise(
+        F.concat(F.replace(F.replace(F.split_part(p, F.lit(_HELD_LT[1]), F.lit(1)), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.split_part(p, F.lit(_HELD_LT[1]), F.lit(2))))), "")
+    tag = r"<(?:[\w.-]+:)?([A-Za-z_][\w.-]*)(?:\s[^>]*)?>([^<]*[^<\s][^<]*)(?=<)"
+
+    def row(xml):
+        return F.zip_with(F.regexp_extract_all(xml, F.lit(tag), F.lit(1)), F.regexp_extract_all(xml, F.lit(tag), F.lit(2)),
+                          lambda k, v: F.concat(T.label_from_key(k), F.lit(" | "), T.squeeze(_decoded(v))))
+
+    return F.array_join(T.let(held, row), "\n")
+
+
+_HELD_LT = chr(0xE013), chr(0xE014)
+
+
+def _decoded(c: Column) -> Column:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
 
 
 def edi_syntax(name: Column, text: Column) -> Column:
@@ -81,7 +114,7 @@ def edi_syntax(name: Column, text: Column) -> Column:
     return (
         F.when(F.startswith(text, F.lit("ISA")), "x12").when(text.rlike("^(?:" + "|".join(rules.EDIFACT_HEADS) + ")"), "edifact")
         .when(F.endswith(F.lower(name), F.lit(".x12")), "x12")
-        .when(F.regexp_count(F.substring(text, 1, 4096), F.lit(r"(?m)^[A-Z][A-Z0-9]{2}\+.*$")) >= 3, "edifact")
+        .when(F.regexp_count(text, F.lit(r"(?m)^[A-Z][A-Z0-9]{2}\+.*$")) >= 3, "edifact")
         .when(F.lower(name).rlike("(?:" + "|".join(s.replace(".", r"\.") for s in rules.EDI_SUFFIXES) + ")$"), "edifact")
     )
 
@@ -137,14 +170,14 @@ def edifact_lines(text: Column) -> Column:
     def line(seg):
         tag, q1 = F.upper(_comp(seg, 0)), F.upper(_comp(seg, 1))
         row = lambda label, v: F.when((v != "") & label.isNotNull(), F.array(F.concat(label, F.lit(" | "), v)))
-        joined = F.filter(F.transform(F.slice(seg, 4, 7), lambda e: F.array_join(F.filter(e, lambda x: x != ""), " ")), lambda x: x != "")
+        joined = F.filter(F.transform(F.slice(seg, 4, F.size(seg)), lambda e: F.array_join(F.filter(e, lambda x: x != ""), " ")), lambda x: x != "")
         party = _lookup(rules.EDIFACT_PARTIES, q1)
         name = F.coalesce(F.get(joined, 0), _comp(seg, 2))
-        address = F.array_join(F.filter(F.slice(joined, 2, 9), lambda x: x != name), " ")
+        address = F.array_join(F.filter(F.slice(joined, 2, F.size(joined)), lambda x: x != name), " ")
         party_rows = F.when(party.isNotNull() & (name != ""), F.filter(F.array(F.concat(party, F.lit(" | "), name), address), lambda x: x != ""))
-        kg = _mass(F.flatten(F.slice(seg, 4, 3)))
+        kg = _mass(F.flatten(F.slice(seg, 4, F.size(seg))))
         weigh = (q1 == "WT") | F.upper(_comp(seg, 2)).isin(rules.WEIGHT_DIMENSIONS)
-        free = F.filter(F.transform(F.slice(seg, 4, 4), lambda e: T.squeeze(F.array_join(F.filter(e, lambda x: x != ""), ":"))),
+        free = F.filter(F.transform(F.slice(seg, 4, F.size(seg)), lambda e: T.squeeze(F.array_join(F.filter(e, lambda x: x != ""), ":"))),
                         lambda x: (F.length(x) >= 3) & x.rlike(r"\p{L}"))
         return (
             F.when(tag == "NAD", party_rows).when(tag == "LOC", row(_lookup(rules.EDIFACT_PLACES, q1), T.place(F.get(seg, 2))))
@@ -186,15 +219,15 @@ def x12_lines(text: Column) -> Column:
     def line(s):
         tag, q = F.upper(at(s, 0)), F.upper(at(s, 1))
         row = lambda label, v: F.when(label.isNotNull() & (v != ""), F.concat(label, F.lit(" | "), v))
-        kg = F.coalesce(_mass(F.slice(s, 4, 9)), F.replace(F.get(F.filter(F.slice(s, 4, 9), lambda x: x.rlike(r"^-?[\d.,]+$")), 0), F.lit(","), F.lit("")).try_cast("double"))
+        kg = F.coalesce(_mass(F.slice(s, 4, F.size(s))), F.replace(F.get(F.filter(F.slice(s, 4, F.size(s)), lambda x: x.rlike(r"^-?[\d.,]+$")), 0), F.lit(","), F.lit("")).try_cast("double"))
         fmt = F.coalesce(T.blank_to_null(at(s, 3)), F.when(F.length(F.regexp_replace(at(s, 2), r"\D", "")) >= 8, "102").otherwise(""))
         return (
             F.when(tag == "N1", row(_lookup(rules.X12_PARTIES, q), at(s, 2))).when(tag == "N3", at(s, 1))
-            .when(tag == "N4", F.array_join(F.filter(F.slice(s, 2, 9), lambda x: x != ""), ", "))
+            .when(tag == "N4", F.array_join(F.filter(F.slice(s, 2, F.size(s)), lambda x: x != ""), ", "))
             .when((tag == "MEA") & q.isin("WT", "AAE") & F.upper(at(s, 2)).isin(rules.WEIGHT_DIMENSIONS) & kg.isNotNull(),
                   F.concat(F.lit("Gross Weight (KG) | "), F.format_number(kg, 2), F.lit(" KG")))
             .when(tag == "DTM", row(_lookup(rules.EDI_DATES, q), T.edi_date(at(s, 2), fmt)))
-            .when(tag == "NTE", T.blank_to_null(T.squeeze(at(s, 2)))).when(tag == "R4", row(_lookup(rules.X12_PORTS, at(s, 1)), T.place(F.slice(s, 4, 9))))
+            .when(tag == "NTE", T.blank_to_null(T.squeeze(at(s, 2)))).when(tag == "R4", row(_lookup(rules.X12_PORTS, at(s, 1)), T.place(F.slice(s, 4, F.size(s)))))
         )
 
     def message(segs):

@@ -35,9 +35,16 @@ def insert_new(stored: DataFrame, incoming: DataFrame, key: str = "email_id") ->
 
 
 def read_attachments(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """SRC4: attachment bytes; a size bound is checked on metadata before content is read."""
+    """SRC4: attachment bytes with ``refused``, null or the reason a file's content is not read.
+
+    A size bound is checked on metadata; a file over it keeps its row, without content.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return df.filter(F.col("length") <= max_bytes) if max_bytes else df
+    if max_bytes is None:
+        return df.withColumn("refused", F.lit(None).cast("string"))
+    small = df.filter(F.col("length") <= max_bytes).withColumn("refused", F.lit(None).cast("string"))
+    large = df.filter(F.col("length") > max_bytes).select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"), F.lit("larger than the limit").alias("refused"))
+    return small.unionByName(large)
 
 
 def inbox(corpus: DataFrame, stored: DataFrame, include_ingested: bool = True) -> DataFrame:
@@ -71,10 +78,10 @@ def html_to_lines(html: Column) -> Column:
 
 
 def nested_documents(nested: DataFrame) -> DataFrame:
-    """SRC15: headers and body of a nested mail as one fallback document (4,000 characters)."""
+    """SRC15: headers and body of a nested mail as one fallback document."""
     stem = F.regexp_replace(F.regexp_extract("filename", r"([^/\\]*)$", 1), r"(?i)\.(?:eml|msg)$", "")
     text = T.strip(F.concat_ws("\n", F.concat(F.lit("From: "), F.col("sender")), F.concat(F.lit("Subject: "), F.col("subject")), F.col("body")))
-    return nested.select("email_id", F.concat(stem, F.lit(".frombody.txt")).alias("path"), F.substring(text, 1, 4000).alias("text")).filter("text <> ''")
+    return nested.select("email_id", F.concat(stem, F.lit(".frombody.txt")).alias("path"), text.alias("text")).filter("text <> ''")
 
 
 def unbundle(mails: DataFrame) -> DataFrame:
