@@ -147,7 +147,7 @@ def str13(t):
     at = F.col("ts").cast("timestamp")
     d = event_stream(t).filter("event_type = 'view'").select(F.col("event_id").alias("dispatch_id"), F.col("user_id").alias("message_id"), at.alias("created_at"))
     e = event_stream(t).filter("event_type = 'error'").select(F.col("user_id").alias("message_id"), F.col("event_id").alias("notice_id"), at.alias("received_at"))
-    j = J.delivery_join(d, e, "INTERVAL 2 DAYS").select("dispatch_id", "notice_id")
+    j = J.delivery_join(d, e, "INTERVAL 2 DAYS", "1 hour").select("dispatch_id", "notice_id")
     J.run_to_end(j.writeStream.format("parquet").option("path", out + "/rows"), out + "/cp")
     return t.spark.read.parquet(out + "/rows").filter("notice_id IS NOT NULL").groupBy("dispatch_id").agg(F.min("notice_id").alias("first_notice"), F.count("notice_id").alias("notices"))
 

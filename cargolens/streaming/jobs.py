@@ -30,22 +30,43 @@ def run_to_end(writer, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def seen_once(stream: DataFrame, key: str, stamp: str, delay: str = "1 hour") -> DataFrame:
+def seen_once(stream: DataFrame, key: str, stamp: str, delay: str) -> DataFrame:
     """STR5: messages deduplicated by id within a watermark; state older than it is dropped."""
     return stream.withWatermark(stamp, delay).dropDuplicatesWithinWatermark([key])
 
 
+BUCKETS = 64  # of stored history; a batch reads the buckets of its own keys only
+
+
+def _bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+
+
+def _write(df: DataFrame, path: str) -> None:
+    df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def _history(batch: DataFrame, path: str, schema) -> DataFrame:
+    """Stored rows in the buckets that a batch touches: partition pruning skips all others."""
+    touched = [r.bucket for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+    return _read(batch.sparkSession, path, schema).filter(F.col("bucket").isin(touched))
+
+
 def incremental_poll(stream: DataFrame, key: str, out: str, checkpoint: str) -> None:
-    """STR6: each polled mail once, skipping those the ledger already holds."""
+    """STR6: each polled mail once, skipping those the ledger already holds.
+
+    Of several rows with one key in a batch the smallest stays, so a repeated batch is the same.
+    """
     run = checkpoint.rstrip("/").rsplit("/", 1)[-1]  # stable per checkpoint, so a repeated batch overwrites itself
-    ledger = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.StringType())])
+    ledger = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.StringType()), T.StructField("bucket", T.IntegerType())])
+    rest = [c for c in stream.columns if c != key]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         tag = f"{run}-{batch_id}"
-        done = _read(batch.sparkSession, out, ledger)
-        done = done.filter(F.col("batch_id") != tag).select(key).distinct()
-        fresh = batch.dropDuplicates([key]).join(done, key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch_id={tag}")
+        once = batch.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*")
+        once = _bucketed(once, [key])
+        done = _history(once, out, ledger).filter(F.col("batch_id") != tag).select(key, "bucket").distinct()
+        _write(once.join(done, [key, "bucket"], "left_anti"), f"{out}/batch_id={tag}")
 
     run_to_end(stream.writeStream.foreachBatch(step), checkpoint)
 
@@ -55,19 +76,18 @@ def counterpart_pass(stream: DataFrame, out: str, checkpoint: str) -> None:
 
     ``stream(ref, kind, email_id, path)``. Halves are kept as a table, one first path per
     (reference, kind) and micro-batch after a map-side ``min``, so a hot reference adds one
-    row per batch. A half is paired as soon as both kinds are known, in either order.
+    row per batch. A half is paired as soon as both kinds are known, in either order. Pairs of
+    one reference may be written again with an earlier path; readers take the first.
     """
-    schema = "ref string, kind string, path string, batch_id int"
+    schema = "ref string, kind string, path string, batch_id int, bucket int"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        first = batch.groupBy("ref", "kind").agg(F.min("path").alias("path"))
-        first.write.mode("overwrite").parquet(f"{out}/halves/batch_id={batch_id}")
-        known = _read(spark, f"{out}/halves", schema).groupBy("ref", "kind").agg(F.min("path").alias("path"))
+        first = _bucketed(batch.groupBy("ref", "kind").agg(F.min("path").alias("path")), ["ref"])
+        _write(first, f"{out}/halves/batch_id={batch_id}")
+        known = _history(first, f"{out}/halves", schema).groupBy("ref", "kind").agg(F.min("path").alias("path"))
         touched = batch.select("ref").distinct()
-        si = known.filter("kind = 'SI'").select("ref", F.col("path").alias("si_path"))
-        bl = known.filter("kind = 'BL'").select("ref", F.col("path").alias("bl_path"))
-        pairs = si.join(bl, "ref").join(touched, "ref", "left_semi")
+        side = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("path"))).alias(kind.lower() + "_path")
+        pairs = known.join(touched, "ref", "left_semi").groupBy("ref").agg(side("SI"), side("BL")).filter("si_path IS NOT NULL AND bl_path IS NOT NULL")
         pairs.write.mode("overwrite").parquet(f"{out}/pairs/batch_id={batch_id}")
 
     run_to_end(stream.writeStream.foreachBatch(step), checkpoint)
@@ -76,14 +96,17 @@ def counterpart_pass(stream: DataFrame, out: str, checkpoint: str) -> None:
 def revision_chain(stream: DataFrame, out: str, checkpoint: str) -> None:
     """STR8: revisions in any order; the chains of touched documents are renumbered.
 
-    A late older document is inserted as history, as in the batch form.
+    A late older document is inserted as history, as in the batch form. A registration that
+    arrives again counts once.
     """
-    schema = stream.schema
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{out}/regs/batch_id={batch_id}")
-        regs = _read(spark, f"{out}/regs", schema).join(batch.select(*V.DOC).distinct(), V.DOC, "left_semi")
+        marked = _bucketed(batch, V.DOC)
+        _write(marked, f"{out}/regs/batch_id={batch_id}")
+        regs = _history(marked, f"{out}/regs", schema).join(batch.select(*V.DOC).distinct(), V.DOC, "left_semi")
+        rest = [c for c in stream.columns if c != "reg_id"]
+        regs = regs.groupBy("reg_id").agg(F.min(F.struct(*rest)).alias("r")).select("reg_id", "r.*")
         V.document_versions(regs).write.mode("overwrite").parquet(f"{out}/chain/batch_id={batch_id}")
 
     run_to_end(stream.writeStream.foreachBatch(step), checkpoint)
@@ -96,14 +119,16 @@ def current_chain(spark: SparkSession, out: str) -> DataFrame:
     return (rows.groupBy("reg_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select("reg_id", "r.*"))
 
 
-def delivery_join(dispatches: DataFrame, events: DataFrame, within: str = "INTERVAL 60 DAYS") -> DataFrame:
+def delivery_join(dispatches: DataFrame, events: DataFrame, within: str, delay: str) -> DataFrame:
     """STR13: dispatches with the delivery events that follow them, as both arrive.
 
     A left outer stream-stream join on the message id with watermarks on both sides and
-    a time bound, so that state is dropped and unmatched dispatches come out once.
+    a time bound, so that state is dropped and unmatched dispatches come out once. Both bounds
+    are the caller's: events later than ``delay`` behind the newest, or than ``within`` after
+    their dispatch, are left to the batch form, which joins without bounds.
     """
-    d = dispatches.withWatermark("created_at", "1 hour")
-    e = events.withWatermark("received_at", "1 hour").withColumnRenamed("message_id", "event_message_id")
+    d = dispatches.withWatermark("created_at", delay)
+    e = events.withWatermark("received_at", delay).withColumnRenamed("message_id", "event_message_id")
     cond = (F.col("message_id") == F.col("event_message_id")) & (F.col("received_at") >= F.col("created_at")) & (
         F.col("received_at") <= F.col("created_at") + F.expr(within))
     return d.join(e, cond, "left_outer")
