@@ -1,8 +1,8 @@
 """Chat formatting: segments encoded apart, reserved ids between them, masks by prefix sums."""
 from __future__ import annotations
 
+import base64
 import hashlib
-import os
 import re
 from functools import lru_cache
 
@@ -28,72 +28,85 @@ def unescape(text: str) -> str:
     return _BACK.sub(lambda m: m[1] or "", text)
 
 
+# The pattern that cuts a text before the merges of the rank file.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SLICE = 512  # turns handled at once
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """The byte-level tokenizer of a worker, and its first free id, where the reserved ids begin."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    """The byte-level tokenizer of a worker from a rank file, and its first free id, where the reserved ids begin."""
+    import tiktoken
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    t.encode_special_tokens = True
-    return t, t.get_vocab_size(with_added_tokens=True)
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
 
 
 PIECES = "conv_id {id}, piece long, start long, ids array<int>, loss array<tinyint>"
 
 
+def _slices(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
+def _lists(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(flat))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column end to end, and each list's length."""
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _encoded(batches, path: str):
     """Each turn by itself: its ids with reserved ids spliced in, and its loss mask.
 
-    All segments of a batch are laid end to end. The mask gets +1 where a trained text
+    The turns of a slice are laid end to end. The mask gets +1 where a trained text
     begins and -1 where it ends; the prefix sum of these is the mask.
     """
     t, reserved = encoder(path)
-    for b in batches:
-        roles, texts = b.column("role").to_pylist(), b.column("text").to_pylist()
-        if not roles:
-            continue
-        segments = t.encode_batch([escape(s) for pair in zip(roles, texts) for s in pair], add_special_tokens=False)
-        ids, lengths, marks = [], np.empty(len(roles), np.int64), []
+    for b in _slices(batches):
+        ids, lengths, marks = [], [], []
         at = 0
-        for i, role in enumerate(roles):
-            head, body = segments[2 * i].ids, segments[2 * i + 1].ids
-            turn = [reserved + OPEN, *head, reserved + BODY, *body, reserved + CLOSE]
+        for role, text in zip(b.column("role").to_pylist(), b.column("text").to_pylist()):
+            head, body = t.encode_ordinary(escape(role)), t.encode_ordinary(escape(text))
             if role == TRAINED_ROLE:
                 marks.append((at + len(head) + 2, at + len(head) + 2 + len(body)))
-            ids.append(np.array(turn, np.int32))
-            lengths[i] = len(turn)
-            at += len(turn)
+            ids += [reserved + OPEN, *head, reserved + BODY, *body, reserved + CLOSE]
+            lengths.append(len(head) + len(body) + 3)
+            at += lengths[-1]
         delta = np.zeros(at + 1, np.int8)
         for a, z in marks:
             delta[a] += 1
             delta[z] -= 1
         loss = np.cumsum(delta[:-1], dtype=np.int8)
-        offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [b.column("conv_id"), b.column("turn"), b.column("tie"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids))), pa.ListArray.from_arrays(offsets, pa.array(loss))],
+            [b.column("conv_id"), b.column("turn"), b.column("tie"), _lists(np.array(ids, np.int32), lengths), _lists(loss, lengths)],
             names=["conv_id", "turn", "tie", "ids", "loss"])
 
 
 def _assembled(batches, reserved: int):
     """Turns in order of conversation and turn: numbers the pieces, keeps the token offset, opens each conversation."""
     conv, piece, start = object(), 0, 0
-    for b in batches:
-        out = {"piece": [], "start": [], "ids": [], "loss": []}
-        ids, loss = b.column("ids").to_pylist(), b.column("loss").to_pylist()
-        for c, i, m in zip(b.column("conv_id").to_pylist(), ids, loss):
+    for b in _slices(batches):
+        (ids, lengths), (loss, _) = _flat(b.column("ids")), _flat(b.column("loss"))
+        first, pieces, starts = [], [], []
+        for row, (c, n) in enumerate(zip(b.column("conv_id").to_pylist(), lengths.tolist())):
             if c != conv:
                 conv, piece, start = c, 0, 0
-                i, m = [reserved + BEGIN, *i], [0, *m]
-            out["piece"].append(piece)
-            out["start"].append(start)
-            out["ids"].append(i)
-            out["loss"].append(m)
-            piece, start = piece + 1, start + len(i)
+                first.append(row)
+                n += 1
+            pieces.append(piece)
+            starts.append(start)
+            piece, start = piece + 1, start + n
+        opened = (np.cumsum(lengths) - lengths)[first]
+        lengths[first] += 1
         yield pa.RecordBatch.from_arrays(
-            [b.column("conv_id"), pa.array(out["piece"], pa.int64()), pa.array(out["start"], pa.int64()), pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["loss"], pa.list_(pa.int8()))],
+            [b.column("conv_id"), pa.array(pieces, pa.int64()), pa.array(starts, pa.int64()),
+             _lists(np.insert(ids, opened, reserved + BEGIN).astype(np.int32), lengths), _lists(np.insert(loss, opened, 0).astype(np.int8), lengths)],
             names=["conv_id", "piece", "start", "ids", "loss"])
 
 
@@ -142,25 +155,30 @@ def _read(batches, path: str, id_type):
         kinds = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    for b in batches:
-        rows, parsed, pending = [], [], []
+    text_of = lambda ids: t.decode_bytes(ids).decode()
+    for b in _slices(batches):
+        rows = []
         id_type = b.schema.field("conv_id").type
-        for c, ids, loss in zip(b.column("conv_id").to_pylist(), b.column("ids").to_pylist(), b.column("loss").to_pylist()):
-            controls = [k for k, i in enumerate(ids) if i >= reserved]
-            opened, body, close = controls[-3:]
-            if [ids[k] - reserved for k in (opened, body, close)] != [OPEN, BODY, CLOSE]:
+        (ids, lengths), (loss, _) = _flat(b.column("ids")), _flat(b.column("loss"))
+        ends = np.cumsum(lengths)
+        controls = np.flatnonzero(ids >= reserved)
+        of_row = np.searchsorted(controls, np.concatenate(([0], ends)))
+        for row, c in enumerate(b.column("conv_id").to_pylist()):
+            here = controls[of_row[row]:of_row[row + 1]]
+            kinds = (ids[here] - reserved).tolist()
+            if kinds not in ([OPEN, BODY, CLOSE], [BEGIN, OPEN, BODY, CLOSE]):
                 raise ValueError("a piece is not one turn")
-            pending += [ids[opened + 1:body], ids[body + 1:close], [i for i, m in zip(ids, loss) if m]]
-            parsed.append((c, sum(len(CONTROL[ids[k] - reserved]) for k in controls)))
-        texts = t.decode_batch(pending, skip_special_tokens=False)
-        for k, (c, control_chars) in enumerate(parsed):
-            role, text, trained = texts[3 * k:3 * k + 3]
+            opened, body, close = here[-3:].tolist()
+            role, text = text_of(ids[opened + 1:body].tolist()), text_of(ids[body + 1:close].tolist())
+            span = slice(ends[row] - lengths[row], ends[row])
+            masked = ids[span][loss[span] != 0]
+            trained = text if np.array_equal(masked, ids[body + 1:close]) else text_of(masked.tolist())
             if now is None or now.conv != c:
                 if now is not None:
                     rows.append(now.row())
                 now = _Digest(c)
             now.turns += 1
-            now.chars += control_chars + len(role) + len(text)
+            now.chars += sum(len(CONTROL[k]) for k in kinds) + len(role) + len(text)
             now.all.update(f"{unescape(role)}\n{unescape(text)}\n".encode())
             trained = unescape(trained)
             now.loss_chars += len(trained)

@@ -127,7 +127,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-BYTE_BPE, BYTE_RANKS, WORD_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
+BYTE_RANKS, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 CONTROL_STRING_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
@@ -144,7 +144,7 @@ FROM c_len GROUP BY conv_id""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.createDataFrame(CONTROL_STRING_TURNS, "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    path = public_tokenizers.path(BYTE_BPE)
+    path = public_tokenizers.path(BYTE_RANKS)
     return read_back(format_chats(turns, path), path, clustered=True)
 
 
