@@ -7,11 +7,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cargolens.llm import bpe
-from cargolens.llm.common import shared_folder
 from cargolens.llm.jaccard import one_of_each
 from cargolens.llm.mixing import mixed_documents
 from cargolens.llm.quality import keep_good
 from cargolens.llm.secrets import redacted
+from cargolens.shared import shared_folder
 
 WORD_BPE = "word_bpe_49k.json"
 
