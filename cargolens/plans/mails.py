@@ -172,8 +172,9 @@ def doc9(t):
         "email_id", F.col("inline_path").alias("path"), F.col("inline_text").alias("text"))
 
 
-# Stored files of other mails: one file per order, named by shipment reference.
-STORED = """SELECT 'store/' || CAST(k % 3 AS STRING) || '/SHP-' || lpad(CAST(k AS STRING),6,'0') || '_' || doc_type || '_' || CAST(k % 2 AS STRING) || '.txt' AS path FROM fx_docs"""
+# Stored files of other mails, named by shipment reference; the draft some half-mails lack came with another mail.
+STORED = """SELECT 'store/' || CAST(k % 3 AS STRING) || '/SHP-' || lpad(CAST(k AS STRING),6,'0') || '_' || doc_type || '_' || CAST(k % 2 AS STRING) || '.txt' AS path FROM fx_docs
+UNION ALL SELECT 'store/9/SHP-' || lpad(CAST(k AS STRING),6,'0') || '_BL_0.txt' FROM fx_ship WHERE f = 10"""
 
 
 step("ox_stored", STORED)
