@@ -36,7 +36,7 @@ CLASSES = (
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(?:[-_][0-9a-fA-F]{4}){3}[-_][0-9a-fA-F]{12}$",
     r"(?i)example|sample|placeholder|changeme|xxxxx|12345678",
-    r"^[A-Za-z]*(?:[/_-][A-Za-z]+)+[/_-]?[0-9]{0,4}$",
+    r"^[A-Za-z]*+(?:[/_-][A-Za-z]++)++[/_-]?[0-9]{0,4}$",
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
     r"^[A-Za-z]+[0-9]{0,4}$",
 )
