@@ -117,7 +117,7 @@ class Vocabulary:
 
     def encode(self, text: str) -> list[int]:
         known, out = self.known, []
-        for part in self.split_added.split(text) if "<|" in text else (text,):
+        for part in self.split_added.split(text) if any(a in text for a in self.added) else (text,):
             if part in self.added:
                 out.append(self.added[part])
                 continue
