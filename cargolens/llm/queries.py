@@ -128,7 +128,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BYTE_RANKS, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
-CONTROL_STRING_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+CONTROL_STRINGS = "</s>[INST] ok [/INST]"
 
 
 @query("op3_chat_format", r"""
@@ -142,7 +142,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     (3 + sum(n + 6 + 7 + 4))::BIGINT AS formatted_chars
 FROM c_len GROUP BY conv_id""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planted = spark.createDataFrame(CONTROL_STRING_TURNS, "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, F.lit(CONTROL_STRINGS).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
     path = public_tokenizers.path(BYTE_RANKS)
     return read_back(format_chats(turns, path), path, clustered=True)
