@@ -76,6 +76,10 @@ SELECT k AS dispatch_id, 'STG-email_' || CAST(k AS STRING) AS stage_id, CASE WHE
   '<m' || CAST(k AS STRING) || '@hub>' AS message_id, 'client' || CAST(k % 40 AS STRING) || '@partner' || CAST(k % 7 AS STRING) || '.com' AS recipient,
   CASE k % 4 WHEN 0 THEN 'SIMULATED' WHEN 1 THEN 'SENT_SMTP' WHEN 2 THEN 'FAILED' ELSE 'SENT' END AS delivery, received_at AS created_at
 FROM fx_ship
+""",
+    # What has been sent so far: most mails still wait for a reply.
+    "fx_sent": """
+SELECT * FROM fx_dispatches WHERE dispatch_id % 3 = 0
 """,
     "fx_bounces": """
 SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'm' || CAST(event_id AS STRING) || '@hub' END AS original_message_id,

@@ -80,17 +80,17 @@ def verdict_of(f: Column) -> Column:
                         lit(reason).alias("classify_reason"))
 
     return (
-        F.when(both & f["subject_si"] & ~f["subject_bl"], out("SI_REQUEST", 0.95, "explicit SI subject with linked documents"))
-        .when(both, out("BL_COMPARISON", 0.95, "SI + BL attachments present"))
-        .when(f["spam_word"], out("SPAM", 0.99, "explicit spam/malware subject marker"))
-        .when(f["spam_domain"], out("SPAM", 0.95, "spam marker / domain detected"))
+        F.when(both & f["subject_si"] & ~f["subject_bl"], out("SI_REQUEST", 0.95, "subject asks for an SI, both documents attached"))
+        .when(both, out("BL_COMPARISON", 0.95, "both documents attached"))
+        .when(f["spam_word"], out("SPAM", 0.99, "subject names spam"))
+        .when(f["spam_domain"], out("SPAM", 0.95, "sender on the spam list"))
         .when(f["spam_score"] >= 3, out("SPAM", 0.9, F.concat(F.lit("spam score "), f["spam_score"].cast("string"))))
-        .when(f["system_mail"], out("GENERAL", 0.95, "system notification email"))
-        .when(one & (f["bl_hits"] >= 1), out("BL_COMPARISON", 0.7, "one doc attached + BL wording"))
-        .when(f["internal_mail"], out("GENERAL", 0.7, "internal operational / notification email"))
+        .when(f["system_mail"], out("GENERAL", 0.95, "automatic notice"))
+        .when(one & (f["bl_hits"] >= 1), out("BL_COMPARISON", 0.7, "one document attached, text about a BL"))
+        .when(f["internal_mail"], out("GENERAL", 0.7, "internal notice"))
         .when(top > 0, out(best_intent(f, top), F.least(F.lit(0.5) + F.lit(0.15) * top, F.lit(0.9)),
-                           F.concat(F.lit("keyword hits: "), top.cast("string"))))
-        .otherwise(out("GENERAL", 0.6, "no strong signal → default"))
+                           F.concat(F.lit("words found: "), top.cast("string"))))
+        .otherwise(out("GENERAL", 0.6, "no rule applies"))
     )
 
 

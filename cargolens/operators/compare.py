@@ -157,17 +157,17 @@ def decide(m: DataFrame) -> DataFrame:
     reads_as = lambda s, l: F.when(F.col(s + "_wrong"), F.concat(
         F.lit(f"{l} reads as a "), F.initcap(F.regexp_replace(F.col(s + "_doc.declared"), "_", " "))))
     evidence = (
-        F.when(F.col("_step") == "request", "Sender asked us to send documents; no SI/BL pair to compare, so nothing is missing.")
-        .when(F.col("_step") == "missing", F.concat(F.lit("Expected both SI and BL; missing: "), F.array_join("missing_documents", ", ")))
+        F.when(F.col("_step") == "request", "The mail asks for documents and brings none to compare.")
+        .when(F.col("_step") == "missing", F.concat(F.lit("A pair needs SI and BL; not attached: "), F.array_join("missing_documents", ", ")))
         .when(F.col("_step") == "wrong", F.concat(
-            F.lit("Attachment present but not the document requested: "),
+            F.lit("Another kind of document is attached: "),
             F.concat_ws("; ", reads_as("si", "SI"), reads_as("bl", "BL")),
-            F.lit(". The sender most likely attached the wrong file.")))
+            F.lit(".")))
         .when(F.col("_step") == "unreadable", F.concat(
-            F.lit("Could not read: "), F.array_join(unread, ", "),
-            F.lit(". Needs OCR, a vision model, or a human to transcribe.")))
+            F.lit("No readable text in: "), F.array_join(unread, ", "),
+            F.lit(".")))
         .when(F.col("_step") == "ocr", F.concat(
-            F.lit("OCR transcribed "), F.array_join(ocr, ", "), F.lit(", but the transcription is incomplete.")))
+            F.lit("Recognised text of "), F.array_join(ocr, ", "), F.lit(" lacks fields.")))
     )
     return (
         m.withColumn("status", F.when(F.col("_step") == "skip", "SKIPPED").when(F.col("_step") == "request", "OK")

@@ -68,7 +68,7 @@ def corrected_draft(bl: DataFrame, approved: DataFrame) -> DataFrame:
     lines = [F.concat(F.lit(f + ": "), F.coalesce("fix_" + f, F.col(f).cast("string"), F.lit(""))) for f in rules.COMPARED_FIELDS]
     text = F.concat_ws("\n", F.lit("GENERATED CORRECTED BL DRAFT"), F.concat(F.lit("Shipment ID: "), F.col("shipment_key")),
                        F.concat(F.lit("Source BL version: "), F.col("version_id").cast("string")),
-                       F.lit("This draft was generated after human-approved corrections."), F.lit(""), *lines)
+                       F.lit("Values approved by a reviewer replace those of the draft."), F.lit(""), *lines)
     stem = F.regexp_replace(F.regexp_replace(F.regexp_extract("filename", r"([^/]*)$", 1), r"\.[^.]*$", ""), " ", "_")
     name = F.concat(stem, F.lit("_Corrected_v"), F.col("version_number").cast("string"), F.lit(".txt"))
     return df.select("shipment_key", name.alias("draft_name"), text.alias("draft"))
@@ -121,19 +121,19 @@ def correction_mail(issues: DataFrame) -> DataFrame:
     g = issues.groupBy("report_id", "shipment_key").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), block.alias("b")))).alias("blocks"))
     ref = F.substring_index("shipment_key", ":", -1)
     body = F.concat_ws("\n", F.lit("Hello,"), F.lit(""),
-                       F.lit("We identified discrepancies between the Shipping Instruction and the current Bill of Lading draft."), F.lit(""),
+                       F.lit("The shipping instruction and the bill of lading draft differ in these fields:"), F.lit(""),
                        F.concat(F.lit("Shipment: "), ref), F.lit(""), F.array_join(F.transform("blocks", lambda x: x["b"]), "\n"),
-                       F.lit("Please review and confirm the correct value before any official document is updated."), F.lit(""), F.lit("Regards,"))
-    return g.select("report_id", "shipment_key", F.concat(F.lit("Action Required: BL discrepancy review for shipment "), ref).alias("subject"), body.alias("body"))
+                       F.lit("Please tell us which value is right. Nothing is changed until then."), F.lit(""), F.lit("Regards,"))
+    return g.select("report_id", "shipment_key", F.concat(F.lit("BL draft differs from SI, shipment "), ref).alias("subject"), body.alias("body"))
 
 
 def assistance(issues: DataFrame) -> DataFrame:
     """ISS11: rule explanation, suggestion and confidence of one mismatch."""
     shown = lambda c: F.coalesce(c, F.lit("not provided"))
     si, bl, lab = shown(F.col("si_value")), shown(F.col("bl_value")), label(F.col("field_name"))
-    gap = F.coalesce(F.concat(F.lit(" The measured difference is "), F.col("difference"), F.lit(".")), F.lit(""))
+    gap = F.coalesce(F.concat(F.lit(" They differ by "), F.col("difference"), F.lit(".")), F.lit(""))
     return issues.select(
         "issue_key",
-        F.concat(F.lit("The "), lab, F.lit(" value in the current BL is "), bl, F.lit(", while the SI shows "), si, F.lit("."), gap).alias("explanation"),
-        F.concat(F.lit("Review the "), lab, F.lit(" discrepancy. If the SI is confirmed as the authoritative instruction, the BL draft could be updated to "), si, F.lit(".")).alias("suggestion"),
+        F.concat(F.lit("The "), lab, F.lit(": the BL states "), bl, F.lit(", the SI "), si, F.lit("."), gap).alias("explanation"),
+        F.concat(F.lit("Review the "), lab, F.lit(". Should the SI be right, the BL draft becomes "), si, F.lit(".")).alias("suggestion"),
         F.when(F.col("si_value").isNotNull() & F.col("bl_value").isNotNull(), "HIGH").otherwise("MEDIUM").alias("confidence"))

@@ -48,11 +48,11 @@ def enriched_inbox(mails: DataFrame, reports: DataFrame, dispatches: DataFrame)
 def receipt(df: DataFrame) -> DataFrame:
     """RPY4: decision and subject of the reply to a classified mail."""
     rejected = F.coalesce(F.col("status").isin("MISMATCH", "NEEDS_REVIEW"), F.lit(False))
-    reason = F.coalesce("review_reason", F.lit("Discrepancies identified between Shipping Instruction (SI) and Carrier Bill of Lading (B/L)."))
+    reason = F.coalesce("review_reason", F.lit("The SI and the B/L do not agree."))
     return (
         df.withColumn("decision", F.when(rejected, "REJECTED").otherwise("VERIFIED"))
-        .withColumn("receipt_subject", F.concat(F.when(rejected, "URGENT: B/L Document Amendment Required (Discrepancy) - Ref #")
-                                                .otherwise("CONFIRMATION: Document Verification Complete - Ref #"), F.col("email_id")))
+        .withColumn("receipt_subject", F.concat(F.when(rejected, "B/L to be amended - Ref #")
+                                                .otherwise("Documents verified - Ref #"), F.col("email_id")))
         .withColumn("issue", F.when(rejected, reason))
     )
 

@@ -205,11 +205,11 @@ def rpy1(t):
 
 step("ox_inbox", """SELECT m.email_id, r.category, r.status, CASE WHEN r.reviewed THEN 'human' ELSE 'rule' END AS decided_by, d.dispatch_id IS NOT NULL AS has_dispatch,
   CASE WHEN d.delivery IN ('SENT','SENT_SMTP') THEN 'sent' WHEN d.delivery IN ('FAILED','ERROR') THEN 'failed' WHEN d.delivery = 'SIMULATED' THEN 'simulated' WHEN d.delivery IS NOT NULL THEN 'unknown' WHEN r.status IN ('MISMATCH','NEEDS_REVIEW') THEN 'awaiting' ELSE 'none' END AS reply_state
-  FROM fx_emails m LEFT JOIN fx_reports r ON r.email_id = m.email_id LEFT JOIN (SELECT * FROM ox_linked WHERE dispatch_id % 3 = 0) d ON d.linked = m.email_id""")
+  FROM fx_emails m LEFT JOIN fx_reports r ON r.email_id = m.email_id LEFT JOIN (SELECT l.* FROM ox_linked l JOIN fx_sent s ON s.dispatch_id = l.dispatch_id) d ON d.linked = m.email_id""")
 
 
 def inbox(t):
-    return R.enriched_inbox(t.mails, t.view("fx_reports"), t.view("fx_dispatches").filter("dispatch_id % 3 = 0"))
+    return R.enriched_inbox(t.mails, t.view("fx_reports"), t.view("fx_sent"))
 
 
 @query("rpy2_reply_state", "SELECT email_id, reply_state FROM ox_inbox")
@@ -223,8 +223,8 @@ def rpy3(t):
 
 
 @query("rpy4_receipts", """SELECT email_id, CASE WHEN status IN ('MISMATCH','NEEDS_REVIEW') THEN 'REJECTED' ELSE 'VERIFIED' END AS decision,
-  CASE WHEN status IN ('MISMATCH','NEEDS_REVIEW') THEN 'URGENT: B/L Document Amendment Required (Discrepancy) - Ref #' ELSE 'CONFIRMATION: Document Verification Complete - Ref #' END || email_id AS receipt_subject,
-  CASE WHEN status IN ('MISMATCH','NEEDS_REVIEW') THEN coalesce(review_reason, 'Discrepancies identified between Shipping Instruction (SI) and Carrier Bill of Lading (B/L).') END AS issue FROM fx_reports""")
+  CASE WHEN status IN ('MISMATCH','NEEDS_REVIEW') THEN 'B/L to be amended - Ref #' ELSE 'Documents verified - Ref #' END || email_id AS receipt_subject,
+  CASE WHEN status IN ('MISMATCH','NEEDS_REVIEW') THEN coalesce(review_reason, 'The SI and the B/L do not agree.') END AS issue FROM fx_reports""")
 def rpy4(t):
     return R.receipt(t.view("fx_reports")).select("email_id", "decision", "receipt_subject", "issue")
 

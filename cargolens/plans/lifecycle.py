@@ -72,18 +72,20 @@ def shp1(t):
     return all_mails(t).select("email_id", S.mail_code(F.col("subject"), F.col("body"), F.col("attachments")).alias("reference"))
 
 
-# Signature case: pairs whose mails state no reference. The fixture's booking line is left out by using the BL only.
+# Every seventh mail states a reference, every third document none, every fifth shipment has marks.
 step("ox_sig", """SELECT p.k, p.email_id, p.doc_type, p.reference, n.shipper, n.port_of_loading, n.port_of_discharge
 FROM ox_ident p JOIN ox_norm n ON n.email_id = p.email_id AND n.doc_type = p.doc_type""")
 
 
-@query("shp2_shipment_key", """SELECT email_id, doc_type, coalesce('REF:' || upper(reference), CASE WHEN shipper <> '' AND port_of_loading <> '' AND port_of_discharge <> ''
-    THEN 'SIG:' || sha256(concat_ws('|', shipper, port_of_loading, port_of_discharge)) END, 'EMAIL:' || email_id) AS shipment_key FROM ox_sig""")
+@query("shp2_shipment_key", """SELECT email_id, doc_type, coalesce('REF:MR' || CASE WHEN k % 7 = 0 THEN k END, 'REF:' || upper(CASE WHEN k % 3 <> 0 THEN reference END), CASE WHEN shipper <> '' AND port_of_loading <> '' AND port_of_discharge <> ''
+    THEN 'SIG:' || sha256(concat_ws('|', shipper, port_of_loading, port_of_discharge, CASE WHEN k % 5 = 0 THEN 'CTR:ABCU' || k END)) END, 'EMAIL:' || email_id) AS shipment_key FROM ox_sig""")
 def shp2(t):
     d = K.read_documents(t.docs)
     n = F.col("norm")
-    key = S.shipment_key(F.lit(None).cast("string"), T.document_reference(F.col("text")), n["shipper"], n["port_of_loading"]["value"],
-                         n["port_of_discharge"]["value"], F.array().cast("array<string>"), F.col("email_id"))
+    k = F.col("k").cast("string")
+    marks = F.when(F.col("k") % 5 == 0, F.array(F.concat(F.lit("CTR:ABCU"), k))).otherwise(F.array().cast("array<string>"))
+    key = S.shipment_key(F.when(F.col("k") % 7 == 0, F.concat(F.lit("mr"), k)), F.when(F.col("k") % 3 != 0, T.document_reference(F.col("text"))), n["shipper"],
+                         n["port_of_loading"]["value"], n["port_of_discharge"]["value"], marks, F.col("email_id"))
     return d.select("email_id", "doc_type", key.alias("shipment_key"))
 
 
@@ -298,7 +300,7 @@ step("ox_bl", "SELECT m.email_id AS shipment_key, f.*  EXCLUDE (email_id), m.k F
 
 
 @query("snk4_corrected_draft", """SELECT i.email_id AS shipment_key, 'email_' || i.report_id || '_BL_Corrected_v1.txt' AS draft_name,
-  concat_ws(chr(10), 'GENERATED CORRECTED BL DRAFT', 'Shipment ID: ' || i.email_id, 'Source BL version: ' || i.report_id, 'This draft was generated after human-approved corrections.', '', """
+  concat_ws(chr(10), 'GENERATED CORRECTED BL DRAFT', 'Shipment ID: ' || i.email_id, 'Source BL version: ' || i.report_id, 'Values approved by a reviewer replace those of the draft.', '', """
        + ", ".join(f"'{f}: ' || coalesce(CASE WHEN i.field_name = '{f}' THEN i.si_value END, {_s}, '')" for f in rules.COMPARED_FIELDS
                    for _s in [f"CASE WHEN b.{f} = floor(b.{f}) THEN CAST(CAST(b.{f} AS BIGINT) AS VARCHAR) ELSE CAST(b.{f} AS VARCHAR) END" if f == "gross_weight_kg" else f"CAST(b.{f} AS VARCHAR)"])
        + ") AS draft FROM fx_issues i JOIN ox_bl b ON b.shipment_key = i.email_id")
@@ -310,13 +312,13 @@ def snk4(t):
     return I.corrected_draft(bl, ok)
 
 
-step("ox_review", """SELECT report_id AS review_id, 'email_' || CAST(report_id - report_id % 2 AS VARCHAR) AS email_id, CASE CAST(report_id % 3 AS INT) WHEN 0 THEN 'CONFIRM' WHEN 1 THEN 'CORRECT' ELSE 'REJECT' END AS decision FROM fx_reports WHERE report_id % 4 < 2""")
+step("ox_review", """SELECT report_id AS review_id, 'email_' || CAST(report_id - report_id % 4 AS VARCHAR) AS email_id, CASE CAST(report_id % 3 AS INT) WHEN 0 THEN 'CONFIRM' WHEN 1 THEN 'CORRECT' ELSE 'REJECT' END AS decision FROM fx_reports""")
 
 
 def reviews(t):
     r = F.col("report_id")
-    return t.view("fx_reports").filter(r % 4 < 2).select(
-        r.alias("review_id"), F.concat(F.lit("email_"), (r - r % 2).cast("string")).alias("email_id"),
+    return t.view("fx_reports").select(
+        r.alias("review_id"), F.concat(F.lit("email_"), (r - r % 4).cast("string")).alias("email_id"),
         F.when(r % 3 == 0, "CONFIRM").when(r % 3 == 1, "CORRECT").otherwise("REJECT").alias("decision"))
 
 
@@ -351,15 +353,15 @@ def iss9b(t):
 _lab = "replace(replace(field_name, '_kg', ''), '_', ' ')"
 
 
-@query("iss10_correction_mail", f"""SELECT report_id, 'Action Required: BL discrepancy review for shipment ' || split_part(shipment_key, ':', 2) AS subject,
-  concat_ws(chr(10), 'Hello,', '', 'We identified discrepancies between the Shipping Instruction and the current Bill of Lading draft.', '', 'Shipment: ' || split_part(shipment_key, ':', 2), '',
-   {_lab} || ':', 'SI: ' || si_value, 'BL: ' || bl_value, '', 'Please review and confirm the correct value before any official document is updated.', '', 'Regards,') AS body FROM fx_issues""")
+@query("iss10_correction_mail", f"""SELECT report_id, 'BL draft differs from SI, shipment ' || split_part(shipment_key, ':', 2) AS subject,
+  concat_ws(chr(10), 'Hello,', '', 'The shipping instruction and the bill of lading draft differ in these fields:', '', 'Shipment: ' || split_part(shipment_key, ':', 2), '',
+   {_lab} || ':', 'SI: ' || si_value, 'BL: ' || bl_value, '', 'Please tell us which value is right. Nothing is changed until then.', '', 'Regards,') AS body FROM fx_issues""")
 def iss10(t):
     return I.correction_mail(t.view("fx_issues")).select("report_id", "subject", "body")
 
 
-@query("iss11_assistance", f"""SELECT CAST(report_id AS VARCHAR) || ':' || field_name AS issue_key, 'The ' || {_lab} || ' value in the current BL is ' || bl_value || ', while the SI shows ' || si_value || '.' || coalesce(' The measured difference is ' || difference || '.', '') AS explanation,
-  'Review the ' || {_lab} || ' discrepancy. If the SI is confirmed as the authoritative instruction, the BL draft could be updated to ' || si_value || '.' AS suggestion, 'HIGH' AS confidence FROM ox_issue""")
+@query("iss11_assistance", f"""SELECT CAST(report_id AS VARCHAR) || ':' || field_name AS issue_key, 'The ' || {_lab} || ': the BL states ' || bl_value || ', the SI ' || si_value || '.' || coalesce(' They differ by ' || difference || '.', '') AS explanation,
+  'Review the ' || {_lab} || '. Should the SI be right, the BL draft becomes ' || si_value || '.' AS suggestion, 'HIGH' AS confidence FROM ox_issue""")
 def iss11(t):
     return I.assistance(I.issues_of(reports_with_results(t)))
 
