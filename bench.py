@@ -24,7 +24,7 @@ def main():
         start = time.time()
         catalog.run(name, spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
-    mails = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    mails = catalog.run("cls9_category", spark, sf_dir).count()  # every mail gets a verdict
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                       "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""), "cpus": int(cpus),
                       "mails_per_second": round(mails / times["cmp12_mail_verdicts"], 1) if "cmp12_mail_verdicts" in times else None}))
