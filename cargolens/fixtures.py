@@ -66,7 +66,7 @@ SELECT 'email_' || CAST(k AS STRING) AS email_id,
 FROM fx_ship
 """,
     "fx_revisions": """
-SELECT event_id AS reg_id, 'REF:SHP-' || lpad(CAST(user_id AS STRING),4,'0') AS shipment_key,
+SELECT event_id AS reg_id, 'REF:SHP-' || lpad(CAST(user_id + CASE WHEN user_id % 5 = 0 AND event_type = 'view' THEN 5000 ELSE 0 END AS STRING),4,'0') AS shipment_key,
   CASE event_type WHEN 'view' THEN 'SI' WHEN 'click' THEN 'BL' ELSE 'INVOICE' END AS doc_type,
   props AS content, CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 7 = 0 THEN ts - INTERVAL '9' DAY ELSE ts END AS received_at, ts AS created_at
 FROM events WHERE event_type IN ('view','click','purchase')

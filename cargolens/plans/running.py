@@ -132,7 +132,7 @@ def str8(t):
     e = event_stream(t).filter("event_type IN ('view','click','purchase')")
     kind = F.when(F.col("event_type") == "view", "SI").when(F.col("event_type") == "click", "BL").otherwise("INVOICE")
     boxes = F.when(F.length("props") > 8, F.substring("props", 7, 1))
-    s = e.select(F.col("event_id").alias("reg_id"), F.concat(F.lit("REF:SHP-"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("shipment_key"), kind.alias("doc_type"),
+    s = e.select(F.col("event_id").alias("reg_id"), F.concat(F.lit("REF:SHP-"), F.lpad((F.col("user_id") + F.when((F.col("user_id") % 5 == 0) & (F.col("event_type") == "view"), 5000).otherwise(0)).cast("string"), 4, "0")).alias("shipment_key"), kind.alias("doc_type"),
                  V.content_hash(F.col("props")).alias("content_hash"), V.normalised_hash(F.create_map(F.lit("container_count"), boxes), F.col("props")).alias("normalized_hash"),
                  F.when(F.col("event_id") % 23 == 0, None).when(F.col("event_id") % 7 == 0, F.col("ts") - F.expr("INTERVAL '9' DAY")).otherwise(F.col("ts")).alias("received_at"), F.col("ts").alias("created_at"))
     J.revision_chain(s, out, out + "/cp")
