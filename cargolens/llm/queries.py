@@ -12,7 +12,7 @@ from .licences import licence_scan
 from .mixing import mix
 from .pagetext import page_texts
 from .quality import RULES, STOP_WORDS, quality_rules
-from .secrets import digest, secret_scan
+from .secrets import ALLOWED, CLASSES, digest, secret_scan
 from .topk import top_k
 from .wordpiece import token_counts
 
@@ -80,16 +80,40 @@ s_all AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FI
 """.replace("P0", r"""'(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'""").replace("P1", "'AKIA[A-Z0-9]+'").replace("P2", "'[0-9a-f]+'")
 
 
-@query("op6_secret_scan")
-def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(secret_scan(table(spark, sf_dir, "documents")))
+# The allow-list without possessive quantifiers, which RE2 lacks and does not need.
+_ALLOWED = " OR ".join(f"regexp_matches(run, '{p.replace('*+', '*').replace('++', '+')}')" for p in ALLOWED)
+_ENTROPY_SQL = """
+e_runs AS ({runs}),
+e_flat AS (SELECT rid, kind, pos, bits, win, hits[i] AS run, length(gaps[i]) AS gap, i FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM e_runs)),
+e_at AS (SELECT *, sum(gap + length(run)) OVER (PARTITION BY rid, kind ORDER BY i) AS e FROM e_flat),
+e_mixed AS (SELECT *, e - length(run) AS s FROM e_at WHERE regexp_matches(run, '[0-9]') AND regexp_matches(run, '[A-Za-z]') AND NOT ({allowed})),
+e_windows AS (SELECT *, substr(run, unnest(range(1, length(run) - win + 2)), win) AS w FROM e_mixed),
+e_high AS (SELECT rid, kind, pos, s, e FROM (SELECT rid, kind, pos, s, e, bits, win, list_sum(list_transform(list_distinct(string_split(w, '')),
+    lambda c: (length(w) - length(replace(w, c, ''))) * log2(length(w) - length(replace(w, c, ''))))) AS n FROM e_windows) x
+    GROUP BY rid, kind, pos, s, e, bits, win HAVING max(log2(win) - n / win) >= bits),
+e_first AS (SELECT * FROM e_high h WHERE pos = 3 AND NOT EXISTS (SELECT 1 FROM s_kept b WHERE b.rid = h.rid AND b.s < h.e AND h.s < b.e)),
+e_second AS (SELECT * FROM e_high h WHERE pos = 4 AND NOT EXISTS (SELECT 1 FROM s_kept b WHERE b.rid = h.rid AND b.s < h.e AND h.s < b.e)
+    AND NOT EXISTS (SELECT 1 FROM e_first b WHERE b.rid = h.rid AND b.s < h.e AND h.s < b.e)),
+e_all AS (SELECT rid, string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, pos) AS spans FROM (
+    SELECT rid, kind, pos, s, e FROM s_kept UNION ALL SELECT * FROM e_first UNION ALL SELECT * FROM e_second) x GROUP BY rid)
+"""
+
 
+def span_sql(documents: str = "documents") -> str:
+    """op6 in SQL: windows are spelled out and counted afresh."""
+    runs = []
+    for at, c in enumerate(CLASSES):
+        pattern = "[" + c.alphabet.replace("-", chr(92) + "-") + f"]{{{c.window},}}"
+        runs.append(f"SELECT rid, '{c.name}' AS kind, {3 + at} AS pos, {c.bits} AS bits, {c.window} AS win, regexp_split_to_array(text, '{pattern}') AS gaps, "
+                    f"regexp_extract_all(text, '{pattern}') AS hits FROM s_doc WHERE regexp_matches(text, '{pattern}')")
+    return f"""WITH {_SPAN_SQL.format(documents=documents)}, {_ENTROPY_SQL.format(runs=' UNION ALL '.join(runs), allowed=_ALLOWED)}
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+    coalesce(spans, '') AS spans FROM s_doc LEFT JOIN s_all USING (rid) LEFT JOIN e_all USING (rid)"""
 
-def base_span_sql() -> str:
-    """The base part of op6 in SQL; the entropy spans come on top and have no SQL."""
-    return f"""WITH {_SPAN_SQL.format(documents='documents')}
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256
-FROM s_doc LEFT JOIN s_all USING (rid)"""
+
+@query("op6_secret_scan", span_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(secret_scan(table(spark, sf_dir, "documents")))
 
 
 MIX_STEPS = f"""
@@ -159,7 +183,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), digests=True)
 
 
-@query("op4_jaccard_join")
+@query("op4_jaccard_join", f"""
+WITH RECURSIVE j_w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+j_gram AS (SELECT DISTINCT rid, g FROM (
+    SELECT rid, array_to_string(w[i:i + 4], chr(32)) AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM j_w WHERE len(w) >= 5) a
+    UNION ALL SELECT rid, array_to_string(w, chr(32)) FROM j_w WHERE len(w) BETWEEN 1 AND 4) b),
+j_size AS (SELECT rid, count(*) AS c FROM j_gram GROUP BY rid),
+j_both AS (SELECT x.rid AS a, y.rid AS b, count(*) AS s FROM j_gram x JOIN j_gram y ON x.g = y.g AND x.rid <> y.rid GROUP BY ALL),
+j_link AS (SELECT a, b, s = x.c AND s = y.c AS same FROM j_both JOIN j_size x ON x.rid = a JOIN j_size y ON y.rid = b WHERE 5 * s >= 4 * (x.c + y.c - s)),
+j_reach(a, b) AS (SELECT a, b FROM j_link UNION SELECT r.a, l.b FROM j_reach r JOIN j_link l ON l.a = r.b)
+SELECT d.doc_id, least(d.doc_id, (SELECT min(o.doc_id) FROM j_reach r JOIN j_w o ON o.rid = r.b WHERE r.a = d.rid)) AS class_id,
+    least(d.doc_id, (SELECT min(o.doc_id) FROM j_link l JOIN j_w o ON o.rid = l.b WHERE l.a = d.rid AND l.same)) AS copy_id,
+    (SELECT count(*) FROM j_link l WHERE l.a = d.rid) AS n_links
+FROM j_w d""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 

@@ -11,7 +11,9 @@ import corpus_pipeline
 from cargolens.llm import catalog, queries
 from check import ROOT, compare, duck
 from test_jaccard import brute
-from test_native import base_counts, base_spans, brute_mix
+from cargolens.llm.secrets import digest, secret_scan
+from helpers import awkward, documents
+from test_native import SECRET_TEXTS, base_counts, base_spans, brute_mix
 
 SF = f"{ROOT}/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -22,9 +24,14 @@ def test_matches_oracle(spark, name):
     assert compare(spark, duck(SF), name, catalog.queries()[name], catalog.oracle_sql()[name], SF)[2] == "ok"
 
 
-def test_secret_base_matches_sql(spark):
-    base = lambda s, d: catalog.queries()["op6_secret_scan"](s, d).drop("spans")
-    assert compare(spark, duck(SF), "op6", base, queries.base_span_sql(), SF)[2] == "ok"
+def test_secret_sql_on_awkward_texts(spark):
+    """The same SQL over texts full of secrets, near-secrets and allowed strings."""
+    rows = awkward() + [(100 + i, t, "s") for i, t in enumerate(SECRET_TEXTS)]
+    con = duck(SF)
+    con.execute("CREATE TABLE odd (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO odd VALUES (?, ?)", [r[:2] for r in rows])
+    fn = lambda s, d: digest(secret_scan(documents(s, rows)))
+    assert compare(spark, con, "op6", fn, queries.span_sql("odd"), SF)[2] == "ok"
 
 
 def test_ten_operators_are_registered():
