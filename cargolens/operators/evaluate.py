@@ -44,15 +44,30 @@ def caught(rows: DataFrame) -> DataFrame:
 
 def field_scores(rows: DataFrame) -> DataFrame:
     """EVL5: micro precision, recall and F1 over field sets."""
-    s = rows.agg(F.sum(F.size(F.array_intersect("defect_fields", "gold_fields"))).alias("tp"), F.sum(F.size("defect_fields")).alias("p"), F.sum(F.size("gold_fields")).alias("g"))
+    return rows.agg(*_field_counts()).select(*_field_ratios())
+
+
+def _field_counts() -> list[Column]:
+    return [F.sum(F.size(F.array_intersect("defect_fields", "gold_fields"))).alias("tp"), F.sum(F.size("defect_fields")).alias("p"), F.sum(F.size("gold_fields")).alias("g")]
+
+
+def _field_ratios() -> list[Column]:
     p = F.coalesce(F.col("tp") / F.nullif("p", F.lit(0)), F.lit(0.0))
     r = F.coalesce(F.col("tp") / F.nullif("g", F.lit(0)), F.lit(0.0))
-    return s.select(p.alias("precision"), r.alias("recall"), F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f1"))
+    return [p.alias("precision"), r.alias("recall"), F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f1")]
+
+
+def verdict_scores(rows: DataFrame) -> DataFrame:
+    """Parts of EVL6 that need the verdicts: end-to-end share and defect F1, from one aggregate."""
+    wanted = (F.col("gold_category") == "BL_COMPARISON") & F.col("gold_defect")
+    hit = (F.col("category") == "BL_COMPARISON") & F.col("has_defect") & (F.array_sort("defect_fields") == F.array_sort("gold_fields"))
+    e2e = F.avg(F.when(wanted, hit.cast("int"))).alias("e2e")
+    return rows.agg(e2e, *_field_counts()).select("e2e", *_field_ratios()).select("e2e", F.col("f1").alias("defect_f1"))
 
 
-def final_score(e2e: DataFrame, macro: DataFrame, defect: DataFrame) -> DataFrame:
-    """EVL6: 0.5 end-to-end + 0.3 macro F1 + 0.2 defect F1, from three one-row frames."""
-    j = e2e.crossJoin(macro).crossJoin(defect)
+def final_score(verdicts: DataFrame, macro: DataFrame) -> DataFrame:
+    """EVL6: 0.5 end-to-end + 0.3 macro F1 + 0.2 defect F1, from two one-row frames."""
+    j = verdicts.crossJoin(macro)
     return j.withColumn("score", 0.5 * F.col("e2e") + 0.3 * F.col("macro_f1") + 0.2 * F.col("defect_f1"))
 
 

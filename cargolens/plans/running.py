@@ -219,10 +219,8 @@ def evl5(t):
 @query("evl6_final_score", """SELECT round(0.5 * (SELECT avg(CAST(category = 'BL_COMPARISON' AND has_defect AND df = gf AS INT)) FROM ox_gold WHERE gold_category = 'BL_COMPARISON' AND gf <> '')
   + 0.3 * (SELECT avg(2.0 * tp / nullif(p + g, 0)) FROM ox_score) + 0.2 * (SELECT 2.0 * tp / (p + g) FROM ox_fs), 6) AS score""")
 def evl6(t):
-    rows = against_gold(t)
-    e2e = E.caught(rows).agg(F.avg(F.col("caught").cast("int")).alias("e2e"))
     macro = E.class_scores(label_pairs(t)).agg(F.avg("f1").alias("macro_f1"))
-    return E.final_score(e2e, macro, E.field_scores(rows).select(F.col("f1").alias("defect_f1"))).select(F.round("score", 6).alias("score"))
+    return E.final_score(E.verdict_scores(against_gold(t)), macro).select(F.round("score", 6).alias("score"))
 
 
 @query("evl7_escalations", "SELECT gold_reason, count(*) AS total, count(*) FILTER (WHERE status = 'NEEDS_REVIEW') AS caught FROM ox_gold WHERE gold_status = 'NEEDS_REVIEW' GROUP BY gold_reason")
