@@ -283,8 +283,9 @@ def _classed(docs: DataFrame, threshold: float, n: int, recall: float, id_col: s
     roots = components(compared.select("key", "other").union(core_of.select("key", F.col("core").alias("other"))))
     outside = compared.groupBy("key").agg(F.sum("links").alias("outside"))
 
-    about = (nodes.select("key", "rep", "weight").join(core_of.select("key", "core"), "key", "left").join(core_size, "core", "left")
-             .join(outside, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    # Nodes without candidates are cores of their own; a null core would bring them all to one task.
+    own = nodes.select("key", "rep", "weight").join(core_of.select("key", "core"), "key", "left").withColumn("core", F.coalesce("core", "key"))
+    about = (own.join(core_size, "core", "left").join(outside, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
     about = cut(about.select("key", "rep", "root", (F.coalesce("core_weight", "weight") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links")))
     classes = about.groupBy("root").agg(F.min("rep").alias("class_id"))
     per_node = about.join(classes, "root").select("key", "root", "class_id", F.col("rep").alias("copy_id"), "n_links")
