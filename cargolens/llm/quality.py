@@ -67,40 +67,49 @@ def _covered(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), gaps).otherwise(0)
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and ratios per document: ``doc_id`` and the metric columns, nothing else.
+def metrics(text: Column) -> Column:
+    """Counts and ratios of a text as one struct.
 
     A null text counts as empty: every count is 0 and every ratio 0. Lines are separated
     by ``\\n``; only lines that hold a word count. Two windows are equal when their 64-bit
-    hashes are.
+    hashes are. Everything is bound by ``let``, so a filter that Catalyst pushes down or
+    merges evaluates each part once.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.select(F.col(id_col).alias("doc_id"), words(text).alias("_w"),
-                        F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\x0b\f\r")) != "").alias("_l"),
-                        (F.size(F.split(text, r"[#*$%&|<>]")) - 1).cast("long").alias("n_symbols"))
-    counted = split.select(
-        "doc_id", "_w", F.size("_w").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"), "n_symbols",
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.size("_l").cast("long").alias("n_lines"),
-        F.size(F.filter("_w", lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop"),
-        let(_window_hashes(F.col("_w")), _covered).cast("long").alias("n_repeat_words"))
-    per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop",
-        per("word_chars", "n_words").alias("mean_word_chars"), per("n_symbols", "n_words").alias("symbol_ratio"),
-        per("n_stop", "n_words").alias("stop_ratio"), per("n_dup_lines", "n_lines").alias("dup_line_ratio"),
-        per("n_repeat_words", "n_words").alias("repeat_ratio"))
-
-
-def compiled(rules: tuple[Rule, ...]) -> Column:
-    """The threshold table as one Boolean column over the metric columns."""
-    ok = F.lit(True)
+    def parts(t: Column) -> Column:
+        return F.struct(words(t).alias("w"), F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(" \t\x0b\f\r")) != "").alias("l"),
+                        (F.size(F.split(t, r"[#*$%&|<>]")) - 1).cast("long").alias("n_symbols"))
+
+    def counts(p: Column) -> Column:
+        w, l = p["w"], p["l"]
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), p["n_symbols"].alias("n_symbols"),
+            (F.size(l) - F.size(F.array_distinct(l))).cast("long").alias("n_dup_lines"), let(_window_hashes(w), _covered).cast("long").alias("n_repeat_words"),
+            F.size(l).cast("long").alias("n_lines"), F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop"))
+
+    def ratios(c: Column) -> Column:
+        per = lambda a, b: F.when(c[b] > 0, c[a] / c[b]).otherwise(0.0)
+        return F.struct(*[c[n].alias(n) for n in COUNTS], per("word_chars", "n_words").alias("mean_word_chars"), per("n_symbols", "n_words").alias("symbol_ratio"),
+                        per("n_stop", "n_words").alias("stop_ratio"), per("n_dup_lines", "n_lines").alias("dup_line_ratio"), per("n_repeat_words", "n_words").alias("repeat_ratio"))
+
+    return let(F.coalesce(text, F.lit("")), lambda t: let(parts(t), lambda p: let(counts(p), ratios)))
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop")
+
+
+def base_failed(m: Column) -> Column:
+    """Fewer than 20 words, or over 30 % of the words in repeated windows."""
+    return (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+
+
+def passes(m: Column, rules: tuple[Rule, ...]) -> Column:
+    """The threshold table compiled into one Boolean column over a metrics struct."""
+    ok = ~base_failed(m)
     for r in rules:
         if r.low is not None:
-            ok = ok & (F.col(r.metric) >= r.low)
+            ok = ok & (m[r.metric] >= r.low)
         if r.high is not None:
-            ok = ok & (F.col(r.metric) <= r.high)
+            ok = ok & (m[r.metric] <= r.high)
     return ok
 
 
@@ -112,11 +121,11 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
     the base. Each input row gets one output row, repeated rows included; an empty table
     gives no rows. Columns other than the id and the text are ignored.
     """
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return measured(docs, id_col, text_col).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & compiled(rules))
+    m = F.col("_m")
+    measured = docs.select(F.col(id_col).alias("doc_id"), metrics(F.col(text_col)).alias("_m"))
+    return measured.select("doc_id", "_m.*", base_failed(m).alias("base_failed"), passes(m, rules).alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with all their columns, each row judged by its own text."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), F.col("text"))
-    return quality_rules(packed, rules).where("kept").select("doc_id.*")
+    return docs.where(let(metrics(F.col("text")), lambda m: passes(m, rules)))
