@@ -15,7 +15,20 @@ from ..functions import text as T
 ORD = {f: i for i, f in enumerate(rules.ALL_FIELDS)}
 ALTERNATION = {f: "|".join(ps) for f, ps in rules.LABELS.items()}
 ANY_LABEL = "(?i)" + "|".join(ALTERNATION.values())
-TWO_LABELS = rf"(?i)(?:{'|'.join(ALTERNATION.values())}).*?[:：|\t].*?(?:{'|'.join(ALTERNATION.values())})"
+_EVERY = "|".join(ALTERNATION.values())
+#: What may stand between a label and its separator: a bracket, a unit, name or address, or a second label behind a slash.
+_LABEL_TAIL = (rf"\.?{T.WS}*(?:(?:\([^)]*\)|(?:in{T.WS}+)?(?:kgs?|mts?)\b|(?:(?:and|&){T.WS}*)?(?:name|address|details?)\b"
+               rf"|/{T.WS}*(?:\p{{L}}+{T.WS}+){{0,2}}(?:{_EVERY})){T.WS}*)*[:：|\t]")
+
+
+def _opening(pattern: str) -> str:
+    """A label on word bounds that a separator follows; "same as consignee" refers to a field and opens none."""
+    return rf"(?<![\p{{L}}\p{{N}}])(?<!\bas )(?:{pattern})(?![\p{{L}}\p{{N}}])(?={_LABEL_TAIL})"
+
+
+OPENING = {f: _opening(p) for f, p in ALTERNATION.items()}
+ANY_OPENING = "(?i)" + _opening(_EVERY)
+TWO_LABELS = rf"{ANY_OPENING}.*?[:：|\t].*?{_opening(_EVERY)}"
 LABEL_LINE = r"^[^:|]*[:|]"
 
 FIELDS_TYPE = (
@@ -46,13 +59,14 @@ def _starts(line: Column, pattern: str) -> Column:
 def split_long_line(line: Column) -> Column:
     """EXT3: a line that lost its breaks becomes one piece per field label.
 
-    Labels are taken left to right; a label opens a piece only when a separator
-    stands between it and the previous one, and each field opens one piece.
+    Labels are taken left to right; a label opens a piece only on word bounds and
+    with a separator of its own, when a separator also stands between it and the
+    previous one, and each field opens one piece.
     """
     def hits_of(field, pattern):
         return F.transform(_starts(line, pattern), lambda s: F.struct(s.alias("at"), F.lit(field).alias("field")))
 
-    hits = F.flatten(F.array(*[hits_of(f, p) for f, p in ALTERNATION.items()]))
+    hits = F.flatten(F.array(*[hits_of(f, p) for f, p in OPENING.items()]))
     zero = F.struct(
         F.lit(None).cast("int").alias("prev"),
         F.array().cast("array<string>").alias("seen"),
@@ -77,7 +91,7 @@ def split_long_line(line: Column) -> Column:
 
 
 def segments(text: Column) -> Column:
-    """Lines; one that holds two labels with a separator between them is split."""
+    """Lines; one that holds two labels, each with its separator, is split."""
     def one(l):
         return F.when(l.rlike(TWO_LABELS), split_long_line(l)).otherwise(F.array(l))
 

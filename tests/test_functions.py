@@ -60,6 +60,19 @@ def test_collapsed_line_is_split_per_label(spark):
     assert f["container_count"] == 3 and f["gross_weight_kg"] == 22000.0
 
 
+@pytest.mark.parametrize("field, line, want", [
+    ("notify_party", "Notify Party: SAME AS CONSIGNEE", "SAME AS CONSIGNEE"),
+    ("shipper", "Shipper: Metal Works Ltd", "METAL WORKS LTD"), ("consignee", "Consignee: Beta Trading", "BETA TRADING"), ("shipper", "Shipper: Vegetable Oils", "VEGETABLE OILS")])
+def test_values_that_hold_a_label_stay_whole(spark, field, line, want):
+    assert fields(spark, line)[field] == want
+
+
+def test_labels_with_brackets_and_slashes_open_pieces(spark):
+    f = fields(spark, "Shipper/Exporter: METAL HOUSE Consignee (Non-Negotiable): BETA HOUSE Notify Party/Intermediate Consignee: OTHER HOUSE Port of Loading (POL): A TOWN Gross Wt (kgs): 500 KG ETA: 2026-04-15")
+    assert (f["shipper"], f["consignee"], f["notify_party"], f["port_of_loading"]) == ("METAL HOUSE", "BETA HOUSE", "OTHER HOUSE", "A TOWN")
+    assert f["gross_weight_kg"] == 500.0 and f["eta"] == "2026-04-15"
+
+
 @pytest.mark.parametrize("value", ["TBA", "N/A", "____MT", "to be advised"])
 def test_placeholders(spark, value):
     assert fields(spark, f"Shipper: {value}")["shipper"] is None
