@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -74,8 +75,29 @@ TEMPLATES = {
     "proprietary": ["Copyright. All rights reserved.", "All rights reserved."],
 }
 
+_BSD_DISCLAIMER = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+    TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+    CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT
+    OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+    CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+    POSSIBILITY OF SUCH DAMAGE."""
+_ISC_DISCLAIMER = """ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+    MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+    WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+    CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD_3, _GPL_3 = TEMPLATES["BSD-3-Clause"][1], TEMPLATES["GPL-3.0"][2]
+_BSD_2 = _BSD_3[:_BSD_3.index("3. Neither")]
+TEMPLATES["BSD-3-Clause"].append(_BSD_3 + _BSD_DISCLAIMER)
+TEMPLATES["BSD-2-Clause"] += [_BSD_2, _BSD_2 + _BSD_DISCLAIMER]
+TEMPLATES["ISC"].append(TEMPLATES["ISC"][1] + _ISC_DISCLAIMER)
+# The GNU notices differ in a few words only; without their own texts they would count as the third version's.
+TEMPLATES["GPL-2.0"].append(_GPL_3.replace("version 3", "version 2"))
+TEMPLATES["LGPL-3.0"].append(_GPL_3.replace("General Public", "Lesser General Public"))
+TEMPLATES["AGPL-3.0"].append(_GPL_3.replace("General Public", "Affero General Public"))
+
 _WORD = re.compile(r"[^\W_]+")
-_SENTENCE = re.compile(r"(?<=[.!?])[ \t]+")
+_BREAK = re.compile(r"""\n|[.!?]["')\]]*(?=\s)""")
+_PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 
 
 def normalised(text: str) -> list[str]:
@@ -92,8 +114,9 @@ class Templates:
         for name, texts in templates.items():
             for t in texts:
                 words = normalised(t)
-                rows.append((frozenset(zip(words, words[1:])), name))
-        self.rows = sorted((r for r in rows if r[0]), key=lambda r: (len(r[0]), r[1]))
+                rows.append((frozenset(zip(words, words[1:])), name, len(words)))
+        rows = sorted((r for r in rows if r[0]), key=lambda r: (len(r[0]), r[1]))
+        self.rows, self.words = [r[:2] for r in rows], [r[2] for r in rows]
         self.every = frozenset().union(*(r[0] for r in self.rows))
         self.least = min((len(r[0]) for r in self.rows), default=0)
         # Dice 2s / (a + b) >= t with s <= min(a, b) bounds a between b * t / (2 - t) and b * (2 - t) / t.
@@ -121,41 +144,100 @@ def _compiled(threshold: float) -> Templates:
     return Templates(TEMPLATES, threshold)
 
 
-def scan(text: str | None, templates: Templates) -> list[tuple[str, float]]:
-    """Matches of the whole text, its paragraphs, their lines and the lines' sentences.
+def _runs(words: list[str], cuts: list[int], at: int, templates: Templates) -> list[tuple]:
+    """Runs of neighbouring pieces whose Dice with one template reaches the threshold: (shared, dice, template, start, end).
 
-    Parts are tried from the largest to the smallest; inside a part that matches nothing
-    smaller is tried.
+    ``cuts`` are the first words of the pieces and the end of the text. A run of Dice t holds at
+    most b (2 - 2t) / t bigrams that are not of the template, so most runs end after a few words.
     """
-    every, found = templates.every, []
-
-    def visit(part: str, splitters: list) -> None:
-        words = normalised(part)
-        grams = set(zip(words, words[1:]))
-        if grams.isdisjoint(every):
-            return
-        hit = templates.best(grams)
-        if hit:
-            found.append(hit)
-            return
-        while splitters:
-            pieces = [p for p in splitters[0](part) if p.strip()]
-            splitters = splitters[1:]
-            if len(pieces) > 1:
-                for p in pieces:
-                    visit(p, splitters)
-                return
-
-    if text:
-        visit(text, [re.compile(r"\n[ \t\r]*\n").split, lambda p: p.split("\n"), _SENTENCE.split])
+    grams, name = templates.rows[at]
+    b, t = len(grams), templates.threshold
+    most, longest = b * (2 - 2 * t) / t + 1e-9, templates.high * templates.words[at] + 1
+    known = [g in grams for g in zip(words, words[1:])]
+    found = []
+    for i, start in enumerate(cuts[:-1]):
+        if not any(known[start:cuts[i + 1]]):
+            continue
+        seen, shared, k = set(), 0, start
+        for end in cuts[i + 1:]:
+            if end - start > longest:
+                break
+            while k < end - 1 and len(seen) - shared <= most:
+                g = (words[k], words[k + 1])
+                if g not in seen:
+                    seen.add(g)
+                    shared += known[k]
+                k += 1
+            if len(seen) - shared > most:
+                break
+            dice = 2 * shared / (len(seen) + b)
+            if dice >= t:
+                found.append((shared, dice, at, start, end))
     return found
 
 
+def _chosen(runs: list[tuple], parts: list[tuple[int, int]], templates: Templates) -> list[tuple[str, float]]:
+    """Disjoint runs: of one template the highest Dice, of several templates the most shared bigrams.
+
+    A line or paragraph around a chosen run that reaches the threshold by itself is one match.
+    """
+    out, groups = [], []
+    for r in sorted(runs, key=lambda r: r[3]):
+        if groups and r[3] < groups[-1][0]:
+            groups[-1][0] = max(groups[-1][0], r[4])
+            groups[-1][1].append(r)
+        else:
+            groups.append([r[4], [r]])
+    whole = set(parts)
+    for _, rest in groups:
+        while rest:
+            best = {}
+            for r in rest:
+                if r[2] not in best or (r[1], r[4] - r[3]) > (best[r[2]][1], best[r[2]][4] - best[r[2]][3]):
+                    best[r[2]] = r
+            _, dice, at, start, end = max(best.values(), key=lambda r: (r[0], r[1], -r[2], -r[3]))
+            out.append((start, templates.rows[at][1], dice))
+            around = [r for r in rest if r[2] == at and r[3] <= start and end <= r[4] and (r[3], r[4]) in whole]
+            low, high = min([start, *(r[3] for r in around)]), max([end, *(r[4] for r in around)])
+            rest = [r for r in rest if r[4] <= low or r[3] >= high]
+    return [m[1:] for m in sorted(out)]
+
+
+def scan(text: str | None, templates: Templates) -> list[tuple[str, float]]:
+    """Matches of the whole text, else of runs of neighbouring sentences, lines and paragraphs.
+
+    Lines and sentences are the pieces; a run may begin and end at any of them, so a notice
+    over several paragraphs or a sentence that wraps is one run.
+    """
+    low = text.lower() if text else ""
+    words = _WORD.findall(low)
+    grams = set(zip(words, words[1:]))
+    known = grams & templates.every
+    if not known:
+        return []
+    hit = templates.best(grams)
+    if hit:
+        return [hit]
+    # Dice at the threshold needs this share of the template's bigrams in the text.
+    near = [i for i, (g, _) in enumerate(templates.rows) if len(g) * templates.low <= len(known) + 1e-9 and len(g & known) >= len(g) * templates.low - 1e-9]
+    if not near:
+        return []
+    starts = [m.start() for m in _WORD.finditer(low)]
+
+    def word_at(breaks) -> list[int]:
+        return sorted({0, len(words), *(bisect_left(starts, m.end()) for m in breaks)})
+
+    cuts = word_at(_BREAK.finditer(low))
+    parts = [p for c in (word_at(_PARAGRAPH.finditer(low)), word_at(re.finditer("\n", low))) for p in zip(c, c[1:])]
+    return _chosen([r for i in near for r in _runs(words, cuts, i, templates)], parts, templates)
+
+
 def licence_scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, licence, dice, n_matches, licences`` per document.
 
     ``licence`` is the template of the best match, ties to the earlier one; ``licences`` all
-    matched names, sorted and comma-joined. Null, empty and other texts without a match have a
+    matched names, sorted and comma-joined. Compared are the whole text and, where that is no
+    match, all runs of neighbouring sentences, lines and paragraphs of a template's size. Null, empty and other texts without a match have a
     null licence, dice 0, no matches and an empty list. Every input row gives one row; other
     columns are ignored. Templates are constants of the code; nothing is shuffled.
     """

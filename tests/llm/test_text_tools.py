@@ -2,6 +2,7 @@
 import hashlib
 import random
 import struct
+import textwrap
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -107,6 +108,23 @@ def test_licences(spark):
     assert licences.licence_scan(documents(spark, [])).count() == 0
 
 
+def test_licences_over_several_paragraphs_and_lines():
+    t = licences.Templates(licences.TEMPLATES, licences.THRESHOLD)
+    names = lambda text: [n for n, _ in licences.scan(text, t)]
+    intro = " ".join(f"word{i}" for i in range(300)) + ".\n\n"
+    whole = {k: v[-1] for k, v in licences.TEMPLATES.items() if k in ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0", "BSD-3-Clause", "BSD-2-Clause", "ISC")}
+    for name, text in whole.items():
+        text = " ".join(text.split())
+        cut = text.replace(". ", ".\n\n").replace(": ", ":\n\n")
+        wrapped = textwrap.fill(text, 60)
+        for form in (text, cut, wrapped, "\n".join("# " + x for x in wrapped.split("\n"))):
+            assert names(form) == names(intro + form + "\n\nThe end.") == [name], (name, form[:80])
+    assert "THIS SOFTWARE IS PROVIDED BY" in whole["BSD-3-Clause"] and "DISCLAIMS ALL WARRANTIES" in whole["ISC"]
+    assert names("A line of other words here. This project is licensed under\nthe terms of the MIT license. And more words follow.") == ["MIT"]
+    assert names(intro + "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+    assert names(intro + whole["BSD-3-Clause"] + "\n\nLicensed under the Apache License, Version 2.0.") == ["BSD-3-Clause", "Apache-2.0"]
+
+
 def test_size_bounds_prune_no_template():
     rng, t = random.Random(4), licences.Templates(licences.TEMPLATES, licences.THRESHOLD)
     for grams, _ in t.rows:
