@@ -29,6 +29,7 @@ ASIDE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising a
     replies respond disqus discussion form search searchbox widget widgets toolbar pagination pager copyright masthead skip hidden""".split())
 HEADER_WORDS = frozenset({"header", "head", "topbar"})
 BODY_WORDS = frozenset("article content main post story entry text body maincontent".split())
+LAYOUT_WORDS = frozenset("widget widgets hidden".split())  # of page builders: many small ones may hold the article
 FREED = frozenset({"html", "body", "main", "article"})  # names never make these an aside
 
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?>"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|$)""", re.S)
@@ -42,36 +43,39 @@ def _names(value: str) -> list[set[str]]:
     return [{p.lower() for p in _NAME_PART.findall(name)} for name in value.split()]
 
 
-def _is_aside(tag: str, attributes: str, inside_article: bool) -> bool:
+def _is_aside(tag: str, attributes: str, inside_article: bool) -> int:
+    """0 for no aside, 2 where only names of page layout speak for one, else 1."""
     if tag in ASIDE or tag == "header" and not inside_article:
-        return True
+        return 1
     if not attributes or tag in FREED:
-        return False
+        return 0
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")):
-        return True
+        return 1
     if found.get("role", "").lower() in ASIDE_ROLES:
-        return True
+        return 1
     names = [n for key in ("class", "id") for n in _names(found.get(key, ""))]
     marks = ASIDE_WORDS if inside_article else ASIDE_WORDS | HEADER_WORDS
     against = [n for n in names if n & marks and not n & {"has", "with", "no", "without"}]
-    return bool(against) and not any(n & BODY_WORDS and not n & marks for n in names)
+    if not against or any(n & BODY_WORDS and not n & marks for n in names):
+        return 0
+    return 2 if all(n & marks <= LAYOUT_WORDS for n in against) else 1
 
 
 class Page:
     """The block tree of a page: text, links and block tags per node, and its text blocks in order.
 
-    Inline elements are no nodes of their own; their text belongs to the block around them.
+    Inline elements are no nodes of their own, unless they are asides; their text belongs to the block around them.
     Nodes are numbered in page order, so children come after their parents.
     """
 
     def __init__(self, source: str):
         self.parent, self.tag, self.chars, self.link_chars, self.links = [-1], ["#page"], [0], [0], [0]
-        self.aside = [False]
+        self.aside = [0]
         self.blocks: list[tuple[int, str]] = []
         self._read(source)
 
-    def _open(self, tag: str, parent: int, aside: bool) -> int:
+    def _open(self, tag: str, parent: int, aside: int) -> int:
         for column, value in ((self.parent, parent), (self.tag, tag), (self.chars, 0), (self.link_chars, 0), (self.links, 0), (self.aside, aside)):
             column.append(value)
         return len(self.tag) - 1
@@ -79,8 +83,7 @@ class Page:
     def _read(self, source: str) -> None:
         stack = [("#page", 0)]  # open elements and the block each belongs to
         words: list[str] = []
-        link_depth = articles = asides = 0  # open a, article and aside elements
-        held: list[tuple[int, int]] = []  # of open elements: article, aside
+        link_depth = articles = 0  # open a and article elements
 
         def flush() -> None:
             text = " ".join("".join(words).split())
@@ -91,15 +94,13 @@ class Page:
                 self.blocks.append((node, text))
 
         def close_to(depth: int) -> None:
-            nonlocal link_depth, articles, asides
+            nonlocal link_depth, articles
             while len(stack) > depth:
-                tag, _ = stack[-1]
-                if tag in BLOCK:
+                tag, node = stack[-1]
+                if node != stack[-2][1]:
                     flush()
                 stack.pop()
-                article, aside = held.pop()
-                articles -= article
-                asides -= aside
+                articles -= tag == "article"
                 link_depth -= tag == "a"
 
         def within(names, walls=()) -> int:
@@ -115,11 +116,10 @@ class Page:
             m = _TAG.search(source, at)
             text = source[at:m.start() if m else end]
             if text:
-                if not asides:
-                    text = html.unescape(text) if "&" in text else text
-                    words.append(text)
-                    if link_depth:
-                        self.link_chars[stack[-1][1]] += len(" ".join(text.split()))
+                text = html.unescape(text) if "&" in text else text
+                words.append(text)
+                if link_depth:
+                    self.link_chars[stack[-1][1]] += len(" ".join(text.split()))
             if not m:
                 break
             at = m.end()
@@ -158,17 +158,14 @@ class Page:
             if tag in IMPLIED and (depth := within(*IMPLIED[tag])):
                 close_to(depth)
             aside = _is_aside(tag, attributes, articles > 0)
-            if tag in BLOCK or aside and not asides:
-                flush()
             node = stack[-1][1]
-            if tag in BLOCK and not asides:
+            if tag in BLOCK or aside:
+                flush()
                 node = self._open(tag, node, aside)
-            if tag == "a" and not asides:
-                self.links[node] += 1
+            if tag == "a":
+                self.links[stack[-1][1]] += 1
             stack.append((tag, node))
-            held.append((int(tag == "article"), int(aside)))
             articles += tag == "article"
-            asides += aside
             link_depth += tag == "a"
         close_to(1)
         flush()
@@ -177,12 +174,40 @@ class Page:
         chosen = self._content()
         return "\n\n".join(t for n, t in self.blocks if n in chosen)
 
-    def _content(self) -> set[int]:
+    def _vetoed(self) -> list[bool]:
+        """Nodes in asides. An aside that holds more than half of the page's text outside links is a wrapper and stays."""
         n = len(self.tag)
-        chars, link_chars, links, tags = list(self.chars), [min(a, b) for a, b in zip(self.link_chars, self.chars)], list(self.links), [0] * n
+        size = [max(0, c - lc) for c, lc in zip(self.chars, self.link_chars)]
+        if not any(size):
+            size = list(self.chars)
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+
+        def under(asides: list[bool]) -> tuple[list[bool], list[int]]:
+            out, tops = [False] * n, []
+            for i in range(1, n):
+                out[i] = out[self.parent[i]] or asides[i]
+                if out[i] and not out[self.parent[i]]:
+                    tops.append(i)
+            return out, tops
+
+        asides = [bool(a) and 2 * size[i] <= size[0] for i, a in enumerate(self.aside)]
+        out, tops = under(asides)
+        if 2 * sum(size[i] for i in tops if self.aside[i] == 2) > size[0]:
+            out, _ = under([a and self.aside[i] != 2 for i, a in enumerate(asides)])
+        return out
+
+    def _content(self) -> set[int]:
+        n, out = len(self.tag), self._vetoed()
+        kept = lambda column: [0 if o else x for x, o in zip(column, out)]
+        chars, links, tags = kept(self.chars), kept(self.links), [0] * n
+        link_chars = [min(a, b) for a, b in zip(self.link_chars, chars)]
         children: list[list[int]] = [[] for _ in range(n)]
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
+            if out[i]:  # an aside counts as one empty block
+                tags[p] += self.tag[i] in BLOCK and not out[p]
+                continue
             children[p].append(i)
             chars[p] += chars[i]
             link_chars[p] += link_chars[i]
@@ -237,10 +262,11 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """``page_id, url, text, n_chars``: the main text of every page.
 
     The page becomes a tree of blocks; navigation, headers, footers, sidebars, forms, hidden
-    parts and what names itself advert, notice or comment is left out of it. Every node gets
-    its characters per tag, adjusted for link text; the node whose children have the highest
-    sum of densities is the article. Where it lies in an ``article`` element, that is taken;
-    else parts beside it join that reach the threshold of its path to the body.
+    parts and what names itself advert, notice or comment is left out of it, unless it wraps
+    more than half of the page's text. Every node gets its characters per tag, adjusted for
+    link text; the node whose children have the highest sum of densities is the article.
+    Where it lies in an ``article`` element, that is taken; else parts beside it join that
+    reach the threshold of its path to the body.
 
     Character references are decoded, white space inside a block becomes one blank, blocks
     are joined by two newlines, nothing is cut. A null or empty page, or one without text,

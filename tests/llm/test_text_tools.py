@@ -99,6 +99,24 @@ def test_page_text(spark):
     assert pagetext.page_texts(df.limit(0)).count() == 0
 
 
+def sentences(n, word="stone"):
+    return " ".join(f"The {word} number {i} lies in the quiet river." for i in range(n))
+
+
+def test_page_text_in_wrappers():
+    head = "<html><body><nav><ul><li><a href=/a>Alpha</a><li><a href=/b>Bravo</a></ul></nav>"
+    body = f"<h1>Title</h1><p>{sentences(12)}</p><p>{sentences(9, 'tree')}</p><div class='ad'>Buy now</div><div class='sidebar'><p>Read this too, it is new.</p></div>"
+    want = f"Title\n\n{sentences(12)}\n\n{sentences(9, 'tree')}"
+    for open_, close in (("<form id=f method=post>", "</form>"), ("<div class='page sidebar-right'>", "</div>"), ("<div class='overflow-hidden'>", "</div>"), ("<div class='elementor-widget'>", "</div>"),
+                         ("<form><div class=overflow-hidden>", "</div></form>"), ("<article><div class='overflow-hidden'>", "</div></article>"), ("<span class=widget>", "</span>")):
+        control = "<input name=q><select><option>One</select><button>Send</button>" if "form" in open_ else ""
+        assert pagetext.main_text(head + open_ + body + control + close + "<footer>Site</footer></body></html>") == want, open_
+    widgets = "".join(f"<div class='elementor-widget'><p>{sentences(5, w)}</p></div>" for w in ("stone", "tree", "cloud", "light"))
+    assert pagetext.main_text(f"{head}<div>{widgets}</div></body></html>") == "\n\n".join(sentences(5, w) for w in ("stone", "tree", "cloud", "light"))
+    comments = "".join(f"<div class=comment><p>{sentences(4, 'word')}</p></div>" for _ in range(20))
+    assert pagetext.main_text(f"{head}<div>{body}</div><section id=comments>{comments}</section></body></html>") == want
+
+
 def test_licences(spark):
     mit = licences.TEMPLATES["MIT"][3]
     rows = awkward() + [(1, mit, "a"), (2, "Intro words here.\n\n" + mit + "\n\nMore words.", "a"), (3, "Text before. Released under the MIT License.\nNothing else", "a"), (4, mit.replace("software", "program"), "a"),
