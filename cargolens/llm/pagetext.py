@@ -233,26 +233,25 @@ class Page:
         while path[-1]:
             path.append(self.parent[path[-1]])
         threshold = min(dense[i] for i in path)
-        roots = [best]
+        roots, chosen = [best], set()
         top = next((i for i in path if self.tag[i] == "article"), None)
         if top is not None:
             roots = [top]
         else:
             for below, node in zip(path, path[1:]):
-                for c in children[node]:
-                    if c != below and (self._dense_part(c, children, dense, link_chars, chars, max(threshold, dense[best] / 2)) or self.tag[c] == "h1" and c < below):
-                        roots.append(c)
-        chosen, stack = set(), roots
+                text_parts = [c for c in children[node] if c != below and 2 * link_chars[c] < chars[c]]
+                joined = [c for c in text_parts if dense[c] >= threshold]
+                if 2 * chars[below] <= chars[node] < 2 * (chars[below] + sum(chars[c] for c in joined)):
+                    joined = text_parts  # the sections share the text: the parent is the article, without lists of links
+                    chosen.add(node)
+                roots += joined + [c for c in children[node] if self.tag[c] == "h1" and c < below]
+        stack = roots
         while stack:
             i = stack.pop()
             chosen.add(i)
             stack.extend(children[i])
         return chosen
 
-    def _dense_part(self, i: int, children, dense, link_chars, chars, least: float) -> bool:
-        """Another part of the article: as dense as the path allows, with paragraphs, and few links."""
-        return dense[i] >= least and 2 * link_chars[i] < chars[i] and (self.tag[i] == "p" or any(self.tag[c] == "p" for c in children[i]))
-
 
 def main_text(source: str | None) -> str:
     return Page(source).text() if source else ""
@@ -266,7 +265,8 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     more than half of the page's text. Every node gets its characters per tag, adjusted for
     link text; the node whose children have the highest sum of densities is the article.
     Where it lies in an ``article`` element, that is taken; else parts beside it join that
-    reach the threshold of its path to the body.
+    reach the threshold of its path to the body, and where no single part holds half of the
+    parent's text, the parent is taken without its lists of links.
 
     Character references are decoded, white space inside a block becomes one blank, blocks
     are joined by two newlines, nothing is cut. A null or empty page, or one without text,

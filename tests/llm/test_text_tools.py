@@ -117,6 +117,15 @@ def test_page_text_in_wrappers():
     assert pagetext.main_text(f"{head}<div>{body}</div><section id=comments>{comments}</section></body></html>") == want
 
 
+def test_page_text_of_several_sections():
+    blocks = ["<section>" + f"<p>{sentences(6)}</p>" * 10 + "</section>", f"<section><p>{sentences(18, 'tree')}</p></section>", f"<blockquote>{sentences(16, 'light')}</blockquote>",
+              f"<section><ul>{''.join(f'<li>{sentences(3, w)}</li>' for w in ('iron', 'gold', 'lead', 'zinc'))}</ul></section>", f"<pre>{sentences(14, 'code')}</pre>",
+              f"<div><table><tr><td>{sentences(6, 'left')}</td><td>{sentences(6, 'right')}</td></tr></table></div>"]
+    page = "<html><body><div id=a><h1>Title</h1>" + "".join(blocks) + "<ul><li><a href=/a>Other page of links</a><li><a href=/b>One more page</a></ul></div><footer>Site</footer></body></html>"
+    want = ["Title", *[sentences(6)] * 10, sentences(18, "tree"), sentences(16, "light"), *[sentences(3, w) for w in ("iron", "gold", "lead", "zinc")], sentences(14, "code"), sentences(6, "left"), sentences(6, "right")]
+    assert pagetext.main_text(page) == "\n\n".join(want)
+
+
 def test_licences(spark):
     mit = licences.TEMPLATES["MIT"][3]
     rows = awkward() + [(1, mit, "a"), (2, "Intro words here.\n\n" + mit + "\n\nMore words.", "a"), (3, "Text before. Released under the MIT License.\nNothing else", "a"), (4, mit.replace("software", "program"), "a"),
