@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
 from ..functions import text as T
+from .extract import ANY_OPENING
 
 
 def base_name(path: Column) -> Column:
@@ -62,7 +63,7 @@ def with_pair(mails: DataFrame, attachments: str = "attachments") -> DataFrame:
 
 
 def declared_type(text: Column) -> Column:
-    """DOC5: what a document calls itself in its first title line that holds no field label."""
+    """DOC5: what a document calls itself in its first title line that opens no field: a label there has no separator of its own."""
     lines = T.split_lines(text)
 
     def title(l):
@@ -71,9 +72,8 @@ def declared_type(text: Column) -> Column:
             out = out.when(l.rlike("(?i)" + pattern), kind)
         return out
 
-    any_label = "(?i)" + "|".join(p for ps in rules.LABELS.values() for p in ps)
     any_title = "(?i)" + "|".join(pattern for pattern, _ in rules.DOC_TITLES)
-    return T.let(F.get(F.filter(lines, lambda l: l.rlike(any_title) & ~T.squeeze(l).rlike(any_label)), 0), title)
+    return T.let(F.get(F.filter(lines, lambda l: l.rlike(any_title) & ~l.rlike(ANY_OPENING) & ~T.squeeze(l).rlike(ANY_OPENING)), 0), title)
 
 
 def wrong_type(declared: Column, slot: str) -> Column:

@@ -41,6 +41,12 @@ def test_document_names(spark):
     assert got == ["BL", None, "SI", None, None]
 
 
+def test_titles_that_hold_a_label(spark):
+    titles = ["BILL OF LADING DETAILS", "COMMERCIAL INVOICE (RETAIL)", "CONTAINER BILL OF LADING", "SHIPPER'S SHIPPING INSTRUCTION", "BILL OF LADING - CONSIGNEE COPY"]
+    got = one(spark, DT.declared_type, *[t + "\nShipper: ACME\nwith the packing list" for t in titles], "Shipper: BILL OF LADING HOUSE\nPACKING LIST", "Shipper\tBILL OF LADING HOUSE\nPACKING LIST")
+    assert got == ["BL", "INVOICE", "BL", "SI", "BL", "PACKING_LIST", "PACKING_LIST"]
+
+
 def fields(spark, text):
     return one(spark, X.fields_of, text)[0].asDict()
 
