@@ -217,7 +217,9 @@ VOYAGE = (
 )
 INVOICE_NUMBER = r"(?i)invoice\s*(?:no|number|#|num)\s*[:.#-]?\s*([A-Z0-9][A-Z0-9/_-]{2,})"
 INVOICE_TOTAL = (
-    r"(?i)(?:grand\s+total|total\s+amount|amount\s+due|total)\s*[^0-9\n]*"
+    r"(?i)(?:grand\s+total|total\s+amount|amount\s+due|total)\s*"
+    # The amount stands on the label's line, or below it: with any words where the label ends its line, else with a currency code.
+    r"(?:[^0-9\n]*|[^\w\n]*(?:[A-Z]{3}\b[^\w\n]*)?\n[^0-9\n]*|[^0-9\n]*\n[^\w\n]*(?:(?:[A-Z]{3}|US|RM)[^\w\n]*)?)"
     r"([0-9][0-9,]*(?:\.[0-9]{1,2})?)"
 )
 CURRENCY = r"\b(USD|EUR|MYR|GBP|SGD|CNY|AUD|JPY)\b"

@@ -47,6 +47,11 @@ def test_titles_that_hold_a_label(spark):
     assert got == ["BL", "INVOICE", "BL", "SI", "BL", "PACKING_LIST", "PACKING_LIST"]
 
 
+def test_invoice_total_below_its_label(spark):
+    got = one(spark, X.invoice_fields, "Grand total:\nUSD 4,500.00", "Total amount (USD):\r\n  4,500.00", "Total in words: FIVE HUNDRED\nDate: 12 May\nGrand total: 500.00", "Total:\n\n\nno amount")
+    assert [r["total_amount"] for r in got] == ["4500.00", "4500.00", "500.00", None]
+
+
 def fields(spark, text):
     return one(spark, X.fields_of, text)[0].asDict()
 
