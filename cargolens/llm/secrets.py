@@ -157,12 +157,12 @@ def _apart(spans: Column, kind: str) -> Column:
 
 
 def secret_scan(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, the text and ``found``, the sorted spans (start, at, kind, end) of each document.
+    """``doc_id``, the text, ``found``, the sorted spans (start, at, kind, end) of each document, and ``cover``.
 
     Base kinds are leftmost non-overlapping matches, short ones dropped after matching.
     Entropy kinds add candidate runs that hold letters and digits, match no allow-list
     pattern and contain a window of enough bits; a run that overlaps a span reported
-    before it adds nothing. Positions are code points, ends exclusive. A null text is
+    before it adds nothing to ``found``; ``cover`` has it whole beside that span. Positions are code points, ends exclusive. A null text is
     empty and has no spans. Every input row gives one row; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -171,6 +171,7 @@ def secret_scan(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, id_co
     out = raw
     for name, column in spans(F.col("text"), classes).items():
         out = out.withColumn(name, column)
+    out = out.withColumn("cover", _tagged(list(BASE) + [c.name for c in classes]))
     for c in classes:
         fresh = F.col(c.name)
         for k in kinds:
@@ -178,7 +179,7 @@ def secret_scan(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, id_co
         out = out.withColumn(c.name, fresh)
         kinds.append(c.name)
     return out.select("doc_id", "text", *[F.size(k).cast("long").alias(f"n_{k}") for k in kinds],
-                      _tagged(list(BASE)).alias("base"), _tagged(kinds).alias("found"))
+                      _tagged(list(BASE)).alias("base"), _tagged(kinds).alias("found"), "cover")
 
 
 def digest(scan: DataFrame) -> DataFrame:
@@ -192,18 +193,19 @@ MARK = "[SECRET]"
 def redacted(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES) -> DataFrame:
     """All documents with all their columns; every span found is replaced by a mark.
 
+    A run of high entropy goes as a whole where only a part of it is a base span.
     Overlapping spans give one mark. ``n_chars``, where the table has it, follows the text.
     A null text stays null.
     """
     columns = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc_id"), F.col("text"))
-    scanned = secret_scan(packed, classes).select(F.col("doc_id").alias("_row"), "text", "found")
+    scanned = secret_scan(packed, classes).select(F.col("doc_id").alias("_row"), "text", "cover")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     piece = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))
-    done = F.aggregate("found", zero, lambda s, x: F.struct(
+    done = F.aggregate("cover", zero, lambda s, x: F.struct(
         F.greatest(s["at"], x["end"]).alias("at"),
         F.when(x["start"] >= s["at"], F.concat(s["out"], piece(s["at"], x["start"]), F.lit(MARK))).otherwise(s["out"]).alias("out")))
     clean = let(done, lambda s: F.concat(s["out"], piece(s["at"], F.char_length("text"))))
-    out = scanned.withColumn("_text", F.when(F.col("_row.text").isNull(), F.lit(None).cast("string")).when(F.size("found") > 0, clean).otherwise(F.col("text")))
-    fresh = {"text": F.col("_text"), "n_chars": F.when(F.size("found") > 0, F.char_length("_text").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in columns else None}
+    out = scanned.withColumn("_text", F.when(F.col("_row.text").isNull(), F.lit(None).cast("string")).when(F.size("cover") > 0, clean).otherwise(F.col("text")))
+    fresh = {"text": F.col("_text"), "n_chars": F.when(F.size("cover") > 0, F.char_length("_text").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in columns else None}
     return out.select(*[(fresh[c] if c in fresh else F.col(f"_row.`{c}`")).alias(c) for c in columns])

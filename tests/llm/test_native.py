@@ -58,6 +58,12 @@ SECRET_TEXTS = [
 ]
 
 
+def test_redaction_takes_runs_around_base_spans_whole(spark):
+    key, tail = "9f3a61c0d7e2b48a5c1f06e3", "_Zk9QxT4bVw7LmN2pRs8YdF3h"
+    rows = [(1, f"see prefix_{key}{tail} here", "a"), (2, f"token=abc.def.{key}{tail} end", "a"), (3, f"only {key}. end", "a"), (4, "no secret here", "a")]
+    assert [r.text for r in secrets.redacted(documents(spark, rows)).orderBy("doc_id").collect()] == ["see [SECRET] here", "[SECRET] end", "only [SECRET]. end", "no secret here"]
+
+
 def test_secret_base_spans(spark):
     rows = awkward() + [(100 + i, t, "s") for i, t in enumerate(SECRET_TEXTS)]
     scan = secrets.digest(secrets.secret_scan(documents(spark, rows))).collect()
