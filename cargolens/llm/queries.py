@@ -8,10 +8,13 @@ from . import bpe
 from .chat import format_chats, read_back
 from .common import table
 from .jaccard import jaccard_join
+from .lexical import search
 from .licences import licence_scan
 from .mixing import mix
+from .packing import pack
 from .pagetext import page_texts
 from .quality import RULES, STOP_WORDS, quality_rules
+from .resampling import resample
 from .secrets import ALLOWED, CLASSES, digest, secret_scan
 from .topk import top_k
 from .wordpiece import token_counts
@@ -208,3 +211,55 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_licence_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("op11_lexical_search", rf"""
+WITH b_doc AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b_item AS (SELECT row_number() OVER () AS qid, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+b_all AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM b_doc WHERE len(w) > 0),
+b_tf AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM b_doc) x GROUP BY rid, t),
+b_df AS (SELECT t, count(*) AS df FROM b_tf GROUP BY t),
+b_weight AS (SELECT t, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM b_df, b_all),
+b_m AS (SELECT rid, doc_id, 100 - 50 + ((50 * len(w) * n) // l) AS m FROM b_doc, b_all WHERE len(w) > 0),
+b_score AS (SELECT qid, item_id, rid, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+    FROM (SELECT qid, item_id, unnest(w) AS t FROM b_item) q JOIN b_weight USING (t) JOIN b_tf USING (t) JOIN b_m USING (rid) GROUP BY ALL),
+b_rank AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM b_score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM b_rank WHERE rank <= 50""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# crc32 is spelled out byte by byte over the distinct words; 3988292384 is its reversed polynomial.
+_CRC_STEP = "lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END"
+
+
+@query("op12_target_resampling", rf"""
+WITH r_table AS (SELECT list(list_reduce(list_prepend(b, range(8)), {_CRC_STEP}) ORDER BY b) AS crc FROM (SELECT unnest(range(256)) AS b) x),
+r_doc AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+r_item AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+r_tf AS (SELECT rid, f, count(*) AS c FROM (SELECT rid, unnest(w) AS f FROM r_doc) x GROUP BY rid, f),
+r_goal AS (SELECT f, count(*) AS c FROM (SELECT unnest(w) AS f FROM r_item) x GROUP BY f),
+r_hex AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM r_tf UNION SELECT f FROM r_goal) x),
+r_bucket AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INTEGER, 2))::BIGINT)),
+    lambda c, b: xor(c // 256, crc[(xor(c, b) % 256 + 1)::INTEGER])), 4294967295::BIGINT) % 10000 AS bucket FROM r_hex, r_table),
+r_s AS (SELECT bucket, sum(c)::BIGINT AS s FROM r_tf JOIN r_bucket USING (f) GROUP BY bucket),
+r_t AS (SELECT bucket, sum(c)::BIGINT AS t FROM r_goal JOIN r_bucket USING (f) GROUP BY bucket),
+r_sum AS (SELECT coalesce((SELECT sum(s) FROM r_s), 0) AS s_all, coalesce((SELECT sum(t) FROM r_t), 0) AS t_all),
+r_gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain
+    FROM (SELECT DISTINCT bucket FROM r_bucket) b LEFT JOIN r_s USING (bucket) LEFT JOIN r_t USING (bucket), r_sum),
+r_weight AS (SELECT rid, floor(sum(c * gain)::DOUBLE / sum(c))::BIGINT AS weight FROM r_tf JOIN r_bucket USING (f) JOIN r_gain USING (bucket) GROUP BY rid),
+r_score AS (SELECT rid, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM r_doc LEFT JOIN r_weight USING (rid)),
+r_order AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r_score WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r_order) THEN rank END AS rank FROM r_score LEFT JOIN r_order USING (rid)""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_best_fit_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
