@@ -17,6 +17,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999  # of pairs at the threshold; higher above it
 MAX_HASHES = 128
 TILE_TEXTS, TILE_CHARS = 1024, 4_000_000  # of one side of a tile, on average
+SALTS = 256  # tasks over which the rows of a tiled group meet its number of tiles
 COLUMNS = 4096  # n-grams multiplied at once
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,8 +83,8 @@ def key_of(grams: np.ndarray) -> bytes | None:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_hash, key, bands``: the name of each text's n-gram set and its band hashes."""
-    raw = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    """``doc_id, text_hash, chars, key, bands``: the name of each text's n-gram set and its band hashes."""
+    raw = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"), F.char_length(text_col).cast("long").alias("chars"))
 
     def signed(batches):
         sign = _signer(bands, rows)
@@ -93,10 +94,10 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int, id_col: str = "do
                 grams = ngrams(t.as_py(), n)
                 keys.append(key_of(grams))
                 hashes.append(sign(grams) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))],
-                                             names=["doc_id", "text_hash", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("chars"), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))],
+                                             names=["doc_id", "text_hash", "chars", "key", "bands"])
 
-    return raw.mapInArrow(signed, f"doc_id {raw.schema['doc_id'].dataType.simpleString()}, text_hash long, key binary, bands array<long>")
+    return raw.mapInArrow(signed, f"doc_id {raw.schema['doc_id'].dataType.simpleString()}, text_hash long, chars long, key binary, bands array<long>")
 
 
 def _shared(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
@@ -253,39 +254,43 @@ def _classed(docs: DataFrame, threshold: float, n: int, recall: float, id_col: s
     """``doc_id, text_hash, root, class_id, copy_id, n_links`` per document; the last four are null without n-grams."""
     bands, rows = bands_and_rows(threshold, recall)
     signed = cut(signatures(docs, bands, rows, n, id_col, text_col))
-    nodes = signed.where("key IS NOT NULL").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands"))
+    source = F.min(F.struct("doc_id", "text_hash", "chars")).alias("source")  # a row that has the node's text
+    nodes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands"), source)
     nodes = cut(nodes)
     spread = nodes.select("key", F.explode("bands").alias("band"))
     led = spread.groupBy("band").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     followed = spread.join(led, "band").groupBy("key").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
-    grouped = nodes.select("key", "rep", "weight").join(followed, "key").withColumnRenamed("key", "name")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    # A repeated id may belong to another text: the name, made again, tells.
-    candidates = cut(_named(texts.join(grouped, F.col("_id").eqNullSafe(F.col("rep"))), n))
-    each = candidates.select("*", F.explode("leaders").alias("leader"))
-    sizes = each.groupBy("leader").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_TEXTS), F.ceil(F.sum(F.char_length("text")) / TILE_CHARS)).cast("int").alias("tiles"))
-    tiled = each.join(sizes, "leader").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
-
-    every = F.sequence(F.lit(0), F.col("tiles") - 1)
-    to_leader = tiled.withColumn("tile", F.explode(F.when(F.col("key") == F.col("leader"), every).otherwise(F.array("tile"))))
-    near = cut(to_leader.select("leader", "tile", "key", "text").groupBy("leader", "tile").applyInPandas(
+    members = cut(nodes.select("key", "weight", "source").join(followed, "key"))
+    texts = cut(_texts(docs, members, n, id_col, text_col))
+
+    # Tiles are worked out from rows without texts; a text is met by its unique key once its tile is known.
+    each = members.select("key", F.explode("leaders").alias("leader"), F.col("source.chars").alias("chars"))
+    tiled = _tiled(each)
+    cells = tiled.select("leader", "tile").distinct().select("leader", "tile", F.col("leader").alias("key"))
+    to_leader = tiled.where("key <> leader").select("leader", "tile", "key").unionByName(cells)
+    near = cut(to_leader.join(texts, "key").select("leader", "tile", "key", "text").groupBy("leader", "tile").applyInPandas(
         lambda pdf: _to_leader(pdf, n, 1 - (1 - threshold) / 2), TO_LEADER).where("near"))
     cores = near.groupBy("key").agg(F.min("leader").alias("core"))
-    core_of = cut(candidates.select("key", "weight", "leaders").dropDuplicates(["key"]).join(cores, "key", "left").withColumn("core", F.coalesce("core", "key")))
+    core_of = cut(members.select("key", "weight", "leaders").join(cores, "key", "left").withColumn("core", F.coalesce("core", "key")))
     core_size = core_of.groupBy("core").agg(F.sum("weight").alias("core_weight"))
 
     mixed = core_of.select("key", "core", F.explode("leaders").alias("leader")).groupBy("leader").agg(
         F.min("core").alias("a"), F.max("core").alias("z")).where("a < z").select("leader")
-    pairs = tiled.join(mixed, "leader", "left_semi").join(core_of.select("key", "core"), "key").withColumn("with", F.explode(every))
-    pairs = pairs.select("leader", "key", "text", "weight", "leaders", "core", "tile", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"))
+    every = F.sequence(F.lit(0), F.col("tiles") - 1)
+    pairs = tiled.join(mixed, "leader", "left_semi").withColumn("with", F.explode(every)).select(
+        "leader", "key", "tile", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"))
+    pairs = pairs.join(core_of.select("key", "weight", "leaders", "core").join(texts, "key"), "key")
     compared = cut(pairs.groupBy("leader", "i", "j").applyInPandas(lambda pdf: _within(pdf, n, threshold), COUNTED))
-    roots = components(compared.select("key", "other").union(core_of.select("key", F.col("core").alias("other"))))
+    # A core is a star already: only links between cores are left to follow.
+    named = core_of.select("key", "core")
+    between = compared.select("key", "other").join(named, "key").join(named.select(F.col("key").alias("other"), F.col("core").alias("other_core")), "other")
+    roots = components(between.select(F.col("core").alias("key"), F.col("other_core").alias("other")))
     outside = compared.groupBy("key").agg(F.sum("links").alias("outside"))
 
     # Nodes without candidates are cores of their own; a null core would bring them all to one task.
     own = nodes.select("key", "rep", "weight").join(core_of.select("key", "core"), "key", "left").withColumn("core", F.coalesce("core", "key"))
-    about = (own.join(core_size, "core", "left").join(outside, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    per_core = core_size.join(roots.withColumnRenamed("key", "core"), "core", "left")
+    about = own.join(per_core, "core", "left").join(outside, "key", "left").withColumn("root", F.coalesce("root", "core"))
     about = cut(about.select("key", "rep", "root", (F.coalesce("core_weight", "weight") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links")))
     classes = about.groupBy("root").agg(F.min("rep").alias("class_id"))
     per_node = about.join(classes, "root").select("key", "root", "class_id", F.col("rep").alias("copy_id"), "n_links")
@@ -294,15 +299,33 @@ def _classed(docs: DataFrame, threshold: float, n: int, recall: float, id_col: s
     return with_grams.select("doc_id", "text_hash", "key").join(per_node, "key").drop("key").unionByName(without.select("doc_id", "text_hash", *rest))
 
 
-def _named(joined: DataFrame, n: int) -> DataFrame:
-    """Rows whose text has the n-gram set it was joined for: ``key, weight, leaders, text``."""
+def _tiled(each: DataFrame) -> DataFrame:
+    """Adds ``tiles`` of the leader and the row's ``tile`` to rows (key, leader, chars).
+
+    Few groups need more than one tile. Their numbers are copied once per salt, and the rows
+    meet them by leader and salt, so the rows of one large group are spread over tasks.
+    """
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / TILE_TEXTS), F.ceil(F.sum("chars") / TILE_CHARS)).cast("int").alias("tiles")
+    large = each.groupBy("leader").agg(size).where("tiles > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = each.withColumn("salt", F.pmod(F.hash("key"), F.lit(SALTS)))
+    out = salted.join(large, ["leader", "salt"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    return cut(out.select("key", "leader", "tiles", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int").alias("tile")))
+
+
+def _texts(docs: DataFrame, members: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """``key, text`` of every node with candidates, from the row that the node names by id and hash of the text.
+
+    Rows that agree in both are checked against the key, as two texts may share a hash.
+    """
+    wanted = members.select("key", F.col("source.doc_id").alias("_id"), F.col("source.text_hash").alias("_hash"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    joined = wanted.join(texts, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))).select("key", "text")
+
     def kept(batches):
         for b in batches:
-            ok = [key_of(ngrams(t.as_py(), n)) == k.as_py() for t, k in zip(b.column("text"), b.column("name"))]
-            b = b.filter(pa.array(ok, pa.bool_()))
-            yield b.select(["name", "weight", "leaders", "text"]).rename_columns(["key", "weight", "leaders", "text"])
+            yield b.filter(pa.array([key_of(ngrams(t.as_py(), n)) == k.as_py() for t, k in zip(b.column("text"), b.column("key"))], pa.bool_()))
 
-    return joined.select("name", "weight", "leaders", "text").mapInArrow(kept, "key binary, weight long, leaders array<binary>, text string")
+    return joined.mapInArrow(kept, "key binary, text string").dropDuplicates(["key"])
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> DataFrame:

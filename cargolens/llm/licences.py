@@ -1,8 +1,9 @@
 """License scans: Dice coefficient over word bigrams between parts of a text and licence templates."""
 from __future__ import annotations
 
+import heapq
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -176,31 +177,44 @@ def _runs(words: list[str], cuts: list[int], at: int, templates: Templates) -> l
     return found
 
 
-def _chosen(runs: list[tuple], parts: list[tuple[int, int]], templates: Templates) -> list[tuple[str, float]]:
+def _chosen(runs: list[tuple], parts: list[list[int]], templates: Templates) -> list[tuple[str, float]]:
     """Disjoint runs: of one template the highest Dice, of several templates the most shared bigrams.
 
     A line or paragraph around a chosen run that reaches the threshold by itself is one match.
+    ``parts`` are the borders of paragraphs and of lines. Every template has a queue of its
+    runs; covered words are kept as sorted disjoint intervals, against which a run is
+    tested when it comes up, so n runs take n log n steps.
     """
-    out, groups = [], []
-    for r in sorted(runs, key=lambda r: r[3]):
-        if groups and r[3] < groups[-1][0]:
-            groups[-1][0] = max(groups[-1][0], r[4])
-            groups[-1][1].append(r)
-        else:
-            groups.append([r[4], [r]])
-    whole = set(parts)
-    for _, rest in groups:
-        while rest:
-            best = {}
-            for r in rest:
-                if r[2] not in best or (r[1], r[4] - r[3]) > (best[r[2]][1], best[r[2]][4] - best[r[2]][3]):
-                    best[r[2]] = r
-            _, dice, at, start, end = max(best.values(), key=lambda r: (r[0], r[1], -r[2], -r[3]))
-            out.append((start, templates.rows[at][1], dice))
-            around = [r for r in rest if r[2] == at and r[3] <= start and end <= r[4] and (r[3], r[4]) in whole]
-            low, high = min([start, *(r[3] for r in around)]), max([end, *(r[4] for r in around)])
-            rest = [r for r in rest if r[4] <= low or r[3] >= high]
-    return [m[1:] for m in sorted(out)]
+    queues, whole = {}, {(r[2], r[3], r[4]) for r in runs}
+    for order, r in enumerate(sorted(runs, key=lambda r: r[3])):
+        queues.setdefault(r[2], []).append((-r[1], r[3] - r[4], order, r))
+    for q in queues.values():
+        heapq.heapify(q)
+    out, lows, highs = [], [], []
+
+    def free(start: int, end: int) -> bool:
+        i = bisect_right(highs, start)
+        return i == len(lows) or lows[i] >= end
+
+    while True:
+        for at in list(queues):
+            while queues[at] and not free(*queues[at][0][3][3:]):
+                heapq.heappop(queues[at])
+            if not queues[at]:
+                del queues[at]
+        if not queues:
+            return [m[1:] for m in sorted(out)]
+        _, dice, at, start, end = max((q[0][3] for q in queues.values()), key=lambda r: (r[0], r[1], -r[2], -r[3]))
+        out.append((start, templates.rows[at][1], dice))
+        low, high = start, end
+        for borders in parts:
+            i = bisect_right(borders, start)
+            a, b = borders[i - 1], borders[i] if i < len(borders) else end
+            if end <= b and (at, a, b) in whole and free(a, b):
+                low, high = min(low, a), max(high, b)
+        i = bisect_right(highs, low)
+        lows.insert(i, low)
+        highs.insert(i, high)
 
 
 def scan(text: str | None, templates: Templates) -> list[tuple[str, float]]:
@@ -228,7 +242,7 @@ def scan(text: str | None, templates: Templates) -> list[tuple[str, float]]:
         return sorted({0, len(words), *(bisect_left(starts, m.end()) for m in breaks)})
 
     cuts = word_at(_BREAK.finditer(low))
-    parts = [p for c in (word_at(_PARAGRAPH.finditer(low)), word_at(re.finditer("\n", low))) for p in zip(c, c[1:])]
+    parts = [word_at(_PARAGRAPH.finditer(low)), word_at(re.finditer("\n", low))]
     return _chosen([r for i in near for r in _runs(words, cuts, i, templates)], parts, templates)
 
 

@@ -1,21 +1,26 @@
 """Best-fit packing of token pieces by a configuration linear program over the length histogram."""
 from __future__ import annotations
 
+import os
+import unicodedata
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
+from tokenizers import Tokenizer
 
-from .bpe import Vocabulary, vocabulary
+from .bpe import CACHE, CACHED_CHARS, WORD_END, Vocabulary, vocabulary
 from .common import cut
 
 CAPACITY = 4096
 END = 1  # id that ends a document
 GROUP_CHARS = 4_000_000  # characters encoded at once
 SLICE_BITS = 14  # rows numbered together: 2 ** 14 neighbours of one partition
-PHASES, ROUNDS = 4, 24  # linear programs solved one after another on what is left, and price updates in each
+PHASES, ROUNDS = 3, 24  # linear programs solved one after another on what is left, and price updates in each
+PARTS = (1.0, 0.3)  # of the volume that a rounded solution is scaled to
 STEP = 0.5  # of a length's demand that one round may cover
 DECAY = 4.0  # how fast covered lengths lose their price
 NEAR = 0.02  # configurations this close to the best price are taken in one round
@@ -23,19 +28,51 @@ NEAR = 0.02  # configurations this close to the best price are taken in one roun
 
 # ---------------------------------------------------------------- tokens
 
-def encoded(texts: list[str], v: Vocabulary) -> list[np.ndarray]:
+TOGETHER = 200  # words the library encodes as one text
+MARKS = ".,;:!?*()[]\"'"
+
+
+@lru_cache(maxsize=2)
+def library(path: str) -> tuple[Tokenizer, np.ndarray]:
+    """The tokenizer file's own library, and which ids end a pre-token."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the workers side by side
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t, np.array([s.endswith(WORD_END) for s in vocabulary(path).strings])
+
+
+def _learn(words: set[str], v: Vocabulary, path: str) -> None:
+    """Remembers the ids of new words; the library encodes many as one text, where each ends with a final id."""
+    new = [w for w in words if w not in v.known and w.isalpha() and len(w) <= CACHED_CHARS and unicodedata.is_normalized("NFC", w)]
+    if len(v.known) + len(new) > CACHE:
+        v.known.clear()
+    t, final = library(path)
+    for start in range(0, len(new), TOGETHER * 50):
+        part = new[start:start + TOGETHER * 50]
+        ids = [i for e in t.encode_batch_fast([" ".join(part[i:i + TOGETHER]) for i in range(0, len(part), TOGETHER)], add_special_tokens=False) for i in e.ids]
+        ends = (np.flatnonzero(final[ids]) + 1).tolist()
+        if len(ends) == len(part):  # else a word is cut otherwise than this module expects, and is encoded when met
+            v.known.update(zip(part, (tuple(ids[a:b]) for a, b in zip([0, *ends], ends))))
+
+
+def encoded(texts: list[str], v: Vocabulary, path: str) -> list[np.ndarray]:
     """Token ids of each text. Runs between white space repeat, so each distinct run of a group is encoded once."""
     plain, odd = [], {}
     for i, t in enumerate(texts):
         if v.odd_space.search(t) or any(a in t for a in v.added):
             odd[i] = np.array(v.encode(t), np.uint32)
             t = ""
-        elif not t.isascii():
-            t = v.space.sub(" ", v.normalised(t))
-        plain.append(v.normalised(t) if t.isascii() else t)
+        elif t.isascii():
+            t = v.normalised(t)
+        else:
+            t = " ".join(v.normalised(t).split())
+        plain.append(t)
     lists = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
     runs = lists.flatten().dictionary_encode()
-    known = [v.remembered(r) for r in runs.dictionary.to_pylist()]
+    distinct = runs.dictionary.to_pylist()
+    _learn({r.strip(MARKS) for r in distinct}, v, path)
+    known = [_run_ids(r, v) for r in distinct]
     widths = np.array([len(k) for k in known], np.int64)
     starts = np.cumsum(widths) - widths
     flat = np.fromiter((i for k in known for i in k), np.uint32, int(widths.sum()))
@@ -47,6 +84,18 @@ def encoded(texts: list[str], v: Vocabulary) -> list[np.ndarray]:
     return [odd[i] if i in odd else ids[bounds[i]:bounds[i + 1]] for i in range(len(texts))]
 
 
+def _run_ids(run: str, v: Vocabulary) -> tuple[int, ...]:
+    """Ids of a run. Its pre-tokens are remembered, not the run: words repeat under many punctuations."""
+    known = v.known.get(run)
+    if known is not None:
+        return known
+    if run.isalpha():
+        return v.remembered(run)
+    if run[-1:] in (".", ",") and run[:-1].isalpha():
+        return v.remembered(run[:-1]) + v.remembered(run[-1])
+    return tuple(i for p in v.pieces.findall(run) for i in v.remembered(p))
+
+
 def _groups(texts: list[str]):
     """Ranges of neighbouring texts of bounded total length; a longer text is a range of its own."""
     start, chars = 0, 0
@@ -71,7 +120,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
             texts = b.column("text").to_pylist()
             for lo, hi in _groups(texts):
                 rows, piece, start, length, crc, parts = [], [], [], [], [], []
-                for i, ids in enumerate(encoded(texts[lo:hi], v)):
+                for i, ids in enumerate(encoded(texts[lo:hi], v, path)):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
                     for k, s in enumerate(range(0, len(ids), capacity)):
                         part = ids[s:s + capacity]
@@ -201,35 +250,51 @@ def best_fit(left: np.ndarray) -> list[tuple[tuple, int]]:
         out.append((tuple(sorted(config.items())), times))
 
 
+def _rounded(left: np.ndarray, plan: dict[tuple, float], part: float) -> list[tuple[tuple, int]]:
+    """Whole numbers of full configurations, taken out of ``left``: the plan scaled to a part of the volume and rounded down, at least to 1.
+
+    Configurations with the longest pieces come first; each is used while its pieces are there.
+    """
+    capacity, out = len(left) - 1, []
+    volume = int((left * np.arange(capacity + 1)).sum())
+    scale = max(1.0, part * volume / capacity / max(sum(plan.values()), 1e-9))
+    for parts, x in sorted(plan.items(), key=lambda p: (-p[0][-1][0], -p[1], p[0])):
+        times = min(max(1, int(x * scale)), *(int(left[n]) // c for n, c in parts))
+        if times > 0 and sum(n * c for n, c in parts) == capacity:
+            out.append((parts, times))
+            for n, c in parts:
+                left[n] -= times * c
+    return out
+
+
 def configurations(demand: np.ndarray) -> tuple[list[tuple[tuple, int]], int]:
     """Whole configurations ``((length, how often), ...), number`` that hold the demand exactly, and a lower bound of sequences.
 
     ``demand[l]`` counts the pieces of length l; its last entry those as long as a sequence.
-    Fractional numbers of the linear program are scaled to the volume and rounded down, most
-    used first and at least to 1, while the pieces are there. What is left is solved anew;
-    what is left in the end is packed by best fit.
+    The linear program's solution is rounded for all of the volume and for a part of it;
+    what is left is solved and rounded anew, and after each time best fit completes it. The
+    completion with the fewest sequences is the result.
     """
-    capacity, out = len(demand) - 1, []
+    capacity, best = len(demand) - 1, None
     left = demand.astype(np.int64).copy()
-    bound = 0
-    if left[capacity]:
-        out.append((((capacity, 1),), int(left[capacity])))
-        left[capacity] = 0
-    for phase in range(PHASES):
-        volume = int((left * np.arange(capacity + 1)).sum())
-        if volume == 0:
+    left[capacity] = 0
+    full = [(((capacity, 1),), int(demand[capacity]))] if demand[capacity] else []
+    if not left.any():
+        return full, int(demand[capacity])
+    first, bound = linear_program(left)
+    for part in PARTS:
+        rest, taken = left.copy(), []
+        for phase in range(PHASES):
+            if not rest.any():
+                break
+            taken += _rounded(rest, first if phase == 0 else linear_program(rest)[0], part)
+            done = taken + best_fit(rest)
+            used = sum(n for _, n in done)
+            if best is None or used < best[0]:
+                best = used, done
+        if best[0] <= bound + 1e-6:
             break
-        plan, least = linear_program(left)
-        if phase == 0:
-            bound = int(np.ceil(least - 1e-6))
-        scale = max(1.0, volume / capacity / max(sum(plan.values()), 1e-9))
-        for parts, x in sorted(plan.items(), key=lambda p: (-p[1], p[0])):
-            times = min(max(1, int(x * scale)), *(int(left[n]) // c for n, c in parts))
-            if times > 0 and sum(n * c for n, c in parts) == capacity:
-                out.append((parts, times))
-                for n, c in parts:
-                    left[n] -= times * c
-    return out + best_fit(left), bound + int(demand[capacity])
+    return full + best[1], int(np.ceil(bound - 1e-6)) + int(demand[capacity])
 
 
 class Places:

@@ -11,10 +11,11 @@ from ..functions.text import let
 # The base patterns.
 ASSIGN_HEAD = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 ASSIGN = ASSIGN_HEAD + r"[A-Za-z0-9+/_.=-]+"
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+# Runs of these two are maximal, so asking for their length in the pattern gives the same spans as dropping short ones after.
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
 BASE = ("assign", "access", "hex")
-BASE_LEAST = {"assign": 6, "access": 20, "hex": 24}
+LEAST_VALUE = 6  # characters of an assigned value
 
 
 @dataclass(frozen=True)
@@ -45,15 +46,15 @@ CHUNK = 128
 
 
 def _running(lengths: Column) -> Column:
-    """Sums of all earlier elements. Chunks are summed apart, so cost stays near linear."""
-    def inner(part: Column) -> Column:
+    """Sums of all earlier elements: chunks are summed apart, then the sums of the chunks before each are added."""
+    def running(part: Column) -> Column:
         zero = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("out"))
         return F.aggregate(part, zero, lambda s, x: F.struct((s["n"] + x).alias("n"), F.concat(s["out"], F.array(s["n"])).alias("out")))
 
     n_chunks = F.ceil(F.size(lengths) / CHUNK).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(n_chunks - 1, F.lit(0))), lambda i: inner(F.slice(lengths, i * CHUNK + 1, CHUNK)))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(parts, zero, lambda s, p: F.struct((s["n"] + p["n"]).alias("n"), F.concat(s["out"], F.transform(p["out"], lambda x: x + s["n"])).alias("out")))["out"]
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(n_chunks - 1, F.lit(0))), lambda i: running(F.slice(lengths, i * CHUNK + 1, CHUNK)))
+    return let(parts, lambda ps: F.flatten(F.zip_with(
+        ps, running(F.transform(ps, lambda p: p["n"]))["out"], lambda p, before: F.transform(p["out"], lambda x: x + before))))
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -132,9 +133,9 @@ def spans(text: Column, classes: tuple[CharClass, ...] = CLASSES) -> dict[str, C
     """Arrays of (start, end, hit) per kind, base kinds first."""
     value = lambda m: F.char_length(F.regexp_replace(m["hit"], "^" + ASSIGN_HEAD, ""))
     base = {
-        "assign": _found(text, text.rlike(ASSIGN), ASSIGN, lambda m: value(m) >= BASE_LEAST["assign"]),
-        "access": _found(text, text.contains("AKIA"), ACCESS, lambda m: F.char_length(m["hit"]) >= BASE_LEAST["access"]),
-        "hex": _found(text, text.rlike(f"[0-9a-f]{{{BASE_LEAST['hex']}}}"), HEX, lambda m: F.char_length(m["hit"]) >= BASE_LEAST["hex"]),
+        "assign": _found(text, text.rlike(ASSIGN), ASSIGN, lambda m: value(m) >= LEAST_VALUE),
+        "access": _found(text, text.rlike(ACCESS), ACCESS, lambda m: F.lit(True)),
+        "hex": _found(text, text.rlike(HEX), HEX, lambda m: F.lit(True)),
     }
     return base | {c.name: _of_class(text, c) for c in classes}
 
@@ -151,9 +152,45 @@ def _tagged(kinds: list[str]) -> Column:
     return F.array_sort(F.flatten(F.array(*[tagged(i, k) for i, k in enumerate(kinds)])))
 
 
-def _apart(spans: Column, kind: str) -> Column:
-    """The spans that overlap none of the given kind."""
-    return F.filter(spans, lambda s: ~F.exists(F.col(kind), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+def _latest(events: Column) -> Column:
+    """For each event what came before it: the furthest end of a span and the last run. Chunks are folded apart, then what came before each joins."""
+    def joined(x: Column, y: Column) -> Column:
+        return F.struct(F.greatest(x["reach"], y["reach"]).alias("reach"), F.greatest(x["run"], y["run"]).alias("run"))
+
+    def folded(part: Column) -> Column:
+        nothing = F.expr(f"CAST(named_struct('reach', -1, 'run', named_struct('start', -1, 'end', -1)) AS {SEEN})")
+        zero = F.struct(nothing.alias("all"), F.array().cast(f"array<{SEEN}>").alias("out"))
+        return F.aggregate(part, zero, lambda s, x: F.struct(joined(s["all"], x).alias("all"), F.concat(s["out"], F.array(s["all"])).alias("out")))
+
+    n_chunks = F.ceil(F.size(events) / CHUNK).cast("int")
+    seen = F.transform(events, lambda e: F.struct(e["reach"].alias("reach"), e["run"].alias("run")))
+    parts = let(seen, lambda es: F.transform(F.sequence(F.lit(0), F.greatest(n_chunks - 1, F.lit(0))), lambda i: folded(F.slice(es, i * CHUNK + 1, CHUNK))))
+    return let(parts, lambda ps: F.flatten(F.zip_with(
+        ps, folded(F.transform(ps, lambda p: p["all"]))["out"], lambda p, before: F.transform(p["out"], lambda x: joined(x, before)))))
+
+
+SEEN = "struct<reach:bigint,run:struct<start:bigint,end:bigint>>"
+
+
+def _outside(runs: Column, kinds: list[str]) -> Column:
+    """The parts of runs that lie in no span of the given kinds; a run apart from all of them is one part.
+
+    Runs, their ends and the spans are events in order of place. Before an event lie the
+    last run and the furthest end of a span; what is between the two and the event is a part.
+    """
+    pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    event = lambda at, order, reach, run: F.struct(at.alias("at"), F.lit(order).alias("order"), reach.alias("reach"), run.alias("run"))
+    before, no_run = F.lit(-1).cast("long"), lambda: pair(F.lit(-1).cast("long"), F.lit(-1).cast("long"))
+    opened = F.transform(runs, lambda r: event(r["start"], 1, before, pair(r["start"], r["end"])))
+    closed = F.transform(runs, lambda r: event(r["end"], 0, r["end"], no_run()))
+    spans = [F.transform(F.col(k), lambda b: event(b["start"], 2, b["end"], no_run())) for k in kinds]
+    events = F.array_sort(F.concat(opened, closed, *spans))
+
+    def parts(es: Column) -> Column:
+        cut = F.zip_with(es, _latest(es), lambda e, s: pair(F.greatest(s["reach"], s["run"]["start"]), F.least(e["at"], s["run"]["end"])))
+        return F.filter(cut, lambda p: (p["start"] >= 0) & (p["start"] < p["end"]))
+
+    return F.when(F.size(runs) > 0, let(events, parts)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
 
 
 def secret_scan(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,9 +198,10 @@ def secret_scan(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, id_co
 
     Base kinds are leftmost non-overlapping matches, short ones dropped after matching.
     Entropy kinds add candidate runs that hold letters and digits, match no allow-list
-    pattern and contain a window of enough bits; a run that overlaps a span reported
-    before it adds nothing to ``found``; ``cover`` has it whole beside that span. Positions are code points, ends exclusive. A null text is
-    empty and has no spans. Every input row gives one row; other columns are ignored.
+    pattern and contain a window of enough bits; of a run that overlaps spans reported
+    before it, ``found`` has the parts outside them and ``cover`` the whole run. Positions
+    are code points, ends exclusive. A null text is empty and has no spans. Every input row
+    gives one row; other columns are ignored. The work is linear in a text's length.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     raw = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
@@ -173,10 +211,7 @@ def secret_scan(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, id_co
         out = out.withColumn(name, column)
     out = out.withColumn("cover", _tagged(list(BASE) + [c.name for c in classes]))
     for c in classes:
-        fresh = F.col(c.name)
-        for k in kinds:
-            fresh = _apart(fresh, k)
-        out = out.withColumn(c.name, fresh)
+        out = out.withColumn(c.name, _outside(F.col(c.name), kinds))
         kinds.append(c.name)
     return out.select("doc_id", "text", *[F.size(k).cast("long").alias(f"n_{k}") for k in kinds],
                       _tagged(list(BASE)).alias("base"), _tagged(kinds).alias("found"), "cover")

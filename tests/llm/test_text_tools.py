@@ -161,3 +161,42 @@ def test_size_bounds_prune_no_template():
             top = max(e[0] for e in every)
             got = t.best(part)
             assert (got[1] if got else None) == (top if top >= licences.THRESHOLD and part else None)
+
+
+def test_licence_choice_equals_plain_rescans():
+    """The choice among runs by taking the best and striking what it covers, again and again."""
+    t = licences.Templates(licences.TEMPLATES, licences.THRESHOLD)
+
+    def plain(runs, parts):
+        out, rest, whole = [], sorted(runs, key=lambda r: r[3]), {p for b in parts for p in zip(b, b[1:])}
+        while rest:
+            tops = {}
+            for r in rest:
+                if r[2] not in tops or (r[1], r[4] - r[3]) > (tops[r[2]][1], tops[r[2]][4] - tops[r[2]][3]):
+                    tops[r[2]] = r
+            _, dice, at, start, end = max(tops.values(), key=lambda r: (r[0], r[1], -r[2], -r[3]))
+            out.append((start, t.rows[at][1], dice))
+            around = [r for r in rest if r[2] == at and r[3] <= start and end <= r[4] and (r[3], r[4]) in whole]
+            low, high = min([start, *(r[3] for r in around)]), max([end, *(r[4] for r in around)])
+            rest = [r for r in rest if r[4] <= low or r[3] >= high]
+        return [m[1:] for m in sorted(out)]
+
+    rng = random.Random(9)
+    for _ in range(200):
+        borders = [sorted({0, 60, *(rng.randrange(60) for _ in range(n))}) for n in (3, 9)]
+        runs = []
+        for _ in range(rng.randrange(40)):
+            a, b = sorted(rng.sample(range(61), 2))
+            if rng.random() < 0.3:
+                i = rng.randrange(len(borders[1]) - 1)
+                a, b = borders[1][i:i + 2]
+            runs.append((rng.randrange(5), rng.randrange(4) / 4, rng.randrange(3), a, b))
+        assert licences._chosen(runs, borders, t) == plain(runs, borders)
+
+
+def test_licences_of_a_long_text_of_notices():
+    """A wrapped notice thousands of times: every run overlaps its neighbours."""
+    t, notice = licences.Templates(licences.TEMPLATES, licences.THRESHOLD), licences.TEMPLATES["MIT"][0].replace(" ", "\n", 3)
+    import time
+    start = time.time()
+    assert licences.scan("Foreword of the file.\n" + f"{notice}\n\n" * (400_000 // len(notice)), t) and time.time() - start < 60
