@@ -211,6 +211,11 @@ SELECT p_partkey AS id, CASE CAST(p_partkey % 13 AS INT) WHEN 0 THEN 'a.pdf' WHE
     "fx_members": """
 SELECT l_orderkey AS mail, l_linenumber AS pos, CASE WHEN l_linenumber = 3 THEN 'doc_1.pdf' WHEN l_linenumber = 5 THEN '../etc/x.pdf' WHEN l_linenumber = 6 THEN '__MACOSX/.f'
   ELSE 'in/doc_' || CAST(l_linenumber AS STRING) || '.pdf' END AS name, CAST(l_quantity AS BIGINT) * 260000 AS size, l_returnflag <> 'R' AS safe FROM lineitem
+""",
+    "fx_nested": """
+SELECT l_orderkey AS mail, CAST(l_linenumber AS INT) AS pos, CAST(CASE l_linenumber WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 6 THEN 5 WHEN 7 THEN 5 END AS INT) AS parent,
+  CASE WHEN l_linenumber IN (1, 2, 3, 5) THEN 'part_' || CAST(l_linenumber AS STRING) || '.zip' WHEN l_linenumber = 7 AND l_orderkey % 4 = 0 THEN '../doc.pdf' ELSE 'in/doc.pdf' END AS name,
+  CAST(max(l_quantity) AS BIGINT) * 260000 AS size, l_linenumber IN (1, 2, 3, 5) AS container, min(l_returnflag) <> 'R' AS safe FROM lineitem GROUP BY l_orderkey, l_linenumber
 """,
     "fx_enriched": """
 SELECT e.email_id, e.sender, e.subject, r.category, r.status, r.has_defect, coalesce(r.defect_field, '') AS defect_fields, r.reviewed, r.report_id, r.updated_at,

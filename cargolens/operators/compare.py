@@ -264,3 +264,59 @@ def suggested_action(df: DataFrame) -> DataFrame:
         .withColumn("status", F.when(alert, "ERROR").otherwise(F.col("status")))
         .withColumn("category", F.when(alert, "SPAM").otherwise(F.col("category")))
     )
+
+
+DIFF_CELLS = 60_000  # a longer pair of values is shown whole and not token by token
+
+
+def tokens(value: Column) -> Column:
+    """CMP11: words with their inner marks, white-space runs and runs of other characters, in order."""
+    return F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit(rf"[A-Za-z0-9]+(?:[.'\u2019/-][A-Za-z0-9]+)*|{T.WS}+|(?:(?!{T.WS})[^A-Za-z0-9])+"), F.lit(0))
+
+
+def aligned_difference(left: Column, right: Column) -> Column:
+    """CMP11: the ordered difference of two token arrays, ``ARRAY<STRUCT<op,token>>`` with op same, del or ins.
+
+    Lengths of longest common subsequences of the tails are filled row by row from the
+    end, then walked from the start: equal tokens are the same, else the token goes whose
+    removal keeps the longer rest, a deletion first. Null where one side has no token or the
+    table would exceed its bound, as the reader then sees both values whole.
+    """
+    pair = F.struct(left.alias("a"), right.alias("b"))
+
+    def table(p: Column) -> Column:
+        """Rows for tails of a, the empty tail first; in a row the tails of b likewise."""
+        zeros = F.array_repeat(F.lit(0), F.size(p["b"]) + 1)
+
+        def next_row(rows: Column, x: Column) -> Column:
+            def filled(above: Column) -> Column:
+                def cell(row: Column, k: Column) -> Column:
+                    same = F.get(p["b"], F.size(p["b"]) - k) == x
+                    value = F.when(same, F.get(above, k - 1) + 1).otherwise(F.greatest(F.get(above, k), F.get(row, k - 1)))
+                    return F.concat(row, F.array(value))
+
+                return F.aggregate(F.sequence(F.lit(1), F.size(p["b"])), F.array(F.lit(0)), cell)
+
+            return F.concat(rows, F.array(T.let(F.element_at(rows, -1), filled)))
+
+        return F.aggregate(F.reverse(p["a"]), F.array(zeros), next_row)
+
+    def walk(p: Column, rows: Column) -> Column:
+        n, m = F.size(p["a"]), F.size(p["b"])
+        tail = lambda i, j: F.get(F.get(rows, n - i), m - j)
+        zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.array().cast("array<struct<op:string,token:string>>").alias("ops"))
+
+        def step(s: Column, _: Column) -> Column:
+            i, j = s["i"], s["j"]
+            x, y = F.get(p["a"], i), F.get(p["b"], j)
+            same = (i < n) & (j < m) & (x == y)
+            gone = (j >= m) | ((i < n) & (tail(i + 1, j) >= tail(i, j + 1)))
+            op = F.when(same, F.struct(F.lit("same").alias("op"), x.alias("token"))).when(gone, F.struct(F.lit("del").alias("op"), x.alias("token"))).otherwise(
+                F.struct(F.lit("ins").alias("op"), y.alias("token")))
+            moved = F.struct((i + F.when(same | gone, 1).otherwise(0)).alias("i"), (j + F.when(same | ~gone, 1).otherwise(0)).alias("j"), F.concat(s["ops"], F.array(op)).alias("ops"))
+            return F.when((i >= n) & (j >= m), s).otherwise(moved)
+
+        return F.aggregate(F.sequence(F.lit(1), n + m), zero, step)["ops"]
+
+    fits = lambda p: (F.size(p["a"]) > 0) & (F.size(p["b"]) > 0) & (F.size(p["a"]).cast("long") * F.size(p["b"]) <= DIFF_CELLS)
+    return T.let(pair, lambda p: F.when(fits(p), T.let(table(p), lambda rows: walk(p, rows))))

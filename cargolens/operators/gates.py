@@ -109,8 +109,10 @@ def member_name(name: Column) -> Column:
 def admit_members(mails: DataFrame, max_members: int, max_member_bytes: int, max_bytes: int, members: str = "members") -> DataFrame:
     """GTE6: which members of a mail's containers are taken, in order, and why the others are not.
 
-    ``members`` is the mail's own manifest ``ARRAY<STRUCT<name,size,safe>>``. A refused
-    member spends nothing, so this is an ordered fold and not a running sum.
+    ``members`` is the mail's own manifest ``ARRAY<STRUCT<name,size,safe>>`` in a total order:
+    by position, and for members of one position by name, size and safety, so that tied
+    rows give one result. A refused member spends nothing, so this is an ordered fold and
+    not a running sum.
     """
     zero = F.struct(F.lit(max_members).alias("n"), F.lit(max_bytes).cast("bigint").alias("b"), F.array().cast("array<string>").alias("taken"),
                     F.array().cast("array<struct<name:string,reason:string>>").alias("refused"))
@@ -128,6 +130,59 @@ def admit_members(mails: DataFrame, max_members: int, max_member_bytes: int, max
     return done.select("*", "_admitted.taken", "_admitted.refused").drop("_admitted")
 
 
+def walked_members(members: DataFrame, levels: int) -> DataFrame:
+    """GTE6: adds ``path`` (positions from the outermost container to the member) and ``layer`` to nested members.
+
+    ``members(mail, pos, parent, ...)`` with one row per (mail, pos); ``parent`` is the position
+    of the container that holds the member, null for the mail's own. Only as many layers
+    are walked as may be opened and one more, each by an equi-join on mail and position,
+    so neither the plan nor the work depends on how deep a manifest nests. Members
+    below that have the path of their nearest ancestors and a layer beyond ``levels``; so has one
+    whose container the manifest lacks, or that lies in a cycle.
+    """
+    held = members.select(F.col("mail").alias("_mail"), F.col("pos").alias("_pos"), F.col("parent").alias("_up_next"), F.lit(True).alias("_there"))
+    out = members.withColumn("path", F.array("pos")).withColumn("layer", F.lit(1)).withColumn("_up", F.col("parent"))
+    for _ in range(levels):
+        out = out.join(held, (F.col("mail") == F.col("_mail")) & (F.col("_up") == F.col("_pos")), "left")
+        climbed = F.col("_up").isNotNull()
+        out = out.withColumns({
+            "path": F.when(climbed, F.concat(F.array("_up"), F.col("path"))).otherwise(F.col("path")),
+            "layer": F.when(climbed, F.col("layer") + 1).otherwise(F.col("layer")),
+            "_up": F.when(F.col("_there"), F.col("_up_next")).otherwise(F.col("_up"))}).drop("_mail", "_pos", "_up_next", "_there")
+    return out.withColumn("layer", F.when(F.col("_up").isNotNull(), F.lit(levels + 1)).otherwise(F.col("layer"))).drop("_up")
+
+
+def admit_nested(walked: DataFrame, levels: int, max_members: int, max_member_bytes: int, max_bytes: int) -> DataFrame:
+    """GTE6 for containers in containers: ``mail, taken, refused`` per mail, from :func:`walked_members`.
+
+    Members come in pre-order, so a container's own come right behind it, and all layers
+    spend one budget. A member is refused for its depth, or because its container was refused,
+    then for the reasons of a flat manifest; a name counts as repeated inside its own
+    container only. ``taken`` holds (path, name), ``refused`` (path, reason). A manifest
+    belongs to one mail and is folded in one row.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    fields = ["path", "name", "size", "safe", "parent", "pos", "layer", "container"]
+    manifest = walked.groupBy("mail").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_m"))
+    zero = F.struct(F.lit(max_members).alias("n"), F.lit(max_bytes).cast("bigint").alias("b"), F.array().cast("array<struct<path:array<int>,name:string>>").alias("taken"),
+                    F.array().cast("array<struct<up:int,name:string>>").alias("names"), F.array().cast("array<int>").alias("open"),
+                    F.array().cast("array<struct<path:array<int>,reason:string>>").alias("refused"))
+
+    def step(a, m):
+        base = member_name(m["name"])
+        named = F.struct(m["parent"].alias("up"), base.alias("name"))
+        reason = (F.when(m["layer"] > levels, "depth").when(m["parent"].isNotNull() & ~yes(F.array_contains(a["open"], m["parent"])), "container").when(base.isNull(), "name")
+                  .when(~yes(m["safe"]), "unsafe").when(~yes(m["size"] <= max_member_bytes), "size").when(yes(F.array_contains(a["names"], named)), "repeated")
+                  .when(a["n"] <= 0, "number").when(~yes(m["size"] <= a["b"]), "total"))
+        took = F.struct((a["n"] - 1).alias("n"), (a["b"] - m["size"]).alias("b"), F.concat(a["taken"], F.array(F.struct(m["path"].alias("path"), base.alias("name")))).alias("taken"),
+                        F.concat(a["names"], F.array(named)).alias("names"), F.when(yes(m["container"]), F.concat(a["open"], F.array(m["pos"]))).otherwise(a["open"]).alias("open"), a["refused"].alias("refused"))
+        left = F.struct(a["n"].alias("n"), a["b"].alias("b"), a["taken"].alias("taken"), a["names"].alias("names"), a["open"].alias("open"),
+                        F.concat(a["refused"], F.array(F.struct(m["path"].alias("path"), reason.alias("reason")))).alias("refused"))
+        return F.when(reason.isNull(), took).otherwise(left)
+
+    return manifest.withColumn("_a", F.aggregate("_m", zero, step)).select("mail", "_a.taken", "_a.refused")
+
+
 def staging(df: DataFrame) -> DataFrame:
     """GTE8: staging status, security status and category of an inbound mail.
 

@@ -103,7 +103,7 @@ def gte7(t):
     return t.view("fx_members").select("mail", "pos", G.member_name(F.col("name")).alias("base"))
 
 
-step("ox_numbered", "SELECT *, row_number() OVER (PARTITION BY mail ORDER BY pos, name) AS n FROM ox_member")
+step("ox_numbered", "SELECT *, row_number() OVER (PARTITION BY mail ORDER BY pos, name, size, safe) AS n FROM ox_member")
 step("ox_fold", """SELECT DISTINCT mail, CAST(0 AS BIGINT) AS n, CAST(31457280 AS BIGINT) AS room, CAST([] AS VARCHAR[]) AS taken FROM fx_members
   UNION ALL SELECT mail, n, CASE WHEN ok THEN room - size ELSE room END, CASE WHEN ok THEN list_append(taken, base) ELSE taken END FROM (
     SELECT m.mail, m.n, f.room, f.taken, m.base, m.size, coalesce(m.base IS NOT NULL AND m.safe AND m.size <= 10485760 AND m.size <= f.room AND len(f.taken) < 25 AND NOT list_contains(f.taken, m.base), false) AS ok
@@ -117,6 +117,27 @@ def gte6(t):
     return G.admit_members(m, rules.MAX_MEMBERS, rules.MAX_MEMBER_BYTES, rules.MAX_ATTACHMENT_BYTES).select("mail", F.array_join("taken", ",").alias("taken"), F.size("refused").cast("bigint").alias("refused"))
 
 
+step("ox_tree", """SELECT mail, pos, parent, name, size, container, safe, [pos] AS path, 1 AS layer FROM fx_nested WHERE parent IS NULL
+  UNION ALL SELECT c.mail, c.pos, c.parent, c.name, c.size, c.container, c.safe, list_append(t.path, c.pos), t.layer + 1 FROM ox_tree t JOIN fx_nested c ON c.mail = t.mail AND c.parent = t.pos""")
+step("ox_preorder", r"""SELECT *, row_number() OVER (PARTITION BY mail ORDER BY path) AS n, CASE WHEN NOT (regexp_matches(name, '(^|/)\.\.(/|$)|^/|/$') OR starts_with(regexp_extract(name, '([^/]+)$', 1), '.')) THEN regexp_extract(name, '([^/]+)$', 1) END AS base
+  FROM (SELECT mail, pos, parent, name, size, container, safe, path, layer FROM ox_tree) x""".replace(chr(92) * 2, chr(92)))
+step("ox_nested_fold", """SELECT DISTINCT mail, CAST(0 AS BIGINT) AS n, CAST(31457280 AS BIGINT) AS room, CAST([] AS VARCHAR[]) AS taken, CAST([] AS INTEGER[]) AS opened FROM fx_nested
+  UNION ALL SELECT mail, n, CASE WHEN ok THEN room - size ELSE room END, CASE WHEN ok THEN list_append(taken, seat) ELSE taken END, CASE WHEN ok AND container THEN list_append(opened, pos) ELSE opened END FROM (
+    SELECT m.mail, m.n, m.pos, m.container, f.room, f.taken, f.opened, m.size, coalesce(m.parent::VARCHAR, '') || '/' || m.base AS seat,
+      coalesce(m.layer <= 2 AND (m.parent IS NULL OR list_contains(f.opened, m.parent)) AND m.base IS NOT NULL AND m.safe AND m.size <= 10485760 AND m.size <= f.room AND len(f.taken) < 25
+        AND NOT list_contains(f.taken, coalesce(m.parent::VARCHAR, '') || '/' || m.base), false) AS ok
+    FROM ox_nested_fold f JOIN ox_preorder m ON m.mail = f.mail AND m.n = f.n + 1) x""")
+
+
+# A member whose container the manifest lacks is in no tree; it is refused for its depth.
+@query("gte6n_nested_admission", """SELECT f.mail, array_to_string(arg_max(taken, n), ',') AS taken, any_value(m.c) - len(arg_max(taken, n)) AS refused
+  FROM ox_nested_fold f JOIN (SELECT mail, count(*) AS c FROM fx_nested GROUP BY mail) m ON m.mail = f.mail GROUP BY f.mail""")
+def gte6n(t):
+    done = G.admit_nested(G.walked_members(t.view("fx_nested"), rules.MAX_LEVELS), rules.MAX_LEVELS, rules.MAX_MEMBERS, rules.MAX_MEMBER_BYTES, rules.MAX_ATTACHMENT_BYTES)
+    seat = lambda m: F.concat(F.coalesce(F.get(m["path"], F.size(m["path"]) - 2).cast("string"), F.lit("")), F.lit("/"), m["name"])
+    return done.select("mail", F.array_join(F.transform("taken", seat), ",").alias("taken"), F.size("refused").cast("bigint").alias("refused"))
+
+
 step("ox_stage", "SELECT email_id, category, (s_ok OR c_ok OR sd_ok OR cd_ok OR m_ok) AS trusted, length(subject) % 5 = 0 AS unsafe FROM ox_trust")
 
 

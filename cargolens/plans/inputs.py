@@ -260,3 +260,24 @@ def cmp11(t):
     i = t.view("fx_issues").select(F.col("report_id").alias("email_id"), F.col("field_name").alias("field"), "si_value", "bl_value")
     n = lambda c: F.size(F.filter(F.split(c, " "), lambda x: x != ""))
     return token_differences(i).select(F.col("email_id").alias("report_id"), n("deleted").alias("deleted"), n("inserted").alias("inserted"))
+
+
+# Two wordings of one description: words move, repeat and differ.
+WORDINGS = "SELECT p_partkey AS id, p_name || ', ' || p_type || ' x' || CAST(p_size AS STRING) AS si_value, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_type || ' (' || p_name || ') x' || CAST(p_size % 7 AS STRING) END AS bl_value FROM part"
+step("ox_wordings", WORDINGS)
+step("ox_words", f"""SELECT id, regexp_extract_all(si_value, {chr(39)}[A-Za-z0-9]+(?:[.{chr(39) * 2}’/-][A-Za-z0-9]+)*|\\s+|[^\\sA-Za-z0-9]+{chr(39)}) AS a, regexp_extract_all(bl_value, {chr(39)}[A-Za-z0-9]+(?:[.{chr(39) * 2}’/-][A-Za-z0-9]+)*|\\s+|[^\\sA-Za-z0-9]+{chr(39)}) AS b FROM ox_wordings""".replace(chr(92) * 2, chr(92)))
+# One cell of the table per step, in the order in which it is filled; the walk then reads it.
+step("ox_cells", """SELECT id, a, b, len(a) AS n, len(b) AS m, 0 AS k, CAST([] AS INTEGER[]) AS dp FROM ox_words
+  UNION ALL SELECT id, a, b, n, m, k + 1, list_append(dp, CASE WHEN a[n - k // m] = b[m - k % m] THEN CASE WHEN k >= m AND k % m > 0 THEN dp[k - m] ELSE 0 END + 1
+    ELSE greatest(CASE WHEN k >= m THEN dp[k - m + 1] ELSE 0 END, CASE WHEN k % m > 0 THEN dp[k] ELSE 0 END) END) FROM ox_cells WHERE k < n * m""")
+step("ox_walk", """SELECT id, a, b, n, m, 0 AS i, 0 AS j, dp, CAST([] AS VARCHAR[]) AS ops FROM ox_cells WHERE k = n * m AND n * m > 0
+  UNION ALL SELECT id, a, b, n, m, i + (op <> '+')::INTEGER, j + (op <> '-')::INTEGER, dp, list_append(ops, op || CASE WHEN op = '+' THEN b[j + 1] ELSE a[i + 1] END) FROM (
+    SELECT *, CASE WHEN i < n AND j < m AND a[i + 1] = b[j + 1] THEN '=' WHEN j >= m THEN '-' WHEN i >= n THEN '+'
+      WHEN CASE WHEN i + 1 < n THEN dp[(n - 2 - i) * m + m - j] ELSE 0 END >= CASE WHEN j + 1 < m THEN dp[(n - 1 - i) * m + m - j - 1] ELSE 0 END THEN '-' ELSE '+' END AS op FROM ox_walk WHERE i < n OR j < m) x""")
+
+
+@query("cmp11_aligned_difference", "SELECT w.id, array_to_string(o.ops, '~') AS ops FROM ox_words w LEFT JOIN (SELECT id, ops FROM ox_walk WHERE i = n AND j = m) o ON o.id = w.id")
+def cmp11_aligned(t):
+    mark = lambda x: F.concat(F.when(x["op"] == "same", "=").when(x["op"] == "del", "-").otherwise("+"), x["token"])
+    ops = K.aligned_difference(K.tokens(F.col("si_value")), K.tokens(F.col("bl_value")))
+    return t.sql(WORDINGS).select("id", F.array_join(F.transform(ops, mark), "~").alias("ops"))

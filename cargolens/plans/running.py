@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..operators import compare as K, evaluate as E, incremental as N, overview as O, versions as V
+from ..sources import keyed_table as KT
 from ..streaming import jobs as J
 from . import duck as D
 from .extraction import pairs
@@ -93,6 +94,16 @@ def snk3(t):
     return N.upsert(part("event_type <> 'view'"), part("event_type = 'view'"), "user_id", "event_id")
 
 
+# Two batches into a table on shared storage; the second comes twice.
+@query("snk3u_bucketed_upsert", "SELECT user_id, arg_max(props, event_id) AS props, max(event_id) AS event_id FROM events GROUP BY user_id")
+def snk3u(t):
+    out = J.work_dir(t.spark) + "/table"
+    part = lambda cond: t("events").filter(cond).select("user_id", "props", "event_id")
+    for batch, cond in (("a", "event_type <> 'view'"), ("b", "event_type = 'view'"), ("b", "event_type = 'view'")):
+        KT.upsert_into(part(cond), out, "user_id", ["event_id"], batch)
+    return KT.read_table(t.spark, out, part("true").schema)
+
+
 # --------------------------------------------------------------------- streaming
 def event_stream(t):
     src = t.spark.readStream.schema(t("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
@@ -126,6 +137,17 @@ def str7(t):
     return t.spark.read.parquet(out + "/pairs").groupBy("ref").agg(F.min("si_path").alias("si_path"), F.min("bl_path").alias("bl_path"))
 
 
+# Every half comes out of the state: in a pair, or expired when it waited ten days.
+@query("str7k_counterpart_state", """SELECT ref, si_path, bl_path FROM (SELECT 'SHP-' || CAST(user_id AS VARCHAR) AS ref, min(CAST(event_id AS VARCHAR)) FILTER (WHERE event_type = 'view') AS si_path, min(CAST(event_id AS VARCHAR)) FILTER (WHERE event_type = 'click') AS bl_path FROM events GROUP BY ALL) x WHERE si_path IS NOT NULL AND bl_path IS NOT NULL""")
+def str7k(t):
+    out = J.work_dir(t.spark)
+    s = event_stream(t).filter("event_type IN ('view', 'click')").select(
+        F.concat(F.lit("SHP-"), F.col("user_id").cast("string")).alias("ref"), F.when(F.col("event_type") == "view", "SI").otherwise("BL").alias("kind"),
+        F.col("event_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("at"))
+    J.run_keyed(J.counterpart_state(s, "10 days", "1 hour"), out + "/rows", out + "/cp")
+    return J.all_counterparts(t.spark.read.parquet(out + "/rows"))
+
+
 @query("str8_revision_stream", "SELECT reg_id, version_number FROM ox_chain UNION ALL SELECT d.reg_id, c.version_number FROM ox_dup d LEFT JOIN ox_chain c ON c.reg_id = d.duplicate_of WHERE d.duplicate_of IS NOT NULL")
 def str8(t):
     out = J.work_dir(t.spark)
@@ -152,6 +174,23 @@ def str13(t):
     return t.spark.read.parquet(out + "/rows").filter("notice_id IS NOT NULL").groupBy("dispatch_id").agg(F.min("notice_id").alias("first_notice"), F.count("notice_id").alias("notices"))
 
 
+# The stream completed by its ledger of late rows: also notices behind the watermark, and dispatches without any.
+@query("str13l_delivery_completed", """SELECT d.event_id AS dispatch_id, min(e.event_id) AS first_notice, count(e.event_id) AS notices FROM events d LEFT JOIN events e ON e.user_id = d.user_id AND e.event_type = 'error' AND e.ts >= d.ts AND e.ts <= d.ts + INTERVAL 2 DAY
+  WHERE d.event_type = 'view' GROUP BY d.event_id""")
+def str13l(t):
+    out = J.work_dir(t.spark)
+    at = F.col("ts").cast("timestamp")
+    sent = lambda x: x.filter("event_type = 'view'").select(F.col("event_id").alias("dispatch_id"), F.col("user_id").alias("message_id"), at.alias("created_at"))
+    told = lambda x: x.filter("event_type = 'error'").select(F.col("user_id").alias("message_id"), F.col("event_id").alias("notice_id"), at.alias("received_at"))
+    j = J.delivery_join(sent(event_stream(t)), told(event_stream(t)), "INTERVAL 2 DAYS", "1 hour").select("dispatch_id", "notice_id")
+    J.run_to_end(j.writeStream.format("parquet").option("path", out + "/rows"), out + "/cp")
+    J.late_rows(sent(event_stream(t)), "created_at", "1 hour", out + "/d", out + "/cpd")
+    J.late_rows(told(event_stream(t)), "received_at", "1 hour", out + "/e", out + "/cpe")
+    late_d, late_e = J.read_late(t.spark, out + "/d", sent(t("events")).schema), J.read_late(t.spark, out + "/e", told(t("events")).schema)
+    done = J.completed_deliveries(t.spark.read.parquet(out + "/rows"), late_d, late_e, sent(t("events")), told(t("events")), "INTERVAL 2 DAYS")
+    return done.groupBy("dispatch_id").agg(F.min("notice_id").alias("first_notice"), F.count("notice_id").alias("notices"))
+
+
 # -------------------------------------------------------------------- evaluation
 step("ox_eval", "SELECT l.doc_id, CASE l.quality WHEN 1 THEN 'good' ELSE 'bad' END AS gold, CASE WHEN d.n_chars > 400 THEN 'good' WHEN d.doc_id IS NOT NULL AND d.n_chars > 100 THEN 'bad' ELSE 'bad' END AS predicted FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id")
 

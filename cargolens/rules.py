@@ -268,6 +268,7 @@ EXECUTABLE_LABELS = [e for e in DANGEROUS_EXTENSIONS if e not in ("com", "bin")]
 MAX_ATTACHMENT_BYTES = 30 * 1024 * 1024
 MAX_MEMBERS = 25
 MAX_MEMBER_BYTES = 10 * 1024 * 1024
+MAX_LEVELS = 2  # container layers that are opened
 # (suffixes, leading bytes in hex, what the suffix claims)
 CONTAINER_HEADERS = [
     (["zip"], ["504B0304", "504B0506", "504B0708"], "ZIP archive"),

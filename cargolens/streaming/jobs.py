@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import versions as V
 from ..shared import shared_folder
@@ -93,6 +95,86 @@ def counterpart_pass(stream: DataFrame, out: str, checkpoint: str) -> None:
     run_to_end(stream.writeStream.foreachBatch(step), checkpoint)
 
 
+KEYED_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PAIRED = "ref string, si_path string, bl_path string, outcome string"
+
+
+class _WaitingHalves(StatefulProcessor):
+    """One reference: the first path of each kind, and a timer for a half that waits alone."""
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("halves", "si string, bl string, expires long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self.state.get() if self.state.exists() else (None, None, None)
+        first, expires = {"SI": held[0], "BL": held[1]}, held[2]
+        latest = None
+        for part in rows:  # parts of bounded size, also for a reference with very many rows
+            for kind, path in part.groupby("kind")["path"].min().items():
+                if kind in first and (first[kind] is None or path < first[kind]):
+                    first[kind] = path
+            at = part["at"].max()
+            latest = at if latest is None or at > latest else latest
+        whole = first["SI"] is not None and first["BL"] is not None
+        if expires is not None:
+            self.handle.deleteTimer(int(expires))
+            expires = None
+        if not whole and latest is not None:
+            expires = int(latest.timestamp() * 1000) + self.wait_ms
+            self.handle.registerTimer(expires)
+        now = (first["SI"], first["BL"], expires)
+        if now != tuple(held):
+            self.state.update(now)
+        if whole and (first["SI"], first["BL"]) != tuple(held[:2]):
+            yield pd.DataFrame({"ref": [key[0]], "si_path": [first["SI"]], "bl_path": [first["BL"]], "outcome": ["PAIRED"]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = self.state.get() if self.state.exists() else None
+        if held is not None and (held[0] is None or held[1] is None):
+            self.state.clear()
+            yield pd.DataFrame({"ref": [key[0]], "si_path": [held[0]], "bl_path": [held[1]], "outcome": ["EXPIRED"]})
+
+    def close(self) -> None:
+        pass
+
+
+def counterpart_state(stream: DataFrame, wait: str, delay: str) -> DataFrame:
+    """STR7 with keyed state: ``ref, si_path, bl_path, outcome`` as halves arrive; no history is read.
+
+    ``stream(ref, kind, path, at)``. The state of a reference is two paths and a timer, in a
+    RocksDB store that changes with the keys a batch touches. A pair comes out when its
+    second half arrives, and again with an earlier path (readers take the first of each kind).
+    A half that no counterpart joined until the watermark passed its time by ``wait`` comes
+    out as EXPIRED and leaves the state: :func:`all_counterparts` hands it to the batch form.
+    Rows without reference, path or one of the two kinds take no part; rows that repeat
+    change nothing.
+    """
+    millis = int(pd.Timedelta(wait).total_seconds() * 1000)
+    halves = stream.where("ref IS NOT NULL AND path IS NOT NULL AND kind IN ('SI', 'BL')").select("ref", "kind", "path", "at").withWatermark("at", delay)
+    return halves.groupBy("ref").transformWithStateInPandas(
+        _WaitingHalves(millis), outputStructType=PAIRED, outputMode="Append", timeMode="EventTime")
+
+
+def run_keyed(out: DataFrame, path: str, checkpoint: str) -> None:
+    """Drains a keyed stream into a Parquet sink with the state store it needs, and leaves the session's setting as it was."""
+    conf, name = out.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, KEYED_STORE)
+    try:
+        run_to_end(out.writeStream.format("parquet").option("path", path), checkpoint)
+    finally:
+        conf.set(name, before)
+
+
+def all_counterparts(streamed: DataFrame) -> DataFrame:
+    """``ref, si_path, bl_path`` from everything the keyed stream gave out: pairs, and halves that met only after one had expired."""
+    return streamed.groupBy("ref").agg(F.min("si_path").alias("si_path"), F.min("bl_path").alias("bl_path")).where("si_path IS NOT NULL AND bl_path IS NOT NULL")
+
+
 def revision_chain(stream: DataFrame, out: str, checkpoint: str) -> None:
     """STR8: revisions in any order; the chains of touched documents are renumbered.
 
@@ -132,3 +214,42 @@ def delivery_join(dispatches: DataFrame, events: DataFrame, within: str, delay:
     cond = (F.col("message_id") == F.col("event_message_id")) & (F.col("received_at") >= F.col("created_at")) & (
         F.col("received_at") <= F.col("created_at") + F.expr(within))
     return d.join(e, cond, "left_outer")
+
+
+def late_rows(stream: DataFrame, stamp: str, delay: str, out: str, checkpoint: str) -> None:
+    """STR13: a ledger of the rows that a watermark of ``delay`` may have dropped, under ``out/late``.
+
+    Kept are rows more than the delay behind the newest time seen so far, the row's own batch
+    included. A watermark is behind that, however the joining stream cuts its batches, so no
+    dropped row is missing; rows that were joined all the same do no harm. A batch sends one
+    time to the driver.
+    """
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.agg(F.max(stamp).alias("newest")).write.mode("overwrite").parquet(f"{out}/newest/batch_id={batch_id}")
+        newest = _read(batch.sparkSession, f"{out}/newest", "newest timestamp, batch_id int").where(F.col("batch_id") <= batch_id).agg(F.max("newest").alias("n")).first()["n"]
+        behind = batch.where(F.col(stamp) < F.lit(newest) - F.expr(f"INTERVAL {delay}")) if newest is not None else batch.limit(0)
+        behind.write.mode("overwrite").parquet(f"{out}/late/batch_id={batch_id}")
+
+    run_to_end(stream.writeStream.foreachBatch(step), checkpoint)
+
+
+def read_late(spark: SparkSession, out: str, schema) -> DataFrame:
+    return _read(spark, f"{out}/late", schema)
+
+
+def completed_deliveries(streamed: DataFrame, late_dispatches: DataFrame, late_events: DataFrame, dispatches: DataFrame, events: DataFrame, within: str) -> DataFrame:
+    """STR13: ``dispatch_id, notice_id`` of the stream, completed by what arrived too late for it.
+
+    Late events meet all dispatches and late dispatches all events by message id, so the cost
+    follows the late rows; a dispatch without any notice comes once with a null. Equals the
+    batch join on every order of arrival, also where the stream had given a dispatch out as
+    unmatched before its notice came.
+    """
+    def met(d: DataFrame, e: DataFrame) -> DataFrame:
+        e = e.withColumnRenamed("message_id", "_message")
+        cond = (F.col("message_id") == F.col("_message")) & (F.col("received_at") >= F.col("created_at")) & (F.col("received_at") <= F.col("created_at") + F.expr(within))
+        return d.join(e, cond).select("dispatch_id", "notice_id")
+
+    pairs = streamed.where("notice_id IS NOT NULL").select("dispatch_id", "notice_id").unionByName(met(dispatches, late_events)).unionByName(met(late_dispatches, events)).distinct()
+    alone = dispatches.select("dispatch_id").distinct().join(pairs, "dispatch_id", "left_anti").withColumn("notice_id", F.lit(None).cast(pairs.schema["notice_id"].dataType))
+    return pairs.unionByName(alone)

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from cargolens.operators import issues, versions
-from cargolens.sources import documents, mail
+from cargolens.sources import documents, keyed_table, mail
 from cargolens.streaming import jobs
 
 
@@ -92,6 +92,42 @@ def test_counterparts_equal_the_batch_form(spark, tmp_path):
     assert got == {r: (first(r, "SI"), first(r, "BL")) for r in {x[0] for x in rows} if first(r, "SI") and first(r, "BL")}
 
 
+def keyed(spark, folder, batches, wait="2 days", delay="0 seconds"):
+    """Each list of (ref, kind, path, at) is a micro-batch, in order."""
+    schema = "ref string, kind string, path string, at timestamp"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/part={i}")
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+    jobs.run_keyed(jobs.counterpart_state(s, wait, delay), f"{folder}/rows", f"{folder}/cp")
+    return spark.read.parquet(f"{folder}/rows")
+
+
+def test_keyed_counterparts_wait_pair_and_expire(spark, tmp_path):
+    at = lambda h: datetime(2026, 1, 1) + timedelta(hours=h)
+    out = keyed(spark, tmp_path, [
+        [("A", "SI", "a1", at(0)), ("B", "SI", "b1", at(0)), ("C", "BL", "c1", at(0)), ("D", "SI", "d2", at(0)), (None, "SI", "x", at(0)), ("E", "OTHER", "x", at(0)), ("E", "SI", None, at(0))],
+        [("A", "BL", "a2", at(10)), ("A", "SI", "a1", at(0)), ("D", "BL", "d5", at(10))],  # a repeat of the first half
+        [("D", "SI", "d1", at(20))],  # an earlier path after the pair was made
+        [("Z", "SI", "z1", at(500))],  # the watermark passes B's and C's time
+        [("Z", "BL", "z2", at(501))],
+        [("C", "SI", "c9", at(502))]])  # after C's first half expired
+    got = sorted(tuple(r) for r in out.collect())
+    assert ("A", "a1", "a2", "PAIRED") in got and sum(g[0] == "A" for g in got) == 1
+    assert ("B", "b1", None, "EXPIRED") in got and ("C", None, "c1", "EXPIRED") in got and not [g for g in got if g[0] == "E"]
+    pairs = {r.ref: (r.si_path, r.bl_path) for r in jobs.all_counterparts(out).collect()}
+    assert pairs == {"A": ("a1", "a2"), "D": ("d1", "d5"), "Z": ("z1", "z2")}
+
+
+def test_keyed_counterparts_equal_the_batch_form(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(f"R{rng.randrange(12)}", rng.choice(["SI", "BL"]), f"p{i:03d}", datetime(2026, 1, 1) + timedelta(hours=rng.randrange(900))) for i in range(90)]
+    parts = [rows[i::4] + rng.sample(rows, 9) for i in range(4)]
+    out = keyed(spark, tmp_path, parts, wait="90 days", delay="60 days")
+    first = lambda ref, kind: min((p for r, k, p, _ in rows if (r, k) == (ref, kind)), default=None)
+    assert {r.ref: (r.si_path, r.bl_path) for r in jobs.all_counterparts(out).collect()} == {
+        r: (first(r, "SI"), first(r, "BL")) for r in {x[0] for x in rows} if first(r, "SI") and first(r, "BL")}
+
+
 def test_revisions_equal_the_batch_form(spark, tmp_path):
     rng = random.Random(4)
     start = datetime(2026, 1, 1)
@@ -119,3 +155,57 @@ def test_unmatched_dispatches_come_out_once(spark, tmp_path):
     jobs.run_to_end(j.writeStream.format("parquet").option("path", f"{tmp_path}/rows"), f"{tmp_path}/cp")
     got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/rows").collect())
     assert (1, 100) in got and (2, None) in got and sum(1 for x in got if x[0] == 2) == 1
+
+
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    path, schema = f"{tmp_path}/table", "k long, v string, n long"
+    rng, want = random.Random(5), {}
+    for batch in range(4):
+        rows = [(rng.choice([None, *range(30)]), rng.choice("abc"), rng.randrange(50)) for _ in range(25 if batch else 200)]
+        for k, v, n in rows:
+            want[k] = max(want.get(k, (-1, "")), (n, v))
+        df = spark.createDataFrame(rows, schema)
+        touched = keyed_table.upsert_into(df, path, "k", ["n"], f"b{batch}")
+        assert touched == sorted({r.bucket for r in df.select(keyed_table._bucket("k").alias("bucket")).collect()})
+        assert keyed_table.upsert_into(df, path, "k", ["n"], f"b{batch}") == []  # the batch again
+        assert {r.k: (r.n, r.v) for r in keyed_table.read_table(spark, path, schema).collect()} == want
+    assert keyed_table.read_table(spark, f"{tmp_path}/none", schema).count() == 0
+    assert keyed_table.upsert_into(spark.createDataFrame([], schema), path, "k", ["n"], "empty") == []
+
+
+def test_upsert_survives_a_lost_writer(spark, tmp_path):
+    """Rows written and a manifest begun, but not committed: readers see the table as it was, and the batch can run again."""
+    import os
+    path, schema = f"{tmp_path}/table", "k long, v string, n long"
+    keyed_table.upsert_into(spark.createDataFrame([(1, "a", 1), (2, "a", 1)], schema), path, "k", ["n"], "one")
+    second = spark.createDataFrame([(1, "b", 2)], schema)
+    keyed_table.upsert_into(second, path, "k", ["n"], "two")
+    os.remove(f"{path}/manifest/0000000001-two/_SUCCESS")
+    read = lambda: sorted(tuple(r) for r in keyed_table.read_table(spark, path, schema).collect())
+    assert read() == [(1, "a", 1), (2, "a", 1)]
+    assert keyed_table.upsert_into(second, path, "k", ["n"], "two") and read() == [(1, "b", 2), (2, "a", 1)]
+
+
+def test_late_rows_complete_the_delivery_stream(spark, tmp_path):
+    """Any order of arrival over several batches gives the batch join."""
+    rng, start = random.Random(7), datetime(2026, 1, 1)
+    d = [(i, rng.randrange(12), start + timedelta(hours=rng.randrange(400))) for i in range(40)]
+    e = [(rng.randrange(14), 100 + i, start + timedelta(hours=rng.randrange(400))) for i in range(60)]
+    ds_schema, es_schema = "dispatch_id long, message_id long, created_at timestamp", "message_id long, notice_id long, received_at timestamp"
+    for name, rows, schema in (("d", d, ds_schema), ("e", e, es_schema)):
+        for i in range(5):
+            spark.createDataFrame(rows[i::5], schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/part={i}")
+    read = lambda name, schema, per: spark.readStream.schema(schema).option("maxFilesPerTrigger", per).option("recursiveFileLookup", True).parquet(f"{tmp_path}/{name}")
+    j = jobs.delivery_join(read("d", ds_schema, 1), read("e", es_schema, 1), "INTERVAL 2 DAYS", "1 hour").select("dispatch_id", "notice_id")
+    jobs.run_to_end(j.writeStream.format("parquet").option("path", f"{tmp_path}/rows"), f"{tmp_path}/cp")
+    jobs.late_rows(read("d", ds_schema, 1), "created_at", "1 hour", f"{tmp_path}/ld", f"{tmp_path}/cpd")
+    jobs.late_rows(read("e", es_schema, 2), "received_at", "1 hour", f"{tmp_path}/le", f"{tmp_path}/cpe")  # cut otherwise than the joining stream
+    all_d, all_e, streamed = spark.createDataFrame(d, ds_schema), spark.createDataFrame(e, es_schema), spark.read.parquet(f"{tmp_path}/rows")
+    done = jobs.completed_deliveries(streamed, jobs.read_late(spark, f"{tmp_path}/ld", ds_schema), jobs.read_late(spark, f"{tmp_path}/le", es_schema), all_d, all_e, "INTERVAL 2 DAYS")
+    want = set()
+    for i, m, at in d:
+        met = [n for mm, n, t in e if mm == m and at <= t <= at + timedelta(days=2)]
+        want |= {(i, n) for n in met} or {(i, None)}
+    got = [tuple(r) for r in done.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {tuple(r) for r in streamed.collect()} != want  # the stream alone had lost some
