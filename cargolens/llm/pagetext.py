@@ -31,6 +31,18 @@ HEADER_WORDS = frozenset({"header", "head", "topbar"})
 BODY_WORDS = frozenset("article content main post story entry text body maincontent".split())
 LAYOUT_WORDS = frozenset("widget widgets hidden".split())  # of page builders: many small ones may hold the article
 FREED = frozenset({"html", "body", "main", "article"})  # names never make these an aside
+#: Headings and quoted or preformatted text: their names and ids are anchors and styles.
+UNNAMED = frozenset("h1 h2 h3 h4 h5 h6 hgroup blockquote pre figure figcaption td th tr tbody".split())
+#: Words that may stand beside a mark in a name that marks an aside; any other word makes it a name of its own.
+BESIDE = frozenset("""area bar bars block blocks body bottom box boxes bg col column columns container content count cta desktop element el field fields fixed group head header heading
+    icon icons inner item items label left line link links list lists main mobile module node note outer overlay page pane panel panels post posts primary row rows secondary section
+    sections side site slot slots small stack sticky strip tab tabs toggle top unit units view wrap wrapper zone button buttons input form forms btn right center global local
+    entry entries article articles story stories read more see also you may like tags tag meta author date image img thumb card cards""".split())
+#: Marks that are common words of articles; beside them only words of page layout may stand.
+COMMON = frozenset("""form search social related discussion notice notices alert share sharing promotion promoted recommended recommendations hidden head header foot footer
+    reply replies signup login skip sponsor sponsors sponsored disclaimer consent overlay banner copyright aside menu navigation navi""".split())
+#: An id on a section of running text is an anchor; only these name the readers' part.
+READERS = frozenset("comment comments commentlist disqus respond".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?>"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|$)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -54,14 +66,26 @@ def _is_aside(tag: str, attributes: str, inside_article: bool) -> int:
         return 1
     if found.get("role", "").lower() in ASIDE_ROLES:
         return 1
-    names = [n for key in ("class", "id") for n in _names(found.get(key, ""))]
     marks = ASIDE_WORDS if inside_article else ASIDE_WORDS | HEADER_WORDS
-    against = [n for n in names if n & marks and not n & {"has", "with", "no", "without"}]
-    if not against or any(n & BODY_WORDS and not n & marks for n in names):
+    if tag in UNNAMED:
+        return 0
+    classes, ids = _names(found.get("class", "")), _names(found.get("id", ""))
+    section = tag == "section" or {"section"} in classes
+    says = [n for n in classes if _marks_aside(n, marks)] + [n for n in ids if _marks_aside(n, READERS if section else marks)]
+    against = [n for n in says if not n & {"has", "with", "no", "without"}]
+    if not against or any(n & BODY_WORDS and not n & marks for n in (*classes, *ids)):
         return 0
     return 2 if all(n & marks <= LAYOUT_WORDS for n in against) else 1
 
 
+def _marks_aside(name: set[str], marks: frozenset[str]) -> bool:
+    """Whether a mark in a name is its role: in "comment-thread" and "related-posts", but not in "related-work" or "social-quote"."""
+    found = name & marks
+    if not found:
+        return False
+    return bool(found - COMMON) or {w for w in name if not w.isdigit()} <= ASIDE_WORDS | HEADER_WORDS | BESIDE
+
+
 class Page:
     """The block tree of a page: text, links and block tags per node, and its text blocks in order.
 
@@ -262,7 +286,8 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     The page becomes a tree of blocks; navigation, headers, footers, sidebars, forms, hidden
     parts and what names itself advert, notice or comment is left out of it, unless it wraps
-    more than half of the page's text. Every node gets its characters per tag, adjusted for
+    more than half of the page's text. Names count on containers, not on headings, quotes or
+    preformatted text; an id on a section is an anchor unless it names the readers' part. Every node gets its characters per tag, adjusted for
     link text; the node whose children have the highest sum of densities is the article.
     Where it lies in an ``article`` element, that is taken; else parts beside it join that
     reach the threshold of its path to the body, and where no single part holds half of the

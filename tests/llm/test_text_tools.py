@@ -200,3 +200,20 @@ def test_licences_of_a_long_text_of_notices():
     import time
     start = time.time()
     assert licences.scan("Foreword of the file.\n" + f"{notice}\n\n" * (400_000 // len(notice)), t) and time.time() - start < 60
+
+
+PROSE = "The river runs to the sea, and the light of the moon is on the water of the bay. "
+
+
+def test_anchors_and_styles_of_articles_stay():
+    """Ids and classes that journals and generated pages give to parts of an article."""
+    parts = ['<section id="discussion"><h2>Discussion</h2><p>{}A1</p></section>', '<h2 id="related-work">Related work A2</h2><p>{}A3</p>', '<h2 id="search">Search A4</h2>',
+             '<blockquote class="social-quote">{}A5</blockquote>', '<div class="form-group-text"><p>{}A6</p></div>', '<pre id="notice">{}A7</pre>',
+             '<div class="section" id="related"><p>{}A8</p></div>', '<div class="related-work"><p>{}A9</p></div>', '<p id="alert">{}A10</p>']
+    furniture = ['<div class="comment-thread"><p>{}B1</p></div>', '<section id="comments"><p>{}B2</p></section>', '<div class="related-posts"><p>{}B3</p></div>',
+                 '<div id="cookie-policy-banner"><p>{}B4</p></div>', '<ul class="social-links"><li>{}B5</li></ul>', '<div class="ad-slot-3"><p>{}B6</p></div>', '<div id="sidebar"><p>{}B7</p></div>']
+    for outer in ("<article>{}</article>", "<main>{}</main>", "<div>{}</div>"):
+        inner = "".join(f"<p>{PROSE * 3}</p>" + p.format(PROSE * 2) for p in parts) + "".join(p.format(PROSE) for p in furniture)
+        text = pagetext.main_text("<html><body><nav><a href='/'>Home</a></nav>" + outer.format(inner) + "<footer>Foot</footer></body></html>")
+        missing = [k for k in ("A1", "A2", "A3", "A4", "A5", "A6", "A7", "A8", "A9") if k not in text]
+        assert not missing and not [k for k in ("B1", "B2", "B3", "B4", "B5", "B6", "B7", "Home", "Foot") if k in text], (outer, missing)
