@@ -274,10 +274,13 @@ def _classed(docs: DataFrame, threshold: float, n: int, recall: float, id_col: s
     core_of = cut(members.select("key", "weight", "leaders").join(cores, "key", "left").withColumn("core", F.coalesce("core", "key")))
     core_size = core_of.groupBy("core").agg(F.sum("weight").alias("core_weight"))
 
-    mixed = core_of.select("key", "core", F.explode("leaders").alias("leader")).groupBy("leader").agg(
-        F.min("core").alias("a"), F.max("core").alias("z")).where("a < z").select("leader")
+    mixed = cut(tiled.select("key", "leader", "tiles").join(core_of.select("key", "core"), "key").groupBy("leader").agg(
+        F.min("core").alias("a"), F.max("core").alias("z"), F.max("tiles").alias("tiles")).where("a < z").select("leader", "tiles"))
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
-    pairs = tiled.join(mixed, "leader", "left_semi").withColumn("with", F.explode(every)).select(
+    # A group of one tile is small; the rows of larger ones meet their leader by salt, as in _tiled.
+    few = tiled.where("tiles = 1").join(mixed.where("tiles = 1"), "leader", "left_semi")
+    many = _salted(tiled.where("tiles > 1")).join(_copied(mixed.where("tiles > 1")).select("leader", "salt"), ["leader", "salt"], "left_semi").drop("salt")
+    pairs = few.unionByName(many).withColumn("with", F.explode(every)).select(
         "leader", "key", "tile", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"))
     pairs = pairs.join(core_of.select("key", "weight", "leaders", "core").join(texts, "key"), "key")
     compared = cut(pairs.groupBy("leader", "i", "j").applyInPandas(lambda pdf: _within(pdf, n, threshold), COUNTED))
@@ -299,6 +302,14 @@ def _classed(docs: DataFrame, threshold: float, n: int, recall: float, id_col: s
     return with_grams.select("doc_id", "text_hash", "key").join(per_node, "key").drop("key").unionByName(without.select("doc_id", "text_hash", *rest))
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.hash("key"), F.lit(SALTS)))
+
+
+def _copied(leaders: DataFrame) -> DataFrame:
+    return leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _tiled(each: DataFrame) -> DataFrame:
     """Adds ``tiles`` of the leader and the row's ``tile`` to rows (key, leader, chars).
 
@@ -306,9 +317,8 @@ def _tiled(each: DataFrame) -> DataFrame:
     meet them by leader and salt, so the rows of one large group are spread over tasks.
     """
     size = F.greatest(F.ceil(F.count(F.lit(1)) / TILE_TEXTS), F.ceil(F.sum("chars") / TILE_CHARS)).cast("int").alias("tiles")
-    large = each.groupBy("leader").agg(size).where("tiles > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = each.withColumn("salt", F.pmod(F.hash("key"), F.lit(SALTS)))
-    out = salted.join(large, ["leader", "salt"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    large = _copied(each.groupBy("leader").agg(size).where("tiles > 1"))
+    out = _salted(each).join(large, ["leader", "salt"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     return cut(out.select("key", "leader", "tiles", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int").alias("tile")))
 
 

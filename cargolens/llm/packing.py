@@ -4,6 +4,7 @@ from __future__ import annotations
 import os
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -17,7 +18,7 @@ from .common import cut
 
 CAPACITY = 4096
 END = 1  # id that ends a document
-GROUP_CHARS = 4_000_000  # characters encoded at once
+GROUP_CHARS = 8_000_000  # characters encoded at once
 SLICE_BITS = 14  # rows numbered together: 2 ** 14 neighbours of one partition
 PHASES, ROUNDS = 3, 24  # linear programs solved one after another on what is left, and price updates in each
 PARTS = (1.0, 0.3)  # of the volume that a rounded solution is scaled to
@@ -73,13 +74,13 @@ def encoded(texts: list[str], v: Vocabulary, path: str) -> list[np.ndarray]:
     distinct = runs.dictionary.to_pylist()
     _learn({r.strip(MARKS) for r in distinct}, v, path)
     known = [_run_ids(r, v) for r in distinct]
-    widths = np.array([len(k) for k in known], np.int64)
-    starts = np.cumsum(widths) - widths
-    flat = np.fromiter((i for k in known for i in k), np.uint32, int(widths.sum()))
+    widths = np.fromiter(map(len, known), np.int32, len(known))
+    starts = (np.cumsum(widths) - widths).astype(np.int32)
+    flat = np.fromiter(chain.from_iterable(known), np.uint32, int(widths.sum()))
     codes = runs.indices.to_numpy()
     n = widths[codes]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    ids = flat[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])]
+    ends = np.concatenate([[0], np.cumsum(n, dtype=np.int32)]).astype(np.int32)  # a group has fewer ids than 32 bits count, unless one text alone has more bytes
+    ids = flat[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1], dtype=np.int32)]
     bounds = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
     return [odd[i] if i in odd else ids[bounds[i]:bounds[i + 1]] for i in range(len(texts))]
 
