@@ -96,11 +96,11 @@ e_high AS (SELECT rid, kind, pos, s, e FROM (SELECT rid, kind, pos, s, e, bits,
     GROUP BY rid, kind, pos, s, e, bits, win HAVING max(log2(win) - n / win) >= bits),
 e_cut AS (SELECT h.rid, h.kind, h.pos, h.s AS rs, h.e AS re, b.s AS s, b.e AS e FROM e_high h JOIN s_kept b ON b.rid = h.rid AND b.s < h.e AND h.s < b.e WHERE h.pos = 3
     UNION ALL SELECT rid, kind, pos, s, e, e, e FROM e_high WHERE pos = 3),
-e_first AS (SELECT rid, kind, pos, at AS s, s AS e FROM (SELECT *, greatest(rs, coalesce(max(e) OVER (PARTITION BY rid, rs ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), rs)) AS at FROM e_cut) x WHERE s > at),
+e_first AS (SELECT rid, kind, pos, lo AS s, s AS e FROM (SELECT *, greatest(rs, coalesce(max(e) OVER (PARTITION BY rid, rs ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), rs)) AS lo FROM e_cut) x WHERE s > lo),
 e_known AS (SELECT rid, s, e FROM s_kept UNION ALL SELECT rid, s, e FROM e_first),
 e_again AS (SELECT h.rid, h.kind, h.pos, h.s AS rs, h.e AS re, b.s AS s, b.e AS e FROM e_high h JOIN e_known b ON b.rid = h.rid AND b.s < h.e AND h.s < b.e WHERE h.pos = 4
     UNION ALL SELECT rid, kind, pos, s, e, e, e FROM e_high WHERE pos = 4),
-e_second AS (SELECT rid, kind, pos, at AS s, s AS e FROM (SELECT *, greatest(rs, coalesce(max(e) OVER (PARTITION BY rid, rs ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), rs)) AS at FROM e_again) x WHERE s > at),
+e_second AS (SELECT rid, kind, pos, lo AS s, s AS e FROM (SELECT *, greatest(rs, coalesce(max(e) OVER (PARTITION BY rid, rs ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), rs)) AS lo FROM e_again) x WHERE s > lo),
 e_all AS (SELECT rid, string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, pos) AS spans FROM (
     SELECT rid, kind, pos, s, e FROM s_kept UNION ALL SELECT * FROM e_first UNION ALL SELECT * FROM e_second) x GROUP BY rid)
 """
