@@ -125,7 +125,7 @@ def str6(t):
     out = J.work_dir(t.spark)
     for cp in ("/cp1", "/cp2"):  # the second pass finds every id in the ledger
         J.incremental_poll(event_stream(t).select("event_id", "user_id", "props"), "event_id", out + "/rows", out + cp)
-    return t.spark.read.parquet(out + "/rows").select("event_id")
+    return J.polled(t.spark, out + "/rows", t("events").select("event_id", "user_id", "props").schema).select("event_id")
 
 
 @query("str7_counterpart_stream", """SELECT ref, si_path, bl_path FROM (SELECT 'SHP-' || CAST(user_id AS VARCHAR) AS ref, min(CAST(event_id AS VARCHAR)) FILTER (WHERE event_type = 'view') AS si_path, min(CAST(event_id AS VARCHAR)) FILTER (WHERE event_type = 'click') AS bl_path FROM events GROUP BY ALL) x WHERE si_path IS NOT NULL AND bl_path IS NOT NULL""")
@@ -134,7 +134,7 @@ def str7(t):
     s = event_stream(t).filter("event_type IN ('view', 'click')").select(
         F.concat(F.lit("SHP-"), F.col("user_id").cast("string")).alias("ref"), F.when(F.col("event_type") == "view", "SI").otherwise("BL").alias("kind"), F.col("event_id").cast("string").alias("path"))
     J.counterpart_pass(s, out, out + "/cp")
-    return t.spark.read.parquet(out + "/pairs").groupBy("ref").agg(F.min("si_path").alias("si_path"), F.min("bl_path").alias("bl_path"))
+    return J.counterparts(t.spark, out)
 
 
 # Every half comes out of the state: in a pair, or expired when it waited ten days.

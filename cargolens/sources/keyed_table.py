@@ -12,7 +12,7 @@ def _bucket(key: str):
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
+def committed_versions(spark: SparkSession, path: str) -> list[str]:
     """Names of the committed manifests, oldest first; one whose write was cut short has no success mark."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -49,7 +49,7 @@ def upsert_into(fresh: DataFrame, path: str, key: str, order: list[str], batch:
     was committed before changes nothing. There is one writer at a time. A null key is a key.
     """
     spark = fresh.sparkSession
-    versions = _versions(spark, path)
+    versions = committed_versions(spark, path)
     if any(v.split("-", 1)[1] == batch for v in versions):
         return []
     marked = fresh.withColumn("bucket", _bucket(key))
@@ -74,6 +74,6 @@ def _with_bucket(schema):
 
 def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table's rows as the newest committed manifest has them; none where nothing was committed."""
-    versions = _versions(spark, path)
+    versions = committed_versions(spark, path)
     rows = _rows(spark, path, _entries(spark, path, versions[-1] if versions else None), _with_bucket(schema))
     return spark.createDataFrame([], schema) if rows is None else rows.drop("bucket")

@@ -1,7 +1,7 @@
 """Structured Streaming forms of the incremental operators (STR5-STR8, STR13).
 
-Sinks are keyed by micro-batch id and overwritten, so a batch that runs again after a
-lost executor or driver leaves the same rows.
+Sinks are keyed by micro-batch id, so a batch that runs again after a lost executor or
+driver leaves the same rows.
 """
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import versions as V
 from ..shared import shared_folder
+from ..sources import history as H
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -37,64 +38,76 @@ def seen_once(stream: DataFrame, key: str, stamp: str, delay: str) -> DataFrame:
     return stream.withWatermark(stamp, delay).dropDuplicatesWithinWatermark([key])
 
 
-BUCKETS = 64  # of stored history; a batch reads the buckets of its own keys only
-
-
-def _bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
-
-
-def _write(df: DataFrame, path: str) -> None:
-    df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
-def _history(batch: DataFrame, path: str, schema) -> DataFrame:
-    """Stored rows in the buckets that a batch touches: partition pruning skips all others."""
-    touched = [r.bucket for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-    return _read(batch.sparkSession, path, schema).filter(F.col("bucket").isin(touched))
+def _run(checkpoint: str) -> str:
+    """A name that is stable per checkpoint, so that a repeated batch is known as such."""
+    return checkpoint.rstrip("/").rsplit("/", 1)[-1]
 
 
 def incremental_poll(stream: DataFrame, key: str, out: str, checkpoint: str) -> None:
-    """STR6: each polled mail once, skipping those the ledger already holds.
+    """STR6: each polled mail once, skipping those the ledger already holds; :func:`polled` reads it.
 
     Of several rows with one key in a batch the smallest stays, so a repeated batch is the same.
+    A null key is a key. The ledger is a stored history (:mod:`..sources.history`): a batch
+    reads the buckets of its own keys, in a number of files that grows with the logarithm of
+    the batches.
     """
-    run = checkpoint.rstrip("/").rsplit("/", 1)[-1]  # stable per checkpoint, so a repeated batch overwrites itself
-    ledger = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.StringType()), T.StructField("bucket", T.IntegerType())])
     rest = [c for c in stream.columns if c != key]
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        tag = f"{run}-{batch_id}"
-        once = batch.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*")
-        once = _bucketed(once, [key])
-        done = _history(once, out, ledger).filter(F.col("batch_id") != tag).select(key, "bucket").distinct()
-        _write(once.join(done, [key, "bucket"], "left_anti"), f"{out}/batch_id={tag}")
+        if H.is_committed(batch.sparkSession, out, _run(checkpoint), batch_id):
+            return
+        once = H.bucketed(batch.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*").select(*stream.columns), [key])
+        rows = H.sizes(once)
+        known = H.read(batch.sparkSession, out, stream.schema, rows).select(F.col(key).alias("_known"))
+        H.append(once.join(known, once[key].eqNullSafe(known["_known"]), "left_anti"), out, _run(checkpoint), batch_id, rows)
 
     run_to_end(stream.writeStream.foreachBatch(step), checkpoint)
 
 
+def polled(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """The rows :func:`incremental_poll` has kept."""
+    return H.read(spark, out, schema).drop("bucket")
+
+
+HALF = T.StructType([T.StructField(n, T.StringType()) for n in ("ref", "kind", "path")])
+PAIR = T.StructType([T.StructField(n, T.StringType()) for n in ("ref", "si_path", "bl_path")])
+
+
+def _first_halves(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("ref", "kind", "bucket").agg(F.min("path").alias("path")).select("ref", "kind", "path", "bucket")
+
+
+def _first_pairs(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("ref", "bucket").agg(F.min("si_path").alias("si_path"), F.min("bl_path").alias("bl_path")).select("ref", "si_path", "bl_path", "bucket")
+
+
 def counterpart_pass(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """STR7: pair a mail's half with the other half when that arrives.
+    """STR7: pair a mail's half with the other half when that arrives; :func:`counterparts` reads the pairs.
 
-    ``stream(ref, kind, email_id, path)``. Halves are kept as a table, one first path per
+    ``stream(ref, kind, email_id, path)``. Halves are a stored history, one first path per
     (reference, kind) and micro-batch after a map-side ``min``, so a hot reference adds one
-    row per batch. A half is paired as soon as both kinds are known, in either order. Pairs of
-    one reference may be written again with an earlier path; readers take the first.
+    row per batch, and merging leaves one of them. A half is paired as soon as both kinds are
+    known, in either order. Pairs of one reference may be written again with an earlier path;
+    the first of each kind counts. A null reference pairs with nothing.
     """
-    schema = "ref string, kind string, path string, batch_id int, bucket int"
-
     def step(batch: DataFrame, batch_id: int) -> None:
-        first = _bucketed(batch.groupBy("ref", "kind").agg(F.min("path").alias("path")), ["ref"])
-        _write(first, f"{out}/halves/batch_id={batch_id}")
-        known = _history(first, f"{out}/halves", schema).groupBy("ref", "kind").agg(F.min("path").alias("path"))
-        touched = batch.select("ref").distinct()
+        spark, run = batch.sparkSession, _run(checkpoint)
+        first = _first_halves(H.bucketed(batch.where("ref IS NOT NULL"), ["ref"]))
+        rows = H.sizes(first)
+        H.append(first, f"{out}/halves", run, batch_id, rows, _first_halves)
+        known = _first_halves(H.read(spark, f"{out}/halves", HALF, rows)).join(batch.select("ref").distinct(), "ref", "left_semi")
         side = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("path"))).alias(kind.lower() + "_path")
-        pairs = known.join(touched, "ref", "left_semi").groupBy("ref").agg(side("SI"), side("BL")).filter("si_path IS NOT NULL AND bl_path IS NOT NULL")
-        pairs.write.mode("overwrite").parquet(f"{out}/pairs/batch_id={batch_id}")
+        pairs = known.groupBy("ref", "bucket").agg(side("SI"), side("BL")).filter("si_path IS NOT NULL AND bl_path IS NOT NULL")
+        H.append(pairs.select("ref", "si_path", "bl_path", "bucket"), f"{out}/pairs", run, batch_id, rows, _first_pairs)
 
     run_to_end(stream.writeStream.foreachBatch(step), checkpoint)
 
 
+def counterparts(spark: SparkSession, out: str) -> DataFrame:
+    """``ref, si_path, bl_path``: the first pair of every reference that :func:`counterpart_pass` has met."""
+    return _first_pairs(H.read(spark, f"{out}/pairs", PAIR)).drop("bucket")
+
+
 KEYED_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PAIRED = "ref string, si_path string, bl_path string, outcome string"
 
@@ -175,30 +188,49 @@ def all_counterparts(streamed: DataFrame) -> DataFrame:
     return streamed.groupBy("ref").agg(F.min("si_path").alias("si_path"), F.min("bl_path").alias("bl_path")).where("si_path IS NOT NULL AND bl_path IS NOT NULL")
 
 
+CHAIN = ["version_number", "previous_version_id", "is_latest", "document_status", "duplicate_of"]  # what a batch can change of a registration
+
+
+def _newest(rows: DataFrame, key: list[str]) -> DataFrame:
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("batch_id")).alias("r")).select(*key, "r.*").select(*rows.columns)
+
+
 def revision_chain(stream: DataFrame, out: str, checkpoint: str) -> None:
     """STR8: revisions in any order; the chains of touched documents are renumbered.
 
     A late older document is inserted as history, as in the batch form. A registration that
-    arrives again counts once.
+    arrives again counts once. Registrations and their numbers are two stored histories in
+    buckets of the document; a batch reads the buckets of its documents and writes only the
+    registrations whose number, pointer, status or current mark it changes: the new ones and
+    the tail behind them. :func:`current_chain` reads the numbers.
     """
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
+    def once(rows: DataFrame) -> DataFrame:
+        rest = [c for c in stream.columns if c != "reg_id"]
+        return rows.groupBy("reg_id", "bucket").agg(F.min(F.struct(*rest)).alias("r")).select("reg_id", "bucket", "r.*").select(*stream.columns, "bucket")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        marked = _bucketed(batch, V.DOC)
-        _write(marked, f"{out}/regs/batch_id={batch_id}")
-        regs = _history(marked, f"{out}/regs", schema).join(batch.select(*V.DOC).distinct(), V.DOC, "left_semi")
-        rest = [c for c in stream.columns if c != "reg_id"]
-        regs = regs.groupBy("reg_id").agg(F.min(F.struct(*rest)).alias("r")).select("reg_id", "r.*")
-        V.document_versions(regs).write.mode("overwrite").parquet(f"{out}/chain/batch_id={batch_id}")
+        spark, run = batch.sparkSession, _run(checkpoint)
+        if H.is_committed(spark, f"{out}/chain", run, batch_id):
+            return
+        marked = H.bucketed(batch, V.DOC)
+        rows = H.sizes(marked)
+        H.append(marked, f"{out}/regs", run, batch_id, rows, once)
+        touched = batch.select(*V.DOC).distinct()
+        regs = once(H.read(spark, f"{out}/regs", stream.schema, rows)).join(touched, V.DOC, "left_semi")
+        chain = V.document_versions(regs.drop("bucket"))
+        chain = H.bucketed(chain.select(*sorted(chain.columns), F.lit(batch_id).cast("long").alias("batch_id")), V.DOC)
+        schema = T.StructType([f for f in chain.schema.fields if f.name != "bucket"])
+        held = _newest(H.read(spark, f"{out}/chain", schema, rows), ["reg_id", "bucket"]).select(F.col("reg_id").alias("_reg"), *[F.col(c).alias(f"_{c}") for c in CHAIN])
+        same = [F.col("reg_id") == F.col("_reg"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CHAIN]]
+        H.append(chain.join(held, same, "left_anti"), f"{out}/chain", run, batch_id, H.sizes(regs), lambda r: _newest(r, ["reg_id", "bucket"]))
 
     run_to_end(stream.writeStream.foreachBatch(step), checkpoint)
 
 
 def current_chain(spark: SparkSession, out: str) -> DataFrame:
     """Newest state of every registration written by :func:`revision_chain`."""
-    rows = spark.read.parquet(f"{out}/chain")
-    rest = [c for c in rows.columns if c not in ("reg_id", "batch_id")]
-    return (rows.groupBy("reg_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select("reg_id", "r.*"))
+    return _newest(H.read(spark, f"{out}/chain"), ["reg_id", "bucket"]).drop("bucket", "batch_id")
 
 
 def delivery_join(dispatches: DataFrame, events: DataFrame, within: str, delay: str) -> DataFrame:

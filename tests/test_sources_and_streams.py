@@ -3,10 +3,11 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from cargolens.operators import issues, versions
-from cargolens.sources import documents, keyed_table, mail
+from cargolens.sources import documents, history, keyed_table, mail
 from cargolens.streaming import jobs
 
 
@@ -80,18 +81,92 @@ def test_poll_over_batches(spark, tmp_path):
     s = streamed(spark, tmp_path, rows, "event_id long, props string", 4)
     for cp in ("cp1", "cp2"):
         jobs.incremental_poll(s, "event_id", f"{tmp_path}/rows", f"{tmp_path}/{cp}")
-    assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/rows").collect()) == list(range(60))
+    assert sorted(r.event_id for r in jobs.polled(spark, f"{tmp_path}/rows", s.schema).collect()) == list(range(60))
 
 
 def test_counterparts_equal_the_batch_form(spark, tmp_path):
     rng = random.Random(2)
     rows = [(f"R{rng.randrange(15)}", rng.choice(["SI", "BL"]), f"m{i}", f"p{i:03d}") for i in range(80)]
     jobs.counterpart_pass(streamed(spark, tmp_path, rows, "ref string, kind string, email_id string, path string", 5), str(tmp_path), f"{tmp_path}/cp")
-    got = {r.ref: (r.s, r.b) for r in spark.read.parquet(f"{tmp_path}/pairs").groupBy("ref").agg(F.min("si_path").alias("s"), F.min("bl_path").alias("b")).collect()}
+    got = {r.ref: (r.s, r.b) for r in jobs.counterparts(spark, str(tmp_path)).select("ref", F.col("si_path").alias("s"), F.col("bl_path").alias("b")).collect()}
     first = lambda ref, kind: min((p for r, k, _, p in rows if (r, k) == (ref, kind)), default=None)
     assert got == {r: (first(r, "SI"), first(r, "BL")) for r in {x[0] for x in rows} if first(r, "SI") and first(r, "BL")}
 
 
+HISTORY = "k long, v string"
+
+
+def stored(spark, path):
+    return sorted(tuple(r) for r in history.read(spark, path, spark.createDataFrame([], HISTORY).schema).select("k", "v").collect())
+
+
+def add(spark, path, batch_id, rows, combine=None):
+    history.append(history.bucketed(spark.createDataFrame(rows, HISTORY), ["k"]), path, "run", batch_id, combine=combine)
+
+
+def test_history_stays_in_few_segments(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "FAN", 3)
+    monkeypatch.setattr(history, "FILE_ROWS", 4)  # a bucket of more rows is several files
+    path, want = str(tmp_path), []
+    for b in range(14):
+        rows = [(i % 5 or None, f"{b}-{i}") for i in range(11)] if b != 6 else []
+        add(spark, path, b, rows)
+        add(spark, path, b, rows)  # the batch again
+        want += rows
+        assert len(history.state(spark, path).segments) <= 2 * 3 + 1  # two for each level below, and one merge that is due
+    got = sorted(((r.k, r.v) for r in history.read(spark, path).collect()), key=str)
+    assert got == sorted(want, key=str) and history.state(spark, path).done == {"run": 13}
+    gone = history.remove_merged(spark, path, keep=1)
+    assert gone and sorted(((r.k, r.v) for r in history.read(spark, path).collect()), key=str) == sorted(want, key=str)
+    assert history.remove_merged(spark, path, keep=1) == []
+
+
+def test_history_survives_a_writer_lost_in_a_merge(spark, tmp_path, monkeypatch):
+    """The merged segment is written, the manifest is not: readers see every row once, and the next batch merges again."""
+    monkeypatch.setattr(history, "FAN", 3)
+    path, commit = str(tmp_path), history._commit
+    for b in range(2):
+        add(spark, path, b, [(b, "x"), (7, f"y{b}")])
+
+    def dies(spark, path, now):
+        if any(s.level for s in now.segments):
+            raise RuntimeError("lost")
+        commit(spark, path, now)
+
+    monkeypatch.setattr(history, "_commit", dies)
+    with pytest.raises(RuntimeError):
+        add(spark, path, 2, [(2, "x")])
+    want = [(0, "x"), (1, "x"), (2, "x"), (7, "y0"), (7, "y1")]
+    assert stored(spark, path) == want
+    monkeypatch.setattr(history, "_commit", commit)
+    add(spark, path, 2, [(2, "x")])  # the batch again: its rows were committed, the merge was not
+    assert stored(spark, path) == want and [s.level for s in history.state(spark, path).segments] == [1]
+
+
+def test_history_combines_rows_of_a_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "FAN", 2)
+    least = lambda rows: rows.groupBy("k", "bucket").agg(F.min("v").alias("v")).select("k", "v", "bucket")
+    for b in range(4):
+        add(spark, str(tmp_path), b, [(1, f"v{9 - b}"), (2, "same")], least)
+    history.merge(spark, str(tmp_path), spark.createDataFrame([], HISTORY).schema, least)
+    assert stored(spark, str(tmp_path)) == [(1, "v6"), (2, "same")]
+
+
+def test_late_revision_writes_the_tail_only(spark, tmp_path):
+    schema = "reg_id long, shipment_key string, doc_type string, content_hash string, normalized_hash string, received_at timestamp_ntz, created_at timestamp_ntz"
+    at = lambda h: datetime(2026, 1, 1) + timedelta(hours=h)
+    row = lambda i, h: (i, "S", "BL", f"c{i}", f"n{i}", at(h), at(h))
+    batches = [[row(i, 10 * i) for i in range(40)], [row(100, 355)], [row(100, 355)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    jobs.revision_chain(s, str(tmp_path), f"{tmp_path}/cp")
+    written = {r.batch_id: r.n for r in history.read(spark, f"{tmp_path}/chain").groupBy("batch_id").agg(F.count("*").alias("n")).collect()}
+    assert written == {0: 40, 1: 5}  # the late one and four behind it; the repeat changes nothing
+    numbers = {r.reg_id: r.version_number for r in jobs.current_chain(spark, str(tmp_path)).collect()}
+    assert numbers[100] == 37 and numbers[35] == 36 and numbers[36] == 38 and len(numbers) == 41
+
+
 def keyed(spark, folder, batches, wait="2 days", delay="0 seconds"):
     """Each list of (ref, kind, path, at) is a micro-batch, in order."""
     schema = "ref string, kind string, path string, at timestamp"
