@@ -55,7 +55,9 @@ def shipment_lookup(shipments: DataFrame, wanted: DataFrame) -> DataFrame:
     """FLT6: shipment for a human code: four exact spellings in order, then a suffix match.
 
     ``wanted(code)``; the exact spellings are one equi-join on candidate keys. Codes no
-    candidate hits are compared with the key's last part, also by equality.
+    candidate hits are compared with the key's last part, also by equality: of the keys with one
+    tail only the smallest can answer, and it is found map-side before any row is shuffled, so a code
+    of one character costs one row and not a tenth of all keys.
     """
     c = F.trim("code")
     cand = F.array(c, F.concat(F.lit("REF:"), F.upper(c)), F.upper(c), F.concat(F.lit("REF:"), c))
@@ -63,7 +65,7 @@ def shipment_lookup(shipments: DataFrame, wanted: DataFrame) -> DataFrame:
     # One tail per length that a wanted code has; the lengths are one small row.
     lengths = wanted.agg(F.collect_set(F.length(c)).alias("lengths"))
     tails = shipments.crossJoin(F.broadcast(lengths)).select("shipment_key", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("shipment_key")).select(
-        "shipment_key", F.lower(F.right("shipment_key", F.col("n"))).alias("tail"))
+        "shipment_key", F.lower(F.right("shipment_key", F.col("n"))).alias("tail")).groupBy("tail").agg(F.min("shipment_key").alias("shipment_key"))
     loose = wanted.select("code", F.lower(c).alias("tail")).join(tails, "tail").select("shipment_key", "code", F.lit(9).alias("prio"))
     best = exact.unionByName(loose).groupBy("code").agg(F.min(F.struct("prio", "shipment_key")).alias("b"))
     return wanted.join(best.select("code", F.col("b.shipment_key").alias("shipment_key")), "code", "left")

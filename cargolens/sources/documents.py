@@ -7,49 +7,64 @@ from .. import rules
 from ..functions import text as T
 
 
-def json_depth(docs: DataFrame) -> int:
-    """Deepest nesting of any document: brackets of its text outside strings, counted."""
-    bare = F.regexp_replace(F.regexp_replace(F.to_json("v"), r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+# Tokens of compact JSON. Possessive quantifiers are matched without recursion, however long a text or list is.
+JSON_SCALAR = r'"(?:[^"\\]|\\.)*+"|[^\[\]{},:"]++'
+JSON_TOKEN = rf'"(?:[^"\\]|\\.)*+":|\[(?:(?:{JSON_SCALAR})(?:,(?:{JSON_SCALAR}))*+)?+\]|[\[\]{{}}]|{JSON_SCALAR}'
+JSON_LEAF = "array<struct<label:string,token:string>>"
+LEAVES = 512  # of one chunk of the fold's result
 
-    def step(a, c):
-        now = a["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
 
-    depth = F.aggregate(F.split(bare, ""), zero, step, lambda a: a["most"])
-    return docs.select(F.max(F.when(bare != "", depth).otherwise(0)).alias("d")).first().d or 0
+def _unquoted(token: Column) -> Column:
+    """Text of a quoted JSON token; only one with an escape needs a parser."""
+    plain = F.substring(token, F.lit(2), F.length(token) - 2)
+    return F.when(F.contains(token, F.lit("\\")), F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), 0)).otherwise(plain)
+
+
+def json_leaves(text: Column) -> Column:
+    """Scalars, and lists of scalars, of a compact JSON text with the labels of their paths: one fold over its tokens.
+
+    The state is a stack with the label of every open container. Leaves are gathered in chunks,
+    so that adding one does not copy all earlier ones.
+    """
+    zero = F.struct(F.array(F.lit("")).alias("open"), F.lit(None).cast("string").alias("named"),
+                    F.array().cast(JSON_LEAF).alias("some"), F.array().cast(f"array<{JSON_LEAF}>").alias("all"))
+
+    def step(s: Column, token: Column) -> Column:
+        inside = F.element_at(s["open"], -1)
+        label = F.coalesce(s["named"], inside)
+        opens, closes, names = token.isin("{", "["), token.isin("}", "]"), F.endswith(token, F.lit('":'))
+        leaf = ~(opens | closes | names)
+        key = _unquoted(F.substring(token, F.lit(1), F.length(token) - 1))
+        below = T.let(key, lambda k: F.when(F.lower(F.trim(k)).isin(rules.JSON_IGNORED_SEGMENTS), inside).otherwise(
+            F.array_join(F.filter(F.array(inside, T.label_from_key(k)), lambda x: x != ""), " ")))
+        full = F.size(s["some"]) >= LEAVES
+        here = F.array(F.struct(label.alias("label"), token.alias("token")))
+        return F.struct(
+            F.when(opens, F.concat(s["open"], F.array(label))).when(closes, F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)).otherwise(s["open"]).alias("open"),
+            F.when(names, below).alias("named"),
+            F.when(leaf, F.when(full, here).otherwise(F.concat(s["some"], here))).otherwise(s["some"]).alias("some"),
+            F.when(leaf & full, F.concat(s["all"], F.array(s["some"]))).otherwise(s["all"]).alias("all"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(JSON_TOKEN), F.lit(0)), zero, step, lambda s: F.concat(F.flatten(s["all"]), s["some"]))
 
 
 def flatten_json(docs: DataFrame) -> DataFrame:
     """SRC7: JSON documents as (path labels, value) rows, to any depth.
 
-    Objects and lists are unfolded level by level with ``variant_explode_outer``; scalars and
-    lists of scalars pass a level unchanged, so the source is read once and a document never
-    leaves its task. A first aggregate finds how many levels there are. A value that spans
-    lines gives a row per line. ``docs(doc, v VARIANT)``.
+    One projection whose size does not depend on the data: the tokens of a document are folded
+    with a stack (:func:`json_leaves`), so a document is read once and never leaves its task. A list
+    of scalars is one value, joined by commas; other lists give their items the list's label.
+    A value that spans lines gives a row per line. Null documents, empty containers and values
+    without label or text give no row. ``docs(doc, v VARIANT)``.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc", "v", F.array().cast("array<string>").alias("path"))
-    for _ in range(json_depth(docs)):
-        rows = rows.withColumn("nested", _is_nested(F.schema_of_variant("v")))
-        inside = F.when(F.col("nested"), F.col("v"))
-        child = rows.withColumn("inside", inside).lateralJoin(spark.tvf.variant_explode_outer(F.col("inside").outer()))
-        named = F.col("key").isNotNull() & ~F.lower(F.trim("key")).isin(rules.JSON_IGNORED_SEGMENTS)
-        rows = child.filter("NOT nested OR value IS NOT NULL").select(
-            "doc", F.when(F.col("nested"), F.col("value")).otherwise(F.col("v")).alias("v"),
-            F.when(F.col("nested") & named, F.concat("path", F.array(T.label_from_key(F.col("key"))))).otherwise(F.col("path")).alias("path"))
-    kind = F.schema_of_variant("v")
-    rows = rows.withColumn("kind", kind).select("doc", F.array_join("path", " ").alias("label"), _value(F.startswith(kind, F.lit("ARRAY<"))).alias("value"))
-    lines = rows.select("doc", "label", F.explode(F.split("value", "\n")).alias("value")).withColumn("value", T.strip(F.col("value")))
+    rows = docs.select("doc", F.inline(json_leaves(F.to_json("v"))))
+    printed = F.transform(F.regexp_extract_all("token", F.lit(JSON_SCALAR), F.lit(0)), lambda x: F.when(
+        F.startswith(x, F.lit('"')), T.strip(F.regexp_replace(_unquoted(x), r"[^\S\n]+", " "))).when(x == "null", "").otherwise(scalar_text(x)))
+    value = F.array_join(F.filter(printed, lambda x: x != ""), ", ")
+    lines = rows.select("doc", "label", F.explode(F.split(value, "\n")).alias("value")).withColumn("value", T.strip(F.col("value")))
     return lines.filter("value <> '' AND label <> ''")
 
 
-def _is_nested(kind: Column) -> Column:
-    """Objects, and lists of anything but scalars."""
-    scalars = F.startswith(kind, F.lit("ARRAY<")) & ~F.contains(kind, F.lit("OBJECT")) & ~F.startswith(kind, F.lit("ARRAY<ARRAY")) & (kind != "ARRAY<VARIANT>")
-    return F.startswith(kind, F.lit("OBJECT")) | (F.startswith(kind, F.lit("ARRAY<")) & ~scalars)
-
-
 def scalar_text(raw: Column) -> Column:
     """A JSON scalar as a document prints it: grouped numbers, no booleans."""
     number = F.when(raw.rlike(r"^-?\d+(?:\.\d+)?$"), raw.try_cast("double"))
@@ -59,13 +74,6 @@ def scalar_text(raw: Column) -> Column:
     return F.coalesce(F.when(raw.isin("true", "false"), "").otherwise(F.coalesce(shown, T.strip(F.regexp_replace(raw, r"[^\S\n]+", " ")))), F.lit(""))
 
 
-def _value(is_list: Column) -> Column:
-    joined = F.array_join(F.filter(F.transform(F.try_variant_get("v", "$", "array<string>"), scalar_text), lambda x: x != ""), ", ")
-    one = F.try_variant_get("v", "$", "string")
-    quoted = F.col("kind") == "STRING"
-    return F.when(is_list, joined).when(quoted, T.strip(F.regexp_replace(one, r"[^\S\n]+", " "))).otherwise(scalar_text(one))
-
-
 def json_lines(docs: DataFrame) -> DataFrame:
     """SRC8: one record per line; lines that do not parse are dropped. ``docs(doc, text)``."""
     lines = docs.select("doc", F.posexplode(T.split_lines(F.col("text"))).alias("line", "raw"))

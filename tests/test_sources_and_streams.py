@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from cargolens import rules
 from cargolens.operators import issues, versions
 from cargolens.sources import documents, history, keyed_table, mail
 from cargolens.streaming import jobs
@@ -61,6 +62,44 @@ def test_json_to_any_depth(spark):
     assert not [g for g in got if g[0] in (3, 4)]
 
 
+def walked(node, path=()):
+    """The same rows by recursion over the parsed document."""
+    if isinstance(node, dict):
+        for k, v in node.items():
+            yield from walked(v, path if k.strip().lower() in rules.JSON_IGNORED_SEGMENTS else (*path, k))
+    elif isinstance(node, list) and any(isinstance(x, (dict, list)) for x in node):
+        for x in node:
+            yield from walked(x, path)
+    else:
+        shown = [x if isinstance(x, str) else f"{x:,}" for x in (node if isinstance(node, list) else [node]) if not isinstance(x, bool) and x is not None]
+        for line in ", ".join(x.strip(" ") for x in shown if x.strip(" ")).split("\n"):
+            if line.strip() and path:
+                yield " ".join(path), line.strip()
+
+
+def test_json_equals_a_recursive_walk(spark):
+    rng = random.Random(6)
+    texts = ["a", 'q"uote', "back\\slash", "br[a]ck{e}t", "two\nlines", "", "comma, colon: x", "ü\u0001€", "true", "12"]
+
+    def node(depth):
+        kind = rng.random()
+        if depth and kind < 0.35:
+            return {rng.choice(["data", "alpha", "beta", "gamma", "items", "delta"]): node(depth - 1) for _ in range(rng.randrange(4))}
+        if depth and kind < 0.6:
+            return [node(depth - 1) for _ in range(rng.randrange(4))]
+        return rng.choice([*texts, 1234, -5, 2.5, True, None, [1, "x", None], ["a", 'b"'], []])
+
+    deep = "end"
+    for i in range(200):
+        deep = {"n": deep} if i % 3 else [deep, {"m": i}]
+    docs = [deep, {"long": list(range(30_000)), "text": 'x"\n' * 20_000}, {"rows": [{"leaf": i} for i in range(3_000)]}, *[{"top": node(6)} for _ in range(120)]]
+    df = spark.createDataFrame(list(enumerate(map(json.dumps, docs))), "doc int, text string").select("doc", F.parse_json("text").alias("v"))
+    flat = documents.flatten_json(df)
+    got = sorted((r.doc, r.label, r.value) for r in flat.collect())
+    assert got == sorted((i, label, value) for i, d in enumerate(docs) for label, value in walked(d))
+    assert "Join" not in flat._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_xml_mixed_text(spark):
     xml = "<?xml version='1.0'?><a>x<b>y &lt; z</b> tail <!-- <c>no</c> --><d/><e><![CDATA[<f>1 & 2</f>]]></e></a>"
     assert spark.createDataFrame([(xml,)], "t string").select(documents.xml_lines(F.col("t")).alias("o")).first().o.split("\n") == ["a | x", "b | y < z", "e | <f>1 & 2</f>"]
