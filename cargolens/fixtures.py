@@ -183,6 +183,20 @@ SELECT report_id, email_id, shipment_key, defect_field AS field_name,
   CASE f WHEN 1 THEN CAST(boxes + 1 AS STRING) WHEN 2 THEN CAST(kg + 500 AS STRING) ELSE 'OTHER BUYER HOUSE' END AS bl_value,
   CASE CAST(report_id % 6 AS INT) WHEN 0 THEN 'OPEN' WHEN 1 THEN 'APPROVED' WHEN 2 THEN 'REJECTED' WHEN 3 THEN 'SUPERSEDED' ELSE 'SUGGESTED' END AS status
 FROM fx_reports WHERE defect_field IS NOT NULL
+""",
+    # Issues of which one side, or both, printed no value.
+    "fx_half_issues": """
+SELECT report_id, email_id, shipment_key, field_name, CASE WHEN report_id % 5 <> 0 THEN si_value END AS si_value, CASE WHEN report_id % 7 <> 0 THEN bl_value END AS bl_value, status
+FROM fx_issues
+""",
+    # Mails whose verdict a run did not deliver: the scores have something to find.
+    "fx_withheld": """
+SELECT email_id FROM fx_emails WHERE k % 41 <= 1
+""",
+    # Configured policies of mailboxes, valid and not.
+    "fx_policies": """
+SELECT 'box' || CAST(c_custkey AS STRING) AS source_mailbox, CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN 'auto' WHEN 1 THEN 'manual' WHEN 2 THEN 'sometimes' WHEN 3 THEN '' END AS mode
+FROM customer
 """,
     # Registered document revisions with a value to normalise.
     "fx_regs": """

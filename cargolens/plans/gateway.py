@@ -178,10 +178,9 @@ def gte12(t):
     return G.reapply_policy(t.view("fx_staged"), policies(t), "manual").select("id")
 
 
-@query("gte13_policy_cleaning", "SELECT source_mailbox, mode FROM (SELECT source_mailbox, lower(substr(status, 1, 4)) AS mode FROM fx_staged) x WHERE mode IN ('auto', 'manual')")
+@query("gte13_policy_cleaning", "SELECT source_mailbox, mode FROM fx_policies WHERE mode = 'auto' OR mode = 'manual'")
 def gte13(t):
-    p = t.view("fx_staged").select("source_mailbox", F.lower(F.substring("status", 1, 4)).alias("mode"))
-    return G.valid_policies(p)
+    return G.valid_policies(t.view("fx_policies"))
 
 
 step("ox_change", "SELECT event_id AS change_id, 'email_' || CAST(user_id AS VARCHAR) AS email_id, CASE event_type WHEN 'view' THEN 'AUTO' WHEN 'click' THEN 'HOLD' ELSE 'IGNORE' END AS assignment, CASE WHEN event_id % 4 = 0 THEN NULL ELSE props END AS note, ts AS updated_at FROM events")

@@ -224,8 +224,8 @@ _diff = _diff.replace("CAST(bl_value AS", "TRY_CAST(bl_value AS").replace("CAST(
 step("ox_issue", f"SELECT *, {_diff} AS difference FROM fx_issues")
 
 
-def reports_with_results(t):
-    r = t.view("fx_issues")
+def reports_with_results(t, issues="fx_issues"):
+    r = t.view(issues)
     res = F.array(F.struct(F.col("field_name").alias("field"), "si_value", "bl_value", F.lit("DIFF").alias("match")),
                   F.struct(F.lit("shipper").alias("field"), F.lit("A").alias("si_value"), F.lit("A").alias("bl_value"), F.lit("MATCH").alias("match")))
     return r.select("report_id", "email_id", "shipment_key", res.alias("field_results"))
@@ -360,10 +360,13 @@ def iss10(t):
     return I.correction_mail(t.view("fx_issues")).select("report_id", "subject", "body")
 
 
-@query("iss11_assistance", f"""SELECT CAST(report_id AS VARCHAR) || ':' || field_name AS issue_key, 'The ' || {_lab} || ': the BL states ' || bl_value || ', the SI ' || si_value || '.' || coalesce(' They differ by ' || difference || '.', '') AS explanation,
-  'Review the ' || {_lab} || '. Should the SI be right, the BL draft becomes ' || si_value || '.' AS suggestion, 'HIGH' AS confidence FROM ox_issue""")
+step("ox_half_issue", f"SELECT *, {_diff} AS difference, coalesce(si_value, 'not provided') AS si, coalesce(bl_value, 'not provided') AS bl FROM fx_half_issues")
+
+
+@query("iss11_assistance", f"""SELECT CAST(report_id AS VARCHAR) || ':' || field_name AS issue_key, 'The ' || {_lab} || ': the BL states ' || bl || ', the SI ' || si || '.' || coalesce(' They differ by ' || difference || '.', '') AS explanation,
+  'Review the ' || {_lab} || '. Should the SI be right, the BL draft becomes ' || si || '.' AS suggestion, CASE WHEN si_value IS NULL OR bl_value IS NULL THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM ox_half_issue""")
 def iss11(t):
-    return I.assistance(I.issues_of(reports_with_results(t)))
+    return I.assistance(I.issues_of(reports_with_results(t, "fx_half_issues")))
 
 
 # -------------------------------------------------------------------- overview

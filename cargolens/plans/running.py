@@ -59,12 +59,12 @@ def str4(t):
     return N.reuse(N.probe(requests(t), res), res, F.col("req_id") % 9 == 0).select("req_id", "decision")
 
 
-@query("str5_unseen_messages", """SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'error' AND s.user_id // 3 = e.user_id) AND NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'error' AND lower(trim(s.props)) = lower(trim(e.props)))""")
+@query("str5_unseen_messages", """SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'error' AND s.user_id // 3 = e.user_id) AND NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'error' AND lower(s.props) || s.user_id = lower(e.props) || e.user_id)""")
 def str5(t):
     key = F.col("user_id").cast("string")
-    e = t("events").withColumn("message_key", key).withColumn("subject", F.col("props"))
+    e = t("events").withColumn("message_key", key).withColumn("subject", F.concat(F.lit(" "), "props", key))
     # The ledger holds the errors of every user, under another user's id.
-    s = t("events").filter("event_type = 'error'").select(F.expr("CAST(user_id DIV 3 AS STRING)").alias("message_key"), F.col("props").alias("subject"))
+    s = t("events").filter("event_type = 'error'").select(F.expr("CAST(user_id DIV 3 AS STRING)").alias("message_key"), F.concat(F.upper("props"), key).alias("subject"))
     return N.unseen(e, s).select("event_id")
 
 
@@ -228,17 +228,17 @@ def evl3(t):
     return E.misclassified(label_pairs(t))
 
 
-# Verdicts of the fixture mails against the planted cases; two runs of 41 are withheld to give the scores something to find.
-step("ox_gold", "SELECT v.email_id, v.category, v.status, v.review_reason, v.has_defect AND m.k % 41 > 1 AS has_defect, CASE WHEN m.k % 41 > 1 THEN v.defect_fields ELSE '' END AS df, g.category AS gold_category, g.status AS gold_status, g.review_reason AS gold_reason, coalesce(g.defect_field, '') AS gf FROM ox_verdict v JOIN fx_emails m ON m.email_id = v.email_id JOIN fx_gold g ON g.email_id = v.email_id")
+# Verdicts of the fixture mails against the planted cases; those of some mails were not delivered.
+step("ox_gold", "SELECT v.email_id, v.category, v.status, v.review_reason, v.has_defect AND w.email_id IS NULL AS has_defect, CASE WHEN w.email_id IS NULL THEN v.defect_fields ELSE '' END AS df, g.category AS gold_category, g.status AS gold_status, g.review_reason AS gold_reason, coalesce(g.defect_field, '') AS gf FROM ox_verdict v LEFT JOIN fx_withheld w ON w.email_id = v.email_id JOIN fx_gold g ON g.email_id = v.email_id")
 
 
 def against_gold(t):
     g = t.view("fx_gold").select("email_id", F.col("category").alias("gold_category"), F.col("status").alias("gold_status"), F.col("review_reason").alias("gold_reason"),
                                  F.array_compact(F.array("defect_field")).alias("gold_fields"))
     v = K.verdicts(t.mails, t.docs.select("path", "text"))
-    keep = F.col("k") % 41 > 1
-    none = F.array().cast("array<string>")
-    return (v.join(g, "email_id").withColumn("gold_defect", F.size("gold_fields") > 0).withColumn("has_defect", F.col("has_defect") & keep)
+    w = t.view("fx_withheld").withColumn("withheld", F.lit(True))
+    keep, none = F.col("withheld").isNull(), F.array().cast("array<string>")
+    return (v.join(w, "email_id", "left").join(g, "email_id").withColumn("gold_defect", F.size("gold_fields") > 0).withColumn("has_defect", F.col("has_defect") & keep)
             .withColumn("defect_fields", F.when(keep, F.col("defect_fields")).otherwise(none)))
 
 
