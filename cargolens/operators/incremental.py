@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources import history as H
 from .ranking import latest
 
 
@@ -53,6 +54,21 @@ def unseen(incoming: DataFrame, seen: DataFrame) -> DataFrame:
     return out.withColumn("_s", F.lower(F.trim("subject"))).join(subjects, "_s", "left_anti").drop("_s")
 
 
+def unseen_by_filter(incoming: DataFrame, seen: DataFrame, folder: str, key: str = "message_key") -> DataFrame:
+    """STR5, SRC3: rows whose key the ledger does not hold, by a membership filter first.
+
+    The ledger's keys are stored under ``folder`` with a filter. Only keys that pass it meet the
+    ledger: a semi-join narrows the ledger to these, and what it holds of them is taken out. An
+    exact result; a null key is a key, rows that repeat stay.
+    """
+    spark = incoming.sparkSession
+    H.append(H.bucketed(seen.select(key).distinct(), [key]), folder, "ledger", 0, key=key)
+    asked = H.may_hold(H.bucketed(incoming.select(key).distinct(), [key]), folder, key).select(F.col(key).alias("_asked"))
+    ledger = H.read(spark, folder, incoming.select(key).schema).select(F.col(key).alias("_known"))
+    held = ledger.join(asked, ledger["_known"].eqNullSafe(asked["_asked"]), "left_semi").distinct()
+    return incoming.join(held, incoming[key].eqNullSafe(held["_known"]), "left_anti")
+
+
 def retry_plan(reports: DataFrame, cap: int = 3, statuses: tuple[str, ...] = ("ERROR", "NEEDS_REVIEW")) -> DataFrame:
     """STR9: what a retry does to each failed report."""
     dead = (F.col("status") == "ERROR") & (F.coalesce("attempts", F.lit(0)) >= max(1, cap))

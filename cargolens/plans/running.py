@@ -128,6 +128,13 @@ def str6(t):
     return J.polled(t.spark, out + "/rows", t("events").select("event_id", "user_id", "props").schema).select("event_id")
 
 
+# The ledger is written as a history; messages that its filter denies do not meet it.
+@query("str5m_filtered_unseen", """SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'error' AND s.user_id = e.user_id AND s.props = e.props)""")
+def str5m(t):
+    key = F.concat_ws("/", "user_id", "props").alias("message_key")
+    return N.unseen_by_filter(t("events").select("event_id", key), t("events").filter("event_type = 'error'").select(key), J.work_dir(t.spark)).select("event_id")
+
+
 @query("str7_counterpart_stream", """SELECT ref, si_path, bl_path FROM (SELECT 'SHP-' || CAST(user_id AS VARCHAR) AS ref, min(CAST(event_id AS VARCHAR)) FILTER (WHERE event_type = 'view') AS si_path, min(CAST(event_id AS VARCHAR)) FILTER (WHERE event_type = 'click') AS bl_path FROM events GROUP BY ALL) x WHERE si_path IS NOT NULL AND bl_path IS NOT NULL""")
 def str7(t):
     out = J.work_dir(t.spark)

@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from . import membership
 from .keyed_table import committed_versions
 
 BUCKETS = 64
@@ -74,6 +75,33 @@ def _folder(path: str, name: str) -> str:
     return f"{path}/rows/segment={name}"
 
 
+def _filter_folder(path: str, name: str) -> str:
+    return f"{path}/filters/segment={name}"
+
+
+def _write_filter(spark: SparkSession, path: str, name: str, schema, rows: dict[int, int], key: str | None) -> None:
+    """A filter over a segment's keys, read back from its files: one column of them. Live with the manifest that names the segment."""
+    if key is None or not rows:
+        return
+    marked = T.StructType([schema[key], T.StructField("bucket", T.IntegerType())])
+    stored = spark.read.schema(marked).parquet(_folder(path, name))
+    membership.build(stored, key, rows).write.mode("overwrite").parquet(_filter_folder(path, name))
+
+
+def may_hold(asked: DataFrame, path: str, key: str) -> DataFrame:
+    """The rows of ``asked(key, bucket)`` that the history may hold by its filters (:mod:`.membership`); it surely lacks the others.
+
+    All rows where a live segment has no filter, as it was appended without ``key``.
+    """
+    spark = asked.sparkSession
+    names = [s.name for s in state(spark, path).segments if s.buckets]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    folders = [_filter_folder(path, n) for n in names]
+    if any(not hadoop(f).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop(f)) for f in folders):
+        return asked
+    return membership.may_hold(asked, key, spark.read.schema(membership.FILTER).parquet(*folders)) if folders else asked.limit(0)
+
+
 def _rows(spark: SparkSession, path: str, schema, segments: list[Segment], buckets) -> DataFrame:
     wanted = None if buckets is None else set(buckets)
     held = [s for s in segments if s.buckets and (wanted is None or wanted & set(s.buckets))]
@@ -101,30 +129,32 @@ def is_committed(spark: SparkSession, path: str, run: str, batch_id: int) -> boo
     return state(spark, path).done.get(run, -1) >= batch_id
 
 
-def append(marked: DataFrame, path: str, run: str, batch_id: int, rows: dict[int, int] | None = None, combine=None) -> None:
+def append(marked: DataFrame, path: str, run: str, batch_id: int, rows: dict[int, int] | None = None, combine=None, key: str | None = None) -> None:
     """Adds a batch of :func:`bucketed` rows as a segment; then one due merge is done.
 
     ``rows`` bounds the rows per bucket (:func:`sizes` of the batch, or of what it came from). A
     batch that was committed before changes nothing; one that died is written over. ``combine``
     may shrink the rows of merged segments and must keep ``bucket``; it gets all merged rows of
-    a key together, but not those of segments that stay.
+    a key together, but not those of segments that stay. With a ``key`` each segment gets a filter
+    over that column, for :func:`may_hold`.
     """
     spark = marked.sparkSession
     was = state(spark, path)
+    schema = T.StructType([f for f in marked.schema.fields if f.name != "bucket"])
     if was.done.get(run, -1) < batch_id:
         rows = sizes(marked) if rows is None else rows
         fresh = []
         if rows:
             name = f"{run}-{batch_id}"
             _write(marked, rows, _folder(path, name))
+            _write_filter(spark, path, name, schema, rows, key)
             fresh = [Segment(name, 0, sorted(rows))]
         was = State(was.version + 1, was.segments + fresh, was.done | {run: batch_id})
         _commit(spark, path, was)
-    schema = T.StructType([f for f in marked.schema.fields if f.name != "bucket"])
-    merge(spark, path, schema, combine)
+    merge(spark, path, schema, combine, key)
 
 
-def merge(spark: SparkSession, path: str, schema: T.StructType, combine=None) -> bool:
+def merge(spark: SparkSession, path: str, schema: T.StructType, combine=None, key: str | None = None) -> bool:
     """Merges the lowest level that has ``FAN`` segments; says whether one had."""
     was = state(spark, path)
     full = [level for level in sorted({s.level for s in was.segments}) if sum(s.level == level for s in was.segments) >= FAN]
@@ -135,6 +165,7 @@ def merge(spark: SparkSession, path: str, schema: T.StructType, combine=None) ->
     counts = sizes(rows)  # buckets are folders: no column is read for this
     name = f"merged-{was.version + 1}"
     _write(combine(rows) if combine else rows, counts, _folder(path, name))
+    _write_filter(spark, path, name, schema, counts, key)
     merged = Segment(name, full[0] + 1, sorted(counts))
     _commit(spark, path, State(was.version + 1, [s for s in was.segments if s not in old] + [merged], was.done))
     return True
@@ -160,4 +191,5 @@ def remove_merged(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
     gone = sorted(n for n in names if n not in live)
     for n in gone:
         fs.delete(hadoop(_folder(path, n)), True)
+        fs.delete(hadoop(_filter_folder(path, n)), True)
     return gone

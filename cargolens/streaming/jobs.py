@@ -47,9 +47,10 @@ def incremental_poll(stream: DataFrame, key: str, out: str, checkpoint: str) ->
     """STR6: each polled mail once, skipping those the ledger already holds; :func:`polled` reads it.
 
     Of several rows with one key in a batch the smallest stays, so a repeated batch is the same.
-    A null key is a key. The ledger is a stored history (:mod:`..sources.history`): a batch
-    reads the buckets of its own keys, in a number of files that grows with the logarithm of
-    the batches.
+    A null key is a key. The ledger is a stored history (:mod:`..sources.history`) with a
+    membership filter per segment: keys that the filters deny are new, and only buckets where
+    some key passed are read, to decide on these exactly. The figures of a batch go to
+    ``skipped`` (:func:`poll_figures`).
     """
     rest = [c for c in stream.columns if c != key]
 
@@ -57,13 +58,38 @@ def incremental_poll(stream: DataFrame, key: str, out: str, checkpoint: str) ->
         if H.is_committed(batch.sparkSession, out, _run(checkpoint), batch_id):
             return
         once = H.bucketed(batch.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*").select(*stream.columns), [key])
-        rows = H.sizes(once)
-        known = H.read(batch.sparkSession, out, stream.schema, rows).select(F.col(key).alias("_known"))
-        H.append(once.join(known, once[key].eqNullSafe(known["_known"]), "left_anti"), out, _run(checkpoint), batch_id, rows)
+        spark, rows = batch.sparkSession, H.sizes(once)
+        H.may_hold(once.select(key, "bucket"), out, key).write.mode("overwrite").parquet(f"{out}/maybe")
+        maybe = spark.read.schema(T.StructType([stream.schema[key], T.StructField("bucket", T.IntegerType())])).parquet(f"{out}/maybe")
+        passed = H.sizes(maybe)
+        figures = [(_run(checkpoint), batch_id, sum(rows.values()), sum(passed.values()))]
+        spark.createDataFrame(figures, FIGURES).coalesce(1).write.mode("overwrite").parquet(f"{out}/skipped/{_run(checkpoint)}-{batch_id}")
+        known = _held(spark, out, stream.schema, key, maybe, passed)
+        fresh = once if known is None else once.join(known, once[key].eqNullSafe(known["_known"]), "left_anti")
+        H.append(fresh, out, _run(checkpoint), batch_id, rows, key=key)
 
     run_to_end(stream.writeStream.foreachBatch(step), checkpoint)
 
 
+FIGURES = "run string, batch_id long, keys long, asked long"
+SMALL = 200_000  # keys of a batch that may be sent to every task; more are joined by a shuffle
+
+
+def _held(spark: SparkSession, out: str, schema: T.StructType, key: str, maybe: DataFrame, passed: dict[int, int]) -> DataFrame | None:
+    """Which of the keys that passed a filter the ledger holds; None where none passed."""
+    if not passed:
+        return None
+    asked = maybe.select(F.col(key).alias("_asked"))
+    asked = F.broadcast(asked) if sum(passed.values()) <= SMALL else asked
+    ledger = H.read(spark, out, schema, passed).select(F.col(key).alias("_known"))
+    return ledger.join(asked, ledger["_known"].eqNullSafe(asked["_asked"]), "left_semi").distinct()
+
+
+def poll_figures(spark: SparkSession, out: str) -> DataFrame:
+    """``run, batch_id, keys, asked``: per batch of :func:`incremental_poll` its keys, and those among them that had to ask the ledger."""
+    return spark.read.schema(FIGURES).parquet(f"{out}/skipped/*")
+
+
 def polled(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
     """The rows :func:`incremental_poll` has kept."""
     return H.read(spark, out, schema).drop("bucket")
