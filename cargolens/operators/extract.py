@@ -29,6 +29,8 @@ def _opening(pattern: str) -> str:
 OPENING = {f: _opening(p) for f, p in ALTERNATION.items()}
 ANY_OPENING = "(?i)" + _opening(_EVERY)
 TWO_LABELS = rf"{ANY_OPENING}.*?[:：|\t].*?{_opening(_EVERY)}"
+#: What every such line has; linear, and false for nearly all lines, so the search for labels is seldom begun.
+TWO_SEPARATORS = r"^[^:：|\t]*+[:：|\t][^:：|\t]*+[:：|\t]"
 LABEL_LINE = r"^[^:|]*[:|]"
 
 FIELDS_TYPE = (
@@ -92,11 +94,14 @@ def split_long_line(line: Column) -> Column:
 
 def segments(text: Column) -> Column:
     """Lines; one that holds two labels, each with its separator, is split."""
+    def crowded(l):
+        return l.rlike(TWO_SEPARATORS) & l.rlike(TWO_LABELS)
+
     def one(l):
-        return F.when(l.rlike(TWO_LABELS), split_long_line(l)).otherwise(F.array(l))
+        return F.when(crowded(l), split_long_line(l)).otherwise(F.array(l))
 
     return T.let(lines_of(text), lambda lines: F.when(
-        F.exists(lines, lambda l: l.rlike(TWO_LABELS)),
+        F.exists(lines, crowded),
         F.flatten(F.transform(lines, one))).otherwise(lines))
 
 

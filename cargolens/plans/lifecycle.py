@@ -7,6 +7,7 @@ from .. import rules
 from ..functions import text as T
 from ..operators import compare as K, extract as X, issues as I, overview as O, shipments as S, versions as V
 from ..operators.ranking import latest
+from ..streaming import jobs as J, overview as MO
 from . import duck as D
 from .mails import all_mails
 from .registry import query, step
@@ -425,6 +426,17 @@ def ovr4(t):
     return overview(t).select("shipment_key", "status", "issue_count")
 
 
+# The same from a maintained table: all issues come as suggested and without reports first, their true status and the other half later.
+@query("ovr4m_maintained_status", "SELECT shipment_key, status, issue_count, mismatch_fields FROM ox_status")
+def ovr4m(t):
+    ships, versions = ship_inputs(t)
+    out = J.work_dir(t.spark) + "/overview"
+    issues = t.view("fx_issues").select(F.concat_ws(":", "report_id", "field_name").alias("issue_key"), F.concat(F.lit("REF:SHP-"), F.lpad((F.col("report_id") % 300).cast("string"), 4, "0")).alias("shipment_key"), "field_name", "status")
+    MO.maintain(t.spark, out, 0, ships, versions.filter("reg_id % 2 = 0"), issues.withColumn("status", F.lit("SUGGESTED")))
+    MO.maintain(t.spark, out, 1, None, versions.filter("reg_id % 2 = 1"), issues.filter("status <> 'SUGGESTED'"), t.view("fx_reports"))
+    return MO.current(t.spark, out).select("shipment_key", "status", "issue_count", F.array_join("mismatch_fields", ", ").alias("mismatch_fields"))
+
+
 @query("ovr5_reasons", """SELECT shipment_key, concat_ws('; ', CASE WHEN contains(missing_documents, 'SI') THEN 'Missing Shipping Instruction' END, CASE WHEN contains(missing_documents, 'BL') THEN 'Missing Bill of Lading' END,
   CASE WHEN mismatch_fields <> '' THEN 'Field mismatch: ' || mismatch_fields END, CASE WHEN report_status = 'NEEDS_REVIEW' THEN 'Needs review: ' || report_reason END) AS reasons FROM ox_status""")
 def ovr5(t):

@@ -84,6 +84,17 @@ def test_labels_with_brackets_and_slashes_open_pieces(spark):
     assert f["gross_weight_kg"] == 500.0 and f["eta"] == "2026-04-15"
 
 
+def test_the_first_look_at_a_line_loses_no_split(spark):
+    """Whatever holds two labels with separators passes the linear test for two separators."""
+    import random
+    from cargolens.operators import extract as X
+    rng = random.Random(5)
+    parts = ["Shipper", "consignee", "Notify (a:b)", "POL", "containers:", "ETA / ETD", "gross weight (kgs)", ":", "：", "|", "\t", " ", "x", "\u0085", "/", "and address", "12"]
+    lines = spark.createDataFrame([("".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 9))),) for _ in range(20000)], "l string")
+    both = lines.where(F.col("l").rlike(X.TWO_LABELS))
+    assert both.count() > 200 and both.where(~F.col("l").rlike(X.TWO_SEPARATORS)).count() == 0
+
+
 @pytest.mark.parametrize("value", ["TBA", "N/A", "____MT", "to be advised"])
 def test_placeholders(spark, value):
     assert fields(spark, f"Shipper: {value}")["shipper"] is None

@@ -7,7 +7,7 @@ from check import ROOT, compare, duck
 
 SF = f"{ROOT}/sf0.001"
 NAMES = ["cmp_field_mismatch_report", "cmp12_mail_verdicts", "cls9_category", "doc4_attachment_pair", "ver4_version_chain", "iss5_resolution_status",
-         "ovr4_shipment_status", "gte2_source_trust", "gte6_member_admission", "gte6n_nested_admission", "cmp11_aligned_difference", "snk3u_bucketed_upsert", "rpy13_dispatch_match", "agg3_review_queue", "str3_cache_probe", "src11_edifact", "evl2_class_scores",
+         "ovr4_shipment_status", "ovr4m_maintained_status", "gte2_source_trust", "gte6_member_admission", "gte6n_nested_admission", "cmp11_aligned_difference", "snk3u_bucketed_upsert", "rpy13_dispatch_match", "agg3_review_queue", "str3_cache_probe", "src11_edifact", "evl2_class_scores",
          "src7_json_fields", "flt6_shipment_lookup", "str5_unseen_messages", "str5m_filtered_unseen", "str6_incremental_poll", "str7_counterpart_stream", "str8_revision_stream", "gte13_policy_cleaning", "iss11_assistance", "evl4_caught"]
 
 
