@@ -65,20 +65,26 @@ def maintain(spark: SparkSession, out: str, batch_id: int, shipments: DataFrame
         return
     touched = []
 
-    def store(df: DataFrame | None, name: str, schema: T.StructType, by: str, key: str | None) -> DataFrame | None:
+    def store(df: DataFrame | None, name: str, by: str, key: str | None) -> DataFrame | None:
         if df is None:
             return None
-        rows = _shaped(df, schema, batch_id).where(F.col(by).isNotNull())
+        rows = df.where(F.col(by).isNotNull())
         rows = rows.distinct() if key is None else rows.where(F.col(key).isNotNull())
         once = (lambda r: r.distinct()) if key is None else (lambda r: _newest(r, key))
         H.append(H.bucketed(rows, [by]), f"{out}/{name}", RUN, batch_id, combine=once)
         return rows
 
-    for df, name, schema, key in ((shipments, "shipments", SHIPMENT, None), (versions, "versions", VERSION, "reg_id"), (issues, "issues", ISSUE, "issue_key")):
-        rows = store(df, name, schema, "shipment_key", key)
+    def taken(df: DataFrame | None, name: str, schema: T.StructType) -> DataFrame | None:
+        """A batch is worked out once, however often it is looked at."""
+        return None if df is None else _written(_shaped(df, schema, batch_id), f"{out}/batch/{name}")
+
+    shipments, versions = taken(shipments, "shipments", SHIPMENT), taken(versions, "versions", VERSION)
+    issues, reports = taken(issues, "issues", ISSUE), taken(reports, "reports", REPORT)
+    for df, name, key in ((shipments, "shipments", None), (versions, "versions", "reg_id"), (issues, "issues", "issue_key")):
+        rows = store(df, name, "shipment_key", key)
         touched += [] if rows is None else [rows.select("shipment_key")]
-    store(versions, "links", LINK, "email_id", None)
-    mails = store(reports, "reports", REPORT, "email_id", "report_id")
+    store(None if versions is None else versions.select(*LINK.names), "links", "email_id", None)
+    mails = store(reports, "reports", "email_id", "report_id")
     if mails is not None:
         touched.append(_of_keys(spark, f"{out}/links", LINK, mails, "email_id").select("shipment_key").where("shipment_key IS NOT NULL"))
     if not touched:
