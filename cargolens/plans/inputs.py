@@ -184,11 +184,9 @@ def ext2(t):
 
 @query("ext6_next_line_values", "SELECT email_id, doc_type, ln, src FROM ox_source WHERE src IS NOT NULL")
 def ext6(t):
-    rows = t.docs.select("email_id", "doc_type", F.posexplode(F.transform(X.lines_of(F.col("text")), lambda l: l)).alias("i", "line"), X.lines_of(F.col("text")).alias("ls"))
-    nxt = T.strip(F.get(F.filter(F.slice("ls", F.col("i") + 2, F.size("ls")), lambda x: T.strip(x) != ""), 0))
-    rows = rows.select("email_id", "doc_type", "i", X.label_of(T.squeeze(F.col("line"))).alias("ord"), T.blank_to_null(X.inline_value(F.col("line"))).alias("val"), nxt.alias("nxt"))
-    below = F.when((F.col("ord") < 5) & ~(F.col("nxt").rlike(X.LABEL_LINE) & T.squeeze(F.col("nxt")).rlike(X.ANY_LABEL)), F.col("nxt"))
-    return rows.filter("ord IS NOT NULL").select("email_id", "doc_type", (F.col("i") + 1).alias("ln"), F.coalesce("val", below).alias("src")).filter("src IS NOT NULL")
+    # The outer form: a plain inline would work the array out a second time to see whether it is empty.
+    rows = t.docs.select("email_id", "doc_type", F.inline_outer(X.sources_of(X.lines_of(F.col("text")))))
+    return rows.filter("src IS NOT NULL").select("email_id", "doc_type", "ln", "src")
 
 
 @query("ext9_placeholders", f"SELECT email_id, doc_type, ln, {D.has(D.squeeze('src'), rules.PLACEHOLDER)} AS placeholder FROM ox_source WHERE val IS NOT NULL".replace("WHERE val IS NOT NULL", "WHERE src IS NOT NULL"))
