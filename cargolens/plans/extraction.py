@@ -158,7 +158,7 @@ def ext4(t):
     rows = t.docs.select("email_id", "doc_type", F.posexplode(X.lines_of(F.col("text"))).alias("i", "line"))
     m = T.squeeze(F.col("line"))
     return rows.filter(m.rlike(X.ANY_LABEL)).select(
-        "email_id", "doc_type", (F.col("i") + 1).alias("ln"), X.label_of(m).alias("ord"))
+        "email_id", "doc_type", (F.col("i") + 1).alias("ln"), X.label_of(F.col("line")).alias("ord"))
 
 
 @query("ext5_inline_values", "SELECT email_id, doc_type, ln, val FROM ox_value")
@@ -184,12 +184,15 @@ def ext8(t):
 
 # ----------------------------------------------------------- comparison queries
 def pairs(t):
-    read = K.read_documents(t.docs)
+    # Both halves of a pair are dealt by the key they meet on, so their fields are not shuffled again.
+    docs = t.docs.repartition(2 * t.spark.sparkContext.defaultParallelism, "email_id")
+    read = K.read_documents(docs)
     return K.compare_pairs(read.filter("doc_type = 'SI'"), read.filter("doc_type = 'BL'"), ["email_id"])
 
 
 def long_results(p):
-    return p.select("email_id", F.inline("field_results"))
+    # Every pair has results; the outer form does not work them out a second time to see whether it has.
+    return p.select("email_id", F.inline_outer("field_results"))
 
 
 @query("cmp1_field_results", "SELECT email_id, field, si_value, bl_value, match FROM ox_pair_long")
