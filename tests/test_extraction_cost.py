@@ -48,3 +48,29 @@ def test_labels_are_found_without_squeezing_the_line(spark):
     names = [None if r.raw is None else rules.ALL_FIELDS[r.raw] for r in got]
     assert names == ["port_of_loading", "port_of_discharge", "etd", "eta", "gross_weight_kg", None, "container_count", "gross_weight_kg", None, "notify_party"]
     assert all(r.raw == r.squeezed for r in got)
+
+
+def test_short_white_space_class_is_the_same(spark):
+    every = spark.createDataFrame([(chr(i),) for i in range(0x10000) if not 0xD800 <= i < 0xE000], "c string")
+    assert {r.c for r in every.filter(F.col("c").rlike(T.SHORT_WS)).collect()} == set(T.WS_CHARS)
+    assert T.WS not in X.LABEL
+
+
+def test_a_tidy_value_is_searched_once_with_the_same_result(spark):
+    values = ["ACME LTD", "tba", "nıl", "nıl ", "Foo  Bar", "Notify: X", "X; 5 Road", "xxx kgs", "", "-", "pod: BAR", "\xa0Foo ", " \t"]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select(T.strip(F.col("v")).alias("s"), T.bare(F.col("v")).alias("b"))
+    s = F.col("s")
+    rows = df.select("s", "b", T.blank_to_null(T.name_value(s)).alias("n"), T.value_or_null(T.clean_name(s)).alias("n0"),
+                     T.blank_to_null(T.port_value(s)).alias("p"), T.value_or_null(T.clean_port(s)).alias("p0")).collect()
+    assert all(r.s == r.b and r.n == r.n0 and r.p == r.p0 for r in rows) and rows[2].n is None
+
+
+def test_a_value_below_its_label_skips_blank_lines(spark):
+    text = "Shipper:\n\xa0\n\t\nACME LTD\nPOL:\n\nPOD: X\nGross Weight: 1.,2 tonnes"
+    lines = X.lines_of(F.col("t"))
+    got = spark.createDataFrame([(text,)], "t string").select(X.sources_of(lines).alias("s"), X.fields_of(F.col("t")).alias("f")).first()
+    assert [(x.ln, x.ord, x.src) for x in got.s] == [(1, 0, "ACME LTD"), (5, 3, None), (7, 4, "X"), (8, 6, "1.,2 tonnes")]
+    assert got.f.shipper == "ACME LTD" and got.f.port_of_loading is None and got.f.gross_weight_kg == 1200.0
+    # Lines are not made into structs to leave out the blank ones: ink is asked for only below a label without a value.
+    made = plan(spark.createDataFrame([(text,)], "t string").select(X.sources_of(lines)))
+    assert made.count("slice(") == made.count(T.INK) > 0
